@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import round_trip
+from gridloom.llm.mixing import mix
 from gridloom.llm.ngram_join import ngram_join
+from gridloom.llm.secret_scan import secret_scan
 from gridloom.llm.token_counts import token_counts
 from gridloom.sources.tables import table
 
@@ -23,9 +25,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_token_counts": op4_token_counts,
+    "op6_mix_sources": op6_mix_sources,
+    "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {}
