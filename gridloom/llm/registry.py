@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.bpe import round_trip
 from gridloom.llm.mixing import mix
 from gridloom.llm.ngram_join import ngram_join
+from gridloom.llm.quality_rules import quality
 from gridloom.llm.secret_scan import secret_scan
 from gridloom.llm.token_counts import token_counts
 from gridloom.sources.tables import table
@@ -17,6 +18,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -35,6 +40,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quality_rules": op2_quality_rules,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_token_counts": op4_token_counts,
     "op6_mix_sources": op6_mix_sources,
