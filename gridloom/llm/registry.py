@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.bpe import round_trip
 from gridloom.llm.mixing import mix
 from gridloom.llm.ngram_join import ngram_join
+from gridloom.llm.pii import personal_data
 from gridloom.llm.quality_rules import quality
 from gridloom.llm.secret_scan import secret_scan
 from gridloom.llm.token_counts import token_counts
@@ -34,6 +35,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_token_counts": op4_token_counts,
     "op6_mix_sources": op6_mix_sources,
+    "op9_personal_data": op9_personal_data,
     "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {}
