@@ -10,6 +10,7 @@ from gridloom.llm.mixing import mix
 from gridloom.llm.ngram_join import ngram_join
 from gridloom.llm.pii import personal_data
 from gridloom.llm.quality_rules import quality
+from gridloom.llm.quotation_links import as_mail, reply_conversations
 from gridloom.llm.secret_scan import secret_scan
 from gridloom.llm.token_counts import token_counts
 from gridloom.sources.tables import table
@@ -31,6 +32,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats sent as mail that quotes up to two turns; the links are found from the quotes alone."""
+    return reply_conversations(as_mail(table(spark, sf_dir, "conversations")))
+
+
+OP5_SQL = """
+WITH told AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS body, lag(turn) OVER w AS parent_turn, row_number() OVER w AS n
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+)
+SELECT conv_id, turn, role, parent_turn, CAST(min(turn) OVER (PARTITION BY conv_id) AS BIGINT) AS root_turn,
+       CAST(n - 1 AS BIGINT) AS depth, CAST(least(n - 1, 2) AS BIGINT) AS quote_levels, body
+FROM told
+"""
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -48,8 +65,9 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_token_counts": op4_token_counts,
+    "op5_quotation_links": op5_quotation_links,
     "op6_mix_sources": op6_mix_sources,
     "op9_personal_data": op9_personal_data,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_quotation_links": OP5_SQL}
