@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import round_trip
+from gridloom.llm.chroma import align, as_recordings, fingerprints
+from gridloom.llm.cotraining import classify
 from gridloom.llm.mixing import mix
 from gridloom.llm.ngram_join import ngram_join
 from gridloom.llm.pii import personal_data
@@ -52,6 +54,15 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made from the embeddings: the data has no audio of its own."""
+    return align(fingerprints(as_recordings(table(spark, sf_dir, "embeddings"))))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -67,6 +78,8 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_quotation_links": op5_quotation_links,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_chroma_fingerprints": op8_chroma_fingerprints,
     "op9_personal_data": op9_personal_data,
     "op10_secret_scan": op10_secret_scan,
 }
