@@ -20,3 +20,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+from gridloom.plans import raster_queries  # noqa: E402,F401  registers its queries
