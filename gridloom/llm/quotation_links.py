@@ -52,14 +52,13 @@ def reply_conversations(messages: DataFrame, thread: str = "conv_id", turn: str
     quoted = parts.where("level > 0").select("thread", "turn", "level", normalised(F.col("passage")).alias("plain")).where("plain <> ''").select("thread", "turn", "level", F.sha2("plain", 256).alias("hash"))
     parents = quoted.join(texts, ["thread", "hash"]).where("origin < turn").groupBy("thread", "turn").agg(F.min(F.struct("level", (-F.col("origin")).alias("back"))).alias("best"))
     links = parents.select("thread", "turn", (-F.col("best.back")).alias("parent"))
-    at = staged(whole.select("thread", "turn").join(links, ["thread", "turn"], "left").withColumn("root", F.coalesce("parent", "turn")).withColumn("depth", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long")), "links")
-    while True:
+    at = whole.select("thread", "turn").join(links, ["thread", "turn"], "left")
+    at = staged(at.select("thread", "turn", "parent", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").isNotNull().alias("open")), "links")
+    while at.where("open").limit(1).count():  # rows that have reached their root are not joined again
         up = at.select("thread", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        new = at.join(up, ["thread", "root"], "left").select("thread", "turn", "parent", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("next") < F.col("root")).alias("moved"))
-        new = staged(new, "links")
-        at = new.drop("moved")
-        if new.where("moved").limit(1).count() == 0:
-            break
+        further = at.where("open").join(up, ["thread", "root"], "left").select("thread", "turn", "parent", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce(F.col("next") < F.col("root"), F.lit(False)).alias("open"))
+        at = staged(at.where("NOT open").unionByName(further), "links")
+    at = at.drop("open")
     found = at.join(whole, ["thread", "turn"])
     keyed = rows.select("thread", "turn", "role")
     out = keyed.join(found, (keyed["thread"].eqNullSafe(found["thread"])) & (keyed["turn"].eqNullSafe(found["turn"])), "left")
