@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MANIFEST = "scene_id string, group_id string, split string, category string, image string, mask string, arrays string, metadata string"
 SAMPLE = "id string, group_id string, source string, status string, split string, case string, style string, template_id string, template_revision int, label_percent double, water_percent double, warnings array<string>"
@@ -122,7 +123,7 @@ def placed(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
     return pixels.join(tiles, "image").select("image", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _mask_text(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     import base64
 
