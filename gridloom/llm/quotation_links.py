@@ -8,8 +8,8 @@ by pointer doubling, so a chain of n replies takes log n steps, and give each me
 depth; the body is its own text without quotes.
 
 Passages without a word match nothing. Null texts have an empty body and no links; null threads link
-with nothing and messages there are their own roots. Repeated rows of one (thread, turn) all stay and
-link alike. Extra columns are dropped; an empty table gives an empty table.
+with nothing and messages there are their own roots. Rows of one (thread, turn) all stay and link alike,
+by what any of their texts quotes; each keeps its own body. Extra columns are dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def normalised(text: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """messages(thread, turn, text) -> thread, turn, level, at (first line), passage (lines joined).
+    """messages(thread, turn, hash, text) -> thread, turn, hash, level, at (first line), passage (lines joined).
 
     Lines stay in their own row: a line begins a passage where its level differs from the one before."""
     line = lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, r"^((?:> ?)*)", 1), " ", "")).alias("level"), F.regexp_replace(x, r"^(?:> ?)*", "").alias("line"))
@@ -36,14 +36,15 @@ def passages(messages: DataFrame) -> DataFrame:
     spans = F.arrays_zip(F.col("begins").alias("at"), ends.alias("end"))
     rows = rows.withColumn("span", F.explode(spans))
     part = F.slice("lines", F.col("span.at") + 1, F.col("span.end") - F.col("span.at"))
-    return rows.select("thread", "turn", F.get("lines", F.col("span.at"))["level"].alias("level"), F.col("span.at").alias("at"), F.array_join(F.transform(part, lambda x: x["line"]), "\n").alias("passage"))
+    return rows.select("thread", "turn", "hash", F.get("lines", F.col("span.at"))["level"].alias("level"), F.col("span.at").alias("at"), F.array_join(F.transform(part, lambda x: x["line"]), "\n").alias("passage"))
 
 
 def reply_conversations(messages: DataFrame, thread: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role") -> DataFrame:
     """Per message: thread, turn, role, parent_turn, root_turn, depth, quote_levels, body."""
-    rows = messages.select(F.col(thread).alias("thread"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).cast("string").alias("text"))
-    parts = passages(rows)
-    whole = parts.groupBy("thread", "turn").agg(
+    rows = messages.select(F.col(thread).alias("thread"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.sha2("text", 256))
+    parts = passages(rows.dropDuplicates(["thread", "turn", "hash"]))
+    whole = parts.groupBy("thread", "turn", "hash").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("at", "passage")))), lambda x: x["passage"]), "\n").alias("body"),
         F.max("level").alias("quote_levels"),
     )
@@ -52,18 +53,20 @@ def reply_conversations(messages: DataFrame, thread: str = "conv_id", turn: str
     quoted = parts.where("level > 0").select("thread", "turn", "level", normalised(F.col("passage")).alias("plain")).where("plain <> ''").select("thread", "turn", "level", F.sha2("plain", 256).alias("hash"))
     parents = quoted.join(texts, ["thread", "hash"]).where("origin < turn").groupBy("thread", "turn").agg(F.min(F.struct("level", (-F.col("origin")).alias("back"))).alias("best"))
     links = parents.select("thread", "turn", (-F.col("best.back")).alias("parent"))
-    at = whole.select("thread", "turn").join(links, ["thread", "turn"], "left")
+    at = whole.select("thread", "turn").distinct().join(links, ["thread", "turn"], "left")
     at = staged(at.select("thread", "turn", "parent", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").isNotNull().alias("open")), "links")
     while at.where("open").limit(1).count():  # rows that have reached their root are not joined again
         up = at.select("thread", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         further = at.where("open").join(up, ["thread", "root"], "left").select("thread", "turn", "parent", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce(F.col("next") < F.col("root"), F.lit(False)).alias("open"))
         at = staged(at.where("NOT open").unionByName(further), "links")
     at = at.drop("open")
-    found = at.join(whole, ["thread", "turn"])
-    keyed = rows.select("thread", "turn", "role")
-    out = keyed.join(found, (keyed["thread"].eqNullSafe(found["thread"])) & (keyed["turn"].eqNullSafe(found["turn"])), "left")
-    alone = [keyed["thread"].alias(thread), keyed["turn"].alias(turn), keyed["role"].alias(role)]
-    return out.select(*alone, F.col("parent").alias("parent_turn"), F.coalesce(F.col("root"), keyed["turn"]).alias("root_turn"), F.coalesce(F.col("depth"), F.lit(0)).cast("long").alias("depth"), F.coalesce(F.col("quote_levels"), F.lit(0)).cast("long").alias("quote_levels"), F.coalesce(F.col("body"), F.lit("")).alias("body"))
+    same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
+    bodies = rows.join(whole, same(rows, whole, "thread", "turn", "hash")).select(rows["thread"], rows["turn"], rows["role"], "body", "quote_levels")
+    out = bodies.join(at, same(bodies, at, "thread", "turn"))
+    return out.select(
+        bodies["thread"].alias(thread), bodies["turn"].alias(turn), bodies["role"].alias(role),
+        F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"), "depth", F.col("quote_levels").cast("long").alias("quote_levels"), "body",
+    )
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
