@@ -10,7 +10,7 @@ Fitting takes bounded samples, by least hash of the id: at most `LABELLED` label
 unlabelled documents, whatever the size of the corpus. Scoring covers all documents and whole texts.
 
 Null texts have no words; null languages and sources are values of their own. Labels that are null
-or have no document are ignored. Without labels of both classes every document gets the share of good
+or have no document are ignored, of several for one id the least counts. Without labels of both classes every document gets the share of good
 labels (1 without labels) as its score. Repeated rows score alike; extra columns are dropped.
 """
 
@@ -128,18 +128,20 @@ def _score(shared):
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality") -> DataFrame:
     """Per row: doc_id, score (of good quality), kept (score of 0.5 or more)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("label")).where("label IS NOT NULL")
+    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("label")).where("label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
     ids = docs.select("doc_id")
     order = F.xxhash64(F.lit(3), "doc_id")
     sample = ids.join(known, "doc_id").orderBy(order, "doc_id", "label").limit(LABELLED)
     pool = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL).withColumn("label", F.lit(None).cast("double"))
-    chosen = sample.unionByName(pool).dropDuplicates(["doc_id"])  # at most LABELLED + POOL rows, so small enough to broadcast
-    rows = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(_vectors, f"doc_id {dict(docs.dtypes)['doc_id']}, label double, words binary, meta binary").collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["words"]))
-    views = [np.array([np.frombuffer(r[c], np.float32) for r in rows]).reshape(len(rows), -1) for c in ("words", "meta")]
-    y = np.array([np.nan if r["label"] is None else r["label"] for r in rows])
+    chosen = sample.unionByName(pool).groupBy("doc_id").agg(F.max("label").alias("label"))  # at most LABELLED + POOL rows, so small enough to broadcast
+    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang", "source")).alias("d")).select("doc_id", "label", "d.*")
+    rows = found.mapInArrow(_vectors, f"doc_id {dict(docs.dtypes)['doc_id']}, label double, words binary, meta binary").collect()
+    rows.sort(key=lambda r: str(r["doc_id"]))
+    y = np.array([np.nan if r["label"] is None else r["label"] for r in rows], float)
     has = ~np.isnan(y)
-    both = len(np.unique(y[has])) == 2
-    fitted = cotrain([v[has] for v in views], y[has], [v[~has] for v in views]) if both else None
+    fitted = None
+    if len(np.unique(y[has])) == 2:
+        views = [np.array([np.frombuffer(r[c], np.float32) for r in rows]) for c in ("words", "meta")]
+        fitted = cotrain([v[has] for v in views], y[has], [v[~has] for v in views])
     shared = docs.sparkSession.sparkContext.broadcast((fitted, float(y[has].mean()) if has.any() else 1.0))
     return docs.mapInArrow(_score(shared), f"doc_id {dict(docs.dtypes)['doc_id']}, score double, kept boolean").withColumnRenamed("doc_id", doc_id)
