@@ -116,3 +116,44 @@ def scene_audit(spark, sf_dir):
         F.count_if(F.col("mask") != (F.col("down_m") >= F.lit(0.005).cast("float")).cast("int")).alias("mask_mismatch"),
         F.lit(len(bands)).alias("bands"),
     )
+
+
+@query("safe_paths", "SELECT page_id, regexp_replace(url, '^https?://', '') AS path, regexp_matches(regexp_extract(url, '([^/?]+)[?]', 1), '^[\\w-]{1,40}$') AS plain_name, NOT contains(url, '..') AND NOT starts_with(url, '/') AS inside FROM pages")
+def safe_paths(spark, sf_dir):
+    """Names that are plain, and paths that stay inside their root."""
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(u, "^https?://", "").alias("path"), F.regexp_extract(u, "([^/?]+)[?]", 1).rlike(r"^[\w-]{1,40}$").alias("plain_name"), (~u.contains("..") & ~u.startswith("/")).alias("inside"))
+
+
+@query("correlation_error", f"""WITH g AS (SELECT unnest([0.0, 0.3, 0.7, 1.0])::DOUBLE AS gamma), d AS (SELECT CAST(i AS BIGINT) AS i, sqrt(-2 * ln(1 - {rng(61, 'r1', 'i')})) AS r1, 2 * pi() * {rng(61, 'a1', 'i')} AS a1, sqrt(-2 * ln(1 - {rng(61, 'r2', 'i')})) AS r2, 2 * pi() * {rng(61, 'a2', 'i')} AS a2 FROM generate_series(0, 4095) AS g(i)),
+o AS (SELECT gamma, r1 * cos(a1) AS x1, r1 * sin(a1) AS y1, gamma * r1 * cos(a1) + sqrt(1 - gamma * gamma) * r2 * cos(a2) AS x2, gamma * r1 * sin(a1) + sqrt(1 - gamma * gamma) * r2 * sin(a2) AS y2 FROM d, g)
+SELECT gamma, round(abs(avg(x1 * x2 + y1 * y2) / sqrt(avg(x1 * x1 + y1 * y1) * avg(x2 * x2 + y2 * y2)) - gamma), 6) AS error, count(*) AS looks FROM o GROUP BY gamma""")
+def correlation_error(spark, sf_dir):
+    """Correlated complex pairs by Box and Muller; how far their correlation is from the wanted one."""
+    u = lambda s: M.uniform(61, s, "id")
+    r = lambda s: F.sqrt(-2 * F.log(1 - u(s)))
+    a1, a2 = 2 * math.pi * u("a1"), 2 * math.pi * u("a2")
+    d = spark.range(4096).select((r("r1") * F.cos(a1)).alias("x1"), (r("r1") * F.sin(a1)).alias("y1"), (r("r2") * F.cos(a2)).alias("n1"), (r("r2") * F.sin(a2)).alias("n2"))
+    d = d.select("*", F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.7, 1.0)))).alias("gamma"))
+    rest = F.sqrt(1 - F.col("gamma") ** 2)
+    o = d.select("gamma", "x1", "y1", (F.col("gamma") * F.col("x1") + rest * F.col("n1")).alias("x2"), (F.col("gamma") * F.col("y1") + rest * F.col("n2")).alias("y2"))
+    dot = lambda a, b: F.avg(F.col(f"x{a}") * F.col(f"x{b}") + F.col(f"y{a}") * F.col(f"y{b}"))
+    return o.groupBy("gamma").agg(F.round(F.abs(dot(1, 2) / F.sqrt(dot(1, 1) * dot(2, 2)) - F.col("gamma")), 6).alias("error"), F.count("*").alias("looks"))
+
+
+@query("region_hits", f"""WITH {PIX}, m AS (SELECT vec_id, y, x, x - row_number() OVER (PARTITION BY vec_id, y ORDER BY x) AS island FROM pix WHERE v >= 0.05), r AS (SELECT vec_id, y, min(x) AS lo, max(x) + 1 AS hi FROM m GROUP BY vec_id, y, island)
+SELECT r.vec_id, r.y, r.lo, count(*) AS px, count(*) FILTER (p.v >= 0.1) AS hits, round(count(*) FILTER (p.v >= 0.1) / count(*), 6) AS covered FROM r JOIN pix p ON p.vec_id = r.vec_id AND p.y = r.y AND p.x >= r.lo AND p.x < r.hi GROUP BY r.vec_id, r.y, r.lo""")
+def region_hits(spark, sf_dir):
+    """Runs against prediction pixels: the equi-join is on the row, the interval is its condition."""
+    p = raster.pixels(_tiles(spark, sf_dir), N, "vec_id")
+    r = raster.runs(p.withColumn("v", (F.col("v") >= 0.05).cast("int")), "vec_id")
+    hit = F.count_if(F.col("v") >= 0.1)
+    return r.join(p, ["vec_id", "y"]).where("lo <= x AND x < hi").groupBy("vec_id", "y", "lo").agg(F.count("*").alias("px"), hit.alias("hits"), F.round(hit / F.count("*"), 6).alias("covered"))
+
+
+@query("scope_exclusion", f"WITH {PIX}, s AS (SELECT vec_id, y, x FROM pix WHERE v >= 0), c AS (SELECT vec_id, y, x FROM pix WHERE abs(v) > 0.1) SELECT vec_id, count(*) AS px FROM (SELECT * FROM s EXCEPT SELECT * FROM c) GROUP BY vec_id")
+def scope_exclusion(spark, sf_dir):
+    """Pixels of a scope without those in conflict."""
+    p = raster.pixels(_tiles(spark, sf_dir), N, "vec_id")
+    left = p.where("v >= 0").select("vec_id", "y", "x").subtract(p.where("abs(v) > 0.1").select("vec_id", "y", "x"))
+    return left.groupBy("vec_id").agg(F.count("*").alias("px"))
