@@ -177,3 +177,14 @@ def test_scene_stream_restarts(spark, tmp_path):
 def test_session_stream(spark, sf):
     s = jobs.drained(jobs.sessions(jobs.event_stream(spark, sf)), "sessions_test")
     assert s.agg(F.sum("events")).first()[0] == 1000
+
+
+def test_circular_observation(spark):
+    from gridloom.operators import scenarios
+
+    p = spark.createDataFrame([(1, y, x, 0.4 * y) for y in range(8) for x in range(8)], "scene_id long, y int, x int, phase_rad double")
+    schema = "scene_id long, y int, x int, phase_rad double, observed_rad double, strength double"
+    clean = scenarios.circular_observation(p, 0.0, 4, schema).toPandas()
+    assert np.allclose(clean.strength, 1) and np.allclose(np.exp(1j * clean.observed_rad), np.exp(1j * clean.phase_rad))
+    noisy = scenarios.circular_observation(p, 0.3, 64, schema).toPandas()
+    assert abs(np.angle(np.exp(1j * (noisy.observed_rad - noisy.phase_rad)))).max() < 0.25 and noisy.strength.between(0.8, 1).all()
