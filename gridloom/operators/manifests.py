@@ -30,26 +30,30 @@ def strict(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.where(F.when(F.size(v) == 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("invalid: "), F.array_join(v, ", "))).cast("boolean")))
 
 
-def stratified_split(df: DataFrame, category: str, key: str, draw: Column, share: float = 0.1) -> DataFrame:
-    """Adds split: per category the floor of its share to test and to validation, the rest of the
-    overall quota to the categories of largest remainder (ties by name).
+def ranked(df: DataFrame, category: str, key: str, draw: Column, buckets: int = 1024) -> DataFrame:
+    """df with its place in its category by (draw, key), from 1, and the category's size.
 
-    Rows are ranked by draw in their category; a category with very many rows is ranked in buckets of
-    the draw, so no window holds it whole."""
-    buckets = 1024
+    Buckets of the draw are counted, and rows ranked inside a bucket, so that no window holds a
+    category with very many rows whole. Draws lie in [0, 1)."""
     rows = df.withColumn("_d", draw).withColumn("_b", F.floor(F.col("_d") * buckets).cast("int"))
     per = rows.groupBy(category, "_b").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(category).orderBy("_b"))
-    per = per.withColumn("_before", before - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(category)))
-    cats = per.groupBy(category).agg(F.first("_all").alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy(category).orderBy("_b"))
+    per = per.select(category, "_b", (upto - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(category)).alias("size"))
+    inside = F.row_number().over(Window.partitionBy(category, "_b").orderBy("_d", key))
+    return rows.join(per, [category, "_b"]).withColumn("place", F.col("_before") + inside).drop("_d", "_b", "_before")
+
+
+def stratified_split(df: DataFrame, category: str, key: str, draw: Column, share: float = 0.1) -> DataFrame:
+    """Adds split: per category the floor of its share to test and to validation, the rest of the
+    overall quota to the categories of largest remainder (ties by name)."""
+    cats = df.groupBy(category).agg(F.count("*").alias("_all"))
     cats = cats.withColumn("_base", F.floor(F.col("_all") * share)).withColumn("_rest", F.col("_all") * share - F.floor(F.col("_all") * share))
     whole = cats.agg((F.round(F.sum("_all") * share) - F.sum("_base")).alias("_extra"))
-    turn = F.row_number().over(Window.orderBy(F.desc("_rest"), category))
+    turn = F.row_number().over(Window.orderBy(F.desc("_rest"), category))  # one row a category
     quota = cats.join(F.broadcast(whole)).select(category, (F.col("_base") + (turn <= F.col("_extra")).cast("long")).alias("_quota"))  # one row
-    ranked = rows.join(per.select(category, "_b", "_before"), [category, "_b"]).join(quota, category)
-    place = F.col("_before") + F.row_number().over(Window.partitionBy(category, "_b").orderBy("_d", key))
-    split = F.when(place <= F.col("_quota"), "test").when(place <= 2 * F.col("_quota"), "validation").otherwise("train")
-    return ranked.withColumn("split", split).select(*df.columns, "split")
+    rows = ranked(df, category, key, draw).join(quota, category)
+    split = F.when(F.col("place") <= F.col("_quota"), "test").when(F.col("place") <= 2 * F.col("_quota"), "validation").otherwise("train")
+    return rows.withColumn("split", split).select(*df.columns, "split")
 
 
 def pending(plan: DataFrame, done: DataFrame, key: str) -> DataFrame:

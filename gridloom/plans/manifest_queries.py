@@ -25,9 +25,8 @@ def stratified_split(spark, sf_dir):
 SELECT source, CASE WHEN k <= greatest(1, round_even(n * 0.1::DOUBLE, 0)) THEN 'holdout' ELSE 'train' END AS split, count(*) AS scenes FROM d GROUP BY ALL""")
 def category_split(spark, sf_dir):
     """Hold out a tenth (at least one) of each category; counts by split."""
-    w = Window.partitionBy("source")
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", uniform(6, "hold", "doc_id").alias("u")).withColumn("k", F.row_number().over(w.orderBy("u", "doc_id"))).withColumn("n", F.count("*").over(w))
-    split = F.when(F.col("k") <= F.greatest(F.lit(1.0), F.bround(F.col("n") * 0.1, 0)), "holdout").otherwise("train")
+    d = M.ranked(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", uniform(6, "hold", "doc_id"))
+    split = F.when(F.col("place") <= F.greatest(F.lit(1.0), F.bround(F.col("size") * 0.1, 0)), "holdout").otherwise("train")
     return d.groupBy("source", split.alias("split")).agg(F.count("*").alias("scenes"))
 
 
