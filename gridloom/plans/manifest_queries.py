@@ -127,7 +127,7 @@ def template_gate(spark, sf_dir):
 @query("first_per_category", "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) SELECT source, doc_id, k FROM r WHERE k <= 3")
 def first_per_category(spark, sf_dir):
     k = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    return table(spark, sf_dir, "documents").select("source", "doc_id", k.alias("k")).where("k <= 3")
+    return table(spark, sf_dir, "documents").select("source", "doc_id", k.alias("k")).where("k <= 3").withColumn("k", F.col("k").cast("long"))
 
 
 @query("quantile_picks", "WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents), t AS (SELECT DISTINCT lang, CAST(floor(i * (n - 1) / 4.0) AS BIGINT) AS k FROM r, generate_series(0, 4) AS g(i)) SELECT lang, doc_id, k FROM r JOIN t USING (lang, k)")

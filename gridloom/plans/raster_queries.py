@@ -103,7 +103,7 @@ def raster_regions(spark, sf_dir):
     return found.drop("runs").withColumn("equivalent_width", F.round("equivalent_width", 6))
 
 
-@query("region_peaks", REGIONS + """ SELECT l.vec_id, label, count(*) AS area_px, round(max(x.v), 6) AS peak, greatest(min(x.x) - 1, 0) AS left_pad, least(max(x.x) + 2, 8) AS right_pad, count(*) < 4 AS small
+@query("region_peaks", REGIONS + """ SELECT l.vec_id, CAST(label AS BIGINT) AS label, count(*) AS area_px, round(max(x.v), 6) AS peak, greatest(min(x.x) - 1, 0) AS left_pad, least(max(x.x) + 2, 8) AS right_pad, count(*) < 4 AS small
  FROM lab l JOIN pix x ON x.vec_id = l.vec_id AND x.y * 8 + x.x = l.p GROUP BY l.vec_id, label""")
 def region_peaks(spark, sf_dir):
     """Candidate windows: peak score and padded bounds of each region, by interval join of its runs with the scores."""
