@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_CHARS, LEAF_BYTES, KEPT_PIECES, MOST_VOCABULARY = 1 << 14, 64, 600_000, 1 << 26
+LEAF_CHARS, LEAF_BYTES, KEPT_PIECES, MOST_VOCABULARY = 1 << 14, 64, 200_000, 1 << 26
 NEVER = 1 << 62
 
 
