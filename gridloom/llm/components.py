@@ -19,10 +19,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     Each step is two aggregations and two joins, staged in the shared folder; the number of steps
     grows with the logarithm of the longest path. Self links and repeated links are harmless; no
     links give an empty table."""
-    edges = links.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node <> other").distinct()
+    edges = links.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("other")).where("node <> other").distinct()
     edges = staged(edges, "edges")
-    seen = None
     for _ in range(most):
+        # settled: no node has two others, and no other is itself a node
+        doubled = edges.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        chained = edges.select(F.col("other").alias("node")).join(edges.select("node"), "node", "left_semi")
+        if not doubled.select("node").union(chained).limit(1).count():
+            break
         both = edges.union(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
         large = both.join(_to_least(both), "node").where("other > node").select(F.col("other").alias("node"), F.col("least").alias("other"))
         down = large.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).where("node <> other").distinct()
@@ -34,10 +38,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
             .distinct(),
             "edges",
         )
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "other").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select("node", F.col("other").alias("component")).union(

@@ -13,11 +13,14 @@ join returns the connected components of all links, exactly, without listing all
    a group is a signature: g tokens of a group need g - 1 misses before all their pairs are gone,
    so a prefix is extended until its signatures outlast any allowed number of misses. Texts near
    the lower end of a size band also sign in the band below.
-4. Groups of a signature are tested as stars: the smallest set L of a group against each member.
-   If a is not linked with L and all that a shares with b lies in L, then a and b can't link
-   either, as b is no smaller than L. So what is left of a group are pairs that share a token
-   outside L; they are dealt anew by such tokens (a prefix of them) and tested as stars in turn.
-   Once the open pairs are few, or after `stars` rounds, all of them are tested.
+4. Pairs of a small group are tested one by one, after bitmaps of the sets have ruled out most.
+   A large group (near copies of one text, say) is tested as a star: a leader L against each
+   member. Let D be a member's symmetric difference with L. For members a and b, |a diff b| = |D_a| + |D_b| - 2 |D_a and D_b|. If a is not
+   linked with L, |D_a| alone is too large for a link, so a and b link only if they share more than
+   half of D_b; and pairs that are both linked with L need no test. So what is left of a group are
+   pairs that share a token in prefixes of their differences, in the order: what only the member has
+   (such tokens need no listing), what else L lacks, what the member lacks. They are dealt anew by such tokens, and so on. When the pairs still open are few
+   for the rows, or after `stars` rounds whatever their number, all of them are tested.
 5. Links join classes to components, classes hand theirs to their documents.
 
 Nulls, empty texts and texts without words have no set and are their own component. Rows with the
@@ -36,12 +39,13 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
 from gridloom.llm.shingles import ODD, TAIL, U, fingerprint, mix, shingle_sets
-from gridloom.session import staged
+from gridloom.session import bucketed, staged
 
-RARE = 50
+RARE = 32
 SINGLES_ONLY = 5  # bands of sets under 2 ** 5 tokens have no pair signatures
 GROUP = 24
 ROWS = 256
+FEW = 256  # comparisons a row that are cheaper than another round
 
 
 def misses(n: int, num: int, den: int) -> int:
@@ -63,7 +67,7 @@ def _list_tokens(width: int, num: int, den: int):
     horizon = U(_listing(num, den)[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
             sizes, ones, twos, below, listed = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 n = len(s)
@@ -82,7 +86,7 @@ def _list_tokens(width: int, num: int, den: int):
     return run
 
 
-def signatures(n: int, below: int, tokens: np.ndarray, df: np.ndarray, num: int, den: int) -> np.ndarray:
+def signatures(n: int, below: int, tokens: np.ndarray, df: np.ndarray, num: int, den: int, rare_df: int = RARE) -> np.ndarray:
     """Signatures of one set, from its listed tokens that others list too and their frequencies."""
     horizon = U(_listing(num, den)[1])
     need = misses(n, num, den) + 1
@@ -97,11 +101,11 @@ def signatures(n: int, below: int, tokens: np.ndarray, df: np.ndarray, num: int,
     out = []
     for b in bands:
         tag, count = mix(np.array([b], U) + TAIL), groups_of(b)
-        rare = tokens[near & (df <= RARE)] if count else tokens[near]
+        rare = tokens[near & (df <= rare_df)] if count else tokens[near]
         rare = rare[: need - alone]
         out.append(mix(rare ^ tag))
         left = need - alone - len(rare)
-        often = tokens[near & (df > RARE)] if count else tokens[:0]
+        often = tokens[near & (df > rare_df)] if count else tokens[:0]
         if left > 0 and len(often):
             group = (mix(often) % U(count)).astype(np.int64)
             for g in np.unique(group):
@@ -116,7 +120,7 @@ def signatures(n: int, below: int, tokens: np.ndarray, df: np.ndarray, num: int,
     return np.unique(np.concatenate(out))
 
 
-def _sign(num: int, den: int):
+def _sign(num: int, den: int, rare_df: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, below = (batch.column(c).to_pylist() for c in ("class", "n", "below"))
@@ -124,7 +128,7 @@ def _sign(num: int, den: int):
             signs = []
             for k, (n, under) in enumerate(zip(sizes, below)):
                 own = shared[k].values
-                signs.append(signatures(n, under, own.field("token").to_numpy().view(U), own.field("df").to_numpy(), num, den).view(np.int64))
+                signs.append(signatures(n, under, own.field("token").to_numpy().view(U), own.field("df").to_numpy(), num, den, rare_df).view(np.int64))
             for a in range(0, len(ids), ROWS):
                 part = signs[a : a + ROWS]
                 yield pa.RecordBatch.from_arrays(
@@ -135,100 +139,192 @@ def _sign(num: int, den: int):
     return run
 
 
-def _sets(width: int):
+def bitmap(hashes: np.ndarray) -> bytes:
+    """One bit for each token's low hash bits, in the power of two of bits from twice the set size on."""
+    size = 1 << max(3, int(len(hashes)).bit_length() + 1)
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes & U(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_link(x: np.ndarray, n_x: int, y: np.ndarray, n_y: int, num: int, den: int) -> bool:
+    """False only if the bitmaps prove more misses than a link allows: each bit of one set that the
+    other lacks is a token that the other lacks. The larger bitmap is folded to the smaller."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    missing_x, missing_y = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
+    common = min(n_x - missing_x, n_y - missing_y)
+    return den * common >= num * (n_x + n_y - common)
+
+
+def _sets(width: int, num: int, den: int):
+    """Whole sets of classes: sorted hashes, bitmap, and the listed tokens below the horizon that others have too."""
+    horizon = U(_listing(num, den)[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
+            rows = []
+            known = zip(part.column("class").to_pylist(), part.column("one").to_pylist(), part.column("two").to_pylist(), part.column("shared"))
+            for s, (name, one, two, shared) in zip(shingle_sets(part.column("text"), width), known):
+                if fingerprint(s) == (one, two):  # one id may stand for several texts
+                    tokens = np.unique(shared.values.field("token").to_numpy().view(U))
+                    rows.append((name, s.tobytes(), bitmap(s), tokens[tokens < horizon].tobytes()))
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["class", "hashes", "bits", "shared"])
+
+    return run
+
+
+def _screen(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), ROWS):
-                part = batch.slice(a, ROWS)
-                sets = list(shingle_sets(part.column("text"), width))
-                prints = [fingerprint(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "n", "one", "two", "hashes"],
-                )
+            rows = zip(batch.column("leader_bits"), batch.column("leader_n").to_pylist(), batch.column("member_bits"), batch.column("n").to_pylist())
+            keep = [may_link(np.frombuffer(x.as_buffer(), np.uint8), n_x, np.frombuffer(y.as_buffer(), np.uint8), n_y, num, den) for x, n_x, y, n_y in rows]
+            yield batch.select(["leader", "member", "n"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _test(num: int, den: int, outside: bool):
-    """Whether leader and member link; outside: also a prefix of the member's tokens that the leader lacks."""
+def common_tokens(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of y's tokens are in x; both sorted, x not empty."""
+    return x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+
+
+def difference(x: np.ndarray, y: np.ndarray, shared: np.ndarray, horizon) -> tuple[int, np.ndarray]:
+    """y's symmetric difference with x: how many of its tokens only y has, and these first, then what
+    else x lacks, then what y lacks. Only y has a token below the horizon that is not in `shared`."""
+    more = y[~common_tokens(x, y)]
+    alone = more < horizon
+    if len(shared):
+        alone &= ~common_tokens(shared, more)
+    return int(alone.sum()), np.concatenate([more[alone], more[~alone], x[~common_tokens(y, x)]])
+
+
+def prefixes(d: int, n: int, n_leader: int, linked: bool, num: int, den: int) -> tuple[int, int]:
+    """How many of d difference tokens of a member (size n) must be listed, and how many of these
+    against other unlinked members. See point 4 above: a pair with an unlinked member shares more than
+    (d - c max(0, n - n_leader)) / 2 of them, c = (den - num) / (den + num); and an unlinked member
+    shares all but (den - num) / num n."""
+    half = d - (d * (den + num) - (den - num) * max(0, n - n_leader)) // (2 * (den + num))
+    if linked:
+        return half, 0
+    most = min(d, (den - num) * n // num + 1)
+    return most, min(half, most)
+
+
+def _test(num: int, den: int, star: bool):
+    """Whether leader and member link; in a star also the listed tokens of their difference, without
+    those that only the member has."""
+    horizon = U(_listing(num, den)[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, rest = [], []
-            for x, y in zip(batch.column("leader_set"), batch.column("member_set")):
+            linked, size, close, rest = [], [], [], []
+            for x, y, s in zip(batch.column("leader_set"), batch.column("member_set"), batch.column("member_shared")):
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = x[place] == y
-                common = int(both.sum())
+                common = int(common_tokens(x, y).sum())
                 linked.append(den * common >= num * (len(x) + len(y) - common))
-                rest.append(y[~both][: misses(len(y), num, den) + 1].view(np.int64) if outside else y[:0].view(np.int64))
+                if not star:
+                    continue
+                alone, d = difference(x, y, np.frombuffer(s.as_buffer(), U), horizon)
+                listed, among = prefixes(len(d), len(y), len(x), linked[-1], num, den)
+                size.append(len(d)), close.append(max(0, among - alone)), rest.append(d[alone:listed].view(np.int64))
+            if not star:
+                size, close, rest = [0] * len(batch), [0] * len(batch), [np.zeros(0, np.int64)] * len(batch)
             at = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
             flat = np.concatenate(rest) if rest else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("member"), batch.column("n"), pa.array(linked, pa.bool_()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["leader", "member", "n", "linked", "rest"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("leader"), batch.column("member"), batch.column("n"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(close, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                ["leader", "member", "n", "linked", "d", "close", "rest"],
+            )
 
     return run
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, num: int, den: int, outside: bool) -> DataFrame:
+def _tested(pairs: DataFrame, sets: DataFrame, num: int, den: int, star: bool) -> DataFrame:
     """pairs(leader, member, n of the member) with the verdict on each."""
-    member = pairs.join(sets.select(F.col("class").alias("member"), F.col("hashes").alias("member_set")), "member")
+    member = pairs.join(sets.select(F.col("class").alias("member"), F.col("hashes").alias("member_set"), (F.col("shared") if star else F.lit(b"")).alias("member_shared")), "member")
     both = member.join(sets.select(F.col("class").alias("leader"), F.col("hashes").alias("leader_set")), "leader")
-    return staged(both.mapInArrow(_test(num, den, outside), "leader long, member long, n long, linked boolean, rest array<long>"), "tested")
+    return staged(both.mapInArrow(_test(num, den, star), "leader long, member long, n long, linked boolean, d long, close int, rest array<long>"), "tested")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("label", F.col("class"))
-    return rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
+def _screened(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that bitmaps of the sets, a sixteenth of their size or less, do not rule out."""
+    member = pairs.join(sets.select(F.col("class").alias("member"), F.col("bits").alias("member_bits")), "member")
+    both = member.join(sets.select(F.col("class").alias("leader"), F.col("bits").alias("leader_bits")), "leader")
+    return both.mapInArrow(_screen(num, den), "leader long, member long, n long")
 
 
 def _open_groups(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """rows(key, class, n) of keys whose classes still have several labels, with label and leader."""
-    rows = _labelled(rows, labels)
+    """The rows of keys whose classes have several labels, with label, leader and group size. The leader
+    has most rows for its size: a text whose copies were edited lacks what is special to each."""
+    if labels is None:
+        rows = rows.withColumn("label", F.col("class"))
+    else:  # most keys have one row: they go before labels are looked up
+        rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", "left_semi")
+        rows = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
+    weight = rows.groupBy("class").agg((F.count("*") / F.max("n")).alias("weight"))
+    rows = staged(rows.join(weight, "class"), "labelled")
     groups = (
         rows.groupBy("key")
-        .agg(F.min(F.struct("n", "class")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
+        .agg(F.max(F.struct("weight", (-F.col("class")).alias("back"))).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
         .where("low <> high")
-        .select("key", F.col("first.class").alias("leader"), "members")
+        .select("key", (-F.col("first.back")).alias("leader"), "members")
+    )
+    return rows.drop("weight").join(groups, "key")
+
+
+def _all_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of one group, smaller set first, that may link: labels differ, sizes and differences with a
+    former leader allow it, and at least one is not linked with that leader."""
+    left = groups.select("key", F.col("class").alias("leader"), F.col("n").alias("leader_n"), F.col("label").alias("leader_label"), F.col("linked").alias("leader_linked"), F.col("close").alias("leader_close"), F.col("d").alias("leader_d"))
+    shared = 2 * F.least("d", "leader_d")
+    return (
+        left.join(groups.select("key", F.col("class").alias("member"), "n", "label", "linked", "close", "d"), "key")
+        .where("label <> leader_label AND (n > leader_n OR n = leader_n AND member > leader)")
+        .where(F.col("leader_n") * den >= F.col("n") * num)
+        .where("linked <> leader_linked OR close AND leader_close")
+        .where((F.col("d") + F.col("leader_d") - shared) * (den + num) <= (den - num) * (F.col("n") + F.col("leader_n")))
+        .select("leader", "leader_n", "member", "n")
+        .distinct()
     )
-    return rows.join(groups, "key")
 
 
-def link_classes(rows: DataFrame, sets: DataFrame, num: int, den: int, stars: int) -> DataFrame | None:
+def link_classes(rows: DataFrame, sets: DataFrame, num: int, den: int, stars: int, rare: int) -> DataFrame | None:
     """Labels (node, component) of the classes that link; rows(key, class, n) are their signatures."""
-    links, labels = None, None
+    labels = None
+    rows = rows.select("key", "class", "n", F.lit(False).alias("linked"), F.lit(True).alias("close"), F.lit(0).cast("long").alias("d"))
     for k in range(stars + 1):
         groups = staged(_open_groups(rows, labels), "groups")
-        size = groups.groupBy("key").agg(F.first("members").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.sum("m")).first()
-        if size[0] is None:
+        large = F.col("members") > rare
+        small, large, pairs = groups.agg(F.count_if(~large), F.count_if(large), F.sum(F.when(large, (F.col("members") - 1) / 2))).first()
+        if not small + large:
             break
-        last = k == stars or size[0] <= 4 * size[1]
-        if last:
-            left = groups.select("key", F.col("class").alias("leader"), F.col("n").alias("n_leader"), F.col("label").alias("label_leader"))
-            pairs = (
-                left.join(groups.select("key", F.col("class").alias("member"), "n", "label"), "key")
-                .where("label <> label_leader AND (n > n_leader OR n = n_leader AND member > leader)")
-                .where(F.col("n_leader") * den >= F.col("n") * num)
-                .select("leader", "member", "n")
-                .distinct()
-            )
-        else:
-            pairs = groups.where("class <> leader").select("leader", F.col("class").alias("member"), "n").distinct()
-        tested = _tested(pairs, sets, num, den, not last)
-        new = tested.where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b"))
-        links = new if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
-        labels = components(links)
-        if last:
+        last = k == stars or k and (pairs or 0) <= FEW * (small + large)
+        pairs = _screened(_all_pairs(groups if last else groups.where(F.col("members") <= rare), num, den), sets, num, den)
+        tested = _tested(pairs, sets, num, den, False)
+        linked = tested.where("linked")
+        crowded = groups.where(F.col("members") > rare)
+        if large and not last:
+            visits = crowded.where("class <> leader").select("leader", F.col("class").alias("member"), "n").distinct()
+            starred = _tested(visits, sets, num, den, True)
+            linked = linked.union(starred.where("linked"))
+        new = linked.select(F.col("leader").alias("a"), F.col("member").alias("b"))
+        labels = components(new if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
+        if last or not large:
             break
-        rows = tested.select(F.col("member").alias("class"), "n", "leader", F.explode("rest").alias("token")).select(F.xxhash64("leader", "token").alias("key"), "class", "n")
+        listed = starred.where(F.size("rest") > 0).select("leader", F.col("member").alias("class"), "n", "linked", "d", F.col("close").alias("among"), F.posexplode("rest").alias("place", "token"))
+        rows = listed.select(F.xxhash64("leader", "token").alias("key"), "class", "n", "linked", (F.col("place") < F.col("among")).alias("close"), "d")
     return labels
 
 
-def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, stars: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, stars: int = 2, rare: int = RARE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (least doc_id reachable by links).
 
-    Links: Jaccard similarity of the sets of `width`-word shingles of at least num / den (from 1/2 on)."""
+    Links: Jaccard similarity of the sets of `width`-word shingles of at least num / den (from 1/2 on).
+    rare: tokens in more documents sign in pairs, and larger groups are tested as stars."""
     if not 2 * num >= den or num > den:
         raise ValueError("the threshold must be between 1/2 and 1")
     same = ["n", "one", "two"]
@@ -238,7 +334,7 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, star
     repeated = bool(with_set.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count())
     once = (lambda df: df.dropDuplicates(["class"])) if repeated else (lambda df: df)
 
-    classes = with_set.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    classes = with_set.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max("below").alias("below"))
     if repeated:  # one id may stand for several sets
         turn = F.row_number().over(Window.partitionBy("class_id").orderBy(*same))
         classes = classes.withColumn("class", F.when(turn == 1, F.col("class_id")).otherwise(F.xxhash64("class_id", *same)))
@@ -251,14 +347,14 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, star
     tokens = own.select("class", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     met = staged(tokens.join(shared, "token"), "shared").groupBy("class").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
-    rows = own.select("class", "n", "below").join(met, "class").mapInArrow(_sign(num, den), "key long, class long, n long")
+    rows = classes.select("class", "n", "below").join(met, "class").mapInArrow(_sign(num, den, rare), "key long, class long, n long")
     rows = staged(rows, "signatures")
     rows = staged(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", "left_semi"), "met")
 
-    involved = named.join(rows.select("class").distinct(), "class", "left_semi")
-    whole = docs.join(involved.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, n long, one long, two long, hashes binary")
-    sets = staged(once(whole.join(involved, [*same, "doc_id"]).select("class", "hashes")), "sets")
-    labels = link_classes(rows, sets, num, den, stars)
+    involved = named.join(rows.select("class").distinct(), "class", "left_semi").join(met, "class")
+    whole = once(docs.join(involved, "doc_id").mapInArrow(_sets(width, num, den), "class long, hashes binary, bits binary, shared binary"))
+    with bucketed(whole, "class") as sets:
+        labels = link_classes(rows, sets, num, den, stars, rare)
     if labels is None:
         found = classes.withColumn("component_id", F.col("class_id"))
     else:
