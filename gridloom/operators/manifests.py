@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.mathx import uniform
+from gridloom.session import staged
+
 
 def canonical(*fields: str) -> Column:
     """JSON text of the fields in alphabetical order, without blanks; nulls are written."""
@@ -61,6 +64,27 @@ def pending(plan: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return plan.join(done.select(key).distinct(), key, "left_anti")
 
 
+def fresh_draws(plan: DataFrame, used: DataFrame, key: str, seed: int, stream: str, space: int = 2**32) -> DataFrame:
+    """plan(key) -> key, tries (draws before the one that holds, from 0), seed: for every row a seed of
+    [0, space) that is not in used(seed) and that no other row has.
+
+    Equal to drawing key after key, each until its seed is neither used nor given to a lesser key: all
+    rows draw at once, a seed stays with its least key, and the others draw again until none has to."""
+    used = staged(used.select(F.col("seed").cast("long").alias("seed")).where(F.col("seed").between(0, space - 1)).distinct(), "used")
+    draw = lambda t: F.floor(uniform(seed, stream, F.concat_ws(":", F.col(key).cast("string"), t.cast("string"))) * space).cast("long")
+    at = staged(plan.select(key).withColumn("tries", F.lit(0).cast("long")).withColumn("seed", draw(F.col("tries"))), "draws")
+    if at.count() + used.count() > space:
+        raise ValueError("more rows than fresh seeds")
+    while True:
+        turn = F.row_number().over(Window.partitionBy("seed").orderBy(key))
+        told = at.withColumn("_turn", turn).join(used.withColumn("_used", F.lit(True)), "seed", "left")
+        told = staged(told.select(key, "tries", "seed", (F.col("_used").isNotNull() | (F.col("_turn") > 1)).alias("open")), "draws")
+        if not told.where("open").limit(1).count():
+            return told.select(key, "tries", "seed")
+        again = told.withColumn("tries", F.col("tries") + F.col("open").cast("long"))
+        at = again.withColumn("seed", F.when(F.col("open"), draw(F.col("tries"))).otherwise(F.col("seed"))).drop("open")
+
+
 def overlapping(a: DataFrame, b: DataFrame, width: int, *keys: str) -> DataFrame:
     """Pairs of intervals a(lo, hi) and b(lo2, hi2), half-open, that overlap, by an equi-join on the
     blocks of `width` that they touch; each pair comes once, from the first block that both touch."""

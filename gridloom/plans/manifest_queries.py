@@ -65,13 +65,21 @@ def manifest_join_mismatch(spark, sf_dir):
 @query("fresh_seeds", f"""WITH used AS (SELECT DISTINCT user_id AS seed FROM events WHERE event_type = 'purchase'), c AS (SELECT o_orderkey, t, CAST(floor({rng(8, 'seed', "o_orderkey || ':' || t")} * 400) AS BIGINT) AS seed FROM orders, generate_series(0, 3) AS g(t)), ok AS (SELECT o_orderkey, t, seed FROM c WHERE seed NOT IN (SELECT seed FROM used))
 SELECT o_orderkey, min(t) AS tries, arg_min(seed, t) AS seed FROM ok GROUP BY o_orderkey""")
 def fresh_seeds(spark, sf_dir):
-    """The first of four draws that is no used seed."""
+    """The first of four draws out of 400 that is no used seed, as its SQL has it: orders whose four draws are
+    all used have no row, and orders can share a seed. `fresh_seed_plan` gives every order a seed of its own."""
     used = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").cast("long").alias("seed")).distinct()
     c = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("t"))
     c = c.withColumn("seed", F.floor(uniform(8, "seed", F.concat_ws(":", F.col("o_orderkey").cast("string"), F.col("t").cast("string"))) * 400))
     return c.join(used, "seed", "left_anti").groupBy("o_orderkey").agg(F.min("t").alias("tries"), F.min_by("seed", "t").alias("seed"))
 
 
+@query("fresh_seed_plan")
+def fresh_seed_plan(spark, sf_dir):
+    """A 32-bit seed for every order that is no used seed and no other order's; drawn until fresh."""
+    used = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("seed"))
+    return M.fresh_draws(table(spark, sf_dir, "orders").select("o_orderkey"), used, "o_orderkey", 8, "seed")
+
+
 @query("plan_resume", """WITH done AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM done), p AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders)
 SELECT (SELECT count(*) FROM p) AS planned, (SELECT count(*) FROM done) AS recorded, (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM done)) AS pending, (SELECT min(p.k) - 1 FROM p WHERE id NOT IN (SELECT id FROM done)) AS contiguous_prefix""")
 def plan_resume(spark, sf_dir):

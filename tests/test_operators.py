@@ -1,5 +1,6 @@
 """Operators against brute force, closed forms and invariants."""
 
+import hashlib
 import math
 import struct
 
@@ -188,3 +189,31 @@ def test_circular_observation(spark):
     assert np.allclose(clean.strength, 1) and np.allclose(np.exp(1j * clean.observed_rad), np.exp(1j * clean.phase_rad))
     noisy = scenarios.circular_observation(p, 0.3, 64, schema).toPandas()
     assert abs(np.angle(np.exp(1j * (noisy.observed_rad - noisy.phase_rad)))).max() < 0.25 and noisy.strength.between(0.8, 1).all()
+
+
+@pytest.mark.parametrize("space,n", [(64, 40), (48, 30), (2**32, 50)])
+def test_fresh_draws(spark, space, n):
+    """Against the sequential loop: key after key, each draws until its seed is new."""
+    used = set(range(0, 36, 2))
+    draw = lambda k, t: int(int(hashlib.md5(f"8:seed:{k}:{t}".encode()).hexdigest()[:12], 16) / 2**48 * space)
+    want, forbidden = {}, set(used)
+    for k in range(n):
+        t = 0
+        while draw(k, t) in forbidden:
+            t += 1
+        want[k] = (t, draw(k, t))
+        forbidden.add(draw(k, t))
+    plan = spark.range(n).withColumnRenamed("id", "k")
+    got = manifests.fresh_draws(plan, spark.createDataFrame([(s,) for s in used], "seed long"), "k", 8, "seed", space).collect()
+    assert {r.k: (r.tries, r.seed) for r in got} == want and len(got) == n
+
+
+def test_fresh_seed_plan_is_whole(spark, sf):
+    from gridloom.plans import catalog
+
+    got = catalog.QUERIES["fresh_seed_plan"](spark, sf)
+    used = {r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'purchase'").select("user_id").collect()}
+    rows = got.collect()
+    orders = [r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()]
+    assert sorted(r.o_orderkey for r in rows) == sorted(orders)
+    assert len({r.seed for r in rows}) == len(rows) and not used & {r.seed for r in rows}
