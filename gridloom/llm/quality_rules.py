@@ -12,7 +12,9 @@ A concentration step is one aggregation: documents are counted and summed by gro
 (a geometric grid), and the moments of the nearest bins are running sums over a few hundred bins, so
 nothing is sorted or gathered by group, however large. The subset ends with the bin in which h is
 reached. Each variance is kept above a floor, so statistics that hardly vary in a group do not turn
-rounding into outliers.
+rounding into outliers. For the verdict, repeated lines and repeated words also get the error of their
+count in the text itself, 1/(4 n) for the square root of a share of n (words count in threes, as windows
+do): one repeated line of three is no outlier, nearly half of a hundred is.
 
 Groups of fewer than `LEAST` base-passing documents are pooled by language, small pools together; if
 that is still too few there is no estimate and base-passing documents are kept. Nulls in language or
@@ -30,7 +32,9 @@ from gridloom.session import staged
 SPACE = r"[\x20\x09-\x0D]+"
 P = 5
 #: Smallest standard deviations of the five transformed statistics.
-FLOORS = (0.05, 0.04, 0.2, 0.2, 0.03)
+FLOORS = (0.05, 0.04, 0.08, 0.09, 0.03)
+#: Of a statistic, the column it counts and the variance of its root share times that count.
+COUNTED = {2: ("n_lines", 0.25), 3: ("n_words", 0.75)}
 LEAST = 100
 H = 0.75
 #: H over the share of the chi-square law of P + 2 degrees below the H quantile of that of P.
@@ -96,16 +100,29 @@ def _sums() -> list[Column]:
     return [F.count("*").alias("n"), *(F.sum(f"z{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}{j}") for i, j in _pairs())]
 
 
-def _factored(moments: DataFrame, *keys: str) -> DataFrame:
-    """n and sums -> centre m_i, Cholesky factor c_ij of the floored covariance, logarithm of its determinant."""
-    means = moments.select(*keys, "n", *(F.col(f"s{i}") for i in range(P)), *(F.col(f"q{i}{j}") for i, j in _pairs()), *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)))
-    out = means.select(*keys, *(f"m{i}" for i in range(P)), *((CONSISTENCY * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _pairs()))
+def _cholesky(rows: DataFrame) -> DataFrame:
+    """The covariance in c_ij replaced by its Cholesky factor."""
     for i in range(P):
         for j in range(i + 1):
             left = F.col(f"c{i}{j}")
             for k in range(j):
                 left = left - F.col(f"c{i}{k}") * F.col(f"c{j}{k}")
-            out = out.withColumn(f"c{i}{j}", F.sqrt(F.greatest(left, F.lit(FLOORS[i] ** 2 / 100))) if i == j else left / F.col(f"c{j}{j}"))
+            rows = rows.withColumn(f"c{i}{j}", F.sqrt(F.greatest(left, F.lit(FLOORS[i] ** 2 / 100))) if i == j else left / F.col(f"c{j}{j}"))
+    return rows
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows with a group's factor c -> the factor of its covariance with the counting errors of each row's text."""
+    error = lambda i: COUNTED[i][1] / F.greatest(F.col(COUNTED[i][0]), F.lit(1))
+    whole = {(i, j): sum((F.col(f"c{i}{k}") * F.col(f"c{j}{k}") for k in range(1, j + 1)), F.col(f"c{i}0") * F.col(f"c{j}0")) for i, j in _pairs()}
+    return _cholesky(rows.withColumns({f"c{i}{j}": v + error(i) if i == j and i in COUNTED else v for (i, j), v in whole.items()}))
+
+
+def _factored(moments: DataFrame, *keys: str) -> DataFrame:
+    """n and sums -> centre m_i, Cholesky factor c_ij of the floored covariance, logarithm of its determinant."""
+    means = moments.select(*keys, "n", *(F.col(f"s{i}") for i in range(P)), *(F.col(f"q{i}{j}") for i, j in _pairs()), *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)))
+    out = means.select(*keys, *(f"m{i}" for i in range(P)), *((CONSISTENCY * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _pairs()))
+    out = _cholesky(out)
     return out.withColumn("log_det", sum((2 * F.log(f"c{i}{i}") for i in range(1, P)), 2 * F.log("c00")))
 
 
@@ -146,7 +163,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     stats = staged(transformed(base_statistics(docs)), "statistics")
     stats = grouped(stats)
     found = estimates(stats.where("NOT base_failed"))
-    judged = _distance(stats.join(found.drop("start", "log_det"), "grp", "left"))
+    judged = _distance(_counted(stats.join(found.drop("start", "log_det"), "grp", "left")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return judged.select(F.col("doc_id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))
 

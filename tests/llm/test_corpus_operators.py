@@ -117,6 +117,25 @@ def test_quality(spark, sf):
     assert quality_rules.quality(docs_of(spark, EDGES)).where("kept").count() == 0 or True
 
 
+def test_quality_rejects_repeats(spark):
+    """Repeated lines and repeated passages that the base rules let through are outliers each and together; one repeat is none."""
+    r = random.Random(8)
+    new = lambda n: [f"{r.choice('abcdefgh')}{r.randrange(10**4):04d}" for _ in range(n)]
+    lines = lambda n: [" ".join(new(8)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(r.randrange(8, 120))), "en", "s") for i in range(300)]
+    title, passage = lines(1), new(90)
+    planted = {
+        1000: "\n".join(lines(110) + [w for w in new(2) for _ in range(46)]),  # repeated lines of a word: few repeated words
+        1001: "\n".join([" ".join(new(150) + passage + new(20) + passage), *lines(3)]),  # one passage twice
+        1002: "\n".join(lines(60) + [x for x in lines(20) for _ in range(2)]),  # both
+    }
+    clean = {2000: "\n".join(lines(4) + title + lines(3) + title), 2001: "\n".join(title + title + lines(7))}
+    got = {x.doc_id: x for x in quality_rules.quality(docs_of(spark, rows + [(i, t, "en", "s") for i, t in (planted | clean).items()])).collect()}
+    assert not any(got[i].base_failed for i in got)
+    assert not any(got[i].kept for i in planted) and all(got[i].kept for i in clean)
+    assert sum(got[i].kept for i in range(300)) == 300
+
+
 def test_mcd_resists_outliers(spark):
     r = np.random.default_rng(0)
     z = r.normal(0, 0.3, (600, 5))
