@@ -2,7 +2,7 @@
 
 The base rules find e-mail and IP addresses, card and phone numbers; their spans always stay.
 Generators with high recall then propose further, overlapping candidates: obfuscated addresses,
-groups of digits inside longer runs, phone numbers without a plus sign. Each candidate is described
+groups of digits inside longer runs, phone numbers without a plus sign, up to 19 digits a number. Each candidate is described
 by its format (digits, separators, checksum, grouping) and its context (words before it, neighbouring
 characters), scored by boosted trees, and selected above the threshold of its kind; of overlapping
 ones the higher score wins, and none may overlap a base span.
@@ -37,7 +37,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-HIDDEN_AT = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]+)+")
+HIDDEN_AT = re.compile(r"(?ai) ?(?:\(at\)|\[at\]|\{at\}| at(?= ))")
+HIDDEN_DOMAIN = re.compile(r"(?ai) {0,2}[a-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[a-z0-9-]+)+")
+HIDDEN_IP = re.compile(r"(?ai)(?<![0-9])[0-9]{1,3}(?: ?(?:[(\[{](?:\.|dot)[)\]}]| dot |\.) ?[0-9]{1,3}){3}(?![0-9])")
+TLD = re.compile(r"(?ai)(?:com|org|net|edu|gov|io|info|de|fr|uk|eu|es|it|nl|ch|at)$")
 DIGITS = re.compile(r"\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}")
 CUES = {"email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b"), "ip": re.compile(r"(?i)\b(?:ip|address|host|server|login)\b"), "card": re.compile(r"(?i)\b(?:card|visa|master ?card|amex|credit|payment|pan)\b"), "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|cell|fax|ring)\b")}
 AGAINST = re.compile(r"(?i)\b(?:order|invoice|version|isbn|serial|id|ref|page|model|total)\b")
@@ -78,21 +81,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """Overlapping spans that may be personal data, with high recall."""
-    if "dot" in text or "at)" in text or "at]" in text or "at}" in text:
-        for m in HIDDEN_AT.finditer(text):
-            yield "email", m.start(), m.end()
+    for m in HIDDEN_AT.finditer(text):  # the runs before the marks are apart, so this is linear
+        start = m.start()
+        while start > 0 and text[start - 1] in LOCAL:
+            start -= 1
+        domain = HIDDEN_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if domain:
+            yield "email", start, domain.end()
+    for m in HIDDEN_IP.finditer(text):
+        if all(int(p) <= 255 for p in re.findall("[0-9]+", m[0])):
+            yield "ip", m.start(), m.end()
     for m in DIGITS.finditer(text):
         groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer("[0-9]+", m[0])]
         for i in range(len(groups)):
             n = 0
-            for j in range(i, min(i + 6, len(groups))):
+            for j in range(i, len(groups)):
                 n += groups[j][1] - groups[j][0]
                 if n > 19:
                     break
                 start = groups[i][0] - (text[groups[i][0] - 1 : groups[i][0]] == "(")
                 if n >= 15:
                     yield "card", groups[i][0], groups[j][1]
-                elif n >= 7 and j > i:
+                if 7 <= n <= 15:
                     yield "phone", start, groups[j][1]
 
 
@@ -104,7 +114,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     return [
         *(float(kind == k) for k in KINDS), len(span), len(digits), len(groups), max(groups), min(groups), groups[-1], groups[0],
         float(len(digits) >= 12 and luhn(digits)), len(set(digits)), float("(" in span), float(span.startswith("00")), len(set(separators)),
-        separators.count("."), separators.count("/"), separators.count("-"), separators.count(" "), float(bool(re.search(r"[(\[{]at", span))), float(bool(re.search(r"[(\[{ ]dot", span))),
+        separators.count("."), separators.count("/"), separators.count("-"), separators.count(" "), float(bool(re.search(r"(?i)[(\[{]at", span))), float(bool(re.search(r"(?i)[(\[{ ]dot", span))),
+        float(bool(re.search(r"[(\[{](?:\.|(?i:dot))[)\]}]", span))), float(kind == "email" and bool(TLD.search(span))), float(bool(re.search(r"[0-9][\x20().\-/]{1,2}$", before))), float(bool(re.match(r"[\x20().\-/]{1,2}[0-9]", text[end : end + 3]))),
         *(float(bool(c.search(before))) for c in CUES.values()), float(bool(AGAINST.search(before))), float(before[-1:].isalnum()), float(after.isalnum()), float(before[-1:] in "-./"), float(after in ("-", "/") if after else False), float(digits[:1] in "3456"),
     ]
 
@@ -126,11 +137,25 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> Iterator[tuple[str, str, int,
     number = lambda k: "".join(str(r.randrange(10)) for _ in range(k))
     prose = lambda: " ".join(word() for _ in range(r.randrange(2, 6)))
     for _ in range(n):
-        kind, true = r.choice(("email", "card", "phone")), r.random() < 0.5
+        kind, true = r.choice(KINDS), r.random() < 0.5
         sep = r.choice("-. ")
         if kind == "email":
             cue = r.choice(("email", "mail me", "contact", "write to", word()))
-            span = f"{word()}{r.choice(('(at)', ' [at] ', ' (at) ', '[at]', ' at ' if r.random() < 0.4 else ' {at} '))}{word()}{r.choice((' dot ', '(dot)', ' [dot] '))}{r.choice(('com', 'org', 'net', 'de'))}" if true else f"{word()} at {word()} dot {word()}" if r.random() < 0.5 else f"{word()} at {word()}.{word().capitalize()}"
+            ends = r.choice(("com", "org", "net", "de"))
+            if true:
+                plain = r.random() < 0.2  # only the @ is hidden
+                span = f"{word()}{r.choice(('(at)', ' [at] ', ' (at) ', '[at]', ' at ' if r.random() < 0.4 or plain else ' {at} '))}{word()}{'.' if plain else r.choice((' dot ', '(dot)', ' [dot] '))}{ends}"
+                span = span.upper() if r.random() < 0.2 else span
+            else:
+                span = r.choice((f"{word()} at {word()} dot {word()}", f"{word()} at {word()}.{word().capitalize()}", f"{word()} at {word()}. {word().capitalize()}", f"{word()} at {word()}. {word()}"))
+        elif kind == "ip":
+            cue = r.choice(("ip", "host", "server", "login from", word()))
+            part = lambda: str(r.randrange(256))
+            if true:
+                span = r.choice(("[.]", "(.)", "[dot]", "(dot)", " dot ", " [.] ", "{.}")).join(part() for _ in range(4))
+            else:
+                cue = r.choice(("version", "page", "total", word(), word()))
+                span = r.choice((". ", " . ", " .")).join(str(r.randrange(30)) for _ in range(4))
         elif kind == "card":
             cue = r.choice(("card", "visa", "credit card no", word(), word()))
             long = r.random() < 0.25
@@ -140,11 +165,23 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> Iterator[tuple[str, str, int,
                 cue = r.choice(("order", "serial", "ref", "invoice", word(), word(), word(), "card"))
         else:
             cue = r.choice(("phone", "call", "tel", "fax", "mobile")) if r.random() < 0.7 else word()
+            pairs = sep.join(number(2) for _ in range(4))
             if true:
-                span = r.choice((f"({number(3)}) {number(3)}-{number(4)}", f"({number(3)}){sep}{number(3)}{sep}{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"00{number(2)} {number(3)} {number(7)}"))
+                span = r.choice((f"({number(3)}) {number(3)}-{number(4)}", f"({number(3)}){sep}{number(3)}{sep}{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"00{number(2)} {number(3)} {number(7)}", f"00 {number(2)}{sep}{number(1)}{sep}{pairs}", f"00{number(2)}{sep}{number(1)}{sep}{pairs}", f"0{number(1)}{sep}{pairs}", number(r.randrange(7, 16))))
+                if span.isdigit():  # nothing but the words before it tells what it is
+                    cue = r.choice(("phone", "call", "tel", "fax", "mobile"))
             else:
                 cue = r.choice(("order", "version", "isbn", "page", "total", word(), word(), word()))
-                span = r.choice((f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)}/{number(4)}", f"{number(3)} {number(3)} {number(3)}", f"{number(4)} {number(4)}", f"{number(1)}.{number(3)}.{number(3)}.{number(3)}", f"{number(3)}-{number(1)}-{number(4)}-{number(4)}"))
+                span = r.choice((f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)}/{number(4)}", f"{number(3)} {number(3)} {number(3)}", f"{number(4)} {number(4)}", f"{number(1)}.{number(3)}.{number(3)}.{number(3)}", f"{number(3)}-{number(1)}-{number(4)}-{number(4)}", number(r.randrange(7, 16))))
+                if r.random() < 0.1:  # a card of 15 digits
+                    cue, span = r.choice(("card", "visa", "credit card no", word())), _card(r, 15, True)
+                elif r.random() < 0.2:  # a part of a number
+                    cue = r.choice(("phone", "call", "tel", "fax", "mobile"))
+                    whole = r.choice((f"00 {number(2)}{sep}{number(1)}{sep}{pairs}", f"({number(3)}) {number(3)}-{number(4)}{sep}{number(2)}", f"0{number(1)}{sep}{pairs}{sep}{number(2)}"))
+                    at = max(whole.rfind(c) for c in "-. ")
+                    before = f"{prose()} {cue}{r.choice((': ', ' ', ' is ', ' '))}"
+                    yield f"{before}{whole}{r.choice((' ', '. ', ', '))}{prose()}", kind, len(before), len(before) + at, False
+                    continue
         before = f"{prose()} {cue}{r.choice((': ', ' ', ' is ', ' '))}"
         text = f"{before}{span}{r.choice((' ', '. ', ', '))}{prose()}"
         yield text, kind, len(before), len(before) + len(span), true

@@ -326,6 +326,32 @@ def test_personal_data(spark):
     assert pii.personal_data(docs_of(spark, [])).count() == 0
 
 
+HIDDEN = [  # (kind, before, span, after), written by hand
+    ("phone", "call ", "00 33 1 23 45 67 89", " now"), ("phone", "tel ", "0 1 2 3 4 5 6 7 8 9", ""), ("phone", "call ", "5551234567", " today"), ("phone", "ring ", "555123456789012", "."), ("phone", "fax ", "5551234", ""),
+    ("phone", "phone ", "01 23 45 67 89", " or so"), ("card", "card ", "41 11 11 11 11 11 11 11", " ok"), ("card", "card ", "378282246310005", ""),
+    ("email", "mail ", "bob at example.com", " soon"), ("email", "mail ", "BOB (AT) EXAMPLE (DOT) COM", ""), ("email", "write to ", "bob[At]mail.example[Dot]org", "!"), ("email", "contact ", "ann.lee {at} example dot co dot uk", " "),
+    ("ip", "host ", "10[.]0[.]0[.]1", " is up"), ("ip", "server ", "192 dot 168 dot 0 dot 12", ""), ("ip", "login from ", "172(dot)16(dot)254(dot)3", ","), ("ip", "ip ", "8 [.] 8 [.] 4 [.] 4", ""),
+]
+
+
+def test_candidates_recall():
+    for kind, before, span, after in HIDDEN:
+        assert (kind, len(before), len(before) + len(span)) in set(pii.candidates(before + span + after)), span
+
+
+def test_hidden_data_is_found():
+    """End to end: nearly all of the hidden data by hand, whole; ordinary numbers and words not at all."""
+    model, thresholds = pii.trained()
+    assert set(thresholds) == set(pii.KINDS) and max(thresholds.values()) < 1
+    spans = [s for _, s in pii.all_spans([b + s + a for _, b, s, a in HIDDEN], model, thresholds)]
+    found = [(k, len(b), len(b) + len(s)) in got for (k, b, s, _), got in zip(HIDDEN, spans)]
+    whole = dict(zip((s for _, _, s, _ in HIDDEN), found))
+    assert whole["00 33 1 23 45 67 89"] and whole["5551234567"] and whole["BOB (AT) EXAMPLE (DOT) COM"] and whole["10[.]0[.]0[.]1"], (whole, thresholds)
+    assert sum(found) >= 0.75 * len(found), (whole, thresholds)
+    clean = ["we met at home. Then we left", "order 5551234567 was sent", "look at page. Next", "version 1 . 2 . 3 . 4 came", "on 2024-01-02 the total 12345678"]
+    assert not any(s for _, s in pii.all_spans(clean, model, thresholds))
+
+
 def test_boosted_trees_held_out():
     model, thresholds = pii.trained()
     rows = list(pii.examples(1500, seed=99))
