@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, partitions: int = 8, app: str = "gridloom") -> SparkSession:
@@ -27,9 +26,11 @@ def local_session(cpus: int = 8, partitions: int = 8, app: str = "gridloom") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (one machine, tests)."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and all executors are on this machine."""
     place = spark.conf.get("spark.checkpoint.dir", "")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -40,17 +41,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-@contextmanager
-def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
-    """df as a table of the warehouse bucketed by key, dropped at the end: joins on key then move the
-    other side only. For tables that several jobs join, each time with few rows."""
-    spark = df.sparkSession
-    name, n = f"gridloom_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(name)
-    try:
-        yield spark.table(name)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+def unstaged(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "staged_at", None)
+        if path:
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df staged with a number of each row: rows keep it whatever their ids are, also when a task runs again."""
+    return staged(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
