@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import staged
+from gridloom.session import staged, unstaged
 
 
 def _to_least(links: DataFrame) -> DataFrame:
@@ -31,15 +31,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         large = both.join(_to_least(both), "node").where("other > node").select(F.col("other").alias("node"), F.col("least").alias("other"))
         down = large.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).where("node <> other").distinct()
         small = down.join(_to_least(down), "node")
-        edges = staged(
+        edges, before = staged(
             small.select(F.col("other").alias("node"), F.col("least").alias("other"))
             .union(small.select("node", F.col("least").alias("other")))
             .where("node <> other")
             .distinct(),
             "edges",
-        )
+        ), edges
+        unstaged(before)
     else:
         raise RuntimeError("components did not settle")
-    return edges.select("node", F.col("other").alias("component")).union(
+    found = edges.select("node", F.col("other").alias("component")).union(
         edges.select(F.col("other").alias("node"), F.col("other").alias("component")).distinct()
     )
+    found = staged(found, "components")
+    unstaged(edges)
+    return found

@@ -4,24 +4,24 @@ Two texts link when the Jaccard similarity of their sets of word n-grams reaches
 join returns the connected components of all links, exactly, without listing all pairs of a group.
 
 1. Equal sets collapse to one class (the least id stands for it).
-2. Every class lists the tokens (n-gram hashes) below a fixed hash horizon, and further ones by
-   hash where these are fewer than its prefix needs. The document frequency of listed tokens below
-   the horizon is exact. Tokens order as: one document only; rare; frequent, by group; beyond the
-   horizon.
-3. Prefixes in that order. A rare token is a signature by itself. Frequent tokens are dealt into
-   groups by their hash, the number of groups following the size band, and every pair of tokens of
-   a group is a signature: g tokens of a group need g - 1 misses before all their pairs are gone,
-   so a prefix is extended until its signatures outlast any allowed number of misses. Texts near
-   the lower end of a size band also sign in the band below.
-4. Pairs of a small group are tested one by one, after bitmaps of the sets have ruled out most.
-   A large group (near copies of one text, say) is tested as a star: a leader L against each
-   member. Let D be a member's symmetric difference with L. For members a and b, |a diff b| = |D_a| + |D_b| - 2 |D_a and D_b|. If a is not
-   linked with L, |D_a| alone is too large for a link, so a and b link only if they share more than
-   half of D_b; and pairs that are both linked with L need no test. So what is left of a group are
-   pairs that share a token in prefixes of their differences, in the order: what only the member has
-   (such tokens need no listing), what else L lacks, what the member lacks. They are dealt anew by such tokens, and so on. When the pairs still open are few
-   for the rows, or after `stars` rounds whatever their number, all of them are tested.
-5. Links join classes to components, classes hand theirs to their documents.
+2. Every class lists the tokens (n-gram hashes) below a fixed hash horizon. A token that no other class
+   lists is a miss with whoever it might link: classes with more of them than a link allows are done. The
+   others list all their tokens, of which those with too many that no other of them has are done as well.
+3. The rest knows the frequency of each shared token. They order as: rare, by frequency; frequent, by
+   group. In that order prefixes are extended until their signatures outlast any allowed number of
+   misses: a rare token is a signature by itself; frequent tokens are dealt into groups by their hash, the
+   number of groups following the size band, and every pair of tokens of a group is one (g tokens of a
+   group need g - 1 misses before all their pairs are gone). Texts near the lower end of a size band also
+   sign in the band below.
+4. Each signature's group is tested as a star: a leader, the same for most groups of a family, against
+   each member. What a star leaves open of a small group (at most `rare` classes) is tested pair by pair.
+5. A large group (near copies of one text, say) goes on with differences. Let D be a member's symmetric
+   difference with the leader L. For members a and b, |a diff b| = |D_a| + |D_b| - 2 |D_a and D_b|. If a is
+   not linked with L, |D_a| alone is too large for a link, so a and b link only if they share more than
+   half of D_b; and pairs that are both linked with L need no test. So what is left of a group are pairs that
+   share a token in prefixes of their differences, in the order: what no other class has (such tokens need no
+   listing), what else L lacks, what the member lacks. They are dealt anew by such tokens, and so on, with
+   four times as many leaders a group each round. Leaders are done with their groups, so the rounds end.
 
 Nulls, empty texts and texts without words have no set and are their own component. Rows with the
 same id count as one document each; they share a component if their sets link. Extra columns are
@@ -34,18 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
 from gridloom.llm.shingles import ODD, TAIL, U, fingerprint, mix, shingle_sets
-from gridloom.session import bucketed, staged
+from gridloom.session import numbered, staged, unstaged
 
 RARE = 32
 SINGLES_ONLY = 5  # bands of sets under 2 ** 5 tokens have no pair signatures
 GROUP = 24
 ROWS = 256
-FEW = 256  # comparisons a row that are cheaper than another round
+SALTED = 1024  # members of a group that read one copy of the leader's set
+MARGIN = 0.05  # of all tokens, listed beyond the share that a link may miss
 
 
 def misses(n: int, num: int, den: int) -> int:
@@ -53,59 +54,75 @@ def misses(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den)
 
 
+def _need(n: Column, num: int, den: int) -> Column:
+    """misses() + 1 of a column."""
+    return n + 1 - ((n * num + (den - 1)) / den).cast("long")
+
+
 def groups_of(band: int) -> int:
     """Number of groups of frequent tokens in a size band; 0: single tokens only."""
     return max(1, (1 << band) // GROUP) if band >= SINGLES_ONLY else 0
 
 
-def _listing(num: int, den: int) -> tuple[float, int]:
-    share = min(1.0, (1 - num / den) + 0.05)
-    return share, min(int(share * 2.0**64), 2**64 - 1)
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)))
+
+
+def _numbers(cell) -> np.ndarray:
+    return cell.values.to_numpy().view(U)
 
 
 def _list_tokens(width: int, num: int, den: int):
-    horizon = U(_listing(num, den)[1])
+    """Size and fingerprint of each text's set, and its tokens below the horizon."""
+    horizon = U(min(int(min(1.0, 1 - num / den + MARGIN) * 2.0**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
-            sizes, ones, twos, below, listed = [], [], [], [], []
+            sizes, ones, twos, listed = [], [], [], []
             for s in shingle_sets(batch.column("text"), width):
-                n = len(s)
                 one, two = fingerprint(s)
-                under = int(np.searchsorted(s, horizon))
-                need = misses(n, num, den) + 1 + groups_of(n.bit_length() - 1) if n else 0
-                sizes.append(n), ones.append(one), twos.append(two), below.append(under)
-                listed.append(s[: max(under, min(n, need))].view(np.int64))
-            at = np.concatenate([[0], np.cumsum([len(x) for x in listed])]).astype(np.int32)
-            flat = np.concatenate(listed) if listed else np.zeros(0, np.int64)
+                sizes.append(len(s)), ones.append(one), twos.append(two)
+                listed.append(s[: int(np.searchsorted(s, horizon))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(below, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                ["doc_id", "n", "one", "two", "below", "tokens"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), _lists(listed)],
+                ["doc_id", "n", "one", "two", "tokens"],
             )
 
     return run
 
 
-def signatures(n: int, below: int, tokens: np.ndarray, df: np.ndarray, num: int, den: int, rare_df: int = RARE) -> np.ndarray:
-    """Signatures of one set, from its listed tokens that others list too and their frequencies."""
-    horizon = U(_listing(num, den)[1])
-    need = misses(n, num, den) + 1
-    order = np.argsort(tokens)
-    tokens, df = tokens[order], df[order]
-    near = tokens < horizon
-    alone = below - int(near.sum())
-    if alone >= need:
+def _sets(width: int):
+    """The whole sets of classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
+            names, sets = [], []
+            known = zip(part.column("class").to_pylist(), part.column("one").to_pylist(), part.column("two").to_pylist())
+            for s, (name, one, two) in zip(shingle_sets(part.column("text"), width), known):
+                if fingerprint(s) == (one, two):  # one id may stand for several texts
+                    names.append(name), sets.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["class", "n", "tokens"])
+
+    return run
+
+
+def signatures(n: int, tokens: np.ndarray, df: np.ndarray, num: int, den: int, rare_df: int = RARE) -> np.ndarray:
+    """Signatures of one set of n tokens, from those that others have too and their frequencies."""
+    need = misses(n, num, den) + 1 - (n - len(tokens))
+    if need <= 0:
         return tokens[:0]
+    order = np.lexsort((tokens, df))
+    tokens, df = tokens[order], df[order]
     band = n.bit_length() - 1
     bands = [band] + [band - 1] * (-(-n * num // den) < 1 << band)
     out = []
     for b in bands:
         tag, count = mix(np.array([b], U) + TAIL), groups_of(b)
-        rare = tokens[near & (df <= rare_df)] if count else tokens[near]
-        rare = rare[: need - alone]
+        rare = tokens[df <= rare_df][:need] if count else tokens[:need]
         out.append(mix(rare ^ tag))
-        left = need - alone - len(rare)
-        often = tokens[near & (df > rare_df)] if count else tokens[:0]
+        left = need - len(rare)
+        often = np.sort(tokens[df > rare_df]) if count else tokens[:0]
         if left > 0 and len(often):
             group = (mix(often) % U(count)).astype(np.int64)
             for g in np.unique(group):
@@ -115,74 +132,22 @@ def signatures(n: int, below: int, tokens: np.ndarray, df: np.ndarray, num: int,
                 left -= len(own) - 1
                 if left <= 0:
                     break
-        if left > 0:
-            out.append(mix(tokens[~near] ^ tag))
+        if left > 0:  # pairs run out before the misses do
+            out.append(mix(often ^ tag))
     return np.unique(np.concatenate(out))
 
 
 def _sign(num: int, den: int, rare_df: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, below = (batch.column(c).to_pylist() for c in ("class", "n", "below"))
-            shared = batch.column("shared")
-            signs = []
-            for k, (n, under) in enumerate(zip(sizes, below)):
-                own = shared[k].values
-                signs.append(signatures(n, under, own.field("token").to_numpy().view(U), own.field("df").to_numpy(), num, den, rare_df).view(np.int64))
-            for a in range(0, len(ids), ROWS):
-                part = signs[a : a + ROWS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(part) if part else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(ids[a : a + ROWS], np.int64), [len(x) for x in part])), pa.array(np.repeat(np.array(sizes[a : a + ROWS], np.int64), [len(x) for x in part]))],
-                    ["key", "class", "n"],
-                )
-
-    return run
-
-
-def bitmap(hashes: np.ndarray) -> bytes:
-    """One bit for each token's low hash bits, in the power of two of bits from twice the set size on."""
-    size = 1 << max(3, int(len(hashes)).bit_length() + 1)
-    bits = np.zeros(size, np.uint8)
-    bits[(hashes & U(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
-
-
-def may_link(x: np.ndarray, n_x: int, y: np.ndarray, n_y: int, num: int, den: int) -> bool:
-    """False only if the bitmaps prove more misses than a link allows: each bit of one set that the
-    other lacks is a token that the other lacks. The larger bitmap is folded to the smaller."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    missing_x, missing_y = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
-    common = min(n_x - missing_x, n_y - missing_y)
-    return den * common >= num * (n_x + n_y - common)
-
-
-def _sets(width: int, num: int, den: int):
-    """Whole sets of classes: sorted hashes, bitmap, and the listed tokens below the horizon that others have too."""
-    horizon = U(_listing(num, den)[1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
-            rows = []
-            known = zip(part.column("class").to_pylist(), part.column("one").to_pylist(), part.column("two").to_pylist(), part.column("shared"))
-            for s, (name, one, two, shared) in zip(shingle_sets(part.column("text"), width), known):
-                if fingerprint(s) == (one, two):  # one id may stand for several texts
-                    tokens = np.unique(shared.values.field("token").to_numpy().view(U))
-                    rows.append((name, s.tobytes(), bitmap(s), tokens[tokens < horizon].tobytes()))
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["class", "hashes", "bits", "shared"])
-
-    return run
-
-
-def _screen(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(batch.column("leader_bits"), batch.column("leader_n").to_pylist(), batch.column("member_bits"), batch.column("n").to_pylist())
-            keep = [may_link(np.frombuffer(x.as_buffer(), np.uint8), n_x, np.frombuffer(y.as_buffer(), np.uint8), n_y, num, den) for x, n_x, y, n_y in rows]
-            yield batch.select(["leader", "member", "n"]).filter(pa.array(keep, pa.bool_()))
+        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
+            sizes, signs = batch.column("n").to_pylist(), []
+            for n, own in zip(sizes, batch.column("shared")):
+                signs.append(signatures(n, own.values.field("token").to_numpy().view(U), own.values.field("df").to_numpy(), num, den, rare_df))
+            counts = [len(x) for x in signs]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(signs).view(np.int64) if signs else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column("class").to_numpy(), counts)), pa.array(np.repeat(batch.column("n").to_numpy(), counts))],
+                ["key", "class", "n"],
+            )
 
     return run
 
@@ -192,19 +157,17 @@ def common_tokens(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
 
 
-def difference(x: np.ndarray, y: np.ndarray, shared: np.ndarray, horizon) -> tuple[int, np.ndarray]:
+def difference(x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> tuple[int, np.ndarray]:
     """y's symmetric difference with x: how many of its tokens only y has, and these first, then what
-    else x lacks, then what y lacks. Only y has a token below the horizon that is not in `shared`."""
+    else x lacks, then what y lacks."""
     more = y[~common_tokens(x, y)]
-    alone = more < horizon
-    if len(shared):
-        alone &= ~common_tokens(shared, more)
+    alone = ~common_tokens(shared, more) if len(shared) else np.ones(len(more), bool)
     return int(alone.sum()), np.concatenate([more[alone], more[~alone], x[~common_tokens(y, x)]])
 
 
 def prefixes(d: int, n: int, n_leader: int, linked: bool, num: int, den: int) -> tuple[int, int]:
     """How many of d difference tokens of a member (size n) must be listed, and how many of these
-    against other unlinked members. See point 4 above: a pair with an unlinked member shares more than
+    against other unlinked members. See point 5 above: a pair with an unlinked member shares more than
     (d - c max(0, n - n_leader)) / 2 of them, c = (den - num) / (den + num); and an unlinked member
     shares all but (den - num) / num n."""
     half = d - (d * (den + num) - (den - num) * max(0, n - n_leader)) // (2 * (den + num))
@@ -214,70 +177,82 @@ def prefixes(d: int, n: int, n_leader: int, linked: bool, num: int, den: int) ->
     return most, min(half, most)
 
 
-def _test(num: int, den: int, star: bool):
-    """Whether leader and member link; in a star also the listed tokens of their difference, without
-    those that only the member has."""
-    horizon = U(_listing(num, den)[1])
+def _test(num: int, den: int):
+    """Whether leader and member link; if they are asked for, the listed tokens of their difference,
+    without those that only the member has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked, size, close, rest = [], [], [], []
-            for x, y, s in zip(batch.column("leader_set"), batch.column("member_set"), batch.column("member_shared")):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+            for x, y, s, ask in zip(batch.column("leader_set"), batch.column("member_set"), batch.column("member_shared"), batch.column("ask").to_pylist()):
+                x, y = _numbers(x), _numbers(y)
                 common = int(common_tokens(x, y).sum())
                 linked.append(den * common >= num * (len(x) + len(y) - common))
-                if not star:
-                    continue
-                alone, d = difference(x, y, np.frombuffer(s.as_buffer(), U), horizon)
-                listed, among = prefixes(len(d), len(y), len(x), linked[-1], num, den)
-                size.append(len(d)), close.append(max(0, among - alone)), rest.append(d[alone:listed].view(np.int64))
-            if not star:
-                size, close, rest = [0] * len(batch), [0] * len(batch), [np.zeros(0, np.int64)] * len(batch)
-            at = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
-            flat = np.concatenate(rest) if rest else np.zeros(0, np.int64)
+                if ask:
+                    alone, d = difference(x, y, np.sort(_numbers(s)))
+                    listed, among = prefixes(len(d), len(y), len(x), linked[-1], num, den)
+                    size.append(len(d)), close.append(max(0, among - alone)), rest.append(d[alone:listed])
+                else:
+                    size.append(0), close.append(0), rest.append(np.zeros(0, U))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("leader"), batch.column("member"), batch.column("n"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(close, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                [batch.column("leader"), batch.column("member"), batch.column("n"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(close, pa.int32()), _lists(rest)],
                 ["leader", "member", "n", "linked", "d", "close", "rest"],
             )
 
     return run
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, num: int, den: int, star: bool) -> DataFrame:
-    """pairs(leader, member, n of the member) with the verdict on each."""
-    member = pairs.join(sets.select(F.col("class").alias("member"), F.col("hashes").alias("member_set"), (F.col("shared") if star else F.lit(b"")).alias("member_shared")), "member")
-    both = member.join(sets.select(F.col("class").alias("leader"), F.col("hashes").alias("leader_set")), "leader")
-    return staged(both.mapInArrow(_test(num, den, star), "leader long, member long, n long, linked boolean, d long, close int, rest array<long>"), "tested")
-
-
-def _screened(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that bitmaps of the sets, a sixteenth of their size or less, do not rule out."""
-    member = pairs.join(sets.select(F.col("class").alias("member"), F.col("bits").alias("member_bits")), "member")
-    both = member.join(sets.select(F.col("class").alias("leader"), F.col("bits").alias("leader_bits")), "leader")
-    return both.mapInArrow(_screen(num, den), "leader long, member long, n long")
+def _tested(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs(leader, member, n of the member, salt, ask) with the verdict on each. The leader's set is
+    copied once a salt, so no task reads all members of a large group."""
+    pairs = staged(pairs, "pairs")
+    member = pairs.join(sets.select(F.col("class").alias("member"), F.col("tokens").alias("member_set"), F.col("shared").alias("member_shared")), "member")
+    member = member.withColumn("member_shared", F.when(F.col("ask"), F.col("member_shared")).otherwise(F.array().cast("array<long>")))
+    leader = pairs.select("leader", "salt").distinct().join(sets.select(F.col("class").alias("leader"), F.col("tokens").alias("leader_set")), "leader")
+    both = member.join(leader, ["leader", "salt"])
+    out = staged(both.mapInArrow(_test(num, den), "leader long, member long, n long, linked boolean, d long, close int, rest array<long>"), "tested")
+    unstaged(pairs)
+    return out
 
 
 def _open_groups(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows of keys whose classes have several labels, with label, leader and group size. The leader
-    has most rows for its size: a text whose copies were edited lacks what is special to each."""
+    """The rows of keys in which pairs are open, with label, weight, group size and leader. The leader has
+    most rows for its size: a text whose copies were edited lacks what is special to each."""
+    about = rows.groupBy("class").agg((F.count("*") / F.max("n")).alias("weight"))
     if labels is None:
-        rows = rows.withColumn("label", F.col("class"))
-    else:  # most keys have one row: they go before labels are looked up
-        rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", "left_semi")
-        rows = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
-    weight = rows.groupBy("class").agg((F.count("*") / F.max("n")).alias("weight"))
-    rows = staged(rows.join(weight, "class"), "labelled")
+        about = about.withColumn("label", F.col("class"))
+    else:
+        about = about.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "weight", F.coalesce("component", "class").alias("label"))
+    rows = staged(rows.join(about, "class"), "labelled")
     groups = (
         rows.groupBy("key")
-        .agg(F.max(F.struct("weight", (-F.col("class")).alias("back"))).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
-        .where("low <> high")
+        .agg(F.max(F.struct("weight", (-F.col("class")).alias("back"))).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.count_if("linked").alias("with_leader"), F.count_if("close").alias("near"))
+        .where("low <> high AND (with_leader > 0 AND with_leader < members OR near > 1)")
         .select("key", (-F.col("first.back")).alias("leader"), "members")
     )
-    return rows.drop("weight").join(groups, "key")
+    out = staged(rows.join(groups, "key"), "groups")
+    unstaged(rows)
+    return out
+
+
+def _stars(groups: DataFrame, rare: int, leaders: int) -> DataFrame:
+    """Visits of members to leaders. A group has one leader for each of `leaders` parts, dealt by hash."""
+    salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / SALTED)).cast("int")
+    ask = F.col("members") > rare
+    rows = groups.withColumn("salt", salt)
+    if leaders == 1:
+        visits = rows.select("leader", F.col("class").alias("member"), "n", "salt", ask.alias("ask"))
+    else:
+        part = F.pmod(F.xxhash64("class", F.lit(leaders)), F.lit(leaders))
+        heads = groups.groupBy("key", part.alias("part")).agg(F.max(F.struct("weight", (-F.col("class")).alias("back"))).alias("head")).select("key", (-F.col("head.back")).alias("head"))
+        own = heads.select("key", F.col("head").alias("class"), F.lit(True).alias("heads"))
+        rows = rows.join(own, ["key", "class"], "left").join(heads, "key")
+        visits = rows.select(F.col("head").alias("leader"), F.col("class").alias("member"), "n", "salt", (ask & (F.col("head") == F.col("leader")) & F.col("heads").isNull()).alias("ask"))
+    return visits.where("leader <> member").groupBy("leader", "member").agg(F.max("n").alias("n"), F.max("salt").alias("salt"), F.max("ask").alias("ask"))
 
 
-def _all_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one group, smaller set first, that may link: labels differ, sizes and differences with a
+def _pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of small groups, smaller set first, that may link: labels differ, sizes and differences with a
     former leader allow it, and at least one is not linked with that leader."""
     left = groups.select("key", F.col("class").alias("leader"), F.col("n").alias("leader_n"), F.col("label").alias("leader_label"), F.col("linked").alias("leader_linked"), F.col("close").alias("leader_close"), F.col("d").alias("leader_d"))
     shared = 2 * F.least("d", "leader_d")
@@ -287,74 +262,97 @@ def _all_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
         .where(F.col("leader_n") * den >= F.col("n") * num)
         .where("linked <> leader_linked OR close AND leader_close")
         .where((F.col("d") + F.col("leader_d") - shared) * (den + num) <= (den - num) * (F.col("n") + F.col("leader_n")))
-        .select("leader", "leader_n", "member", "n")
+        .select("leader", "member", "n", F.lit(0).alias("salt"), F.lit(False).alias("ask"))
         .distinct()
     )
 
 
-def link_classes(rows: DataFrame, sets: DataFrame, num: int, den: int, stars: int, rare: int) -> DataFrame | None:
+def link_classes(rows: DataFrame, sets: DataFrame, num: int, den: int, rare: int) -> DataFrame | None:
     """Labels (node, component) of the classes that link; rows(key, class, n) are their signatures."""
-    labels = None
+    labels, leaders, old = None, 1, []
     rows = rows.select("key", "class", "n", F.lit(False).alias("linked"), F.lit(True).alias("close"), F.lit(0).cast("long").alias("d"))
-    for k in range(stars + 1):
-        groups = staged(_open_groups(rows, labels), "groups")
-        large = F.col("members") > rare
-        small, large, pairs = groups.agg(F.count_if(~large), F.count_if(large), F.sum(F.when(large, (F.col("members") - 1) / 2))).first()
+    while True:
+        groups = _open_groups(rows, labels)
+        small, large = groups.agg(F.count_if(F.col("members") <= rare), F.count_if(F.col("members") > rare)).first()
+        unstaged(*old)
         if not small + large:
-            break
-        last = k == stars or k and (pairs or 0) <= FEW * (small + large)
-        pairs = _screened(_all_pairs(groups if last else groups.where(F.col("members") <= rare), num, den), sets, num, den)
-        tested = _tested(pairs, sets, num, den, False)
-        linked = tested.where("linked")
-        crowded = groups.where(F.col("members") > rare)
-        if large and not last:
-            visits = crowded.where("class <> leader").select("leader", F.col("class").alias("member"), "n").distinct()
-            starred = _tested(visits, sets, num, den, True)
-            linked = linked.union(starred.where("linked"))
-        new = linked.select(F.col("leader").alias("a"), F.col("member").alias("b"))
-        labels = components(new if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
-        if last or not large:
-            break
-        listed = starred.where(F.size("rest") > 0).select("leader", F.col("member").alias("class"), "n", "linked", "d", F.col("close").alias("among"), F.posexplode("rest").alias("place", "token"))
+            unstaged(groups)
+            return labels
+        first, crowded, few = labels is None, groups.where(F.col("members") > rare), groups.where(F.col("members") <= rare)
+        tested = []
+        if first or large:
+            tested.append(_tested(_stars(groups if first else crowded, rare, leaders), sets, num, den))
+        if small and not first:
+            tested.append(_tested(_pairs(few, num, den), sets, num, den))
+        links = [t.where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")) for t in tested]
+        if labels is not None:
+            links.append(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        new = links[0]
+        for more in links[1:]:
+            new = new.union(more)
+        before, labels = labels, components(new)
+        old = [*tested, groups, before]
+        if not large and not first:
+            unstaged(*old)
+            return labels
+        listed = tested[0].where(F.size("rest") > 0).select("leader", F.col("member").alias("class"), "n", "linked", "d", F.col("close").alias("among"), F.posexplode("rest").alias("place", "token"))
         rows = listed.select(F.xxhash64("leader", "token").alias("key"), "class", "n", "linked", (F.col("place") < F.col("among")).alias("close"), "d")
-    return labels
+        if first:
+            rows = rows.unionByName(few.select("key", "class", "n", "linked", "close", "d"))
+        leaders *= 4
+
+
+def _shared(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of sets(class, n, tokens): the classes that may link with another, with the tokens that two of them
+    have and their frequencies as `shared`, staged."""
+    alone = _alone(sets)
+    kept = staged(sets.join(alone, "class", "left").where(F.coalesce("alone", F.lit(0)) < _need(F.col("n"), num, den)).drop("alone"), "kept")
+    tokens = kept.select("class", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    met = tokens.join(often, "token").groupBy("class").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
+    met = met.join(kept, "class").where(F.col("n") - F.size("shared") < _need(F.col("n"), num, den))
+    out = staged(met, "shared")
+    unstaged(kept)
+    return out
+
+
+def _alone(classes: DataFrame) -> DataFrame:
+    """Of (class, tokens): how many of its tokens no other class has; classes without such tokens are not listed."""
+    tokens = classes.select("class", F.explode("tokens").alias("token"))
+    return tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("class").alias("class")).where("c = 1").groupBy("class").agg(F.count("*").alias("alone"))
 
 
-def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, stars: int = 2, rare: int = RARE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, rare: int = RARE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (least doc_id reachable by links).
 
     Links: Jaccard similarity of the sets of `width`-word shingles of at least num / den (from 1/2 on).
-    rare: tokens in more documents sign in pairs, and larger groups are tested as stars."""
+    rare: tokens in more documents sign in pairs, and what is open of larger groups is dealt by differences."""
     if not 2 * num >= den or num > den:
         raise ValueError("the threshold must be between 1/2 and 1")
     same = ["n", "one", "two"]
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    listed = staged(docs.mapInArrow(_list_tokens(width, num, den), "doc_id long, n long, one long, two long, below long, tokens array<long>"), "listed")
+    listed = staged(docs.mapInArrow(_list_tokens(width, num, den), "doc_id long, n long, one long, two long, tokens array<long>"), "listed")
     with_set = listed.where("n > 0 AND doc_id IS NOT NULL")
     repeated = bool(with_set.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count())
-    once = (lambda df: df.dropDuplicates(["class"])) if repeated else (lambda df: df)
 
-    classes = with_set.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max("below").alias("below"))
+    classes = with_set.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.any_value("tokens").alias("tokens"))
     if repeated:  # one id may stand for several sets
         turn = F.row_number().over(Window.partitionBy("class_id").orderBy(*same))
         classes = classes.withColumn("class", F.when(turn == 1, F.col("class_id")).otherwise(F.xxhash64("class_id", *same)))
     else:
         classes = classes.withColumn("class", F.col("class_id"))
     classes = staged(classes, "classes")
-    named = classes.select(*same, F.col("class_id").alias("doc_id"), "class")
-    own = once(with_set.join(named, [*same, "doc_id"]))
-
-    tokens = own.select("class", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    met = staged(tokens.join(shared, "token"), "shared").groupBy("class").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
-    rows = classes.select("class", "n", "below").join(met, "class").mapInArrow(_sign(num, den, rare), "key long, class long, n long")
-    rows = staged(rows, "signatures")
-    rows = staged(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", "left_semi"), "met")
-
-    involved = named.join(rows.select("class").distinct(), "class", "left_semi").join(met, "class")
-    whole = once(docs.join(involved, "doc_id").mapInArrow(_sets(width, num, den), "class long, hashes binary, bits binary, shared binary"))
-    with bucketed(whole, "class") as sets:
-        labels = link_classes(rows, sets, num, den, stars, rare)
+    few = classes.drop("tokens").join(_alone(classes), "class", "left").where(F.coalesce("alone", F.lit(0)) < _need(F.col("n"), num, den))
+    few = few.select("class", F.col("class_id").alias("doc_id"), "one", "two")
+
+    whole = docs.join(few, "doc_id").mapInArrow(_sets(width), "class long, n long, tokens array<long>")
+    whole = staged(whole.dropDuplicates(["class"]) if repeated else whole, "sets")
+    known = _shared(whole, num, den)
+    unstaged(whole)
+    rows = staged(known.select("class", "n", "shared").mapInArrow(_sign(num, den, rare), "key long, class long, n long"), "signatures")
+    met = rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", "left_semi")
+    labels = link_classes(met, known.select("class", "tokens", F.transform("shared", lambda s: s["token"]).alias("shared")), num, den, rare)
+    unstaged(rows, known)
     if labels is None:
         found = classes.withColumn("component_id", F.col("class_id"))
     else:
@@ -362,12 +360,18 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, star
         least = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("class_id").alias("least"))
         found = joined.join(least, "component", "left").withColumn("component_id", F.coalesce("least", "class_id"))
     found = staged(found.where("copies > 1 OR component_id <> class_id").select(*same, "component_id"), "found")
+    unstaged(classes, labels)
     return listed.select("doc_id", *same).join(found, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def unlinked(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs without those whose component has a smaller id: one document of each group
-    stays. Repeated rows of that id all stay."""
-    found = ngram_join(docs, **how)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def unlinked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs of which one stays for each component: that of least id (null last), of least
+    row number among equal ids. Rows are told apart by number, so null and repeated ids are judged by text."""
+    rows = numbered(docs, "_row")
+    found = ngram_join(rows, text=text, doc_id="_row", **how).select(F.col("doc_id").alias("_row"), "component_id")
+    found = staged(found, "components")
+    shared = found.groupBy("component_id").agg(F.count("*").alias("c")).where("c > 1")
+    members = found.join(shared, "component_id").join(rows.select("_row", F.col(doc_id).alias("id")), "_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("first"))
+    gone = members.join(first, "component_id").where("_row <> first._row").select("_row")
+    return rows.join(gone, "_row", "left_anti").drop("_row")

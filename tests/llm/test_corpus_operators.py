@@ -66,15 +66,42 @@ def linked(rows, width, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("seed,width,num,den,how", [(1, 3, 9, 10, {}), (2, 5, 4, 5, {}), (3, 3, 9, 10, {"rare": 2, "stars": 2}), (4, 2, 1, 2, {"rare": 3, "stars": 3}), (5, 3, 1, 1, {"rare": 2})])
-def test_ngram_join(spark, monkeypatch, seed, width, num, den, how):
-    if how:
-        monkeypatch.setattr(ngram_join, "FEW", 0)  # every round as a star
+@pytest.mark.parametrize("seed,width,num,den,how", [(1, 3, 9, 10, {}), (2, 5, 4, 5, {}), (3, 3, 9, 10, {"rare": 2}), (4, 2, 1, 2, {"rare": 3}), (5, 3, 1, 1, {"rare": 2})])
+def test_ngram_join(spark, seed, width, num, den, how):
     rows = some_docs(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs_of(spark, rows), width, num, den, **how).collect()}
     assert got == linked(rows, width, num, den)
 
 
+def family(seed, n):
+    """Copies of one text edited at places and with words that many of them share, so that links run past the text itself."""
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(90)]
+    edits = [(r.randrange(len(base)), f"v{k}") for k in range(14)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for place, word in r.sample(edits, r.randrange(0, 9)):
+            words[place] = word
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("width,num,den,rare", [(5, 4, 5, 4), (3, 9, 10, 3), (3, 9, 10, 32)])
+def test_ngram_join_of_a_large_family(spark, width, num, den, rare):
+    rows = family(width, 260)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs_of(spark, rows), width, num, den, rare=rare).collect()}
+    assert got == linked(rows, width, num, den)
+
+
+def test_unlinked_judges_rows(spark):
+    """Null and repeated ids: one row of each group stays, none that links with nothing goes."""
+    a, b, c = ("".join(f" {x}{k}" for k in range(40)) for x in "abc")
+    rows = [(None, a), (None, a), (None, b), (3, b), (3, b), (3, c), (2, b + " end"), (4, None), (4, None), (None, None)]
+    left = ngram_join.unlinked(docs_of(spark, rows), width=5, num=4, den=5)
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted((str(i), str(t)) for i, t in [(None, a), (2, b + " end"), (3, c), (4, None), (4, None), (None, None)])
+
+
 def test_ngram_join_edges(spark):
     got = ngram_join.ngram_join(docs_of(spark, EDGES), 3, 9, 10).collect()
     by = collections.defaultdict(set)
