@@ -6,7 +6,7 @@ join returns the connected components of all links, exactly, without listing all
 1. Equal sets collapse to one class (the least id stands for it).
 2. Every class lists the tokens (n-gram hashes) below a fixed hash horizon. A token that no other class
    lists is a miss with whoever it might link: classes with more of them than a link allows are done. The
-   others list all their tokens, of which those with too many that no other of them has are done as well.
+   others list half of their tokens and then all, and those with too many that no other of them has are done too.
 3. The rest knows the frequency of each shared token. They order as: rare, by frequency; frequent, by
    group. In that order prefixes are extended until their signatures outlast any allowed number of
    misses: a rare token is a signature by itself; frequent tokens are dealt into groups by their hash, the
@@ -305,7 +305,7 @@ def link_classes(rows: DataFrame, sets: DataFrame, num: int, den: int, rare: int
 def _shared(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of sets(class, n, tokens): the classes that may link with another, with the tokens that two of them
     have and their frequencies as `shared`, staged."""
-    alone = _alone(sets)
+    alone = _alone(sets, F.filter("tokens", lambda t: t >= 0) if 1 - num / den + MARGIN < 0.5 else F.col("tokens"))
     kept = staged(sets.join(alone, "class", "left").where(F.coalesce("alone", F.lit(0)) < _need(F.col("n"), num, den)).drop("alone"), "kept")
     tokens = kept.select("class", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -316,9 +316,9 @@ def _shared(sets: DataFrame, num: int, den: int) -> DataFrame:
     return out
 
 
-def _alone(classes: DataFrame) -> DataFrame:
+def _alone(classes: DataFrame, tokens: Column) -> DataFrame:
     """Of (class, tokens): how many of its tokens no other class has; classes without such tokens are not listed."""
-    tokens = classes.select("class", F.explode("tokens").alias("token"))
+    tokens = classes.select("class", F.explode(tokens).alias("token"))
     return tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("class").alias("class")).where("c = 1").groupBy("class").agg(F.count("*").alias("alone"))
 
 
@@ -341,14 +341,18 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, rare
         classes = classes.withColumn("class", F.when(turn == 1, F.col("class_id")).otherwise(F.xxhash64("class_id", *same)))
     else:
         classes = classes.withColumn("class", F.col("class_id"))
-    classes = staged(classes, "classes")
-    few = classes.drop("tokens").join(_alone(classes), "class", "left").where(F.coalesce("alone", F.lit(0)) < _need(F.col("n"), num, den))
-    few = few.select("class", F.col("class_id").alias("doc_id"), "one", "two")
-
-    whole = docs.join(few, "doc_id").mapInArrow(_sets(width), "class long, n long, tokens array<long>")
-    whole = staged(whole.dropDuplicates(["class"]) if repeated else whole, "sets")
+    whole = staged(classes, "listed-classes")
+    few = whole.drop("tokens").join(_alone(whole, F.col("tokens")), "class", "left").where(F.coalesce("alone", F.lit(0)) < _need(F.col("n"), num, den))
+    few = staged(few.select("class", F.col("class_id").alias("doc_id"), "one", "two"), "few")
+    # from here on the lists are not read, only whose they are
+    classes, every = staged(whole.drop("tokens"), "classes"), listed
+    listed = staged(every.select("doc_id", *same), "sizes")
+    unstaged(whole, every)
+
+    found = docs.join(few, "doc_id").mapInArrow(_sets(width), "class long, n long, tokens array<long>")
+    whole = staged(found.dropDuplicates(["class"]) if repeated else found, "sets")
     known = _shared(whole, num, den)
-    unstaged(whole)
+    unstaged(whole, few)
     rows = staged(known.select("class", "n", "shared").mapInArrow(_sign(num, den, rare), "key long, class long, n long"), "signatures")
     met = rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", "left_semi")
     labels = link_classes(met, known.select("class", "tokens", F.transform("shared", lambda s: s["token"]).alias("shared")), num, den, rare)
