@@ -360,9 +360,9 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, rare
     if labels is None:
         found = classes.withColumn("component_id", F.col("class_id"))
     else:
-        joined = classes.join(labels.withColumnRenamed("node", "class"), "class", "left")
-        least = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("class_id").alias("least"))
-        found = joined.join(least, "component", "left").withColumn("component_id", F.coalesce("least", "class_id"))
+        linked = labels.withColumnRenamed("node", "class").join(classes.select("class", "class_id"), "class")
+        least = linked.groupBy("component").agg(F.min("class_id").alias("least"))
+        found = classes.join(linked.join(least, "component").select("class", "least"), "class", "left").withColumn("component_id", F.coalesce("least", "class_id"))
     found = staged(found.where("copies > 1 OR component_id <> class_id").select(*same, "component_id"), "found")
     unstaged(classes, labels)
     return listed.select("doc_id", *same).join(found, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
