@@ -4,9 +4,14 @@ Base rules reject short and repetitive texts. For the others five statistics are
 of the mean word length; square roots of the shares of symbols, repeated lines, words in repeated
 windows, and capitals with exclamation marks). Per language and source a minimum-covariance-
 determinant estimate of their centre and scatter is made from the base-passing documents: from two
-starts (medians with quartile ranges; plain means and covariances) concentration steps keep the
-h = 75 % nearest documents and estimate anew; the start that ends with the smaller determinant wins.
-A text is rejected if its squared Mahalanobis distance is over `CUTOFF`.
+starts concentration steps keep the h = 75 % nearest documents and estimate anew; the start that ends
+with the smaller determinant wins. A text is rejected if its squared Mahalanobis distance is over `CUTOFF`.
+
+Languages come first (starts: medians with quartile ranges; plain means and covariances), then each
+language and source (starts: the language's estimate; own means). No group is too small for an estimate,
+and no count switches from one to another: to the moments of a group's nearest documents those of `PRIOR`
+documents like its language's are added (for a language: like all languages' together). A source with ten
+documents is judged nearly as its language, one with a thousand by itself.
 
 A concentration step is one aggregation: documents are counted and summed by group and distance bin
 (a geometric grid), and the moments of the nearest bins are running sums over a few hundred bins, so
@@ -16,10 +21,8 @@ rounding into outliers. For the verdict, repeated lines and repeated words also
 count in the text itself, 1/(4 n) for the square root of a share of n (words count in threes, as windows
 do): one repeated line of three is no outlier, nearly half of a hundred is.
 
-Groups of fewer than `LEAST` base-passing documents are pooled by language, small pools together; if
-that is still too few there is no estimate and base-passing documents are kept. Nulls in language or
-source form groups of their own; a null or empty text has no words and fails. Repeated rows count
-each; extra columns are ignored; an empty table gives an empty table.
+Nulls in language or source form groups of their own; a null or empty text has no words and fails.
+Repeated rows count each; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.session import staged
+from gridloom.session import staged, unstaged
 
 SPACE = r"[\x20\x09-\x0D]+"
 P = 5
@@ -35,18 +38,18 @@ P = 5
 FLOORS = (0.05, 0.04, 0.08, 0.09, 0.03)
 #: Of a statistic, the column it counts and the variance of its root share times that count.
 COUNTED = {2: ("n_lines", 0.25), 3: ("n_words", 0.75)}
-LEAST = 100
+PRIOR = 50
 H = 0.75
 #: H over the share of the chi-square law of P + 2 degrees below the H quantile of that of P.
 CONSISTENCY = 1.41
 #: Quantile 1 - 1e-6 of the chi-square law of P degrees.
 CUTOFF = 35.9
-STEPS = 4
+STEPS = 3
 BINS_PER_E = 40
 
 
-def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs(doc_id, lang, source, text) -> the same without text, with the base counts and base_failed."""
+def base_statistics(docs: DataFrame, *kept: str, text: str = "text") -> DataFrame:
+    """The columns `kept`, lang and source of docs, with the base counts and base_failed."""
     t = F.coalesce(F.col(text), F.lit(""))
     parts = docs.withColumn("words", F.filter(F.split(t, SPACE), lambda w: w != ""))
     parts = parts.withColumn("n_words", F.size("words").cast("long")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
@@ -54,7 +57,7 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     windows = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_words").cast("int") - 3, F.lit(0))), window)).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     parts = parts.select(
-        "doc_id", "lang", "source", "n_words",
+        *kept, "lang", "source", "n_words",
         F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(t, r"[^\p{Lu}!]+", "")).cast("long").alias("n_loud"),
@@ -81,17 +84,6 @@ def _known(name: str) -> Column:
     return F.when(F.col(name).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(name)))
 
 
-def grouped(stats: DataFrame) -> DataFrame:
-    """stats with `cell` (language, source) and `grp`, the group whose estimate judges the row."""
-    stats = stats.withColumn("l", _known("lang")).withColumn("s", _known("source"))
-    cells = stats.where("NOT base_failed").groupBy("l", "s").agg(F.count("*").alias("n"))
-    small = F.col("n") < LEAST
-    by_lang = cells.where(small).groupBy("l").agg(F.sum("n").alias("pool"))
-    cells = cells.join(by_lang, "l", "left")
-    group = F.when(~small, F.concat_ws("\n", F.lit("cell"), "l", "s")).when(F.col("pool") >= LEAST, F.concat_ws("\n", F.lit("lang"), "l")).otherwise(F.lit("rest"))
-    return stats.join(staged(cells.select("l", "s", group.alias("grp")), "cells"), ["l", "s"], "left").drop("l", "s")
-
-
 def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(P) for j in range(i + 1)]
 
@@ -119,11 +111,14 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _factored(moments: DataFrame, *keys: str) -> DataFrame:
-    """n and sums -> centre m_i, Cholesky factor c_ij of the floored covariance, logarithm of its determinant."""
-    means = moments.select(*keys, "n", *(F.col(f"s{i}") for i in range(P)), *(F.col(f"q{i}{j}") for i, j in _pairs()), *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)))
-    out = means.select(*keys, *(f"m{i}" for i in range(P)), *((CONSISTENCY * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _pairs()))
-    out = _cholesky(out)
-    return out.withColumn("log_det", sum((2 * F.log(f"c{i}{i}") for i in range(1, P)), 2 * F.log("c00")))
+    """n and sums -> centre m_i, covariance v_ij, Cholesky factor c_ij of the scaled and floored covariance, logarithm of its determinant."""
+    out = moments.select(*keys, *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), *((F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")).alias(f"v{i}{j}") for i, j in _pairs()))
+    out = out.select("*", *((CONSISTENCY * F.col(f"v{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _pairs()))
+    return _with_determinant(_cholesky(out))
+
+
+def _with_determinant(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("log_det", sum((2 * F.log(f"c{i}{i}") for i in range(1, P)), 2 * F.log("c00")))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -136,39 +131,79 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0")))
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """rows(grp, z0..) of base-passing documents -> one centre and factor for each group of LEAST or more."""
-    rows = rows.select("grp", *(f"z{i}" for i in range(P)))
-    plain = _factored(rows.groupBy("grp").agg(*_sums()).where(F.col("n") >= LEAST), "grp")
-    quartiles = rows.groupBy("grp").agg(F.count("*").alias("n"), *(F.percentile_approx(f"z{i}", [0.25, 0.5, 0.75], 2000).alias(f"p{i}") for i in range(P))).where(F.col("n") >= LEAST)
-    spread = [((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349 + FLOORS[i]).alias(f"c{i}{i}") for i in range(P)]
-    none = [F.lit(0.0).alias(f"c{i}{j}") for i, j in _pairs() if i != j]
-    medians = quartiles.select("grp", *(F.col(f"p{i}")[1].alias(f"m{i}") for i in range(P)), *spread, *none, F.lit(0.0).alias("log_det"))
-    now = staged(plain.withColumn("start", F.lit("means")).unionByName(medians.withColumn("start", F.lit("medians"))), "mcd")
+NAMES = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in _pairs())]
+
+
+def _shrunk(moments: DataFrame, prior: DataFrame, on: str) -> DataFrame:
+    """Moments with those of PRIOR documents added that are like the prior's (n and sums, by `on`)."""
+    one = prior.select(F.col(on), *((PRIOR * F.col(c) / F.col("n")).alias(f"prior_{c}") for c in NAMES))
+    return moments.join(one, on).select(*(c for c in moments.columns if c not in NAMES), *((F.col(c) + F.col(f"prior_{c}")).alias(c) for c in NAMES))
+
+
+def _pooled(moments: DataFrame, *keys: str) -> DataFrame:
+    return moments.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in NAMES))
+
+
+def _concentrated(rows: DataFrame, starts: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """The better start of each group after STEPS steps. prior: moments by group; None: those of all groups together."""
+    now = staged(starts, "mcd")
+    order = Window.partitionBy("grp", "start").orderBy("bin")
     for _ in range(STEPS):
-        near = _distance(rows.join(now, "grp")).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * BINS_PER_E))
+        near = _distance(rows.join(now.drop("log_det"), "grp")).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * BINS_PER_E))
         bins = near.groupBy("grp", "start", "bin").agg(*_sums())
-        order = Window.partitionBy("grp", "start").orderBy("bin")
-        names = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in _pairs())]
-        upto = bins.select("grp", "start", "bin", F.sum("n").over(Window.partitionBy("grp", "start")).alias("whole"), *(F.sum(c).over(order).alias(c) for c in names))
-        enough = upto.where(F.col("n") >= F.ceil(H * F.col("whole"))).withColumn("turn", F.row_number().over(order)).where("turn = 1")
-        now = staged(_factored(enough, "grp", "start"), "mcd")
+        upto = bins.select("grp", "start", "bin", F.sum("n").over(Window.partitionBy("grp", "start")).alias("whole"), *(F.sum(c).over(order).alias(c) for c in NAMES))
+        enough = upto.where(F.col("n") >= F.ceil(H * F.col("whole"))).withColumn("turn", F.row_number().over(order)).where("turn = 1").select("grp", "start", *NAMES)
+        if prior is None:
+            enough = staged(enough, "nearest")
+            new = _shrunk(enough, _pooled(enough, "start"), "start")
+        else:
+            new = _shrunk(enough, prior, "grp")
+        before, now = now, staged(_factored(new, "grp", "start"), "mcd")
+        unstaged(before, enough)
     best = now.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("best")).select("grp", F.col("best.start").alias("start"))
-    return now.join(best, ["grp", "start"])
+    out = staged(now.join(best, ["grp", "start"]).drop("log_det", "start"), "estimates")
+    unstaged(now)
+    return out
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """rows(l, cell, z0..) of base-passing documents -> centre m and factor c of each cell (column cell)."""
+    zs = [f"z{i}" for i in range(P)]
+    plain = staged(rows.groupBy("cell", "l").agg(*_sums()), "moments")
+    by_lang = _pooled(plain.withColumnRenamed("l", "grp"), "grp").withColumn("start", F.lit("means"))
+    means = _factored(_shrunk(by_lang, _pooled(by_lang, "start"), "start"), "grp", "start")
+    quartiles = rows.groupBy(F.col("l").alias("grp")).agg(F.count("*").alias("n"), *(F.percentile_approx(z, [0.25, 0.5, 0.75], 2000).alias(f"p{i}") for i, z in enumerate(zs)))
+    spread = [((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349 + FLOORS[i]).alias(f"c{i}{i}") for i in range(P)]
+    none = [F.lit(0.0).alias(f"{x}{i}{j}") for x in "cv" for i, j in _pairs() if x == "v" or i != j]
+    medians = quartiles.select("grp", F.lit("medians").alias("start"), *(F.col(f"p{i}")[1].alias(f"m{i}") for i in range(P)), *spread, *none)
+    lang = _concentrated(rows.select(F.col("l").alias("grp"), *zs), means.unionByName(_with_determinant(medians)), None)
+
+    cells = plain.select("cell", "l").withColumnRenamed("l", "grp").join(lang, "grp").drop("grp").withColumnRenamed("cell", "grp")
+    cells = staged(cells, "languages")
+    prior = cells.select("grp", F.lit(1.0).alias("n"), *(F.col(f"m{i}").alias(f"s{i}") for i in range(P)), *((F.col(f"v{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}")).alias(f"q{i}{j}") for i, j in _pairs()))
+    own = _factored(_shrunk(plain.drop("l").withColumnRenamed("cell", "grp"), prior, "grp"), "grp").withColumn("start", F.lit("means"))
+    starts = own.unionByName(_with_determinant(cells).withColumn("start", F.lit("language")))
+    out = _concentrated(rows.select(F.col("cell").alias("grp"), *zs), starts, prior)
+    unstaged(plain, lang, cells)
+    return out.withColumnRenamed("grp", "cell")
+
+
+def _judged(docs: DataFrame, *kept: str) -> DataFrame:
+    """docs(kept.., lang, source, text) -> the columns kept, the base counts, base_failed, kept, d2."""
+    stats = transformed(base_statistics(docs, *kept)).withColumn("l", _known("lang"))
+    stats = staged(stats.withColumn("cell", F.concat_ws("\n", "l", _known("source"))), "statistics")
+    found = estimates(stats.where("NOT base_failed").select("l", "cell", *(f"z{i}" for i in range(P))))
+    judged = _distance(_counted(stats.join(found, "cell", "left")))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    stats = staged(transformed(base_statistics(docs)), "statistics")
-    stats = grouped(stats)
-    found = estimates(stats.where("NOT base_failed"))
-    judged = _distance(_counted(stats.join(found.drop("start", "log_det"), "grp", "left")))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
-    return judged.select(F.col("doc_id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))
-
-
-def passing(docs: DataFrame, doc_id: str = "doc_id", **columns: str) -> DataFrame:
-    """The rows of docs that quality() keeps. Rows that share an id are judged together: one failing drops all."""
-    failed = quality(docs, doc_id=doc_id, **columns).where("NOT kept").select(doc_id).distinct()
-    return docs.join(failed, doc_id, "left_anti")
+    return _judged(docs, "doc_id").select(F.col("doc_id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance2"))
+
+
+def passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of docs that quality() keeps: each carries its columns to its own verdict, so ids may be null or repeated."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
+    return _judged(rows, "row").where("kept").select("row.*")
