@@ -5,16 +5,18 @@
    shared again by weight among the rest until no source is above.
 3. A target is whole passes over the source plus a budget below one pass. Each size first gives the
    rounded-down share of its documents; a bounded knapsack then fits what is left of the budget:
-   sizes in falling order fill it greedily until it is below a window of a few largest documents,
-   and dynamic programming over exact sums within that window, with the documents still there of
-   each size, picks the sum next to it. It runs in one task a source over its distinct sizes, which
-   the longest document bounds, whatever the number of documents.
+   sizes in falling order fill it greedily until it is below a window, and dynamic programming over
+   exact sums within that window, with the documents still there of each size, picks the sum next to
+   it. The fit is exact: it ends when no choice of documents can come nearer (the greatest common
+   divisor of the sizes bounds that), or else begins again with a window twice as large and more sizes,
+   until the programme covers all sums. It runs in one task a source over its distinct sizes, which the
+   longest document bounds, whatever the number of documents.
 4. The plan says how many documents of each (source, size) are taken once more. They are those of
    least seeded hash: buckets of the hash are counted, whole buckets are taken or left, and only
    the documents of the bucket in which the count runs out are ranked.
 
 Null sources are one source, last in order. Null texts have size 0 and are taken 0 words. Repeated
-rows count separately; ties of the hash go by id. Empty tables give empty tables.
+rows count separately; ties of the hash go by id, then by text. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.session import staged
+from gridloom.session import numbered, staged
 
 BUCKETS = 4096
-WINDOW = 1 << 17
+SOURCES = 100_000  # their names and sizes meet on the driver
+WINDOW = 1 << 16  # words: where the dynamic programme begins
 
 
 def n_words(text) -> F.Column:
@@ -57,43 +60,53 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], sha
     return [(source, size, t) for (source, size), t in zip(order, target)]
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their sum is next to the budget."""
-    order = np.argsort(-lengths, kind="stable")
-    lengths, counts = lengths[order], counts[order]
-    total = int((lengths * counts).sum())
-    whole = total <= WINDOW  # the dynamic programme then covers all sums
-    take = np.array([int(c) * budget // total if not whole else 0 for c in counts.tolist()], np.int64)
-    left, free = budget - int((take * lengths).sum()), counts - take
-    keep = budget if whole else min(WINDOW, 4 * int(lengths.max()))
-    for k, length in enumerate(lengths.tolist()):
-        more = min(int(free[k]), max(0, left - keep) // length) if length else 0
-        take[k] += more
-        free[k] -= more
-        left -= more * length
-    if left <= 0 or not len(lengths):
-        return take[np.argsort(order)]
-    # bits of `sums` are the reachable sums; binary splits of a length's free documents are items
-    most = left + min(WINDOW, int(lengths.max()))
-    items, sums, seen = [], 1, []
+def _subset(lengths: np.ndarray, free: np.ndarray, left: int, most: int, items: int) -> tuple[int, np.ndarray]:
+    """The reachable sum next to `left` (the lower of two) not above `most`, and how many of each length
+    make it; `items` is how many binary splits of lengths the dynamic programme looks at."""
+    first = np.full(most + 1, -1, np.int64)  # the item that first reached a sum
+    first[0], chosen = 0, []
     for k, length in enumerate(lengths.tolist()):
-        n = min(int(free[k]), most // length) if length else 0
-        part = 1
-        while n > 0:
+        n, part = min(int(free[k]), most // length) if length else 0, 1
+        while n > 0 and len(chosen) < items and first[min(left, most)] < 0:
             part = min(part, n)
-            items.append((k, part, part * length))
-            seen.append(sums)
-            sums |= (sums << part * length) & ((1 << most + 1) - 1)
+            chosen.append((k, part, part * length))
+            reach = first[: most + 1 - part * length] >= 0
+            target = first[part * length :]
+            target[reach & (target < 0)] = len(chosen)
             n -= part
             part *= 2
-        if sums >> left & 1 or (not whole and len(items) > 400):
-            break
-    best = next(s for d in range(most + 1) for s in (left - d, left + d) if 0 <= s <= most and sums >> s & 1)
-    for (k, part, size), before in zip(reversed(items), reversed(seen)):
-        if not before >> best & 1:
-            best -= size
-            take[k] += part
-    return take[np.argsort(order)]
+    sums = np.flatnonzero(first >= 0)
+    best = at = int(sums[np.argmin(np.abs(sums - left))])
+    take = np.zeros(len(lengths), np.int64)
+    while at:
+        k, part, size = chosen[first[at] - 1]
+        take[k] += part
+        at -= size
+    return best, take
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
+    """How many documents of each length to take so that their sum is next to the budget."""
+    order = np.argsort(-lengths, kind="stable")
+    lengths, counts = lengths[order], counts[order]
+    total = int((lengths * counts).sum())
+    if budget <= 0 or not total:
+        return np.zeros(len(order), np.int64)
+    step = int(np.gcd.reduce(lengths[lengths > 0]))
+    nearest, items = min(budget % step, step - budget % step), 400  # no sum comes nearer than that
+    while True:
+        whole = total <= window  # the dynamic programme then covers all sums
+        take = np.array([0 if whole else int(c) * budget // total for c in counts.tolist()], np.int64)
+        left, free = budget - int((take * lengths).sum()), counts - take
+        for k, length in enumerate(lengths.tolist()):
+            more = min(int(free[k]), max(0, left - window // 2) // length) if length and not whole else 0
+            take[k] += more
+            free[k] -= more
+            left -= more * length
+        best, more = _subset(lengths, free, left, total if whole else window, 1 << 40 if whole else items)
+        if whole or abs(left - best) <= nearest:
+            return (take + more)[np.argsort(order)]
+        window, items = 2 * window, 2 * items
 
 
 def _plan(group: pd.DataFrame) -> pd.DataFrame:
@@ -105,14 +118,16 @@ def _plan(group: pd.DataFrame) -> pd.DataFrame:
     return out[["known", "source", "size", "passes", "more"]]
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, text: str = "text", source: str = "source", key: str = "doc_id", size: Callable = n_words) -> DataFrame:
-    """Per row: key, size, source_size, target, taken (words the mix takes: 0, 1 or 2 times size), copies."""
-    rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), size(F.col(text)).alias("size"))
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, text: str = "text", source: str = "source", key: str = "doc_id", size: Callable = n_words, row: str | None = None) -> DataFrame:
+    """Per row: key, size, source_size, target, taken (words the mix takes: 0, 1 or 2 times size), copies; and the column `row`, if named."""
+    rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), size(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("content"), (F.col(row) if row else F.lit(None).cast("long")).alias("row"))
     rows = staged(rows.withColumn("known", F.col("source").isNotNull()).fillna("", ["source"]).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(BUCKETS)).cast("int")), "sizes")
     by_length = rows.groupBy("known", "source", "size").agg(F.count("*").alias("documents"))
     by_source = by_length.groupBy("known", "source").agg(F.sum(F.col("size") * F.col("documents")).alias("source_size"))
     # one row a source; their names are few and their targets depend on one another
-    listed = [(r["source"] if r["known"] else None, r["source_size"]) for r in by_source.collect()]
+    listed = [(r["source"] if r["known"] else None, r["source_size"]) for r in by_source.limit(SOURCES + 1).collect()]
+    if len(listed) > SOURCES:
+        raise ValueError(f"over {SOURCES} sources")
     aims = [(s is not None, s or "", n, float(t)) for s, n, t in targets(listed, weights, share, most)]
     aimed = docs.sparkSession.createDataFrame(aims, "known boolean, source string, source_size long, target double")
     plan = staged(by_length.join(aimed, ["known", "source"]).groupBy("known", "source").applyInPandas(_plan, "known boolean, source string, size long, passes int, more long"), "plan")
@@ -122,17 +137,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     filled = rows.groupBy(*place, "bucket").agg(F.count("*").alias("here")).join(partly, place)
     upto = F.sum("here").over(Window.partitionBy(*place).orderBy("bucket"))
     cut = filled.withColumn("before", upto - F.col("here")).where("before <= more AND before + here > more").select(*place, F.col("bucket").alias("edge"), (F.col("more") - F.col("before")).alias("last"))
-    planned = plan.join(cut, place, "left").join(aimed, ["known", "source"])
-    told = rows.join(planned, place)
-    ranked = Window.partitionBy(*place, "bucket").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key")
-    on_edge = told.where("bucket = edge").withColumn("once", (F.row_number().over(ranked) <= F.col("last")).cast("int"))
-    off_edge = told.where("edge IS NULL OR bucket <> edge").withColumn("once", ((F.col("more") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")))).cast("int"))
-    both = on_edge.unionByName(off_edge).withColumn("copies", F.col("passes") + F.col("once"))
-    return both.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
-
-
-def mixed(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs as often as the mix takes them (not at all, once or twice). Ids must not repeat with different texts."""
-    copies = mix(docs, key=key, **how).where("copies > 0").groupBy(key).agg(F.max("copies").alias("copies"))
-    names = docs.columns
-    return docs.join(copies, key).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*names)
+    cut = staged(cut, "edges")
+    # only rows of a bucket in which a count runs out are ranked, one bucket of a (source, size) a group
+    ranked = Window.partitionBy(*place, "bucket").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key", "content", "row")
+    on_edge = rows.join(cut.withColumnRenamed("edge", "bucket"), [*place, "bucket"]).withColumn("once", (F.row_number().over(ranked) <= F.col("last")).cast("int"))
+    on_edge = on_edge.join(plan.select(*place, "passes"), place)
+    planned = plan.join(cut.drop("last"), place, "left")
+    off_edge = rows.join(planned, place).where("edge IS NULL OR bucket <> edge").withColumn("once", ((F.col("more") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")))).cast("int"))
+    columns = ["key", "row", "size", "known", "source", (F.col("passes") + F.col("once")).alias("copies")]
+    both = on_edge.select(*columns).unionByName(off_edge.select(*columns)).join(F.broadcast(aimed), ["known", "source"])
+    out = both.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", *([F.col("row").alias(row)] if row else []))
+    return out
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs as often as the mix takes them (not at all, once or twice). Rows are told apart by
+    number, so null and repeated ids keep what the plan gives each row."""
+    rows = numbered(docs, "_row")
+    copies = mix(rows, row="_row", **how).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
