@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A text is halved until a leaf is short; leaves are cut into pieces by the split pattern. Joining
-two neighbours cuts a growing window around their boundary anew: pieces that end well before the
-left text's end never saw that end, and as the pattern looks only ahead, everything from the first
-cut that falls on a cut of the right text stays as it was. Pieces are encoded alone. A long piece is
-halved in turn; its halves' tokens join by re-encoding the bytes of w tokens on either side of the
-boundary, w doubling until the pairs (last token outside, first inside) and (last inside, first
-outside) encode to themselves. A sequence whose neighbouring pairs all do is the encoding of its
-bytes, so nothing outside the window can change. Decoding joins token bytes in the same tree.
+Every text is halved until a leaf has at most `LEAF_CHARS` characters; a leaf is cut into pieces by the
+split pattern and each piece encoded alone. Joining two neighbours encodes a growing window around their
+boundary anew: pieces that end well before the left text's end never saw that end, and as the pattern
+looks only ahead, everything from the first cut that falls on a cut of the right text stays as it was,
+tokens included. A long piece is halved in turn; its halves' tokens join by re-encoding the bytes of w
+tokens on either side of the boundary, w doubling until the pairs (last token outside, first inside) and
+(last inside, first outside) encode to themselves. A sequence whose neighbouring pairs all do is the
+encoding of its bytes, so nothing outside the window can change. Decoding halves the ids until a leaf has
+at most `LEAF_IDS` and joins the bytes in the same kind of tree.
 
 A null text counts as empty and has no tokens. Rows are independent, so repeated rows and ids, and
 extra columns, do not matter; an empty table gives an empty table.
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_CHARS, LEAF_BYTES, KEPT_PIECES, MOST_VOCABULARY = 1 << 14, 64, 200_000, 1 << 26
+LEAF_CHARS, LEAF_IDS, LEAF_BYTES, KEPT_PIECES, MOST_VOCABULARY = 1 << 9, 1 << 7, 64, 200_000, 1 << 26
 NEVER = 1 << 62
 
 
@@ -106,18 +107,22 @@ class Splitter:
     def __init__(self, pattern: str):
         self.pattern = regex.compile(pattern)
 
-    def pieces(self, text: str) -> list[str]:
-        if len(text) <= LEAF_CHARS:
-            return self.pattern.findall(text)
+    def pieces(self, text: str, value: Callable, leaf: int | None = None) -> tuple[list[str], list]:
+        """The pieces of a text and the value of each."""
+        if len(text) <= (leaf or LEAF_CHARS):
+            found = self.pattern.findall(text)
+            return found, list(map(value, found))
         half = len(text) // 2
-        return self.join(text[:half], self.pieces(text[:half]), text[half:], self.pieces(text[half:]))
-
-    def join(self, left: str, left_pieces: list[str], right: str, right_pieces: list[str]) -> list[str]:
-        keep, end = len(left_pieces), len(left)
-        while keep and end > len(left) - 3:
-            keep -= 1
-            end -= len(left_pieces[keep])
-        settled, tail, width = left_pieces[:keep], left[end:], 64
+        left, right = text[:half], text[half:]
+        return self.join(left, *self.pieces(left, value, leaf), right, *self.pieces(right, value, leaf), value)
+
+    def join(self, left: str, left_pieces: list[str], left_values: list, right: str, right_pieces: list[str], right_values: list, value: Callable) -> tuple[list[str], list]:
+        """The pieces and values of left + right; the left lists are extended in place."""
+        end = len(left)
+        while left_pieces and end > len(left) - 3:
+            end -= len(left_pieces.pop())
+        del left_values[len(left_pieces) :]
+        tail, width = left[end:], 64
         while True:
             window, whole = tail + right[:width], width >= len(right)
             cuts, place = {}, len(tail)
@@ -126,15 +131,22 @@ class Splitter:
                     break
                 cuts[place] = k
                 place += len(piece)
-            new = []
+            new, keep = [], None
             for match in self.pattern.finditer(window):
                 if match.start() in cuts:
-                    return settled + new + right_pieces[cuts[match.start()] :]
+                    keep = cuts[match.start()]
+                    break
                 if not whole and match.end() > len(window) - 3:
                     break
                 new.append(match[0])
             else:
-                return settled + new
+                keep = len(right_pieces)
+            if keep is not None:
+                left_pieces += new
+                left_pieces += right_pieces[keep:]
+                left_values += map(value, new)
+                left_values += right_values[keep:]
+                return left_pieces, left_values
             width *= 2
 
 
@@ -155,10 +167,10 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         self.kept.trim()
-        return b"".join(map(self.kept.__getitem__, self.splitter.pieces(text)))
+        return b"".join(self.splitter.pieces(text, self.kept.__getitem__)[1])
 
     def decode(self, ids: bytes) -> bytes:
-        if len(ids) <= 4 * LEAF_CHARS:
+        if len(ids) <= 4 * LEAF_IDS:
             return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         half = len(ids) // 8 * 4
         return self.decode(ids[:half]) + self.decode(ids[half:])

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import KEPT_PIECES, NEVER, Merger, Splitter, _Kept, merged, once, vocabulary
 
+LEAF = 1 << 14  # characters that are split at once
+
 
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in such vocabularies: printable Latin-1
@@ -66,7 +68,7 @@ class Counter:
     def count(self, text: str) -> int:
         self.trim()
         parts = self.special.split(text) if self.special else [text]
-        return len(parts) - 1 + sum(sum(map(self.kept.__getitem__, self.splitter.pieces(p))) for p in parts)
+        return len(parts) - 1 + sum(sum(self.splitter.pieces(p, self.kept.__getitem__, LEAF)[1]) for p in parts)
 
 
 def _count(shared, key: tuple, pattern: str):
