@@ -4,9 +4,10 @@ The base rules find assignments to a few names, access keys and long hexadecimal
 then reads every `=`, `:`, `:=` and `=>` of a text as an assignment (source code, JSON, YAML, INI,
 environment files): the name before it, quoted or subscripted or not, and the literals and names
 after it, joined by `+`. Names that were assigned a literal earlier in the text stand for it, through
-any number of steps. A literal whose target name is sensitive is scored by that name and by its own
-look; those that reach `THRESHOLD` are spans of kind `named`, at the place where the literal stands,
-unless a base span covers it.
+any number of steps: a value keeps references to the values that it is made of and a summary of its
+characters, so a step costs the same however long the value has grown. A value whose target name is
+sensitive is scored by that name and by its look; if it reaches `THRESHOLD`, its literals are spans of
+kind `named`, each at the place where it stands, unless a base span covers it.
 
 A null text counts as empty: no spans. Rows are independent, so repeated rows do not matter and
 extra columns are ignored. Offsets are code points, ends exclusive.
@@ -17,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,7 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 OPERATOR = re.compile(r"=>|:=|[:=]")
-BARE = re.compile(r"[A-Za-z0-9+/_.=$-]+")
+BARE = re.compile(r"[A-Za-z0-9+/_.$-]++={0,2}")
 NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*")
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -94,50 +97,80 @@ def name_score(name: str) -> float:
     return sum(SENSITIVE.get(p, 0) for p in {*parts, *joined})
 
 
-def literal_score(value: str) -> float:
-    """From -3 to 2: length, variety of characters and their entropy; stand-ins are far below 0."""
-    low = value.lower()
-    if len(value) < 6 or low.startswith(("http", "<", "${", "{{", "%")) or any(p in low for p in PLACEHOLDERS) or " " in value.strip():
-        return -3.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(2.0, (entropy >= 2.5) + 0.5 * (kinds - 1) + (len(value) >= 16))
+class Value:
+    """What a name stands for: the literals of one assignment and the values of the names in it, joined, with
+    what its score needs. Lengths and counts stop at MOST, where they no longer change a score."""
+
+    MOST = 1 << 40
+
+    def __init__(self, literal: str | None = None, span: tuple[int, int] | None = None):
+        low = (literal or "").lower()
+        self.span, self.parts, self.told = span, [], False
+        self.counts = Counter(literal or "")
+        self.first, self.begins, self.ends = low[:4], low[:1] == " ", low[-1:] == " "
+        self.stand_in, self.spaced = any(p in low for p in PLACEHOLDERS), " " in low.strip()
+
+    def add(self, other: "Value") -> None:
+        self.spaced |= other.spaced or bool(self.counts) and bool(other.counts) and (self.ends or other.begins)
+        self.begins = self.begins if self.counts else other.begins
+        self.ends = other.ends if other.counts else self.ends
+        self.first = (self.first + other.first)[:4]
+        self.stand_in |= other.stand_in
+        for c, n in other.counts.items():
+            self.counts[c] = min(self.MOST, self.counts[c] + n)
+        self.parts.append(other)
+
+    def score(self) -> float:
+        """From -3 to 2: length, variety of characters and their entropy; stand-ins are far below 0."""
+        total = sum(self.counts.values())
+        if total < 6 or self.first.startswith(("http", "<", "${", "{{", "%")) or self.stand_in or self.spaced:
+            return -3.0
+        entropy = -sum(n / total * math.log2(n / total) for n in self.counts.values())
+        kinds = len({0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in self.counts})
+        return min(2.0, (entropy >= 2.5) + 0.5 * (kinds - 1) + (total >= 16))
+
+    def tell(self) -> Iterator[tuple[int, int]]:
+        """Spans of its literals; values told before are passed over."""
+        open_ = [self]
+        while open_:
+            value = open_.pop()
+            if not value.told:
+                value.told = True
+                open_ += value.parts
+                if value.span:
+                    yield value.span
 
 
 def named_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, directly or through constants."""
-    constants: dict[str, list[tuple[int, int]]] = {}
+    constants: dict[str, Value] = {}
     found = set()
     for operator in OPERATOR.finditer(text) if ":" in text or "=" in text else ():
         name = name_before(text, operator.start())
         if not name or not NAME.fullmatch(name):
             continue
-        literals: list[tuple[int, int]] = []
+        value = Value()
         for kind, start, end in values_after(text, operator.end()):
             word = text[start:end]
             if kind == "name" and word in constants:
-                literals += constants[word]
+                value.add(constants[word])
             elif kind == "literal" or len(word) >= 8 and any(c.isdigit() for c in word):  # unquoted values of settings files
-                literals.append((start, end))
-        if not literals:
+                value.add(Value(word, (start, end)))
+        if not value.parts:
             continue
-        constants[name] = literals
+        constants[name] = value
         weight = name_score(name)
-        if weight:
-            whole = "".join(text[a:b] for a, b in literals)
-            if weight + literal_score(whole) >= THRESHOLD:
-                found.update((a, b, "named") for a, b in literals if b > a)
+        if weight and weight + value.score() >= THRESHOLD:
+            found.update((a, b, "named") for a, b in value.tell() if b > a)
     return sorted(found)
 
 
 def secret_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans by start and kind."""
-    base, taken = base_spans(text), []
-    for a, b, kind in named_spans(text):
-        if not any(x <= a and b <= y for x, y, _ in base):
-            taken.append((a, b, kind))
-    return base, sorted(base + taken, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    base = base_spans(text)
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+    named = [s for s in named_spans(text) if not (k := bisect_right(starts, s[0])) or reach[k - 1] < s[1]]
+    return base, sorted(base + named, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]") -> str:
