@@ -19,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -256,13 +258,19 @@ def all_spans(texts: list[str], model: BoostedTrees, thresholds: dict[str, float
     base = [base_spans(t) for t in texts]
     proposed = []
     for i, text in enumerate(texts):
-        taken = [(a, b) for _, a, b in base[i]]
-        proposed += [(i, *c) for c in dict.fromkeys(candidates(text)) if not any(a < c[2] and c[1] < b for a, b in taken)]
+        taken = sorted((a, b) for _, a, b in base[i])
+        starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+        proposed += [(i, *c) for c in dict.fromkeys(candidates(text)) if not (k := bisect_left(starts, c[2])) or reach[k - 1] <= c[1]]
     added: list[list] = [[] for _ in texts]
     if proposed:
-        scores = model.predict(np.array([features(texts[i], k, a, b) for i, k, a, b in proposed]))
-        for score, (i, k, a, b) in sorted(zip(scores.tolist(), proposed), key=lambda s: (-s[0], s[1])):
-            if score >= thresholds[k] and not any(x < b and a < y for _, x, y in added[i]):
+        scores = []
+        for a in range(0, len(proposed), 4096):
+            scores += model.predict(np.array([features(texts[i], k, a, b) for i, k, a, b in proposed[a : a + 4096]])).tolist()
+        places: list[list] = [[] for _ in texts]  # sorted spans, apart from one another
+        for score, (i, k, a, b) in sorted(zip(scores, proposed), key=lambda s: (-s[0], s[1])):
+            at = bisect_left(places[i], (a,))
+            if score >= thresholds[k] and (at == len(places[i]) or places[i][at][0] >= b) and (not at or places[i][at - 1][1] <= a):
+                places[i].insert(at, (a, b))
                 added[i].append((k, a, b))
     key = lambda s: (KINDS.index(s[0]), s[1], s[2])
     return [(sorted(x, key=key), sorted(x + y, key=key)) for x, y in zip(base, added)]
