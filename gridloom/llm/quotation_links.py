@@ -1,11 +1,16 @@
 """Conversations from quoting messages, in DataFrame functions only.
 
-Lines that begin with `>` are quoted, once for each `>`. Adjacent lines of one level form a passage;
-it is normalised (lower case, blanks collapsed) and hashed with SHA-256, as is each message's own text
-(its level 0). A message replies to the message of its thread whose own text equals a passage that it
-quotes: the shallowest level that matches, then the latest earlier message. Reply links are followed
-by pointer doubling, so a chain of n replies takes log n steps, and give each message its root and
-depth; the body is its own text without quotes.
+Lines that begin with `>` are quoted, once for each `>`. Adjacent lines of one level form a passage. A
+passage and each of its lines are normalised (lower case, blanks collapsed) and hashed with SHA-256, as are
+each message's own text (its level 0) and the lines of that; so trimmed quotes, and quotes cut up by replies
+between them, link too. Each quoted hash is joined to the latest earlier message of its thread that has it as its
+own. A message replies to what its quotes of the shallowest level with a match point at: the message
+with most quoted characters, then the latest. Reply links are followed by pointer doubling, so a chain
+of n replies takes log n steps, and give each message its root and depth; the body is its own text
+without quotes.
+
+A thread is read in blocks of `BLOCK` turns, each with what the blocks before had last, so a text that
+one thread repeats without end is neither joined with itself nor sorted in one task.
 
 Passages without a word match nothing. Null texts have an empty body and no links; null threads link
 with nothing and messages there are their own roots. Rows of one (thread, turn) all stay and link alike,
@@ -19,6 +24,8 @@ from pyspark.sql import functions as F
 
 from gridloom.session import staged
 
+BLOCK = 4096
+
 
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
@@ -39,6 +46,14 @@ def passages(messages: DataFrame) -> DataFrame:
     return rows.select("thread", "turn", "hash", F.get("lines", F.col("span.at"))["level"].alias("level"), F.col("span.at").alias("at"), F.array_join(F.transform(part, lambda x: x["line"]), "\n").alias("passage"))
 
 
+def _units(rows: DataFrame, text: str, *more: str) -> DataFrame:
+    """thread, turn, more.. of rows with the hash and length of the whole text and of each line, normalised; those without a word left out."""
+    whole = F.concat(F.array(F.col(text)), F.split(text, "\n"))
+    units = F.filter(F.array_distinct(F.transform(whole, normalised)), lambda u: u != "")
+    units = rows.select("thread", "turn", *more, F.explode(units).alias("unit"))
+    return units.select("thread", "turn", *more, F.sha2("unit", 256).alias("hash"), F.length("unit").alias("size"))
+
+
 def reply_conversations(messages: DataFrame, thread: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role") -> DataFrame:
     """Per message: thread, turn, role, parent_turn, root_turn, depth, quote_levels, body."""
     rows = messages.select(F.col(thread).alias("thread"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -49,9 +64,18 @@ def reply_conversations(messages: DataFrame, thread: str = "conv_id", turn: str
         F.max("level").alias("quote_levels"),
     )
     whole = staged(whole, "bodies")
-    texts = whole.select("thread", F.col("turn").alias("origin"), normalised(F.col("body")).alias("plain")).where("plain <> ''").select("thread", "origin", F.sha2("plain", 256).alias("hash"))
-    quoted = parts.where("level > 0").select("thread", "turn", "level", normalised(F.col("passage")).alias("plain")).where("plain <> ''").select("thread", "turn", "level", F.sha2("plain", 256).alias("hash"))
-    parents = quoted.join(texts, ["thread", "hash"]).where("origin < turn").groupBy("thread", "turn").agg(F.min(F.struct("level", (-F.col("origin")).alias("back"))).alias("best"))
+    own = _units(whole, "body").select("thread", "turn", "hash", F.col("turn").alias("origin"), F.lit(None).cast("int").alias("level"), F.lit(0).alias("size"))
+    quoted = _units(parts.where("level > 0"), "passage", "level").select("thread", "turn", "hash", F.lit(None).cast("long").alias("origin"), "level", "size")
+    met = own.unionByName(quoted).where("thread IS NOT NULL").withColumn("block", F.floor(F.col("turn") / BLOCK))
+    met = staged(met.join(quoted.select("thread", "hash").distinct(), ["thread", "hash"], "left_semi"), "met")
+    blocks = met.groupBy("thread", "hash", "block").agg(F.max("origin").alias("last"))
+    before = Window.partitionBy("thread", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("thread", "hash", "block", F.max("last").over(before).alias("before"))
+    inside = Window.partitionBy("thread", "hash", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    told = met.withColumn("inside", F.max("origin").over(inside)).where("level IS NOT NULL").join(blocks, ["thread", "hash", "block"])
+    told = told.withColumn("origin", F.coalesce("inside", "before")).where("origin IS NOT NULL")
+    votes = told.groupBy("thread", "turn", "level", "origin").agg(F.sum("size").alias("size"))
+    parents = votes.groupBy("thread", "turn").agg(F.min(F.struct("level", (-F.col("size")).alias("size"), (-F.col("origin")).alias("back"))).alias("best"))
     links = parents.select("thread", "turn", (-F.col("best.back")).alias("parent"))
     at = whole.select("thread", "turn").distinct().join(links, ["thread", "turn"], "left")
     at = staged(at.select("thread", "turn", "parent", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").isNotNull().alias("open")), "links")
