@@ -2,16 +2,19 @@
 
 Two views of a document, each with its own logistic regression: hashed words with a few statistics of
 the text, and its metadata (language, source, length). From the labelled sample both are fitted; in
-each round each view labels the documents of an unlabelled pool that it is sure of, and the other view
-learns from them. Scores of both views are calibrated on held-out labels (Platt), and a last
-regression of the two calibrated logits gives the score of every document.
-
-Fitting takes bounded samples, by least hash of the id: at most `LABELLED` labelled and `POOL`
-unlabelled documents, whatever the size of the corpus. Scoring covers all documents and whole texts.
-
-Null texts have no words; null languages and sources are values of their own. Labels that are null
-or have no document are ignored, of several for one id the least counts. Without labels of both classes every document gets the share of good
-labels (1 without labels) as its score. Repeated rows score alike; extra columns are dropped.
+each round each view scores all unlabelled documents, labels those that it is surest of, and the other
+view learns from them. Scores of both views are calibrated on held-out labels (Platt), and a last
+regression of the two calibrated logits, on labels held out from both, gives the score of every document.
+
+The labelled sample is bounded: at most `labelled` documents, of least hash of the id. Pseudo-labels are
+sought in all documents, whatever their number; `per_round` is how many a view gives in a round, as in
+the published method. Only those few are fetched with their vectors. Scoring covers all documents and
+whole texts.
+
+Null texts have no words; null languages and sources are values of their own; documents with a null id
+are scored but give no pseudo-label. Labels that are null or have no document are ignored, of several for
+one id the least counts. Without labels of both classes every document gets the share of good labels (1
+without labels) as its score. Repeated rows score alike; extra columns are dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.shingles import U, text_bytes, word_hashes
+from gridloom.session import staged
 
-LABELLED, POOL, ROUNDS, SURE, PER_ROUND = 4000, 4000, 5, 0.97, 300
+LABELLED, ROUNDS, SURE, PER_ROUND = 4000, 4, 0.97, 300
 WORDS, META, STATS = 512, 64, 6
 _byte = np.arange(256)
 CLASSES = np.select([(_byte >= 65) & (_byte <= 90), (_byte >= 48) & (_byte <= 57), np.isin(_byte, [ord(c) for c in "#*$%&|<>!"]), (_byte == 32) | (_byte == 10)], [0, 1, 2, 3], 4)
@@ -83,29 +87,47 @@ class Logistic:
         return np.clip(x @ self.w[:-1] + self.w[-1], -30, 30)
 
 
-def cotrain(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray]) -> list:
-    """[model of view 0, of view 1, calibration 0, calibration 1, combination]."""
-    held = np.arange(len(y)) % 4 == 3
-    if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
-        held = np.zeros(len(y), bool)
-    x, labels = [[v[~held]] for v in views], [[y[~held]] for _ in views]
-    free = np.ones(len(pool[0]), bool)
-    for k in range(ROUNDS + 1):
-        models = [Logistic(np.vstack(x[v]), np.concatenate(labels[v])) for v in (0, 1)]
-        if k == ROUNDS or not free.any():
-            break
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-models[v].logit(pool[v])))
-            sure = np.flatnonzero(free & (np.maximum(p, 1 - p) >= SURE))
-            sure = sure[np.argsort(-np.maximum(p, 1 - p)[sure], kind="stable")][:PER_ROUND]
-            if len(sure):
-                x[1 - v].append(pool[1 - v][sure])
-                labels[1 - v].append((p[sure] >= 0.5).astype(float))
-                free[sure] = False
-    test = held if held.any() else ~held
-    logits = [m.logit(v[test])[:, None] for m, v in zip(models, views)]
-    calibrations = [Logistic(z, y[test], 1e-2) for z in logits]
-    return [*models, *calibrations, Logistic(np.hstack([c.logit(z)[:, None] for c, z in zip(calibrations, logits)]), y[test], 1e-2)]
+class Views:
+    """Examples of the two views, which grow by pseudo-labels, and the labels held out from them."""
+
+    def __init__(self, views: list[np.ndarray], y: np.ndarray):
+        part = np.arange(len(y)) % 4
+        fit, calibrate, combine = part < 2, part == 2, part == 3
+        if any(len(np.unique(y[p])) < 2 for p in (fit, calibrate, combine)):
+            fit = calibrate = combine = np.ones(len(y), bool)
+        self.x, self.labels = [[v[fit]] for v in views], [[y[fit]] for _ in views]
+        self.held = [([v[p] for v in views], y[p]) for p in (calibrate, combine)]
+
+    def models(self) -> list:
+        return [Logistic(np.vstack(x), np.concatenate(y)) for x, y in zip(self.x, self.labels)]
+
+    def learn(self, view: int, vectors: np.ndarray, labels: np.ndarray) -> None:
+        """Labels that the other view has given, for this one."""
+        self.x[view].append(vectors)
+        self.labels[view].append(labels)
+
+    def fitted(self) -> list:
+        """[model of view 0, of view 1, calibration 0, calibration 1, combination]."""
+        models, ((views, y), (others, y_others)) = self.models(), self.held
+        calibrations = [Logistic(m.logit(v)[:, None], y, 1e-2) for m, v in zip(models, views)]
+        logits = np.hstack([c.logit(m.logit(v)[:, None])[:, None] for c, m, v in zip(calibrations, models, others)])
+        return [*models, *calibrations, Logistic(logits, y_others, 1e-2)]
+
+
+def _sure(shared):
+    """(doc_id, view, p) where a view is sure of a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                for view, (model, x) in enumerate(zip(models, features(part))):
+                    p = 1 / (1 + np.exp(-model.logit(x)))
+                    at = np.flatnonzero(np.maximum(p, 1 - p) >= SURE)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at)), pa.array(np.full(len(at), view, np.int32)), pa.array(p[at])], ["doc_id", "view", "p"])
+
+    return run
 
 
 def score(fitted: list, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -125,23 +147,38 @@ def _score(shared):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> DataFrame:
     """Per row: doc_id, score (of good quality), kept (score of 0.5 or more)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("label")).where("label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
-    ids = docs.select("doc_id")
+    kind = dict(docs.dtypes)["doc_id"]
+    known = staged(labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("label")).where("label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label")), "labels")
     order = F.xxhash64(F.lit(3), "doc_id")
-    sample = ids.join(known, "doc_id").orderBy(order, "doc_id", "label").limit(LABELLED)
-    pool = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL).withColumn("label", F.lit(None).cast("double"))
-    chosen = sample.unionByName(pool).groupBy("doc_id").agg(F.max("label").alias("label"))  # at most LABELLED + POOL rows, so small enough to broadcast
-    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang", "source")).alias("d")).select("doc_id", "label", "d.*")
-    rows = found.mapInArrow(_vectors, f"doc_id {dict(docs.dtypes)['doc_id']}, label double, words binary, meta binary").collect()
-    rows.sort(key=lambda r: str(r["doc_id"]))
-    y = np.array([np.nan if r["label"] is None else r["label"] for r in rows], float)
-    has = ~np.isnan(y)
-    fitted = None
-    if len(np.unique(y[has])) == 2:
-        views = [np.array([np.frombuffer(r[c], np.float32) for r in rows]) for c in ("words", "meta")]
-        fitted = cotrain([v[has] for v in views], y[has], [v[~has] for v in views])
-    shared = docs.sparkSession.sparkContext.broadcast((fitted, float(y[has].mean()) if has.any() else 1.0))
-    return docs.mapInArrow(_score(shared), f"doc_id {dict(docs.dtypes)['doc_id']}, score double, kept boolean").withColumnRenamed("doc_id", doc_id)
+
+    def vectors(chosen: DataFrame, keys: list[str]) -> list:
+        """Rows with both views of the chosen documents; chosen has at most `labelled` or 2 `per_round` rows."""
+        found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *keys).agg(F.min(F.struct("text", "lang", "source")).alias("d")).select("doc_id", *keys, "d.*")
+        rows = found.withColumn("label", F.col(keys[-1])).mapInArrow(_vectors, f"doc_id {kind}, label double, words binary, meta binary").collect()
+        return sorted(rows, key=lambda r: (str(r["doc_id"]), r["label"]))
+
+    rows = vectors(docs.select("doc_id").join(known, "doc_id").distinct().orderBy(order, "doc_id").limit(labelled), ["label"])
+    y, fitted = np.array([r["label"] for r in rows], float), None
+    views_of = lambda rows: [np.array([np.frombuffer(r[c], np.float32) for r in rows]) for c in ("words", "meta")]
+    if len(np.unique(y)) == 2:
+        state, taken = Views(views_of(rows), y), known.select("doc_id")
+        for _ in range(rounds):
+            sure = docs.where("doc_id IS NOT NULL").mapInArrow(_sure(spark.sparkContext.broadcast(state.models())), f"doc_id {kind}, view int, p double").distinct()
+            best = Window.partitionBy("view").orderBy((-F.greatest(F.col("p"), 1 - F.col("p"))), order, "doc_id")
+            top = sure.join(taken, "doc_id", "left_anti").withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= per_round)
+            # the sign of the label tells the view: 1 + y for view 0, -(1 + y) for view 1
+            top = staged(top.select("doc_id", ((F.lit(1.0) + (F.col("p") >= 0.5).cast("double")) * (1 - 2 * F.col("view"))).alias("told")), "pseudo-labels")
+            rows = vectors(top, ["told"])
+            if not rows:
+                break
+            taken = taken.union(top.select("doc_id"))
+            told, (words, meta) = np.array([r["label"] for r in rows]), views_of(rows)
+            state.learn(1, meta[told > 0], told[told > 0] - 1)
+            state.learn(0, words[told < 0], -told[told < 0] - 1)
+        fitted = state.fitted()
+    shared = spark.sparkContext.broadcast((fitted, float(y.mean()) if len(y) else 1.0))
+    return docs.mapInArrow(_score(shared), f"doc_id {kind}, score double, kept boolean").withColumnRenamed("doc_id", doc_id)
