@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,18 @@ def unstaged(*tables: DataFrame | None) -> None:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Files whose names are broadcast to number rows by their place in them.
+MOST_FILES = 200_000
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df staged with a number of each row: rows keep it whatever their ids are, also when a task runs again."""
+    """df with a number of each row, which rows keep whatever their ids are, also when a task runs again.
+
+    Rows of Parquet files that df reads as they are have it from their file and their place in it; any others,
+    and those of very many files, are staged with one."""
+    if df._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation"):
+        rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+        files = staged(rows.select("_file").distinct().withColumn("_no", F.row_number().over(Window.orderBy("_file"))), "files")
+        if files.count() <= MOST_FILES:
+            return rows.join(F.broadcast(files), "_file").withColumn(name, F.col("_no") * F.lit(1 << 40) + F.col("_place")).select(*df.columns, name)
     return staged(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
