@@ -33,17 +33,22 @@ def strict(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.where(F.when(F.size(v) == 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("invalid: "), F.array_join(v, ", "))).cast("boolean")))
 
 
-def ranked(df: DataFrame, category: str, key: str, draw: Column, buckets: int = 1024) -> DataFrame:
-    """df with its place in its category by (draw, key), from 1, and the category's size.
+def ranked_by(df: DataFrame, keys: list[str], bucket: Column, *order: Column | str) -> DataFrame:
+    """df with its place among the rows of its keys, from 1, by bucket and then order, and their number as size.
+
+    Buckets are counted, and rows ranked inside a bucket, so no window holds the rows of a key whole."""
+    rows = df.withColumn("_b", bucket)
+    per = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b"))
+    per = per.select(*keys, "_b", (upto - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("size"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    return rows.join(per, [*keys, "_b"]).withColumn("place", F.col("_before") + inside).drop("_b", "_before")
 
-    Buckets of the draw are counted, and rows ranked inside a bucket, so that no window holds a
-    category with very many rows whole. Draws lie in [0, 1)."""
-    rows = df.withColumn("_d", draw).withColumn("_b", F.floor(F.col("_d") * buckets).cast("int"))
-    per = rows.groupBy(category, "_b").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(category).orderBy("_b"))
-    per = per.select(category, "_b", (upto - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(category)).alias("size"))
-    inside = F.row_number().over(Window.partitionBy(category, "_b").orderBy("_d", key))
-    return rows.join(per, [category, "_b"]).withColumn("place", F.col("_before") + inside).drop("_d", "_b", "_before")
+
+def ranked(df: DataFrame, category: str, key: str, draw: Column, buckets: int = 1024) -> DataFrame:
+    """df with its place in its category by (draw, key), from 1, and the category's size. Draws lie in [0, 1)."""
+    rows = df.withColumn("_d", draw)
+    return ranked_by(rows, [category], F.floor(F.col("_d") * buckets).cast("int"), "_d", key).drop("_d")
 
 
 def stratified_split(df: DataFrame, category: str, key: str, draw: Column, share: float = 0.1) -> DataFrame:
@@ -105,3 +110,55 @@ def same_everywhere(df: DataFrame, *fields: str) -> DataFrame:
     """One row: number of distinct values of each field, and whether all have just one."""
     counted = df.agg(*(F.countDistinct(f).alias(f"n_{f}") for f in fields))
     return counted.withColumn("consistent", reduce(lambda a, b: a & b, (F.col(f"n_{f}") == 1 for f in fields)))
+
+
+def snapshot(df: DataFrame, key: str, *fields: str) -> DataFrame:
+    """key, sha256 of the row's fields."""
+    return df.select(key, fingerprint(*fields).alias("sha256"))
+
+
+def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Keys of two snapshots with what became of them: same, altered, removed or added."""
+    both = before.withColumnRenamed("sha256", "was").join(after.withColumnRenamed("sha256", "now"), key, "full_outer")
+    state = F.when(F.col("now").isNull(), "removed").when(F.col("was").isNull(), "added").when(F.col("was") == F.col("now"), "same").otherwise("altered")
+    return both.select(key, state.alias("change"))
+
+
+def deviations(df: DataFrame, checks: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One pass over df: for each check (size of the violation, tolerance) the rows, the largest violation and how
+    many are over the tolerance. A violation that is null or not a number counts as over it."""
+    bad = lambda v, t: ~F.coalesce((v <= t) & ~F.isnan(v), F.lit(False))
+    aggs = [x for n, (v, t) in checks.items() for x in (F.max(F.when(~F.isnan(v), v)).alias(f"{n}_max"), F.count_if(bad(v, t)).alias(f"{n}_bad"))]
+    one = df.agg(F.count("*").alias("rows"), *aggs)
+    parts = F.array(*(F.struct(F.lit(n).alias("check"), F.col("rows"), F.col(f"{n}_max").cast("double").alias("largest"), F.col(f"{n}_bad").alias("failed")) for n in checks))
+    return one.select(F.explode(parts).alias("c")).select("c.*")
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, object], legacy: dict[str, str] | None = None) -> DataFrame:
+    """df with nulls of the named columns filled: from the older column that legacy names, else by the default."""
+    legacy = legacy or {}
+    return df.withColumns({n: F.coalesce(F.col(n), *([F.col(legacy[n])] if n in legacy else []), F.lit(v)) for n, v in defaults.items()})
+
+
+def resume_state(plan: DataFrame) -> DataFrame:
+    """plan(id, done) -> one row: planned, recorded, pending, and how many rows from the start on are done."""
+    gap = plan.where("NOT done").agg(F.min("id").alias("first_gap"))
+    rows = plan.join(F.broadcast(gap))  # one row
+    before = F.col("first_gap").isNull() | (F.col("id") < F.col("first_gap"))
+    return rows.agg(F.count("*").alias("planned"), F.count_if("done").alias("recorded"), F.count_if(~F.col("done")).alias("pending"), F.count_if(before).alias("contiguous_prefix"))
+
+
+def weighted_picks(items: DataFrame, draws: DataFrame, key: str, weight: str, blocks: int = 1 << 16) -> DataFrame:
+    """draws(u in [0, 1), ..) with the item in whose share of all weights, in key order, u falls.
+
+    Cumulative weights are running sums of block sums and sums inside a block of keys; draws meet items by an
+    equi-join on blocks of the unit interval that an item's share touches."""
+    rows = items.withColumn("_b", F.floor(F.col(key) / 4096))
+    per = rows.groupBy("_b").agg(F.sum(weight).alias("_w"))
+    per = per.select("_b", (F.sum("_w").over(Window.orderBy("_b")) - F.col("_w")).alias("_before"), F.sum("_w").over(Window.partitionBy()).alias("_total"))  # a row for each 4096 keys
+    hi = F.col("_before") + F.sum(weight).over(Window.partitionBy("_b").orderBy(key))
+    rows = rows.join(per, "_b").withColumn("_hi", hi).withColumn("_lo", F.col("_hi") - F.col(weight)).where(F.col(weight) > 0)
+    block = lambda x: F.floor(x * blocks)
+    rows = rows.withColumn("_k", F.explode(F.sequence(block(F.col("_lo") / F.col("_total")), F.least(F.lit(blocks - 1).cast("long"), block(F.col("_hi") / F.col("_total"))))))
+    at = F.col("u") * F.col("_total")
+    return draws.withColumn("_k", block(F.col("u"))).join(rows, "_k").where((at >= F.col("_lo")) & (at < F.col("_hi"))).drop("_k", "_b", "_before", "_total", "_hi", "_lo")

@@ -45,3 +45,17 @@ def scored(df: DataFrame, model, features: str, schema: str) -> DataFrame:
             yield batch.assign(score=model(np.stack(batch[features].to_numpy())) if len(batch) else []).drop(columns=[features])
 
     return df.mapInPandas(run, schema)
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def rotated_axes(east: Column, north: Column, angle: Column) -> tuple[Column, Column]:
+    """Coordinates along and across an axis at an angle (radians) from east."""
+    return east * F.cos(angle) + north * F.sin(angle), north * F.cos(angle) - east * F.sin(angle)
+
+
+def scaled_thickness(thickness: Column, cycles: Column, wanted: float, lo: float = 0.1, hi: float = 8.0) -> Column:
+    """The thickness at which a scene would show the wanted cycles, within bounds."""
+    return F.least(F.lit(hi), F.greatest(F.lit(lo), thickness * wanted / F.greatest(cycles, F.lit(1e-6))))

@@ -109,3 +109,48 @@ def taper(i: Column, size: int) -> Column:
     import math
 
     return F.greatest(0.5 - 0.5 * F.cos(2 * math.pi * i / (size - 1)), F.lit(0.05))
+
+
+def padded(data: Column, border: int, mode: str, height: int, width: int) -> Column:
+    """A tile with a border on all sides: reflected (edge not repeated), edge, or constant (zeros)."""
+
+    def at(y: Column, x: Column) -> Column:
+        y, x = y - border, x - border
+        if mode == "constant":
+            return F.coalesce(pixel(data, y, x, height, width), F.lit(0.0))
+        if mode == "edge":
+            inside = lambda i, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), i))
+            return F.get(data, inside(y, height) * width + inside(x, width))
+        return F.get(data, reflected(y, height) * width + reflected(x, width))
+
+    return each_pixel(at, height + 2 * border, width + 2 * border)
+
+
+def cumulative(df: DataFrame, *keys: str) -> DataFrame:
+    """keys, y, x, v summed over all pixels at or before (y, x) in both axes; dealt by tile once."""
+    rows = df.repartition(*(F.col(k) for k in keys))
+    along = F.sum("v").over(Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    down = F.sum("v").over(Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("v", along).withColumn("v", down).select(*keys, "y", "x", "v")
+
+
+def wide_mean(df: DataFrame, size: int, height: int, width: int, key: str) -> DataFrame:
+    """key, y, x, v: sliding mean of size x size pixels, borders reflected, by cumulative sums of the padded tile."""
+    p, w = size // 2, width + 2 * (size // 2)
+    sums = cumulative(pixels(df.select(key, padded(F.col("data"), p, "reflected", height, width).alias("data")), w, key), key)
+    t = sums.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("s"))  # one tile a row again
+    at = lambda y, x: F.when((y >= 0) & (x >= 0), F.get("s", F.when((y >= 0) & (x >= 0), y * w + x))).otherwise(0.0)
+    mean = lambda y, x: (at(y + size - 1, x + size - 1) - at(y - 1, x + size - 1) - at(y + size - 1, x - 1) + at(y - 1, x - 1)) / size**2
+    return pixels(t.select(key, each_pixel(mean, height, width).alias("data")), width, key)
+
+
+def crop_differences(crops: DataFrame, source: DataFrame, top: int, left: int, tolerance: float, key: str) -> DataFrame:
+    """crops(key, y, x, level of 128) against source(key, y, x, v) at their offset: pixels compared, and off by more than the tolerance."""
+    placed = crops.select(key, (F.col("y") + top).alias("y"), (F.col("x") + left).alias("x"), (F.col("level") / 128.0).alias("was"))
+    off = F.abs(F.col("was") - F.col("v")) > tolerance
+    return placed.join(source, [key, "y", "x"]).groupBy(key).agg(F.count("*").alias("compared"), F.sum(off.cast("long")).alias("different"))
+
+
+def acceptable(cycles: Column, percent: Column) -> Column:
+    """Whether a scene is accepted: 2 to 8 cycles, 1.5 to 40 % of its area positive."""
+    return cycles.between(2, 8) & percent.between(1.5, 40)

@@ -1,7 +1,12 @@
-"""Connected regions of set pixels (8 neighbours) as a relational closure over row runs."""
+"""Connected regions of set pixels (8 neighbours), by row runs: inside a tile in one pass over its row, across a
+raster of many rows as a relational closure."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +36,49 @@ def labelled_runs(found: DataFrame, key: str, width: int, most: int = 10_000) ->
     raise RuntimeError("regions did not settle")
 
 
-def regions(mask_pixels: DataFrame, key: str, width: int) -> DataFrame:
-    """Per region: key, region_id, area_px, x0, y0, x1, y1 (exclusive), equivalent_width, runs; largest first."""
-    found = labelled_runs(staged(runs(mask_pixels, key), "runs"), key, width)
+def tile_runs(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """y, lo, hi and label of the runs of one mask; the label is the least run id (y * width + lo) of the region."""
+    width, runs, above = mask.shape[1], [], []
+    root: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for y, row in enumerate(mask):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]])))
+        own, k = [], 0
+        for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            i = y * width + lo
+            root[i] = i
+            while k < len(above) and above[k][1] < lo:
+                k += 1
+            for a, _, j in above[k:]:
+                if a > hi:
+                    break
+                p, q = top(i), top(j)
+                root[max(p, q)] = min(p, q)
+            own.append((lo, hi, i))
+            runs.append((y, lo, hi, i))
+        above = own
+    return [(y, lo, hi, top(i)) for y, lo, hi, i in runs]
+
+
+def labelled_tiles(tiles: DataFrame, key: str, width: int) -> DataFrame:
+    """tiles(key, data of 0 and 1) -> key, y, lo, hi, id, label as labelled_runs() has them; no shuffle."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(k, y, lo, hi, y * width + lo, label) for k, d in zip(frame[key], frame["data"]) for y, lo, hi, label in tile_runs(np.asarray(d).reshape(-1, width))]
+            yield pd.DataFrame(found, columns=[key, "y", "lo", "hi", "id", "label"])
+
+    rows = tiles.select(key, "data")
+    return rows.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, y int, lo int, hi int, id long, label long")
+
+
+def regions(found: DataFrame, key: str) -> DataFrame:
+    """Labelled runs -> per region: key, region_id, area_px, x0, y0, x1, y1 (exclusive), equivalent_width, runs; largest first."""
     by = found.groupBy(key, "label").agg(
         F.sum(F.col("hi") - F.col("lo")).alias("area_px"), F.min("lo").alias("x0"), F.min("y").alias("y0"), F.max("hi").alias("x1"), (F.max("y") + 1).alias("y1"),
         F.array_sort(F.collect_list(F.struct("y", "lo", "hi"))).alias("runs"),

@@ -62,41 +62,48 @@ def manifest_join_mismatch(spark, sf_dir):
     return spark.range(1).select(F.explode(kinds).alias("problem")).join(counts, "problem", "left").select("problem", F.coalesce("scenes", F.lit(0)).cast("long").alias("scenes"))
 
 
-@query("fresh_seeds", f"""WITH used AS (SELECT DISTINCT user_id AS seed FROM events WHERE event_type = 'purchase'), c AS (SELECT o_orderkey, t, CAST(floor({rng(8, 'seed', "o_orderkey || ':' || t")} * 400) AS BIGINT) AS seed FROM orders, generate_series(0, 3) AS g(t)), ok AS (SELECT o_orderkey, t, seed FROM c WHERE seed NOT IN (SELECT seed FROM used))
-SELECT o_orderkey, min(t) AS tries, arg_min(seed, t) AS seed FROM ok GROUP BY o_orderkey""")
+def _fresh_sql(rounds: int = 4) -> str:
+    """Rounds of drawing as the operator has them; still open after the last: an error, not a lost row."""
+    draw = f"CAST(floor({rng(8, 'seed', "o_orderkey || ':' || t")} * 4294967296) AS BIGINT)"
+    parts = ["used AS (SELECT DISTINCT user_id AS seed FROM events WHERE event_type = 'purchase')", f"d0 AS (SELECT o_orderkey, t, {draw} AS seed FROM (SELECT o_orderkey, CAST(0 AS BIGINT) AS t FROM orders))"]
+    for k in range(rounds):
+        parts.append(f"o{k} AS (SELECT *, seed IN (SELECT seed FROM used) OR row_number() OVER (PARTITION BY seed ORDER BY o_orderkey) > 1 AS again FROM d{k})")
+        parts.append(f"d{k + 1} AS (SELECT o_orderkey, t, CASE WHEN again THEN {draw} ELSE seed END AS seed FROM (SELECT o_orderkey, again, seed, t + CASE WHEN again THEN 1 ELSE 0 END AS t FROM o{k}))")
+    return f"WITH {', '.join(parts)} SELECT o_orderkey, CASE WHEN again THEN error('open') ELSE t END AS tries, seed FROM o{rounds - 1}"
+
+
+@query("fresh_seeds", _fresh_sql())
 def fresh_seeds(spark, sf_dir):
-    """The first of four draws out of 400 that is no used seed, as its SQL has it: orders whose four draws are
-    all used have no row, and orders can share a seed. `fresh_seed_plan` gives every order a seed of its own."""
-    used = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").cast("long").alias("seed")).distinct()
-    c = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("t"))
-    c = c.withColumn("seed", F.floor(uniform(8, "seed", F.concat_ws(":", F.col("o_orderkey").cast("string"), F.col("t").cast("string"))) * 400))
-    return c.join(used, "seed", "left_anti").groupBy("o_orderkey").agg(F.min("t").alias("tries"), F.min_by("seed", "t").alias("seed"))
+    """A 32-bit seed for every order that is no used seed and no other order's; drawn until fresh."""
+    used = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("seed"))
+    return M.fresh_draws(table(spark, sf_dir, "orders").select("o_orderkey"), used, "o_orderkey", 8, "seed")
 
 
 @query("fresh_seed_plan")
 def fresh_seed_plan(spark, sf_dir):
-    """A 32-bit seed for every order that is no used seed and no other order's; drawn until fresh."""
+    """The same out of a space that is nearly used up: four seeds for three orders."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
     used = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("seed"))
-    return M.fresh_draws(table(spark, sf_dir, "orders").select("o_orderkey"), used, "o_orderkey", 8, "seed")
+    return M.fresh_draws(orders, used, "o_orderkey", 8, "seed", orders.count() * 4 // 3 + used.distinct().count())
 
 
 @query("plan_resume", """WITH done AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM done), p AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders)
-SELECT (SELECT count(*) FROM p) AS planned, (SELECT count(*) FROM done) AS recorded, (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM done)) AS pending, (SELECT min(p.k) - 1 FROM p WHERE id NOT IN (SELECT id FROM done)) AS contiguous_prefix""")
+SELECT (SELECT count(*) FROM p) AS planned, (SELECT count(*) FROM done) AS recorded, (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM done)) AS pending, coalesce((SELECT min(p.k) - 1 FROM p WHERE id NOT IN (SELECT id FROM done)), (SELECT count(*) FROM p)) AS contiguous_prefix""")
 def plan_resume(spark, sf_dir):
     """A plan against its records: what is pending, and how long the completed prefix is."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("done"))
-    gap = o.where("NOT done").agg(F.min("id").alias("first_gap"))
-    rows = o.join(F.broadcast(gap))  # one row
-    return rows.agg(F.count("*").alias("planned"), F.count_if("done").alias("recorded"), F.count_if(~F.col("done")).alias("pending"), F.count_if(F.col("id") < F.col("first_gap")).alias("contiguous_prefix"))
+    return M.resume_state(o)
 
 
-@query("template_cycle", "WITH t AS (SELECT p_partkey, p_type, p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part WHERE p_partkey <= 20) SELECT CAST(i AS BIGINT) AS idx, 'B' || lpad(CAST(i AS VARCHAR), 5, '0') AS sample_id, p_partkey AS template_id, p_type AS kind, least(50, greatest(1, p_size + i % 7 - 3)) AS size FROM generate_series(0, 499) AS g(i) JOIN t ON i % 20 = k")
+@query("template_cycle", """WITH t AS (SELECT p_partkey, p_type, p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS k, count(*) OVER () AS n FROM part), i AS (SELECT t.*, unnest(generate_series(k, 2 * n + n // 2 - 1, n)) AS i FROM t)
+SELECT CAST(i AS BIGINT) AS idx, 'B' || lpad(CAST(i AS VARCHAR), 8, '0') AS sample_id, p_partkey AS template_id, p_type AS kind, least(50, greatest(1, p_size + i % 7 - 3)) AS size FROM i""")
 def template_cycle(spark, sf_dir):
-    """Templates taken in turn and jittered within bounds."""
-    t = table(spark, sf_dir, "part").where("p_partkey <= 20").select("p_partkey", "p_type", "p_size")
-    t = t.withColumn("k", F.row_number().over(Window.orderBy("p_partkey")) - 1)  # twenty rows
-    i = F.col("id")
-    return spark.range(500).join(F.broadcast(t), i % 20 == F.col("k")).select(i.alias("idx"), F.concat(F.lit("B"), F.lpad(i.cast("string"), 5, "0")).alias("sample_id"), F.col("p_partkey").alias("template_id"), F.col("p_type").alias("kind"), F.least(F.lit(50).cast("long"), F.greatest(F.lit(1).cast("long"), F.col("p_size") + i % 7 - 3)).alias("size"))
+    """All templates taken in turn, two and a half times, and jittered within bounds."""
+    t = M.ranked_by(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", F.lit(0).alias("one")), ["one"], F.floor(F.col("p_partkey") / 4096), "p_partkey")
+    k, n, i = F.col("place") - 1, F.col("size"), F.col("i")
+    last = 2 * n + F.floor(n / 2) - 1
+    rows = t.withColumn("i", F.explode(F.when(last >= k, F.sequence(k, last, n))))
+    return rows.select(i.alias("idx"), F.concat(F.lit("B"), F.lpad(i.cast("string"), 8, "0")).alias("sample_id"), F.col("p_partkey").alias("template_id"), F.col("p_type").alias("kind"), F.least(F.lit(50).cast("long"), F.greatest(F.lit(1).cast("long"), F.col("p_size") + i % 7 - 3)).alias("size"))
 
 
 @query("date_overlap", """WITH d AS (SELECT o_custkey, list_distinct(flatten(list(regexp_extract_all('pair_' || strftime(o_orderdate, '%Y%m%d') || '_' || strftime(o_orderdate + INTERVAL 12 DAY, '%Y%m%d'), '[0-9]{8}')))) AS dates FROM orders GROUP BY o_custkey)
@@ -126,10 +133,18 @@ def review_receipts(spark, sf_dir):
     return r.agg(F.count("*").alias("samples"), F.count("receipt").alias("accepted"), F.count_if(F.col("receipt") == F.col("current")).alias("unchanged"), F.count_if(F.col("receipt") != F.col("current")).alias("stale"))
 
 
-@query("template_gate", "SELECT count(*) AS templates, count(DISTINCT p_partkey) AS groups, count(*) = 20 AND count(DISTINCT p_partkey) = 20 AND bool_and(p_size BETWEEN 1 AND 50) AS accepted FROM part WHERE p_partkey <= 20")
+@query("template_gate", """WITH r AS (SELECT user_id, arg_max(event_type, event_id) AS status, arg_max(md5(props), event_id) AS current, arg_max(md5(props), event_id) FILTER (event_type = 'purchase') AS receipt, arg_max(md5(event_type || ':' || CAST(value AS VARCHAR)), event_id) FILTER (event_type = 'purchase') AS label_receipt, arg_max(md5(event_type || ':' || CAST(value AS VARCHAR)), event_id) AS label FROM events GROUP BY user_id)
+SELECT count(*) AS templates, count(*) FILTER (status = 'purchase') AS accepted, count(*) FILTER (status = 'purchase' AND receipt = current AND label_receipt = label) AS unchanged, count(DISTINCT current) FILTER (status = 'purchase') AS groups, count(*) FILTER (status = 'purchase' AND receipt = current AND label_receipt = label) = 20 AND count(DISTINCT current) FILTER (status = 'purchase') = 20 AS gate FROM r""")
 def template_gate(spark, sf_dir):
-    t = table(spark, sf_dir, "part").where("p_partkey <= 20")
-    return t.agg(F.count("*").alias("templates"), F.countDistinct("p_partkey").alias("groups"), F.every(F.col("p_size").between(1, 50)).alias("sizes")).select("templates", "groups", ((F.col("templates") == 20) & (F.col("groups") == 20) & F.col("sizes")).alias("accepted"))
+    """Templates whose last state is accepted and whose content and label are those of the receipt; the gate wants twenty of twenty groups."""
+    accepted, last = F.col("event_type") == "purchase", lambda c: F.max_by(c, "event_id")
+    receipt = lambda c: F.max_by(F.when(accepted, c), F.when(accepted, F.col("event_id")))
+    content, label = F.md5("props"), F.md5(F.concat_ws(":", "event_type", F.col("value").cast("string")))
+    r = table(spark, sf_dir, "events").groupBy("user_id").agg(last(F.col("event_type")).alias("status"), last(content).alias("current"), receipt(content).alias("receipt"), last(label).alias("label"), receipt(label).alias("label_receipt"))
+    ok = F.col("status") == "purchase"
+    same = ok & (F.col("receipt") == F.col("current")) & (F.col("label_receipt") == F.col("label"))
+    out = r.agg(F.count("*").alias("templates"), F.count_if(ok).alias("accepted"), F.count_if(same).alias("unchanged"), F.countDistinct(F.when(ok, F.col("current"))).alias("groups"))
+    return out.withColumn("gate", (F.col("unchanged") == 20) & (F.col("groups") == 20))
 
 
 @query("first_per_category", "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) SELECT source, doc_id, k FROM r WHERE k <= 3")
@@ -141,9 +156,8 @@ def first_per_category(spark, sf_dir):
 @query("quantile_picks", "WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents), t AS (SELECT DISTINCT lang, CAST(floor(i * (n - 1) / 4.0) AS BIGINT) AS k FROM r, generate_series(0, 4) AS g(i)) SELECT lang, doc_id, k FROM r JOIN t USING (lang, k)")
 def quantile_picks(spark, sf_dir):
     """Rows at evenly spaced ranks."""
-    w = Window.partitionBy("lang")
-    r = table(spark, sf_dir, "documents").select("lang", "doc_id", (F.row_number().over(w.orderBy("n_chars", "doc_id")) - 1).cast("long").alias("k"), F.count("*").over(w).alias("n"))
-    wanted = F.array(*(F.floor(i * (F.col("n") - 1) / 4.0) for i in range(5)))
+    r = M.ranked_by(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), ["lang"], F.col("n_chars"), "doc_id").withColumn("k", F.col("place") - 1)
+    wanted = F.array(*(F.floor(i * (F.col("size") - 1) / 4.0) for i in range(5)))
     return r.where(F.array_contains(wanted, F.col("k"))).select("lang", "doc_id", "k")
 
 
@@ -189,12 +203,13 @@ def counts_by_key(spark, sf_dir):
     return table(spark, sf_dir, "orders").cube(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 100000).alias("with_water"))
 
 
-@query("paired_rows", "WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F') SELECT a.o_orderkey AS baseline, b.o_orderkey AS matched FROM a JOIN b USING (k) WHERE k <= 1000")
+@query("paired_rows", """WITH o AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS place FROM orders)
+SELECT coalesce(a.place, b.place) AS place, coalesce(a.o_orderkey, -1) AS baseline, coalesce(b.o_orderkey, -1) AS matched FROM (SELECT * FROM o WHERE o_orderstatus = 'O') a FULL JOIN (SELECT * FROM o WHERE o_orderstatus = 'F') b USING (place)""")
 def paired_rows(spark, sf_dir):
-    """Two exports paired by position, over their first thousand rows."""
-    o = table(spark, sf_dir, "orders")
-    first = lambda s, name: o.where(F.col("o_orderstatus") == s).orderBy("o_orderkey").limit(1000).select(F.col("o_orderkey").alias(name), F.row_number().over(Window.orderBy("o_orderkey")).alias("k"))
-    return first("O", "baseline").join(first("F", "matched"), "k").select("baseline", "matched")
+    """Two whole exports paired by position; the partner of a row that the shorter one lacks is -1."""
+    o = M.ranked_by(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"], F.floor(F.col("o_orderkey") / 4096), "o_orderkey")
+    side = lambda s, name: o.where(F.col("o_orderstatus") == s).select((F.col("place") - 1).alias("place"), F.col("o_orderkey").alias(name))
+    return side("O", "baseline").join(side("F", "matched"), "place", "full_outer").na.fill(-1, ["baseline", "matched"])
 
 
 @query("run_consistency", "SELECT count(DISTINCT o_orderstatus) AS n_o_orderstatus, count(DISTINCT year(o_orderdate) > 1900) AS n_era, count(DISTINCT o_orderstatus) = 1 AND count(DISTINCT year(o_orderdate) > 1900) = 1 AS consistent FROM orders")
@@ -206,10 +221,9 @@ def run_consistency(spark, sf_dir):
 SELECT draw, n_nationkey FROM d JOIN c ON u * total >= hi - w AND u * total < hi""")
 def weighted_draws(spark, sf_dir):
     """Draws with replacement, by weight: one lookup in the cumulative weights a draw."""
-    c = table(spark, sf_dir, "nation").select("n_nationkey", (1 + F.col("n_regionkey")).alias("w")).withColumn("hi", F.sum("w").over(Window.orderBy("n_nationkey")))
-    whole = c.agg(F.sort_array(F.collect_list(F.struct("hi", "n_nationkey"))).alias("c"), F.max("hi").alias("total"))  # one row of scene weights
-    d = spark.range(2000).select(F.col("id").alias("draw"), uniform(12, "weighted", "id").alias("u")).join(F.broadcast(whole))
-    return d.select("draw", F.get(F.filter("c", lambda s: s["hi"] > F.col("u") * F.col("total")), F.lit(0))["n_nationkey"].alias("n_nationkey"))
+    c = table(spark, sf_dir, "nation").select("n_nationkey", (1 + F.col("n_regionkey")).alias("w"))
+    d = spark.range(2000).select(F.col("id").alias("draw"), uniform(12, "weighted", "id").alias("u"))
+    return M.weighted_picks(c, d, "n_nationkey", "w").select("draw", "n_nationkey")
 
 
 @query("set_operations", "SELECT 'both' AS part, count(*) AS n FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT 'only_customers', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'either', count(*) FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer)")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import raster as R
-from gridloom.operators.regions import regions, labelled_runs
+from gridloom.operators.regions import labelled_runs, labelled_tiles, regions
 from gridloom.plans.catalog import query
+from gridloom.session import staged
 from gridloom.sources.tables import table
 
 N = 8
@@ -99,7 +102,7 @@ lab AS (SELECT vec_id, p, min(q) AS label FROM walk GROUP BY ALL)"""
  count(*) AS area_px, min(m.x) AS x0, min(m.y) AS y0, max(m.x) + 1 AS x1, max(m.y) + 1 AS y1, round(sqrt(count(*)), 6) AS equivalent_width
  FROM lab l JOIN m USING (vec_id, p) GROUP BY l.vec_id, label""")
 def raster_regions(spark, sf_dir):
-    found = regions(R.pixels(_mask(spark, sf_dir), N, "vec_id"), "vec_id", N)
+    found = regions(labelled_tiles(_mask(spark, sf_dir), "vec_id", N), "vec_id")
     return found.drop("runs").withColumn("equivalent_width", F.round("equivalent_width", 6))
 
 
@@ -171,14 +174,14 @@ def tile_fusion(spark, sf_dir):
 
 
 @query("raster_standardised", f"""WITH {PIX}, s AS (SELECT vec_id, avg(v) AS m, greatest(stddev_pop(v), 1e-12) AS d, min(v) AS lo, max(v) AS hi, max(abs(v)) AS peak FROM pix GROUP BY vec_id)
-SELECT vec_id, y, x, round((v - m) / d, 6) AS z, round((v - lo) / (hi - lo), 6) AS unit, round(CASE WHEN peak <= 1e-6 THEN 0 ELSE abs(v) / peak END, 6) AS target FROM pix JOIN s USING (vec_id)""")
+SELECT vec_id, y, x, round((v - m) / d, 6) AS z, round((v - lo) / greatest(hi - lo, 1e-12), 6) AS unit, round(CASE WHEN peak <= 1e-6 THEN 0 ELSE abs(v) / peak END, 6) AS target FROM pix JOIN s USING (vec_id)""")
 def raster_standardised(spark, sf_dir):
     """Standard score (population deviation), min-max scale and detection target of each tile."""
     total = lambda f: F.aggregate("data", F.lit(0.0), f)
     t = _tiles(spark, sf_dir).withColumn("m", total(lambda a, v: a + v) / (N * N)).withColumn("lo", F.array_min("data")).withColumn("hi", F.array_max("data"))
     t = t.withColumn("d", F.greatest(F.sqrt(F.aggregate("data", F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m"))) / (N * N)), F.lit(1e-12))).withColumn("peak", F.greatest(F.abs("lo"), F.abs("hi")))
     one = lambda f: F.transform("data", lambda v: F.round(f(v), 6))
-    t = t.select("vec_id", one(lambda v: (v - F.col("m")) / F.col("d")).alias("z"), one(lambda v: (v - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("unit"), one(lambda v: F.when(F.col("peak") <= 1e-6, 0.0).otherwise(F.abs(v) / F.col("peak"))).alias("target"))
+    t = t.select("vec_id", one(lambda v: (v - F.col("m")) / F.col("d")).alias("z"), one(lambda v: (v - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))).alias("unit"), one(lambda v: F.when(F.col("peak") <= 1e-6, 0.0).otherwise(F.abs(v) / F.col("peak"))).alias("target"))
     return _long(t, "z", "unit", "target")
 
 
@@ -229,9 +232,72 @@ def positive_blocks(spark, sf_dir):
     return p.agg(F.sum("v").alias("positive_px"), F.max("v").alias("positive"), F.count("*").alias("n")).where("n = 16").drop("n")
 
 
-@query("crop_equality", f"""WITH {PIX}, a AS (SELECT vec_id, y - 2 AS y, x - 1 AS x, v FROM pix WHERE y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 4) SELECT a.vec_id, count(*) AS compared, CAST(sum(CASE WHEN a.v <> b.v THEN 1 ELSE 0 END) AS BIGINT) AS different FROM a JOIN pix b ON b.vec_id = a.vec_id AND b.y = a.y + 2 AND b.x = a.x + 1 GROUP BY a.vec_id""")
+@query("crop_equality", f"""WITH {PIX}, a AS (SELECT vec_id, y - 2 AS y, x - 1 AS x, CAST(floor(v * 128 + 0.5) AS INTEGER) AS level FROM pix WHERE y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 4)
+SELECT a.vec_id, count(*) AS compared, CAST(sum(CASE WHEN abs(a.level / 128.0::DOUBLE - b.v) > 0.003 THEN 1 ELSE 0 END) AS BIGINT) AS different FROM a JOIN pix b ON b.vec_id = a.vec_id AND b.y = a.y + 2 AND b.x = a.x + 1 GROUP BY a.vec_id""")
 def crop_equality(spark, sf_dir):
-    """A tile's pixels against the crop of its source."""
+    """Crops stored as 8-bit levels with their offsets, against the tiles that they were cut from: pixels further off than 0.003."""
     p = R.pixels(_tiles(spark, sf_dir), N, "vec_id")
-    a = p.where("y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 4").select("vec_id", F.col("y").alias("y"), F.col("x").alias("x"), F.col("v").alias("va"))
-    return a.join(p, ["vec_id", "y", "x"]).groupBy("vec_id").agg(F.count("*").alias("compared"), F.sum((F.col("va") != F.col("v")).cast("int")).alias("different"))
+    cut = p.where("y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 4").select("vec_id", (F.col("y") - 2).alias("y"), (F.col("x") - 1).alias("x"), F.floor(F.col("v") * 128 + 0.5).cast("int").alias("level"))
+    return R.crop_differences(staged(cut, "crops"), p, 2, 1, 0.003, "vec_id")
+
+
+@query("raster_cumsum", f"""WITH {PIX}, r AS (SELECT vec_id, y, x, sum(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS s FROM pix) SELECT vec_id, y, x, round(sum(s) OVER (PARTITION BY vec_id, x ORDER BY y), 6) AS total FROM r""")
+def raster_cumsum(spark, sf_dir):
+    """Cumulative sums along both axes."""
+    return R.cumulative(R.pixels(_tiles(spark, sf_dir), N, "vec_id"), "vec_id").withColumn("v", F.round("v", 6)).withColumnRenamed("v", "total")
+
+
+@query("raster_wide_mean", f"""WITH {PIX}, o AS (SELECT a.d AS dy, b.d AS dx FROM generate_series(-3, 3) AS a(d), generate_series(-3, 3) AS b(d))
+SELECT p.vec_id, p.y, p.x, round(avg(q.v), 6) AS mean FROM pix p, o, pix q
+WHERE q.vec_id = p.vec_id AND q.y = (CASE WHEN p.y + dy < 0 THEN -(p.y + dy) WHEN p.y + dy > 7 THEN 14 - (p.y + dy) ELSE p.y + dy END)
+ AND q.x = (CASE WHEN p.x + dx < 0 THEN -(p.x + dx) WHEN p.x + dx > 7 THEN 14 - (p.x + dx) ELSE p.x + dx END) GROUP BY ALL""")
+def raster_wide_mean(spark, sf_dir):
+    """A 7 x 7 mean by cumulative sums: four look-ups a pixel, whatever the width."""
+    return R.wide_mean(_tiles(spark, sf_dir), 7, N, N, "vec_id").withColumn("v", F.round("v", 6)).withColumnRenamed("v", "mean")
+
+
+@query("raster_padded", f"""WITH {PIX}, o AS (SELECT CAST(a.d AS INTEGER) AS y, CAST(b.d AS INTEGER) AS x FROM generate_series(0, 11) AS a(d), generate_series(0, 11) AS b(d)), k AS (SELECT DISTINCT vec_id FROM pix)
+SELECT k.vec_id, o.y, o.x, round(r.v, 6) AS reflected, round(e.v, 6) AS edge, round(coalesce(c.v, 0), 6) AS constant FROM k, o
+JOIN pix r ON r.y = (CASE WHEN o.y < 2 THEN 2 - o.y WHEN o.y > 9 THEN 16 - o.y ELSE o.y - 2 END) AND r.x = (CASE WHEN o.x < 2 THEN 2 - o.x WHEN o.x > 9 THEN 16 - o.x ELSE o.x - 2 END)
+JOIN pix e ON e.vec_id = r.vec_id AND e.y = least(7, greatest(0, o.y - 2)) AND e.x = least(7, greatest(0, o.x - 2)) LEFT JOIN pix c ON c.vec_id = r.vec_id AND c.y = o.y - 2 AND c.x = o.x - 2 WHERE r.vec_id = k.vec_id""")
+def raster_padded(spark, sf_dir):
+    """Tiles with a border of two pixels in the three modes."""
+    t = _tiles(spark, sf_dir).select("vec_id", *(R.padded(F.col("data"), 2, mode, N, N).alias(mode) for mode in ("reflected", "edge", "constant")))
+    rows = t.select("vec_id", F.posexplode(F.arrays_zip("reflected", "edge", "constant")).alias("pos", "p"))
+    return rows.select("vec_id", F.floor(F.col("pos") / (N + 4)).cast("int").alias("y"), (F.col("pos") % (N + 4)).cast("int").alias("x"), *(F.round(f"p.{c}", 6).alias(c) for c in ("reflected", "edge", "constant")))
+
+
+@query("majority_mask", f"WITH {PIX} SELECT vec_id, y // 2 AS by, x // 2 AS bx, CASE WHEN avg(CASE WHEN v >= 0 THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 1 ELSE 0 END AS water FROM pix GROUP BY ALL")
+def majority_mask(spark, sf_dir):
+    """A block is water if at least half of its pixels are."""
+    wet = R.pixels(_tiles(spark, sf_dir), N, "vec_id").withColumn("v", (F.col("v") >= 0).cast("double"))
+    return R.block_mean(wet, 2, "vec_id").select("vec_id", "by", "bx", (F.col("mean") >= 0.5).cast("int").alias("water"))
+
+
+@query("scene_scalars", f"""WITH {PIX} SELECT vec_id, round(max(v), 6) AS peak, round(min(v), 6) AS least, round(100 * avg(CASE WHEN v >= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS percent, round(sum(v), 6) AS total, round((max(v) - min(v)) / (2 * pi()), 6) AS cycles,
+ count(*) FILTER (v >= 0.05 AND v >= 0.1 * (x - 3)) AS overlap_px, (max(v) - min(v)) * 8 BETWEEN 2 AND 8 AND 100 * avg(CASE WHEN v >= 0.05 THEN 1.0 ELSE 0.0 END) BETWEEN 1.5 AND 40 AS accepted FROM pix GROUP BY vec_id""")
+def scene_scalars(spark, sf_dir):
+    """Scalars of each scene, and whether it is accepted: range in cycles (here of eight times the values) within 2 to 8, positive area within 1.5 to 40 %."""
+    v, set_ = F.col("v"), F.col("v") >= 0.05
+    p = R.pixels(_tiles(spark, sf_dir), N, "vec_id").groupBy("vec_id")
+    percent, extent = 100 * F.avg(set_.cast("double")), F.max("v") - F.min("v")
+    out = p.agg(F.round(F.max("v"), 6).alias("peak"), F.round(F.min("v"), 6).alias("least"), percent.alias("p"), F.round(F.sum("v"), 6).alias("total"), extent.alias("e"), F.count_if(set_ & (v >= 0.1 * (F.col("x") - 3))).alias("overlap_px"))
+    return out.select("vec_id", "peak", "least", F.round("p", 6).alias("percent"), "total", F.round(F.col("e") / (2 * math.pi), 6).alias("cycles"), "overlap_px", R.acceptable(F.col("e") * 8, F.col("p")).alias("accepted"))
+
+
+@query("threshold_range", f"""WITH {PIX}, t AS (SELECT CAST(unnest([0.01, 0.02, 0.05, 10, 10.5, 'NaN'::DOUBLE, 'Infinity'::DOUBLE]) AS DOUBLE) AS t)
+SELECT vec_id, CASE WHEN isnan(t) THEN 'nan' WHEN isinf(t) THEN 'inf' ELSE CAST(CAST(t * 100 AS INTEGER) AS VARCHAR) END AS threshold, t BETWEEN 0.02 AND 10 AS valid, CASE WHEN t BETWEEN 0.02 AND 10 THEN count(*) FILTER (abs(v) >= t) ELSE -1 END AS area FROM pix, t GROUP BY vec_id, t""")
+def threshold_range(spark, sf_dir):
+    """Candidate masks for thresholds given by a user: outside 0.02 to 10, or not finite, there is no mask (area -1)."""
+    wanted = F.explode(F.array(*map(F.lit, (0.01, 0.02, 0.05, 10.0, 10.5, float("nan"), float("inf")))))
+    t = _tiles(spark, sf_dir).withColumn("t", wanted)
+    valid = ~F.isnan("t") & F.col("t").between(0.02, 10)
+    name = F.when(F.isnan("t"), "nan").when(F.col("t") > 1e300, "inf").otherwise(F.round(F.col("t") * 100).cast("int").cast("string"))
+    return t.select("vec_id", name.alias("threshold"), valid.alias("valid"), F.when(valid, F.size(F.filter("data", lambda v: F.abs(v) >= F.col("t"))).cast("long")).otherwise(F.lit(-1).cast("long")).alias("area"))
+
+
+@query("phase_components", f"WITH {PIX} SELECT vec_id, y, x, round(sin(v * 8), 6) AS sine, round(cos(v * 8), 6) AS cosine FROM pix")
+def phase_components(spark, sf_dir):
+    """Phases (here eight times the values) as their sine and cosine, the two channels of a model input."""
+    t = _tiles(spark, sf_dir).select("vec_id", F.transform("data", lambda v: F.round(F.sin(v * 8), 6)).alias("sine"), F.transform("data", lambda v: F.round(F.cos(v * 8), 6)).alias("cosine"))
+    return _long(t, "sine", "cosine")

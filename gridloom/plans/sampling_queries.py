@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from gridloom.functions import mathx as M
-from gridloom.operators import fields, raster, scenarios
+from gridloom.operators import fields, manifests, raster
 from gridloom.plans.catalog import query
 from gridloom.plans.field_queries import rng
 from gridloom.plans.raster_queries import PIX, N, _tiles
@@ -73,11 +73,8 @@ def positive_crops(spark, sf_dir):
 SELECT draw, vec_id FROM d JOIN s ON s.c = d.c AND s.k = CAST(floor(d.u * s.n) AS BIGINT)""")
 def balanced_draws(spark, sf_dir):
     """Draws that alternate between two classes, each scene of a class as likely as another."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("c")
     s = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("c"))
-    s = s.withColumn("k", (F.row_number().over(w.orderBy("vec_id")) - 1).cast("long"))
+    s = manifests.ranked_by(s, ["c"], F.floor(F.col("vec_id") / 4096), "vec_id").withColumn("k", F.col("place") - 1)
     n = s.groupBy("c").agg(F.count("*").alias("n"))
     d = spark.range(1000).select(F.col("id").alias("draw"), (F.col("id") % 2).cast("int").alias("c"), M.uniform(51, "scene", "id").alias("u")).join(F.broadcast(n), "c")  # two rows
     return d.withColumn("k", F.floor(F.col("u") * F.col("n"))).join(s, ["c", "k"]).select("draw", "vec_id")
@@ -159,32 +156,12 @@ def scope_exclusion(spark, sf_dir):
     return left.groupBy("vec_id").agg(F.count("*").alias("px"))
 
 
-SCALED = lambda stream, lo, hi, key="i": f"({lo} + {rng(71, stream, key)} * ({hi} - ({lo})))"
-BY = lambda stream, ranges: "CASE fp " + " ".join(f"WHEN '{n}' THEN {SCALED(stream, float(a), float(b), 's_key')}" for n, (a, b) in ranges.items()) + " END"
-
-
-@query("drawn_sources", f"""WITH p AS (SELECT i, ['single', 'overlap', 'separated', 'edge', 'small', 'negative'][i % 6 + 1] AS c, ['gentle', 'irregular', 'rectangular'][i % 3 + 1] AS fp, 1000.0::DOUBLE + 10 * (i % 100) AS ext FROM generate_series(0, 599) AS g(i)),
-r AS (SELECT *, 0.08::DOUBLE * ext * CASE WHEN c = 'small' THEN 0.6::DOUBLE ELSE 1 END AS r, {SCALED('theta', '-pi()', 'pi()')} AS theta, {SCALED('east', '-0.16::DOUBLE', '0.16::DOUBLE')} AS ue, {SCALED('north', '-0.16::DOUBLE', '0.16::DOUBLE')} AS un FROM p),
-s AS (SELECT *, unnest(CASE WHEN c IN ('overlap', 'separated') THEN [0, 1] ELSE [0] END) AS source FROM r),
-k AS (SELECT *, CAST(i AS VARCHAR) || ':' || CAST(source AS VARCHAR) AS s_key, (source - 0.5::DOUBLE) * r * CASE c WHEN 'overlap' THEN 1.2::DOUBLE WHEN 'separated' THEN 4.5::DOUBLE ELSE 0 END AS away, theta + CASE WHEN fp = 'rectangular' THEN 0 ELSE pi() / 2 END AS turn FROM s)
-SELECT CAST(i AS BIGINT) AS scene_id, source, c <> 'negative' AS enabled, round(CASE WHEN c = 'edge' THEN 0.44::DOUBLE ELSE ue END * ext + away * cos(turn), 4) AS east_m, round(un * ext + away * sin(turn), 4) AS north_m,
- round(r * {BY('length', scenarios.LENGTH)}, 4) AS length_m, round(r * {BY('width', scenarios.WIDTH)}, 4) AS width_m, round(degrees(theta) + {BY('turn', scenarios.TURN)}, 4) AS bearing_deg, round(greatest(50, r * {BY('depth', scenarios.DEPTH)}), 4) AS depth_m FROM k""")
-def drawn_sources(spark, sf_dir):
-    """Sources of scenes of six cases and three footprints."""
-    i = F.col("id")
-    of = lambda names, n: F.get(F.array(*map(F.lit, names)), (i % n).cast("int"))
-    plan = spark.range(600).select(i.alias("scene_id"), of(("single", "overlap", "separated", "edge", "small", "negative"), 6).alias("case"), of(("gentle", "irregular", "rectangular"), 3).alias("footprint"), (1000.0 + 10 * (i % 100)).alias("extent_m"), F.lit(0.08).alias("radius"))
-    out = scenarios.drawn_sources(plan, 71)
-    return out.select("scene_id", "source", "enabled", *(F.round(c, 4).alias(c) for c in ("east_m", "north_m", "length_m", "width_m", "bearing_deg", "depth_m")))
-
-
-@query("review_scaffold", f"""SELECT 'S' || lpad(CAST(i + 1 AS VARCHAR), 2, '0') AS sample_id, CAST(1000 + i * 7919 AS BIGINT) AS seed, CASE WHEN i = 17 THEN 'single' ELSE {scenarios.CASES}[i % 10 + 1] END AS "case", CAST({scenarios.CYCLES}[i % 10 + 1] AS DOUBLE) AS cycles, {scenarios.EXTENT_M}[i % 10 + 1] AS extent_m, CAST(CASE WHEN i = 17 THEN 0.065 ELSE {scenarios.RADIUS}[i % 10 + 1] END AS DOUBLE) AS radius, i IN (4, 8, 14, 18) AS water FROM generate_series(0, 19) AS g(i)""")
-def review_scaffold(spark, sf_dir):
-    return scenarios.scaffold(spark, 1000)
-
-
-@query("circular_observation")
+@query("circular_observation", f"""WITH {PIX}, o AS (SELECT vec_id, y, x, v + 0.3 * sqrt(-2 * ln(1 - {rng(81, 'r', "vec_id || ':' || y || ':' || x || ':' || k")})) * cos(2 * pi() * {rng(81, 'a', "vec_id || ':' || y || ':' || x || ':' || k")}) AS p FROM pix, generate_series(0, 3) AS g(k))
+SELECT vec_id AS scene_id, y, x, round(atan2(avg(sin(p)), avg(cos(p))), 6) AS observed_rad, round(sqrt(avg(sin(p)) * avg(sin(p)) + avg(cos(p)) * avg(cos(p))), 6) AS strength FROM o GROUP BY vec_id, y, x""")
 def circular_observation(spark, sf_dir):
-    """Tiles as phases, observed through von Mises noise."""
-    p = raster.pixels(_tiles(spark, sf_dir), N, "vec_id").select(F.col("vec_id").alias("scene_id"), "y", "x", F.col("v").alias("phase_rad"))
-    return scenarios.circular_observation(p, 0.3, 16, "scene_id long, y int, x int, phase_rad double, observed_rad double, strength double")
+    """Tiles as phases, observed in four looks with normal noise: angle and length of the mean phasor."""
+    p = raster.pixels(_tiles(spark, sf_dir), N, "vec_id").select("vec_id", "y", "x", "v", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
+    u = lambda stream: M.uniform(81, stream, "vec_id", "y", "x", "k")
+    noisy = F.col("v") + 0.3 * F.sqrt(-2 * F.log(1 - u("r"))) * F.cos(2 * math.pi * u("a"))
+    means = p.withColumn("p", noisy).groupBy(F.col("vec_id").alias("scene_id"), "y", "x").agg(F.avg(F.sin("p")).alias("s"), F.avg(F.cos("p")).alias("c"))
+    return means.select("scene_id", "y", "x", F.round(F.atan2("s", "c"), 6).alias("observed_rad"), F.round(F.sqrt(F.col("s") * F.col("s") + F.col("c") * F.col("c")), 6).alias("strength"))

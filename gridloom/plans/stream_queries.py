@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from gridloom.plans.catalog import query
 from gridloom.streaming import jobs
 
@@ -11,4 +9,4 @@ from gridloom.streaming import jobs
 @query("stream_windows", "SELECT CAST(floor(epoch(date_trunc('day', ts))) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     """Tumbling windows of a day over the event stream."""
-    return jobs.drained(jobs.windowed(jobs.event_stream(spark, sf_dir)), f"windows_{uuid.uuid4().hex}")
+    return jobs.drained(jobs.windowed(jobs.event_stream(spark, sf_dir)))

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from gridloom.session import shared_folder
+
 MANIFEST = "scene_id string, group_id string, split string, category string, image string, mask string, arrays string, metadata string"
 SAMPLE = "id string, group_id string, source string, status string, split string, case string, style string, template_id string, template_revision int, label_percent double, water_percent double, warnings array<string>"
 LABELME = "imagePath string, imageWidth int, imageHeight int, shapes array<struct<label:string,shape_type:string,points:array<array<double>>,mask:string>>"
@@ -24,6 +27,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("header", True).csv(path)
 
 
+def write_manifest(rows: DataFrame) -> str:
+    """rows as CSV with the manifest's columns, absent ones null, in the shared folder; gives the path."""
+    names = [c.split()[0] for c in MANIFEST.split(", ")]
+    path = f"{shared_folder(rows.sparkSession)}/gridloom-manifest-{uuid.uuid4().hex}"
+    rows.select(*(F.col(n).cast("string") if n in rows.columns else F.lit(None).cast("string").alias(n) for n in names)).write.option("header", True).csv(path)
+    return path
+
+
 def read_batch_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The samples of a JSON manifest, one row each, with the header's name."""
     whole = spark.read.schema(f"name string, samples array<struct<{SAMPLE.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double').replace(' array', ':array')}>>").json(path, multiLine=True)
@@ -41,17 +52,20 @@ def save_scenes(pixels: DataFrame, path: str) -> None:
 
 
 def read_bands(spark: SparkSession, path: str, *bands: str) -> DataFrame:
-    """NPZ files -> path, band, height, width, data (array<float>), of the named bands only."""
+    """NPZ files -> path, band, kind (type name), height, width, data (array<double>), of the named bands only; a band must have two axes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
                 with np.load(io.BytesIO(row.content), allow_pickle=False) as z:
-                    found = [(row.path, b, *z[b].shape, z[b].astype("f4").ravel()) for b in bands if b in z.files]
-                yield pd.DataFrame(found, columns=["path", "band", "height", "width", "data"])
+                    arrays = {b: z[b] for b in bands if b in z.files}
+                for b, a in arrays.items():
+                    if a.ndim != 2:
+                        raise ValueError(f"band {b} of {row.path} has {a.ndim} axes")
+                yield pd.DataFrame([(row.path, b, a.dtype.name, *a.shape, a.astype("f8").ravel()) for b, a in arrays.items()], columns=["path", "band", "kind", "height", "width", "data"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, band string, height int, width int, data array<float>")
+    return files.mapInPandas(run, "path string, band string, kind string, height int, width int, data array<double>")
 
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -70,57 +84,77 @@ def png(array: np.ndarray) -> bytes:
 
 
 def grey(data: bytes) -> np.ndarray:
-    """Pixels of an 8-bit grey PNG, of any row filter."""
+    """Values of a grey or indexed PNG of 1 or 8 bits, of any row filter."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
-    at, packed, width, height = 8, b"", 0, 0
+    at, packed, width, height, depth = 8, b"", 0, 0, 8
     while at < len(data):
         size, name = struct.unpack(">I4s", data[at : at + 8])
         body = data[at + 8 : at + 8 + size]
         if name == b"IHDR":
             width, height, depth, kind = struct.unpack(">IIBB", body[:10])
-            if (depth, kind) != (8, 0):
-                raise ValueError("only 8-bit grey masks are read")
+            if depth not in (1, 8) or kind not in (0, 3) or body[12]:
+                raise ValueError("only grey or indexed masks of 1 or 8 bits, not interlaced, are read")
         packed += body if name == b"IDAT" else b""
         at += size + 12
-    rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, width + 1)
-    out = np.zeros((height, width), np.uint8)
+    across = (width * depth + 7) // 8
+    rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, across + 1)
+    out = np.zeros((height, across), np.uint8)
     for y in range(height):
-        up = out[y - 1] if y else np.zeros(width, np.uint8)
+        up = out[y - 1] if y else np.zeros(across, np.uint8)
         line, how = rows[y, 1:], rows[y, 0]
         if how == 0:
             out[y] = line
+        elif how == 1:  # each byte adds to the one before it
+            out[y] = np.cumsum(line, dtype=np.uint64).astype(np.uint8)
         elif how == 2:
             out[y] = line + up
         else:
-            for x in range(width):
+            for x in range(across):
                 a, b, c = (int(out[y, x - 1]) if x else 0), int(up[x]), (int(up[x - 1]) if x else 0)
                 near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
-                out[y, x] = (int(line[x]) + (a if how == 1 else (a + b) // 2 if how == 3 else near)) % 256
-    return out
+                out[y, x] = (int(line[x]) + ((a + b) // 2 if how == 3 else near)) % 256
+    return np.unpackbits(out, axis=1)[:, :width] if depth == 1 else out
 
 
 def read_annotations(spark: SparkSession, path: str, label: str = "1") -> DataFrame:
-    """Annotation documents -> image, width, height, y, x of the pixels that any shape of the label sets.
+    """Annotation documents -> image (base name), width, height, y, x of the pixels that any shape sets.
 
-    Shapes are masks placed by their first point; unlabelled documents give no rows."""
+    Every shape must be a mask of the label, of values 0, 1 and 255, with two finite corners, inside its tile
+    when placed by the first corner, rounded; anything else fails the job with the rule's name. Documents without
+    shapes give no rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
-                y, x = np.nonzero(grey(r.mask) >= 128)
-                yield pd.DataFrame({"image": r.image, "width": r.width, "height": r.height, "y": (y + r.top).astype("i4"), "x": (x + r.left).astype("i4")})
+                def need(ok: bool, rule: str) -> None:
+                    if not ok:
+                        raise ValueError(f"{rule}: {r.image}")
+
+                need(r.label == label and r.shape_type == "mask" and r.mask is not None, "shape of another class or type")
+                points = [list(q) for q in r.points] if r.points is not None else []
+                need(len(points) == 2 and all(len(q) == 2 and np.isfinite(q).all() for q in points), "mask corners")
+                mask = grey(r.mask)
+                need(bool(np.isin(mask, (0, 1, 255)).all()), "mask values")
+                left, top = (int(np.rint(v)) for v in points[0])
+                need(0 <= left <= r.width - mask.shape[1] and 0 <= top <= r.height - mask.shape[0], "mask beyond its tile")
+                y, x = np.nonzero(mask)
+                yield pd.DataFrame({"image": r.image, "width": r.width, "height": r.height, "y": (y + top).astype("i4"), "x": (x + left).astype("i4")})
 
     docs = spark.read.schema(LABELME).json(path, multiLine=True)
-    shapes = docs.select(F.col("imagePath").alias("image"), F.col("imageWidth").alias("width"), F.col("imageHeight").alias("height"), F.explode("shapes").alias("s")).where((F.col("s.label") == label) & F.col("s.mask").isNotNull())
-    corner = lambda k: F.floor(F.get(F.get("s.points", F.lit(0)), F.lit(k))).cast("int")
-    rows = shapes.select("image", "width", "height", corner(1).alias("top"), corner(0).alias("left"), F.unbase64(F.substring_index("s.mask", ",", -1)).alias("mask"))
-    return rows.mapInPandas(run, "image string, width int, height int, y int, x int").where("y BETWEEN 0 AND height - 1 AND x BETWEEN 0 AND width - 1").distinct()
+    base = F.regexp_extract(F.regexp_replace("imagePath", r"\\\\", "/"), "([^/]*)$", 1)
+    shapes = docs.select(base.alias("image"), F.col("imageWidth").alias("width"), F.col("imageHeight").alias("height"), F.explode("shapes").alias("s"))
+    rows = shapes.select("image", "width", "height", "s.label", "s.shape_type", "s.points", F.unbase64(F.substring_index("s.mask", ",", -1)).alias("mask"))
+    return rows.mapInPandas(run, "image string, width int, height int, y int, x int").distinct()
 
 
 def placed(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Pixels of tiles in scene coordinates: tiles(image, x0, y0, x1, y1)."""
-    return pixels.join(tiles, "image").select("image", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"))
+    """Pixels of tiles in scene coordinates: tiles(image, x0, y0, x1, y1). An annotation without a tile, or of
+    another size than its tile, fails the job."""
+    rows = pixels.join(tiles, "image", "left")
+    rule = F.when(F.col("x0").isNull(), F.concat(F.lit("unmapped annotation: "), "image")).when((F.col("width") != F.col("x1") - F.col("x0")) | (F.col("height") != F.col("y1") - F.col("y0")), F.concat(F.lit("annotation and tile differ in size: "), "image"))
+    good = F.when(rule.isNull(), F.lit(True)).otherwise(F.raise_error(rule).cast("boolean"))
+    return rows.where(good).select("image", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"))
 
 
 @F.pandas_udf(StringType())

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.operators.fields import simulate
+from gridloom.session import shared_folder
 
 REQUEST = "scene_id long, depth double, turn double"
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -36,8 +39,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return by.agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total")).select("user_id", F.unix_seconds("session_window.start").alias("started"), "events", "total")
 
 
-def drained(result: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming aggregation over what is there now, and give its result table."""
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drained(result: DataFrame) -> DataFrame:
+    """Run a streaming aggregation over what is there now; each batch writes the whole result table to the shared
+    folder, and the last one is read back."""
+    spark = result.sparkSession
+    out = f"{shared_folder(spark)}/gridloom-stream-{uuid.uuid4().hex}"
+    write = lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/table")
+    query = result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return result.sparkSession.table(name)
+    return spark.read.schema(result.schema).parquet(f"{out}/table")

@@ -35,7 +35,12 @@ def test_regions_match_flood_fill(spark):
     masks = {k: np.random.default_rng(k).random((13, 17)) < 0.35 for k in range(6)}
     masks[6] = np.zeros((13, 17), bool)
     rows = [(k, int(y), int(x), 1) for k, m in masks.items() for y, x in zip(*np.nonzero(m))]
-    found = regions.regions(spark.createDataFrame(rows, "k int, y int, x int, v int"), "k", 17).toPandas()
+    runs = raster.runs(spark.createDataFrame(rows, "k int, y int, x int, v int"), "k")
+    tiles = spark.createDataFrame([(k, m.astype(int).ravel().tolist()) for k, m in masks.items()], "k int, data array<int>")
+    closure, inside = regions.labelled_runs(runs, "k", 17), regions.labelled_tiles(tiles, "k", 17)
+    names = ["k", "y", "lo", "hi", "id", "label"]
+    assert sorted(map(tuple, closure.select(names).collect())) == sorted(map(tuple, inside.select(names).collect()))
+    found = regions.regions(inside, "k").toPandas()
     for k, m in masks.items():
         assert sorted(found[found.k == k].area_px) == flood(m)
 
@@ -54,7 +59,8 @@ def test_spiral_region_is_one(spark):
         y, x = y + dy, x + dx
         m[y, x] = 1
     rows = [(0, int(a), int(b), 1) for a, b in zip(*np.nonzero(m))]
-    assert regions.regions(spark.createDataFrame(rows, "k int, y int, x int, v int"), "k", n).count() == len(flood(m))
+    runs = raster.runs(spark.createDataFrame(rows, "k int, y int, x int, v int"), "k")
+    assert regions.regions(regions.labelled_runs(runs, "k", n), "k").count() == len(flood(m)) == len({r[3] for r in regions.tile_runs(m)})
 
 
 def test_box_mean(spark):
@@ -150,11 +156,140 @@ def test_annotations_round_trip(spark, tmp_path):
         assert sorted(own.y * w + own.x) == [i for i, v in enumerate(data) if v]
 
 
+def mask_document(tmp_path, name, mask, left=0.0, top=0.0, size=(8, 8), **other):
+    import base64
+    import json
+
+    png = mask if isinstance(mask, bytes) else files.png(np.array(mask))
+    shape = {"label": "1", "shape_type": "mask", "points": [[left, top], [left + 1.0, top + 1.0]], "mask": base64.b64encode(png).decode()} | other
+    (tmp_path / f"{name}.json").write_text(json.dumps({"imagePath": f"dir\\\\{name}.png", "imageWidth": size[1], "imageHeight": size[0], "shapes": [shape]}))
+
+
+def test_annotation_values_and_corners(spark, tmp_path):
+    """Values of 1 count as set, corners are rounded, one-bit masks are read."""
+    import zlib
+
+    mask_document(tmp_path, "ones", [[0, 1], [1, 1]], 2.6, 1.4)
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    bits = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 1, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\xa0\0\x40")) + chunk(b"IEND", b"")
+    mask_document(tmp_path, "bits", bits)
+    got = {(r.image, r.y, r.x) for r in files.read_annotations(spark, str(tmp_path)).collect()}
+    assert got == {("ones.png", 1, 4), ("ones.png", 2, 3), ("ones.png", 2, 4), ("bits.png", 0, 0), ("bits.png", 0, 2), ("bits.png", 1, 1)}
+    tiles = spark.createDataFrame([("ones.png", 10, 20, 18, 28), ("bits.png", 0, 0, 8, 8)], "image string, x0 int, y0 int, x1 int, y1 int")
+    assert ("ones.png", 21, 14) in {tuple(r) for r in files.placed(files.read_annotations(spark, str(tmp_path)), tiles).collect()}
+    for bad, rule in ((tiles.where("image = 'bits.png'"), "unmapped annotation"), (tiles.withColumn("x1", F.col("x1") + 1), "differ in size")):
+        with pytest.raises(Exception, match=rule):
+            files.placed(files.read_annotations(spark, str(tmp_path)), bad).collect()
+
+
+@pytest.mark.parametrize("how,rule", [({"mask": [[0, 7]]}, "mask values"), ({"label": "2"}, "another class"), ({"shape_type": "polygon"}, "another class"), ({"points": [[0.0, 0.0]]}, "mask corners"), ({"left": 7.0}, "beyond its tile"), ({"top": -1.0}, "beyond its tile")])
+def test_annotations_refused(spark, tmp_path, how, rule):
+    mask_document(tmp_path, "a", **({"mask": [[0, 255]]} | {k: v for k, v in how.items() if k in ("mask", "left", "top")}), **{k: v for k, v in how.items() if k not in ("mask", "left", "top")})
+    with pytest.raises(Exception, match=rule):
+        files.read_annotations(spark, str(tmp_path)).collect()
+
+
+def test_png_filters():
+    """Rows of every filter kind decode to the same values."""
+    import zlib
+
+    a = np.random.default_rng(2).integers(0, 256, (5, 9), dtype=np.uint8).astype(int)
+    body = b""
+    for y, row in enumerate(a):
+        up = a[y - 1] if y else np.zeros(9, int)
+        left, corner = np.concatenate([[0], row[:-1]]), np.concatenate([[0], up[:-1]])
+        paeth = [min(((abs(int(u) - int(c)), 0, l), (abs(int(l) - int(c)), 1, u), (abs(int(l) + int(u) - 2 * int(c)), 2, c)))[2] for l, u, c in zip(left, up, corner)]
+        body += bytes([y]) + ((row - (0, left, up, (left + up) // 2, np.array(paeth))[y]) % 256).astype(np.uint8).tobytes()
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + b"0000"
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 9, 5, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body))
+    assert (files.grey(data) == a).all()
+
+
 def test_bands_and_hashes(spark, tmp_path):
     np.savez_compressed(tmp_path / "a.npz", dem=np.arange(6, dtype="f4").reshape(2, 3), other=np.zeros(2))
     got = files.read_bands(spark, str(tmp_path), "dem").collect()
-    assert [(r.band, r.height, r.width, r.data) for r in got] == [("dem", 2, 3, [0, 1, 2, 3, 4, 5])]
-    assert files.content_hashes(spark, str(tmp_path)).count() == 1
+    assert [(r.band, r.kind, r.height, r.width, r.data) for r in got] == [("dem", "float32", 2, 3, [0, 1, 2, 3, 4, 5])]
+    with pytest.raises(Exception, match="band other"):
+        files.read_bands(spark, str(tmp_path), "other").collect()
+    assert [(r.length, r.sha256) for r in files.content_hashes(spark, str(tmp_path)).collect()] == [((tmp_path / "a.npz").stat().st_size, hashlib.sha256((tmp_path / "a.npz").read_bytes()).hexdigest())]
+
+
+def test_manifests_are_read(spark, tmp_path):
+    import json
+
+    (tmp_path / "m.csv").write_text("scene_id,group_id,split,category,image,mask,arrays,metadata\ns1,g,train,c,i.png,m.png,a.npz,j.json\n")
+    assert files.read_manifest(spark, str(tmp_path / "m.csv")).first().asDict() == {"scene_id": "s1", "group_id": "g", "split": "train", "category": "c", "image": "i.png", "mask": "m.png", "arrays": "a.npz", "metadata": "j.json"}
+    (tmp_path / "m.json").write_text(json.dumps({"name": "b", "samples": [{"id": "x", "status": "draft", "split": "train", "template_revision": 3, "label_percent": 1.5, "warnings": ["w"]}, {"id": "y", "status": "accepted", "split": "train"}]}, indent=1))
+    m = files.read_batch_manifest(spark, str(tmp_path / "m.json"))
+    assert [(r.name, r.id, r.template_revision, r.warnings) for r in m.orderBy("id").collect()] == [("b", "x", 3, ["w"]), ("b", "y", None, None)]
+    assert [r.id for r in files.load_dataset(m, "train").collect()] == ["y"] and files.load_dataset(m, "train", True).count() == 2
+
+
+def test_scenes_are_not_overwritten(spark, tmp_path):
+    rows = spark.range(4).withColumn("split", F.when(F.col("id") < 2, "a").otherwise("b"))
+    files.save_scenes(rows, str(tmp_path / "s"))
+    assert sorted(p.name for p in (tmp_path / "s").glob("split=*")) == ["split=a", "split=b"] and spark.read.parquet(str(tmp_path / "s")).count() == 4
+    with pytest.raises(Exception, match="(?i)exists"):
+        files.save_scenes(rows, str(tmp_path / "s"))
+
+
+def test_scenes_validated_from_files(spark, tmp_path):
+    """Invariants over bands that were read from array files: a good scene passes, one with a wrong sum and one with a NaN are told."""
+    from gridloom.operators import scenes
+
+    r = np.random.default_rng(0)
+    settings = {"size": 4, "wavelength_m": 0.055, "incidence_deg": 35.0, "azimuth_deg": 80.0, "threshold_mm": 5.0}
+    for k in range(3):
+        f1, f2, east, north, re, im = (r.normal(0, 0.01, (4, 4)) for _ in range(6))
+        before = r.random((4, 4)) * 0.1
+        down = f1 + f2
+        i, a = np.radians(settings["incidence_deg"]), np.radians(settings["azimuth_deg"])
+        los = down * np.cos(i) - (east * np.sin(a) + north * np.cos(a)) * np.sin(i)
+        bands = {"before_m": before, "after_m": before + down, "down_m": down, "face_1_m": f1, "face_2_m": f2 + (0.01 if k == 1 else 0), "east_m": east, "north_m": north, "los_m": los, "phase_rad": -4 * np.pi * los / settings["wavelength_m"], "wrapped_rad": np.arctan2(im, re), "real": re, "imag": im}
+        if k == 2:
+            bands["before_m"][1, 1] = np.nan
+        np.savez(tmp_path / f"{k}.npz", **{n: v.astype("f8") for n, v in bands.items()}, mask=(down >= 0.005).astype("u1"))
+    bands = files.read_bands(spark, str(tmp_path), *scenes.BANDS)
+    found = {(x.path[-5], x.check): x.largest for x in scenes.checked(bands, spark.createDataFrame([tuple(settings.values())], ", ".join(f"{n} {'int' if n == 'size' else 'double'}" for n in settings))).collect()}
+    assert len(found) == 3 * len(scenes.TOLERANCES)
+    bad = {k for k, v in found.items() if not v <= scenes.TOLERANCES[k[1]]}
+    assert bad == {("1", "components"), ("2", "finite"), ("2", "epochs")}
+
+
+def test_wide_mean_and_padding(spark):
+    a = np.random.default_rng(1).random((9, 7))
+    df = spark.createDataFrame([(1, a.ravel().tolist())], "k int, data array<double>")
+    for size in (1, 3, 7):
+        p = size // 2
+        b = np.pad(a, p, mode="reflect")
+        want = np.lib.stride_tricks.sliding_window_view(b, (size, size)).mean((2, 3))
+        got = raster.wide_mean(df, size, 9, 7, "k").orderBy("y", "x").toPandas().v.to_numpy().reshape(9, 7)
+        assert np.allclose(got, want)
+    for mode, name in (("reflected", "reflect"), ("edge", "edge"), ("constant", "constant")):
+        assert np.allclose(np.reshape(df.select(raster.padded(F.col("data"), 2, mode, 9, 7)).first()[0], (13, 11)), np.pad(a, 2, mode=name))
+
+
+def test_finished_plan_and_flat_tile(spark):
+    plan = spark.createDataFrame([(1, True), (2, True)], "id long, done boolean")
+    assert tuple(manifests.resume_state(plan).first()) == (2, 2, 0, 2)
+    assert tuple(manifests.resume_state(plan.withColumn("done", F.col("id") == 1)).first()) == (2, 1, 1, 1)
+
+
+def test_weighted_picks(spark):
+    r = np.random.default_rng(5)
+    w = r.integers(0, 9, 50)
+    u = r.random(300)
+    items = spark.createDataFrame([(k * 1000, int(x)) for k, x in enumerate(w)], "k long, w int")
+    got = manifests.weighted_picks(items, spark.createDataFrame([(i, float(x)) for i, x in enumerate(u)], "i int, u double"), "k", "w").collect()
+    want = {i: 1000 * int(np.searchsorted(np.cumsum(w), x * w.sum(), side="right")) for i, x in enumerate(u)}
+    assert {x.i: x.k for x in got} == want and len(got) == 300
+
+
+def test_snapshots(spark):
+    before = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, t string")
+    after = spark.createDataFrame([(2, "B"), (3, None), (4, "d")], "k int, t string")
+    got = {r.k: r.change for r in manifests.changes(manifests.snapshot(before, "k", "t"), manifests.snapshot(after, "k", "t"), "k").collect()}
+    assert got == {1: "removed", 2: "altered", 3: "same", 4: "added"}
 
 
 def test_indexed_image(spark, tmp_path):
@@ -176,21 +311,10 @@ def test_scene_stream_restarts(spark, tmp_path):
 
 
 def test_session_stream(spark, sf):
-    s = jobs.drained(jobs.sessions(jobs.event_stream(spark, sf)), "sessions_test")
+    s = jobs.drained(jobs.sessions(jobs.event_stream(spark, sf)))
     assert s.agg(F.sum("events")).first()[0] == 1000
 
 
-def test_circular_observation(spark):
-    from gridloom.operators import scenarios
-
-    p = spark.createDataFrame([(1, y, x, 0.4 * y) for y in range(8) for x in range(8)], "scene_id long, y int, x int, phase_rad double")
-    schema = "scene_id long, y int, x int, phase_rad double, observed_rad double, strength double"
-    clean = scenarios.circular_observation(p, 0.0, 4, schema).toPandas()
-    assert np.allclose(clean.strength, 1) and np.allclose(np.exp(1j * clean.observed_rad), np.exp(1j * clean.phase_rad))
-    noisy = scenarios.circular_observation(p, 0.3, 64, schema).toPandas()
-    assert abs(np.angle(np.exp(1j * (noisy.observed_rad - noisy.phase_rad)))).max() < 0.25 and noisy.strength.between(0.8, 1).all()
-
-
 @pytest.mark.parametrize("space,n", [(64, 40), (48, 30), (2**32, 50)])
 def test_fresh_draws(spark, space, n):
     """Against the sequential loop: key after key, each draws until its seed is new."""
