@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.bpe import once
 
 KINDS = ("email", "ip", "card", "phone")
-EXAMPLES, PRECISION, TREES, DEPTH, RATE = 6000, 0.99, 60, 3, 0.2
+EXAMPLES, PRECISION, TREES, DEPTH, RATE = 12000, 0.99, 80, 4, 0.2
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -44,8 +44,8 @@ HIDDEN_DOMAIN = re.compile(r"(?ai) {0,2}[a-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\
 HIDDEN_IP = re.compile(r"(?ai)(?<![0-9])[0-9]{1,3}(?: ?(?:[(\[{](?:\.|dot)[)\]}]| dot |\.) ?[0-9]{1,3}){3}(?![0-9])")
 TLD = re.compile(r"(?ai)(?:com|org|net|edu|gov|io|info|de|fr|uk|eu|es|it|nl|ch|at)$")
 DIGITS = re.compile(r"\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}")
-CUES = {"email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b"), "ip": re.compile(r"(?i)\b(?:ip|address|host|server|login)\b"), "card": re.compile(r"(?i)\b(?:card|visa|master ?card|amex|credit|payment|pan)\b"), "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|cell|fax|ring)\b")}
-AGAINST = re.compile(r"(?i)\b(?:order|invoice|version|isbn|serial|id|ref|page|model|total)\b")
+CUES = {"email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b"), "ip": re.compile(r"(?i)\b(?:ip|address|host|server|login)\b"), "card": re.compile(r"(?i)\b(?:card|visa|master ?card|amex|credit|payment|pan)\b"), "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|cell|fax|ring|number|reach|text|dial|sms|whatsapp)\b")}
+AGAINST = re.compile(r"(?i)\b(?:order|invoice|version|isbn|serial|id|ref|page|model|total|item|account|part|case|year)\b")
 
 
 def luhn(digits: str) -> bool:
@@ -145,16 +145,19 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> Iterator[tuple[str, str, int,
             cue = r.choice(("email", "mail me", "contact", "write to", word()))
             ends = r.choice(("com", "org", "net", "de"))
             if true:
-                plain = r.random() < 0.2  # only the @ is hidden
-                span = f"{word()}{r.choice(('(at)', ' [at] ', ' (at) ', '[at]', ' at ' if r.random() < 0.4 or plain else ' {at} '))}{word()}{'.' if plain else r.choice((' dot ', '(dot)', ' [dot] '))}{ends}"
+                plain = r.random() < 0.3  # only the @ is hidden
+                mark = r.choice(("(at)", " [at] ", " (at) ", "[at]", " {at} ", " at ", " at "))
+                if mark == " at ":  # in plain words
+                    cue = r.choice(("email", "mail me", "contact", "write to", "reach me", "write"))
+                span = f"{word()}{mark}{word()}{'.' if plain else r.choice((' dot ', '(dot)', ' [dot] ')) if mark != ' at ' else ' dot '}{ends}"
                 span = span.upper() if r.random() < 0.2 else span
             else:
                 span = r.choice((f"{word()} at {word()} dot {word()}", f"{word()} at {word()}.{word().capitalize()}", f"{word()} at {word()}. {word().capitalize()}", f"{word()} at {word()}. {word()}"))
         elif kind == "ip":
             cue = r.choice(("ip", "host", "server", "login from", word()))
-            part = lambda: str(r.randrange(256))
+            part = lambda: str(r.randrange(256) if r.random() < 0.6 else r.randrange(12))
             if true:
-                span = r.choice(("[.]", "(.)", "[dot]", "(dot)", " dot ", " [.] ", "{.}")).join(part() for _ in range(4))
+                span = r.choice(("[.]", "[.]", "(.)", "[dot]", "(dot)", " dot ", " dot ", " dot ", " [.] ", "{.}")).join(part() for _ in range(4))
             else:
                 cue = r.choice(("version", "page", "total", word(), word()))
                 span = r.choice((". ", " . ", " .")).join(str(r.randrange(30)) for _ in range(4))
@@ -166,17 +169,26 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> Iterator[tuple[str, str, int,
             if not true:
                 cue = r.choice(("order", "serial", "ref", "invoice", word(), word(), word(), "card"))
         else:
-            cue = r.choice(("phone", "call", "tel", "fax", "mobile")) if r.random() < 0.7 else word()
+            named = ("phone", "call", "tel", "fax", "mobile", "my number is", "call me on", "text me at", "dial", "reach me", "number")
+            cue = r.choice(named) if r.random() < 0.7 else word()
             pairs = sep.join(number(2) for _ in range(4))
             if true:
-                span = r.choice((f"({number(3)}) {number(3)}-{number(4)}", f"({number(3)}){sep}{number(3)}{sep}{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"00{number(2)} {number(3)} {number(7)}", f"00 {number(2)}{sep}{number(1)}{sep}{pairs}", f"00{number(2)}{sep}{number(1)}{sep}{pairs}", f"0{number(1)}{sep}{pairs}", number(r.randrange(7, 16))))
-                if span.isdigit():  # nothing but the words before it tells what it is
-                    cue = r.choice(("phone", "call", "tel", "fax", "mobile"))
+                span = r.choice((f"({number(3)}) {number(3)}-{number(4)}", f"({number(3)}){sep}{number(3)}{sep}{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"00{number(2)} {number(3)} {number(7)}", f"00 {number(2)}{sep}{number(1)}{sep}{pairs}", f"00{number(2)}{sep}{number(1)}{sep}{pairs}", f"0{number(1)}{sep}{pairs}", f"{number(3)}{sep}{number(3)}{sep}{number(4)}", f"{number(3)}.{number(3)}.{number(4)}", f"{number(3)}{sep}{number(4)}", number(r.randrange(7, 16)), number(7)))
+                if span.isdigit() or len(span) == 8 or "." in span:  # nothing but the words before it tells what it is
+                    cue = r.choice(named)
             else:
-                cue = r.choice(("order", "version", "isbn", "page", "total", word(), word(), word()))
-                span = r.choice((f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)}/{number(4)}", f"{number(3)} {number(3)} {number(3)}", f"{number(4)} {number(4)}", f"{number(1)}.{number(3)}.{number(3)}.{number(3)}", f"{number(3)}-{number(1)}-{number(4)}-{number(4)}", number(r.randrange(7, 16))))
+                cue = r.choice(("order", "version", "isbn", "page", "total", "order number", "invoice number", "part number", "account", word(), word(), word(), word()))
+                span = r.choice((f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)}/{number(4)}", f"{number(3)} {number(3)} {number(3)}", f"{number(4)} {number(4)}", f"{number(1)}.{number(3)}.{number(3)}.{number(3)}", f"{number(3)}-{number(1)}-{number(4)}-{number(4)}", f"{number(3)}{sep}{number(3)}{sep}{number(4)}", f"{number(3)}.{number(3)}.{number(4)}", f"{number(3)}{sep}{number(4)}", number(r.randrange(7, 16))))
+                if len(span) >= 12 and not cue.split()[-1] in ("order", "version", "isbn", "page", "total", "number", "account"):
+                    cue = r.choice(("order", "part number", "invoice number", "account"))
                 if r.random() < 0.1:  # a card of 15 digits
                     cue, span = r.choice(("card", "visa", "credit card no", word())), _card(r, 15, True)
+                elif r.random() < 0.15:  # some of a list of years
+                    years = [str(r.randrange(1900, 2031)) for _ in range(r.randrange(3, 7))]
+                    first = r.randrange(len(years) - 1)
+                    before = f"{prose()} {r.choice(('in', 'years', word()))} " + "".join(f"{y}{sep}" for y in years[:first])
+                    yield f"{before}{sep.join(years[first:])}, {prose()}", kind, len(before), len(before) + len(sep.join(years[first : first + 3])), False
+                    continue
                 elif r.random() < 0.2:  # a part of a number
                     cue = r.choice(("phone", "call", "tel", "fax", "mobile"))
                     whole = r.choice((f"00 {number(2)}{sep}{number(1)}{sep}{pairs}", f"({number(3)}) {number(3)}-{number(4)}{sep}{number(2)}", f"0{number(1)}{sep}{pairs}{sep}{number(2)}"))
