@@ -222,8 +222,9 @@ def _encode(shared, key: tuple, pattern: str, with_ids: bool):
                     at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                     columns += [pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))]
                 else:
-                    columns += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids])]
-                names = [n for n in part.schema.names if n != "text"] + ["n_tokens"] + (["ids"] if with_ids else ["ids_sha256", "decoded_sha256"])
+                    columns += [pa.array([hashlib.sha256(x).hexdigest() for x in ids])]
+                columns += [pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids])]
+                names = [n for n in part.schema.names if n != "text"] + ["n_tokens", "ids" if with_ids else "ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -233,12 +234,12 @@ def _run(docs: DataFrame, path: str, pattern: str, text: str, key: str, with_ids
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
     kind = dict(rows.dtypes)[key]
-    more = "ids array<int>" if with_ids else "ids_sha256 string, decoded_sha256 string"
+    more = f"{'ids array<int>' if with_ids else 'ids_sha256 string'}, decoded_sha256 string"
     return rows.mapInArrow(_encode(shared, ("codec", path, pattern), pattern, with_ids), f"{key} {kind}, n_tokens long, {more}")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: key, n_tokens, ids (array<int>)."""
+    """Per row: key, n_tokens, ids (array<int>), and the SHA-256 of the bytes decoded from them."""
     return _run(docs, path, pattern, text, key, True)
 
 

@@ -699,9 +699,14 @@ def test_pipeline(spark, sf):
             codec = bpe.Codec(bpe.vocabulary(RANKS), P.PATTERN)
             library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ids, special_tokens={})
             texts_ = {r.doc_id: r.text for r in a}
-            assert len(a) == len(b) and all(r.ids == library.encode_ordinary(texts_[r.doc_id]) for r in b)
+            assert len(a) == len(b) and all(r.ids == library.encode_ordinary(texts_[r.doc_id]) and r.decoded_sha256 == hashlib.sha256(texts_[r.doc_id].encode()).hexdigest() for r in b)
     assert len(seen) == 5
     assert sorted(map(tuple, (r[:2] for r in corpus_pipeline.run(spark, sf).collect()))) == sorted(map(tuple, (r[:2] for r in docs.collect())))
+    odd = docs_of(spark, [(None, "w " * 3 + " ".join(f"a{k}" for k in range(80)), "en", "s")] * 2 + [(5, " ".join(f"b{k}" for k in range(80)), None, None), (5, " ".join(f"c{k}" for k in range(80)), "en", "s"), (None, None, None, None), (6, "", "en", "s")])
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):  # null and repeated ids through all stages
+        odd = staged(stage(spark, odd, sf), name)
+        assert sorted({str(r.doc_id) for r in odd.collect()}) in (["5", "None"], ["5"], ["None"]) and odd.count() >= 1
+        assert k >= 3 or odd.count() == (4 if k == 0 else 3)
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
