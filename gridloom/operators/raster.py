@@ -71,6 +71,16 @@ def block_mean(df: DataFrame, factor: int, *keys: str) -> DataFrame:
     return df.groupBy(*keys, F.floor(F.col("y") / factor).cast("int").alias("by"), F.floor(F.col("x") / factor).cast("int").alias("bx")).agg(F.avg("v").alias("mean"))
 
 
+def block_means(data: Column, factor: int, height: int, width: int) -> Column:
+    """Means of factor x factor pixels inside the tile's row; the sides must be multiples of the factor."""
+    if height % factor or width % factor:
+        raise ValueError("the sides of a tile must be multiples of the factor")
+    places = [(dy, dx) for dy in range(factor) for dx in range(factor)]
+    at = lambda y, x: F.get(data, y * width + x)
+    mean = lambda y, x: sum((at(y * factor + dy, x * factor + dx) for dy, dx in places[1:]), at(y * factor, x * factor)) / factor**2
+    return each_pixel(mean, height // factor, width // factor)
+
+
 def rotated(data: Column, turns: int, flip: bool, height: int, width: int) -> Column:
     """Quarter turns (counter-clockwise) of a square tile, then a left-right flip."""
     n = height

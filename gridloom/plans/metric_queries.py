@@ -59,6 +59,15 @@ def image_losses(spark, sf_dir):
     return s.groupBy("vec_id").agg(r(S.weighted_error(p, t), "weighted_mse"), r(F.avg(t * t * (1 + 4 * t)), "zero_baseline"), r(F.sqrt(F.avg((p - t) ** 2)), "rmse"), r(S.cross_entropy(p, t), "bce"), r(S.dice_loss(p, t), "dice"))
 
 
+@query("mean_rmse", f"""WITH {LOSS}, i AS (SELECT vec_id, sqrt(avg(pow(p - t, 2))) AS rmse FROM s GROUP BY vec_id) SELECT label, count(*) AS images, round(avg(rmse), 6) AS mean_rmse, round(max(rmse), 6) AS worst FROM i JOIN embeddings USING (vec_id) GROUP BY label""")
+def mean_rmse(spark, sf_dir):
+    """Root mean square error of each image, inside its row, and the mean over the images of a class."""
+    p, t = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v + 0.5)), lambda v: (v >= 0.05).cast("double")
+    d = F.transform(F.col("embedding").cast("array<double>"), lambda v: (p(v) - t(v)) * (p(v) - t(v)))
+    rmse = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, v: a + v) / F.size(d))
+    return table(spark, sf_dir, "embeddings").select("label", rmse.alias("rmse")).groupBy("label").agg(F.count("*").alias("images"), F.round(F.avg("rmse"), 6).alias("mean_rmse"), F.round(F.max("rmse"), 6).alias("worst"))
+
+
 @query("gradient_loss", f"""WITH {LOSS}, g AS (SELECT vec_id, p - lag(p) OVER w AS dp, t - lag(t) OVER w AS dt FROM s WINDOW w AS (PARTITION BY vec_id, y ORDER BY x)) SELECT vec_id, round(avg(abs(dp - dt)), 6) AS gradient_l1 FROM g GROUP BY vec_id""")
 def gradient_loss(spark, sf_dir):
     """Mean absolute difference of first differences along rows."""

@@ -42,9 +42,9 @@ def raster_block_mean(spark, sf_dir):
 SELECT vec_id, count(*) FILTER (CAST(mean AS FLOAT) >= CAST(0.02 AS FLOAT)) AS area, round(max(mean), 6) AS peak, round(100.0 * avg(CASE WHEN CAST(mean AS FLOAT) >= CAST(0.02 AS FLOAT) THEN 1 ELSE 0 END), 6) AS percent FROM b GROUP BY vec_id""")
 def raster_threshold_area(spark, sf_dir):
     """Thresholds compare as the 32-bit values that bands are stored in."""
-    set_ = F.col("mean").cast("float") >= F.lit(0.02).cast("float")
-    means = R.block_mean(R.pixels(_tiles(spark, sf_dir), N, "vec_id"), 2, "vec_id")
-    return means.groupBy("vec_id").agg(F.count_if(set_).alias("area"), F.round(F.max("mean"), 6).alias("peak"), F.round(100.0 * F.avg(set_.cast("int")), 6).alias("percent"))
+    t = _tiles(spark, sf_dir).select("vec_id", R.block_means(F.col("data"), 2, N, N).alias("means"))
+    area = F.size(F.filter("means", lambda m: m.cast("float") >= F.lit(0.02).cast("float")))
+    return t.select("vec_id", area.cast("long").alias("area"), F.round(F.array_max("means"), 6).alias("peak"), F.round(100.0 * area / F.size("means"), 6).alias("percent"))
 
 
 @query("raster_gradient", f"""WITH {PIX} SELECT vec_id, y, x,
