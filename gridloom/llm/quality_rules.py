@@ -1,8 +1,8 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
 Base rules reject short and repetitive texts. For the others five statistics are transformed (log
-of the mean word length; square roots of the shares of symbols, repeated lines, words in repeated
-windows, and capitals with exclamation marks). Per language and source a minimum-covariance-
+of the mean word length; square roots of the shares of symbols, capitals with exclamation marks,
+repeated lines, and words in repeated windows). Per language and source a minimum-covariance-
 determinant estimate of their centre and scatter is made from the base-passing documents: from two
 starts concentration steps keep the h = 75 % nearest documents and estimate anew; the start that ends
 with the smaller determinant wins. A text is rejected if its squared Mahalanobis distance is over `CUTOFF`.
@@ -35,9 +35,9 @@ from gridloom.session import staged, unstaged
 SPACE = r"[\x20\x09-\x0D]+"
 P = 5
 #: Smallest standard deviations of the five transformed statistics.
-FLOORS = (0.05, 0.04, 0.08, 0.09, 0.03)
-#: Of a statistic, the column it counts and the variance of its root share times that count.
-COUNTED = {2: ("n_lines", 0.25), 3: ("n_words", 0.75)}
+FLOORS = (0.05, 0.04, 0.03, 0.08, 0.09)
+#: Of the last two statistics, the column that each counts and the variance of its root share times that count.
+COUNTED = {3: ("n_lines", 0.25), 4: ("n_words", 0.75)}
 PRIOR = 50
 H = 0.75
 #: H over the share of the chi-square law of P + 2 degrees below the H quantile of that of P.
@@ -76,7 +76,7 @@ def base_statistics(docs: DataFrame, *kept: str, text: str = "text") -> DataFram
 
 def transformed(stats: DataFrame) -> DataFrame:
     share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
-    values = [F.log((F.col("word_chars") + 1) / (F.col("n_words") + 1)), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), share("n_loud", "word_chars")]
+    values = [F.log((F.col("word_chars") + 1) / (F.col("n_words") + 1)), share("n_symbols", "word_chars"), share("n_loud", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
     return stats.select("*", *(v.alias(f"z{i}") for i, v in enumerate(values)))
 
 
@@ -103,13 +103,6 @@ def _cholesky(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """rows with a group's factor c -> the factor of its covariance with the counting errors of each row's text."""
-    error = lambda i: COUNTED[i][1] / F.greatest(F.col(COUNTED[i][0]), F.lit(1))
-    whole = {(i, j): sum((F.col(f"c{i}{k}") * F.col(f"c{j}{k}") for k in range(1, j + 1)), F.col(f"c{i}0") * F.col(f"c{j}0")) for i, j in _pairs()}
-    return _cholesky(rows.withColumns({f"c{i}{j}": v + error(i) if i == j and i in COUNTED else v for (i, j), v in whole.items()}))
-
-
 def _factored(moments: DataFrame, *keys: str) -> DataFrame:
     """n and sums -> centre m_i, covariance v_ij, Cholesky factor c_ij of the scaled and floored covariance, logarithm of its determinant."""
     out = moments.select(*keys, *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), *((F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")).alias(f"v{i}{j}") for i, j in _pairs()))
@@ -131,6 +124,21 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0")))
 
 
+def _counted_distance(rows: DataFrame) -> DataFrame:
+    """The same with the counting errors of each row's text added to its group's covariance. They concern the last
+    two statistics, so only the part of these that the others leave unexplained is inverted anew, two by two."""
+    for i in range(P):
+        left = F.col(f"z{i}") - F.col(f"m{i}")
+        for k in range(min(i, 3)):
+            left = left - F.col(f"c{i}{k}") * F.col(f"y{k}")
+        rows = rows.withColumn(f"y{i}", left / F.col(f"c{i}{i}") if i < 3 else left)
+    error = lambda i: COUNTED[i][1] / F.greatest(F.col(COUNTED[i][0]), F.lit(1))
+    a, b = F.col("c33") * F.col("c33") + error(3), F.col("c33") * F.col("c43")
+    d = F.col("c43") * F.col("c43") + F.col("c44") * F.col("c44") + error(4)
+    y = [F.col(f"y{i}") for i in range(P)]
+    return rows.withColumn("d2", y[0] * y[0] + y[1] * y[1] + y[2] * y[2] + (d * y[3] * y[3] - 2 * b * y[3] * y[4] + a * y[4] * y[4]) / (a * d - b * b))
+
+
 NAMES = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in _pairs())]
 
 
@@ -188,22 +196,35 @@ def estimates(rows: DataFrame) -> DataFrame:
     return out.withColumnRenamed("grp", "cell")
 
 
-def _judged(docs: DataFrame, *kept: str) -> DataFrame:
-    """docs(kept.., lang, source, text) -> the columns kept, the base counts, base_failed, kept, d2."""
+def _statistics(docs: DataFrame, *kept: str) -> DataFrame:
+    """docs(kept.., lang, source, text) -> the columns kept, the base counts, base_failed, z0.., l and cell."""
     stats = transformed(base_statistics(docs, *kept)).withColumn("l", _known("lang"))
-    stats = staged(stats.withColumn("cell", F.concat_ws("\n", "l", _known("source"))), "statistics")
-    found = estimates(stats.where("NOT base_failed").select("l", "cell", *(f"z{i}" for i in range(P))))
-    judged = _distance(_counted(stats.join(found, "cell", "left")))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))
+    return stats.withColumn("cell", F.concat_ws("\n", "l", _known("source")))
+
+
+def _estimated(stats: DataFrame) -> DataFrame:
+    return estimates(stats.where("NOT base_failed").select("l", "cell", *(f"z{i}" for i in range(P))))
+
+
+def _judged(stats: DataFrame, found: DataFrame) -> DataFrame:
+    """stats with d2 and kept."""
+    judged = _counted_distance(stats.join(found, "cell", "left"))
+    return judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))))
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    return _judged(docs, "doc_id").select(F.col("doc_id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance2"))
+    stats = staged(_statistics(docs, "doc_id"), "statistics")
+    judged = _judged(stats, _estimated(stats))
+    return judged.select(F.col("doc_id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance2"))
 
 
 def passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that quality() keeps: each carries its columns to its own verdict, so ids may be null or repeated."""
+    """The rows of docs that quality() keeps: each carries its columns to its own verdict, so ids may be null or
+    repeated. The statistics are computed twice, for the estimates and for the verdict: texts are neither shuffled nor staged."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    return _judged(rows, "row").where("kept").select("row.*")
+    narrow = staged(_statistics(rows), "statistics")
+    found = _estimated(narrow)
+    unstaged(narrow)
+    return _judged(_statistics(rows, "row"), found).where("kept").select("row.*")
