@@ -72,3 +72,24 @@ def uniform(seed: int, stream: str, *keys) -> Column:
 def wrap_unit(x: Column, lo: float, hi: float) -> Column:
     """A unit draw scaled to [lo, hi)."""
     return lo + x * (hi - lo)
+
+
+def hue(r: Column, g: Column, b: Column) -> Column:
+    """Hue of a colour as a share of the circle; 0 for greys."""
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    spread = high - low
+    sixth = F.when(high == r, (g - b) / spread).when(high == g, 2 + (b - r) / spread).otherwise(4 + (r - g) / spread)
+    return F.when(spread == 0, 0.0).otherwise(F.pmod(sixth / 6, F.lit(1.0)))
+
+
+def saturation(r: Column, g: Column, b: Column) -> Column:
+    high = F.greatest(r, g, b)
+    return F.when(high == 0, 0.0).otherwise((high - F.least(r, g, b)) / high)
+
+
+def piecewise(x: Column, knots: list[tuple[float, float]]) -> Column:
+    """Linear interpolation between knots (x, y) in rising x; constant outside."""
+    out = F.lit(float(knots[-1][1]))
+    for (a, p), (b, q) in reversed(list(zip(knots, knots[1:]))):
+        out = F.when(x <= b, p + (q - p) * (x - a) / (b - a)).otherwise(out)
+    return F.when(x <= knots[0][0], float(knots[0][1])).otherwise(out)

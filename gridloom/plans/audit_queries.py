@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.functions import mathx
 from gridloom.operators import manifests as M
 from gridloom.operators import metrics, raster
 from gridloom.operators.regions import labelled_tiles, regions
@@ -211,3 +212,46 @@ def saved_scenes(spark, sf_dir):
     path = f"{shared_folder(spark)}/gridloom-scenes-{uuid.uuid4().hex}"
     save_scenes(rows, path)
     return spark.read.parquet(path).select("scene_id", "band", "value", "split")
+
+
+@query("config_rows", """SELECT p_partkey, p_name AS name, p_size AS size, p_retailprice AS extent FROM part""")
+def config_rows(spark, sf_dir):
+    """Settings written as one JSON document a scene and read back."""
+    from gridloom.sources.files import write_configs
+
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("extent"))
+    return spark.read.schema(p.schema).json(write_configs(p))
+
+
+@query("dataset_export", """SELECT l_returnflag AS split, l_linestatus AS category, count(*) AS scenes FROM lineitem GROUP BY ALL""")
+def dataset_export(spark, sf_dir):
+    """A dataset saved by split with its record of splits and categories."""
+    import uuid
+
+    from gridloom.session import shared_folder
+    from gridloom.sources.files import export_dataset
+
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scene_id"), F.col("l_returnflag").alias("split"), F.col("l_linestatus").alias("category"))
+    return export_dataset(rows, f"{shared_folder(spark)}/gridloom-export-{uuid.uuid4().hex}")
+
+
+# Where the colours of magnitudes stand, and the colours there.
+PLACES = (0, 0.3, 0.65, 1)
+COLOURS = ((14, 24, 42), (18, 83, 114), (34, 180, 168), (253, 219, 143))
+
+
+def _between(channel: int) -> str:
+    y = [c[channel] for c in COLOURS]
+    parts = " ".join(f"WHEN t <= {b} THEN {p}::DOUBLE + {q - p}::DOUBLE * (t - {a}) / {b - a}" for a, b, p, q in zip(PLACES, PLACES[1:], y, y[1:]))
+    return f"CAST(floor(CASE {parts} END) AS INTEGER)"
+
+
+@query("magnitude_colours", f"""WITH {PIX}, m AS (SELECT vec_id, greatest(max(v), 1e-12) AS top FROM pix GROUP BY vec_id), s AS (SELECT vec_id, y, x, round(least(1, greatest(0, v / top)), 4)::DOUBLE AS t FROM pix JOIN m USING (vec_id))
+SELECT vec_id, y, x, {_between(0)} AS r, {_between(1)} AS g, {_between(2)} AS b FROM s""")
+def magnitude_colours(spark, sf_dir):
+    """Values as shares of the tile's maximum, coloured between fixed places."""
+    top = F.greatest(F.array_max("data"), F.lit(1e-12))
+    t = _tiles(spark, sf_dir).select("vec_id", F.transform("data", lambda v: F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v / top)), 4)).alias("data"))
+    p = raster.pixels(t, N, "vec_id")
+    channel = lambda k: F.floor(mathx.piecewise(F.col("v"), [(a, c[k]) for a, c in zip(PLACES, COLOURS)])).cast("int")
+    return p.select("vec_id", "y", "x", channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from gridloom.functions import mathx
 from gridloom.session import shared_folder
 
 MANIFEST = "scene_id string, group_id string, split string, category string, image string, mask string, arrays string, metadata string"
@@ -195,3 +196,47 @@ def read_indexed(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bmp").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, y int, x int, idx int, r int, g int, b int").withColumn("shown", F.shiftright("idx", 4) > 0)
+
+
+def read_palettes(spark: SparkSession, path: str) -> DataFrame:
+    """Indexed BMP files -> path, idx, r, g, b of each palette entry."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                colours = indexed_pixels(row.content)[1].astype("i4")
+                yield pd.DataFrame({"path": row.path, "idx": np.arange(len(colours), dtype="i4"), "r": colours[:, 0], "g": colours[:, 1], "b": colours[:, 2]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bmp").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, idx int, r int, g int, b int")
+
+
+def palette_faults(palettes: DataFrame) -> DataFrame:
+    """palettes(path, idx, r, g, b) -> path, entries, scale_error, least_saturation, turn, cyclic: whether an index is
+    sixteen brightness levels of sixteen colours that go round the hue circle once, in one direction."""
+    rows = palettes.withColumn("level", F.floor(F.col("idx") / 16)).withColumn("code", F.col("idx") % 16)
+    full = rows.where("level = 15").select("path", "code", *(F.col(c).alias(f"full_{c}") for c in "rgb"))
+    off = F.greatest(*(F.abs(F.col(c) - F.col("level") / 15 * F.col(f"full_{c}")) for c in "rgb"))
+    scale = rows.join(full, ["path", "code"]).groupBy("path").agg(F.count("*").alias("entries"), F.max(off).alias("scale_error"))
+    hues = full.select("path", "code", mathx.hue(F.col("full_r"), F.col("full_g"), F.col("full_b")).alias("hue"), mathx.saturation(F.col("full_r"), F.col("full_g"), F.col("full_b")).alias("s"))
+    after = hues.select("path", F.pmod(F.col("code") - 1, F.lit(16)).cast("int").alias("code"), F.col("hue").alias("after"))
+    step = F.pmod(F.col("after") - F.col("hue") + 0.5, F.lit(1.0)) - 0.5
+    turns = hues.join(after, ["path", "code"]).groupBy("path").agg(F.min("s").alias("least_saturation"), F.sum(step).alias("turn"), (F.every(step > 0) | F.every(step < 0)).alias("one_way"))
+    good = (F.col("entries") == 256) & (F.col("scale_error") <= 2) & (F.col("least_saturation") >= 0.1) & F.col("one_way") & (F.abs(F.abs("turn") - 1) <= 0.05)
+    return scale.join(turns, "path", "left").select("path", "entries", "scale_error", "least_saturation", "turn", F.coalesce(good, F.lit(False)).alias("cyclic"))
+
+
+def write_configs(rows: DataFrame) -> str:
+    """One JSON document a row, as lines, in the shared folder; gives the path."""
+    path = f"{shared_folder(rows.sparkSession)}/gridloom-configs-{uuid.uuid4().hex}"
+    rows.write.option("ignoreNullFields", False).json(path)
+    return path
+
+
+def export_dataset(rows: DataFrame, path: str) -> DataFrame:
+    """Save rows(split, category, ..) by split under path/scenes, and the dataset's record beside them: scenes by split
+    and category. Neither may be there already."""
+    save_scenes(rows, f"{path}/scenes")
+    record = rows.groupBy("split", "category").agg(F.count("*").alias("scenes"))
+    record.coalesce(1).write.mode("errorifexists").json(f"{path}/dataset")
+    return rows.sparkSession.read.schema(record.schema).json(f"{path}/dataset")

@@ -302,6 +302,21 @@ def test_indexed_image(spark, tmp_path):
     assert got.idx.tolist() == list(range(256)) and got.r.tolist() == list(range(256)) and got.shown.sum() == 240
 
 
+def test_palettes(spark, tmp_path):
+    """A palette of sixteen levels of a colour cycle, one that jumps, and one of greys."""
+    import colorsys
+
+    cycle = np.array([colorsys.hsv_to_rgb(k / 16, 0.9, 1.0) for k in range(16)]) * 255
+    jump = cycle[[0, 5, 2, 3, 4, 1, *range(6, 16)]]
+    for name, top in (("cycle", cycle), ("back", cycle[::-1]), ("jump", jump), ("grey", np.full((16, 3), 200.0))):
+        table = np.round(np.arange(16)[:, None, None] / 15 * top).reshape(256, 3)
+        palette = np.concatenate([table[:, ::-1], np.zeros((256, 1))], 1).astype(np.uint8)
+        head = b"BM" + struct.pack("<IHHI", 54 + 1024 + 4, 0, 0, 54 + 1024) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 8, 0, 4, 0, 0, 256, 0)
+        (tmp_path / f"{name}.bmp").write_bytes(head + palette.tobytes() + b"\0\0\0\0")
+    got = {r.path.rsplit("/", 1)[-1][:-4]: r.cyclic for r in files.palette_faults(files.read_palettes(spark, str(tmp_path))).collect()}
+    assert got == {"cycle": True, "back": True, "jump": False, "grey": False}
+
+
 def test_scene_stream_restarts(spark, tmp_path):
     (tmp_path / "in").mkdir()
     put = lambda k: (tmp_path / "in" / f"{k}.json").write_text(f'{{"scene_id": {k}, "depth": 20.0, "turn": 5.0}}\n')
