@@ -157,11 +157,11 @@ def scope_exclusion(spark, sf_dir):
 
 
 @query("circular_observation", f"""WITH {PIX}, o AS (SELECT vec_id, y, x, v + 0.3 * sqrt(-2 * ln(1 - {rng(81, 'r', "vec_id || ':' || y || ':' || x || ':' || k")})) * cos(2 * pi() * {rng(81, 'a', "vec_id || ':' || y || ':' || x || ':' || k")}) AS p FROM pix, generate_series(0, 3) AS g(k))
-SELECT vec_id AS scene_id, y, x, round(atan2(avg(sin(p)), avg(cos(p))), 6) AS observed_rad, round(sqrt(avg(sin(p)) * avg(sin(p)) + avg(cos(p)) * avg(cos(p))), 6) AS strength FROM o GROUP BY vec_id, y, x""")
+SELECT vec_id AS scene_id, y, x, round(CASE WHEN avg(sin(p)) < 0 THEN atan2(avg(sin(p)), avg(cos(p))) + 2 * pi() ELSE atan2(avg(sin(p)), avg(cos(p))) END, 6) AS observed_rad, round(sqrt(avg(sin(p)) * avg(sin(p)) + avg(cos(p)) * avg(cos(p))), 6) AS strength FROM o GROUP BY vec_id, y, x""")
 def circular_observation(spark, sf_dir):
     """Tiles as phases, observed in four looks with normal noise: angle and length of the mean phasor."""
     p = raster.pixels(_tiles(spark, sf_dir), N, "vec_id").select("vec_id", "y", "x", "v", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
     u = lambda stream: M.uniform(81, stream, "vec_id", "y", "x", "k")
     noisy = F.col("v") + 0.3 * F.sqrt(-2 * F.log(1 - u("r"))) * F.cos(2 * math.pi * u("a"))
     means = p.withColumn("p", noisy).groupBy(F.col("vec_id").alias("scene_id"), "y", "x").agg(F.avg(F.sin("p")).alias("s"), F.avg(F.cos("p")).alias("c"))
-    return means.select("scene_id", "y", "x", F.round(F.atan2("s", "c"), 6).alias("observed_rad"), F.round(F.sqrt(F.col("s") * F.col("s") + F.col("c") * F.col("c")), 6).alias("strength"))
+    return means.select("scene_id", "y", "x", F.round(F.atan2("s", "c") + F.when(F.col("s") < 0, 2 * math.pi).otherwise(0.0), 6).alias("observed_rad"), F.round(F.sqrt(F.col("s") * F.col("s") + F.col("c") * F.col("c")), 6).alias("strength"))
