@@ -499,6 +499,32 @@ def test_integral_image():
     assert len(codes) == 40 - chroma.WIDTH + 1 and np.array_equal(codes[5:], chroma.fingerprint(image[5:]))
 
 
+def test_fingerprint_without_integral_image():
+    """Every filter's areas summed pixel by pixel."""
+    image = np.random.default_rng(3).random((40, 12))
+    codes = []
+    for t in range(40 - chroma.WIDTH + 1):
+        code = 0
+        for shape, y, h, w in chroma.filters():
+            h = min(h, 12 - y)
+            part = lambda t0, y0, n, m: sum(image[t0 + i, y0 + j] for i in range(n) for j in range(m))
+            if shape == 0:
+                a = part(t, y, w, h)
+                b = (part(t, 0, w, 12) - a) * h / (12 - h)
+            elif shape == 1:
+                a, b = part(t + w // 2, y, w // 2, h), part(t, y, w // 2, h)
+            elif shape == 2:
+                k = max(1, h // 2)
+                a, b = part(t, y, w, k), part(t, y + h - k, w, k)
+            else:
+                a = part(t + w // 4, y, w // 2, h)
+                b = part(t, y, w, h) - a
+            ratio = np.log((a + 0.5) / (b + 0.5))
+            code = code << 2 | (0, 1, 3, 2)[sum(ratio > c for c in (-chroma.SPREAD, 0, chroma.SPREAD))]
+        codes.append(code)
+    assert chroma.fingerprint(image).tolist() == codes
+
+
 def brute_private(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -662,6 +688,52 @@ def test_constants_are_followed():
     assert at('a = "k9Zq27LmPw4T"\ncolour = a\n') == [] and at('auth_secret = "please change this one"') == []
 
 
+def brute_named(lines):
+    """Named spans of a program given as (name, terms); a term is a literal or a name. Values are whole strings here."""
+    text, values, found = "", {}, set()
+    for name, terms in lines:
+        row, value, spans, parts = f"{name} = ", "", [], []
+        for kind, term in terms:
+            if kind == "literal":
+                parts.append(f'"{term}"')
+            else:
+                parts.append(term)
+        row += " + ".join(parts)
+        offset = len(text) + len(f"{name} = ")
+        for (kind, term), part in zip(terms, parts):
+            if kind == "literal":
+                value += term
+                spans.append((offset + 1, offset + 1 + len(term)))
+            elif term in values:
+                value += values[term][0]
+                spans += values[term][1]
+            offset += len(part) + 3
+        text += row + "\n"
+        if not spans:
+            continue
+        values[name] = (value, spans)
+        weight = secret_scan.name_score(name)
+        counts = collections.Counter(value)
+        entropy = -sum(n / len(value) * np.log2(n / len(value)) for n in counts.values()) if value else 0
+        kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        look = -3.0 if len(value) < 6 or value.startswith("%") else min(2.0, (entropy >= 2.5) + 0.5 * (kinds - 1) + (len(value) >= 16))
+        if weight and weight + look >= secret_scan.THRESHOLD:
+            found |= {s for s in spans if s[1] > s[0]}
+    return text, found
+
+
+def test_named_spans_by_brute_force():
+    r = random.Random(12)
+    names, alphabet = ["x", "y", "part_one", "my_passphrase", "auth_key", "signing_credential", "colour"], "abXY01_%"
+    for _ in range(300):
+        lines = []
+        for _ in range(r.randrange(1, 9)):
+            terms = [("literal", "".join(r.choice(alphabet) for _ in range(r.randrange(0, 9)))) if r.random() < 0.6 else ("name", r.choice(names)) for _ in range(r.randrange(1, 4))]
+            lines.append((r.choice(names), terms))
+        text, want = brute_named(lines)
+        assert {(a, b) for a, b, _ in secret_scan.named_spans(text)} == want, text
+
+
 def test_registry(spark):
     assert [sum(n.startswith(f"op{k}_") for n in registry.QUERIES) for k in range(1, 11)] == [1] * 10
     assert set(registry.SQL) <= set(registry.QUERIES)
