@@ -19,7 +19,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import operator
 from collections.abc import Callable, Iterator
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -32,12 +34,13 @@ LEAF_CHARS, LEAF_IDS, LEAF_BYTES, KEPT_PIECES, MOST_VOCABULARY = 1 << 9, 1 << 7,
 NEVER = 1 << 62
 
 
-def merged(piece: bytes, rank: Callable[[bytes, bytes], int]) -> list[bytes]:
-    """Merge the pair of lowest rank, leftmost first, until no pair has a rank below NEVER."""
+def merged(piece: bytes, rank: Callable[[bytes, bytes], int], ranks_of: Callable[[list[bytes]], list[int]] | None = None) -> list[bytes]:
+    """Merge the pair of lowest rank, leftmost first, until no pair has a rank below NEVER. ranks_of gives the
+    ranks of all neighbours of a list at once."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     if len(parts) > LEAF_BYTES:
         return _merged_by_heap(parts, rank)
-    ranks = [rank(a, b) for a, b in zip(parts, parts[1:])]
+    ranks = ranks_of(parts) if ranks_of else list(map(rank, parts, parts[1:]))
     while ranks and (best := min(ranks)) < NEVER:
         i = ranks.index(best)
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
@@ -74,8 +77,8 @@ def _merged_by_heap(parts: list[bytes], rank: Callable[[bytes, bytes], int]) ->
 class Merger:
     """The tokens of single pieces, as byte strings, for one rank function."""
 
-    def __init__(self, rank: Callable[[bytes, bytes], int]):
-        self.rank, self.kept_pairs = rank, {}
+    def __init__(self, rank: Callable[[bytes, bytes], int], ranks_of: Callable[[list[bytes]], list[int]] | None = None):
+        self.rank, self.ranks_of, self.kept_pairs = rank, ranks_of, {}
 
     def stable(self, a: bytes, b: bytes) -> bool:
         """Whether a + b encodes to a, b."""
@@ -96,7 +99,7 @@ class Merger:
 
     def tokens(self, piece: bytes) -> list[bytes]:
         if len(piece) <= LEAF_BYTES:
-            return merged(piece, self.rank)
+            return merged(piece, self.rank, self.ranks_of)
         half = len(piece) // 2
         return self.join(self.tokens(piece[:half]), self.tokens(piece[half:]))
 
@@ -156,14 +159,15 @@ class Codec:
     def __init__(self, lines: bytes, pattern: str):
         self.ids = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())}
         self.bytes_of = {i: token for token, i in self.ids.items()}
-        self.merger = Merger(lambda a, b: self.ids.get(a + b, NEVER))
+        get = self.ids.get
+        self.merger = Merger(lambda a, b: get(a + b, NEVER), lambda parts: list(map(get, map(operator.add, parts, parts[1:]), repeat(NEVER))))
+        self.code = {token: i.to_bytes(4, "little") for token, i in self.ids.items()}
         self.splitter = Splitter(pattern)
         self.kept = _Kept(self._piece)
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
-        tokens = [raw] if raw in self.ids else self.merger.tokens(raw)
-        return np.array([self.ids[t] for t in tokens], "<u4").tobytes()
+        return self.code.get(raw) or b"".join(map(self.code.__getitem__, self.merger.tokens(raw)))
 
     def encode(self, text: str) -> bytes:
         self.kept.trim()
@@ -177,17 +181,20 @@ class Codec:
 
 
 class _Kept(dict):
-    """Results by piece, made on first use; trim() starts anew once there are many."""
+    """Results by piece, made on first use. trim() puts those there are aside once they are many; from there a
+    piece that is met again comes back, and the others go with the next trim."""
 
     def __init__(self, make: Callable):
-        self.make = make
+        self.make, self.aside = make, {}
 
     def __missing__(self, piece: str):
-        out = self[piece] = self.make(piece)
+        out = self.aside.get(piece)
+        out = self[piece] = self.make(piece) if out is None else out
         return out
 
     def trim(self) -> None:
-        if len(self) > KEPT_PIECES:
+        if len(self) > KEPT_PIECES // 2:
+            self.aside = dict(self)
             self.clear()
 
 

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import KEPT_PIECES, NEVER, Merger, Splitter, _Kept, merged, once, vocabulary
+from gridloom.llm.bpe import NEVER, Merger, Splitter, _Kept, merged, once, vocabulary
 
 LEAF = 1 << 14  # characters that are split at once
 
@@ -41,13 +42,13 @@ class Counter:
         as_bytes = {t: bytes(letters[c] for c in t) for t in whole["model"]["vocab"] if all(c in letters for c in t)}
         self.ranks = {(as_bytes[a], as_bytes[b]): k for k, (a, b) in enumerate(pairs)}
         self.strings = list(as_bytes.values())
-        self.merger = Merger(lambda a, b: self.ranks.get((a, b), NEVER))
+        get = self.ranks.get
+        self.merger = Merger(lambda a, b: get((a, b), NEVER), lambda parts: list(map(get, zip(parts, parts[1:]), repeat(NEVER))))
         self.splitter = Splitter(pattern)
         special = sorted((t["content"] for t in whole["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.alone = alone if alone is not None else self.prove()
-        self.kept = _Kept(lambda piece: len(self.merger.tokens(piece.encode())))
-        self.kept.update(dict.fromkeys(self.alone, 1))
+        self.kept = _Kept(lambda piece: 1 if piece in self.alone else len(self.merger.tokens(piece.encode())))
 
     def prove(self) -> frozenset[str]:
         found = set()
@@ -60,13 +61,8 @@ class Counter:
                 found.add(text)
         return frozenset(found)
 
-    def trim(self) -> None:
-        if len(self.kept) > KEPT_PIECES:
-            self.kept.clear()
-            self.kept.update(dict.fromkeys(self.alone, 1))
-
     def count(self, text: str) -> int:
-        self.trim()
+        self.kept.trim()
         parts = self.special.split(text) if self.special else [text]
         return len(parts) - 1 + sum(sum(self.splitter.pieces(p, self.kept.__getitem__, LEAF)[1]) for p in parts)
 
