@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.shingles import U, text_bytes, word_hashes
 from gridloom.session import staged
 
-LABELLED, ROUNDS, SURE, PER_ROUND = 4000, 4, 0.97, 300
+LABELLED, ROUNDS, SURE, PER_ROUND, PARTS = 4000, 4, 0.97, 300, 64
 WORDS, META, STATS = 512, 64, 6
 _byte = np.arange(256)
 CLASSES = np.select([(_byte >= 65) & (_byte <= 90), (_byte >= 48) & (_byte <= 57), np.isin(_byte, [ord(c) for c in "#*$%&|<>!"]), (_byte == 32) | (_byte == 10)], [0, 1, 2, 3], 4)
@@ -168,8 +168,10 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         state, taken = Views(views_of(rows), y), known.select("doc_id")
         for _ in range(rounds):
             sure = docs.where("doc_id IS NOT NULL").mapInArrow(_sure(spark.sparkContext.broadcast(state.models())), f"doc_id {kind}, view int, p double").distinct()
-            best = Window.partitionBy("view").orderBy((-F.greatest(F.col("p"), 1 - F.col("p"))), order, "doc_id")
-            top = sure.join(taken, "doc_id", "left_anti").withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= per_round)
+            surest = [-F.greatest(F.col("p"), 1 - F.col("p")), order, "doc_id"]
+            top = sure.join(taken, "doc_id", "left_anti").withColumn("part", F.pmod(order, F.lit(PARTS)))
+            for keys in (["view", "part"], ["view"]):  # the surest of each part first, so that no task ranks all
+                top = top.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*surest))).where(F.col("turn") <= per_round)
             # the sign of the label tells the view: 1 + y for view 0, -(1 + y) for view 1
             top = staged(top.select("doc_id", ((F.lit(1.0) + (F.col("p") >= 0.5).cast("double")) * (1 - 2 * F.col("view"))).alias("told")), "pseudo-labels")
             rows = vectors(top, ["told"])
