@@ -10,6 +10,7 @@ from gridloom.llm.chroma import align, as_recordings, fingerprints
 from gridloom.llm.cotraining import classify
 from gridloom.llm.mixing import mix
 from gridloom.llm.ngram_join import ngram_join
+from gridloom.llm.piece_bpe import piece_round_trip
 from gridloom.llm.pii import personal_data
 from gridloom.llm.quality_rules import quality
 from gridloom.llm.quotation_links import as_mail, reply_conversations
@@ -71,6 +72,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op13_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -82,5 +87,6 @@ QUERIES = {
     "op8_chroma_fingerprints": op8_chroma_fingerprints,
     "op9_personal_data": op9_personal_data,
     "op10_secret_scan": op10_secret_scan,
+    "op13_sentencepiece_round_trip": op13_sentencepiece_round_trip,
 }
 SQL: dict[str, str] = {"op5_quotation_links": OP5_SQL}
