@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.bpe import round_trip
 from gridloom.llm.chroma import align, as_recordings, fingerprints
 from gridloom.llm.cotraining import classify
+from gridloom.llm.lexical_search import search
 from gridloom.llm.mixing import mix
 from gridloom.llm.ngram_join import ngram_join
 from gridloom.llm.piece_bpe import piece_round_trip
@@ -72,6 +73,37 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH cut AS (
+    SELECT 'd' AS kind, row_number() OVER () AS row, doc_id AS id, text FROM documents
+    UNION ALL SELECT 'i', row_number() OVER (), item_id, text FROM benchmark
+),
+terms AS (
+    SELECT kind, row, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM cut
+),
+tf AS (SELECT row, id, term, count(*) AS tf FROM terms WHERE kind = 'd' GROUP BY ALL),
+n AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY row),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM n),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term
+),
+scores AS (
+    SELECT i.row AS item, i.id AS item_id, tf.row AS doc, tf.id AS doc_id,
+           CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // length)))) AS BIGINT) AS score
+    FROM terms i JOIN tf USING (term) JOIN weights USING (term) JOIN n ON n.row = tf.row, totals
+    WHERE i.kind = 'i' GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS INT) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 def op13_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -87,6 +119,7 @@ QUERIES = {
     "op8_chroma_fingerprints": op8_chroma_fingerprints,
     "op9_personal_data": op9_personal_data,
     "op10_secret_scan": op10_secret_scan,
+    "op12_lexical_search": op12_lexical_search,
     "op13_sentencepiece_round_trip": op13_sentencepiece_round_trip,
 }
-SQL: dict[str, str] = {"op5_quotation_links": OP5_SQL}
+SQL: dict[str, str] = {"op5_quotation_links": OP5_SQL, "op12_lexical_search": OP12_SQL}
