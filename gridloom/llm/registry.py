@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import round_trip
 from gridloom.llm.chroma import align, as_recordings, fingerprints
+from gridloom.llm.conversation_repair import damaged, repair_report
 from gridloom.llm.cotraining import classify
 from gridloom.llm.lexical_search import search
 from gridloom.llm.mixing import mix
@@ -73,6 +74,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given conversations, damaged first: they have no faults of their own."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(conversations), conversations)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -119,6 +126,7 @@ QUERIES = {
     "op8_chroma_fingerprints": op8_chroma_fingerprints,
     "op9_personal_data": op9_personal_data,
     "op10_secret_scan": op10_secret_scan,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_lexical_search": op12_lexical_search,
     "op13_sentencepiece_round_trip": op13_sentencepiece_round_trip,
 }
