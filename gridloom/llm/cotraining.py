@@ -1,14 +1,15 @@
 """Quality classifier by co-training.
 
 Two views of a document, each with its own logistic regression: hashed words with a few statistics of
-the text, and its metadata (language, source, length). From the labelled sample both are fitted; in
-each round each view scores all unlabelled documents, labels those that it is surest of, and the other
-view learns from them. Scores of both views are calibrated on held-out labels (Platt), and a last
+the text, and its metadata (language, source, length). From the labelled sample both are fitted, and their scores
+calibrated on held-out labels (Platt). In each round each view ranks all unlabelled documents by its calibrated score and
+gives its surest of either class, in the class ratio of the labels, to the other view to learn from; a document that the
+other view is nearly certain is of the other class (`VETO`) is passed over. A last
 regression of the two calibrated logits, on labels held out from both, gives the score of every document.
 
 The labelled sample is bounded: at most `labelled` documents, of least hash of the id. Pseudo-labels are
 sought in all documents, whatever their number; `per_round` is how many a view gives in a round, as in
-the published method. Only those few are fetched with their vectors. Scoring covers all documents and
+the published method, or a tenth of the labelled sample if that is less, so that it isn't drowned. Only those few are fetched with their vectors. Scoring covers all documents and
 whole texts.
 
 Null texts have no words; null languages and sources are values of their own; documents with a null id
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.shingles import U, text_bytes, word_hashes
 from gridloom.session import staged
 
-LABELLED, ROUNDS, SURE, PER_ROUND, PARTS = 4000, 4, 0.97, 300, 64
+LABELLED, ROUNDS, VETO, PER_ROUND, PARTS = 4000, 4, 2.2, 300, 64
 WORDS, META, STATS = 512, 64, 6
 _byte = np.arange(256)
 CLASSES = np.select([(_byte >= 65) & (_byte <= 90), (_byte >= 48) & (_byte <= 57), np.isin(_byte, [ord(c) for c in "#*$%&|<>!"]), (_byte == 32) | (_byte == 10)], [0, 1, 2, 3], 4)
@@ -106,26 +107,42 @@ class Views:
         self.x[view].append(vectors)
         self.labels[view].append(labels)
 
+    def calibrated(self) -> list:
+        """[model of view 0, of view 1, calibration 0, calibration 1]."""
+        models, (views, y) = self.models(), self.held[0]
+        return [*models, *(Logistic(m.logit(v)[:, None], y, 1e-2) for m, v in zip(models, views))]
+
     def fitted(self) -> list:
-        """[model of view 0, of view 1, calibration 0, calibration 1, combination]."""
-        models, ((views, y), (others, y_others)) = self.models(), self.held
-        calibrations = [Logistic(m.logit(v)[:, None], y, 1e-2) for m, v in zip(models, views)]
+        """What calibrated() gives, and the combination."""
+        whole, (others, y_others) = self.calibrated(), self.held[1]
+        models, calibrations = whole[:2], whole[2:]
         logits = np.hstack([c.logit(m.logit(v)[:, None])[:, None] for c, m, v in zip(calibrations, models, others)])
         return [*models, *calibrations, Logistic(logits, y_others, 1e-2)]
 
 
+def surest(logits: list[np.ndarray], quotas: tuple[int, int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(view, label, rows, how sure) of the surest rows of each view and label, as many as the label's quota, by calibrated logits."""
+    for view, own in enumerate(logits):
+        for label, quota in enumerate(quotas):
+            sign = 1 if label else -1
+            open_ = np.flatnonzero(sign * logits[1 - view] > -VETO)
+            sure = sign * own[open_]
+            if len(sure) > quota:  # with all that are as sure as the last
+                best = sure >= np.partition(sure, len(sure) - quota)[len(sure) - quota] if quota else np.zeros(len(sure), bool)
+                open_, sure = open_[best], sure[best]
+            yield view, label, open_, sure
+
+
 def _sure(shared):
-    """(doc_id, view, p) where a view is sure of a document."""
+    """(doc_id, view, label, sure) of the surest documents of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        whole, quotas = shared.value
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
-                for view, (model, x) in enumerate(zip(models, features(part))):
-                    p = 1 / (1 + np.exp(-model.logit(x)))
-                    at = np.flatnonzero(np.maximum(p, 1 - p) >= SURE)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at)), pa.array(np.full(len(at), view, np.int32)), pa.array(p[at])], ["doc_id", "view", "p"])
+            parts = [features(batch.slice(a, 256)) for a in range(0, len(batch), 256)]
+            logits = [np.concatenate([c.logit(m.logit(p[view])[:, None]) for p in parts] or [np.zeros(0)]) for view, (m, c) in enumerate(zip(whole[:2], whole[2:]))]
+            for view, label, at, sure in surest(logits, quotas):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), *(pa.array(np.full(len(at), x, np.int32)) for x in (view, label)), pa.array(sure)], ["doc_id", "view", "label", "sure"])
 
     return run
 
@@ -147,8 +164,9 @@ def _score(shared):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> DataFrame:
-    """Per row: doc_id, score (of good quality), kept (score of 0.5 or more)."""
+def cotrained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple[list | None, float, list[tuple[int, int, int, int]]]:
+    """The fitted [model 0, model 1, calibration 0, calibration 1, combination] (None without labels of both classes), the share of
+    good labels, and what was exchanged: (round, view that told, label, documents)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
     kind = dict(docs.dtypes)["doc_id"]
@@ -161,19 +179,23 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         rows = found.withColumn("label", F.col(keys[-1])).mapInArrow(_vectors, f"doc_id {kind}, label double, words binary, meta binary").collect()
         return sorted(rows, key=lambda r: (str(r["doc_id"]), r["label"]))
 
-    rows = vectors(docs.select("doc_id").join(known, "doc_id").distinct().orderBy(order, "doc_id").limit(labelled), ["label"])
-    y, fitted = np.array([r["label"] for r in rows], float), None
+    chosen = staged(docs.select("doc_id").join(known, "doc_id").distinct().orderBy(order, "doc_id").limit(labelled), "chosen")
+    rows = vectors(chosen, ["label"])
+    y, fitted, exchanged = np.array([r["label"] for r in rows], float), None, []
     views_of = lambda rows: [np.array([np.frombuffer(r[c], np.float32) for r in rows]) for c in ("words", "meta")]
     if len(np.unique(y)) == 2:
-        state, taken = Views(views_of(rows), y), known.select("doc_id")
-        for _ in range(rounds):
-            sure = docs.where("doc_id IS NOT NULL").mapInArrow(_sure(spark.sparkContext.broadcast(state.models())), f"doc_id {kind}, view int, p double").distinct()
-            surest = [-F.greatest(F.col("p"), 1 - F.col("p")), order, "doc_id"]
-            top = sure.join(taken, "doc_id", "left_anti").withColumn("part", F.pmod(order, F.lit(PARTS)))
-            for keys in (["view", "part"], ["view"]):  # the surest of each part first, so that no task ranks all
-                top = top.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*surest))).where(F.col("turn") <= per_round)
+        state, taken = Views(views_of(rows), y), chosen.select("doc_id")
+        both = max(2, min(per_round, len(y) // 10))
+        good = min(both - 1, max(1, round(both * float(y.mean()))))
+        quotas, quota = (both - good, good), F.when(F.col("label") == 1, good).otherwise(both - good)
+        for turn in range(rounds):
+            free = docs.where("doc_id IS NOT NULL").join(F.broadcast(taken), "doc_id", "left_anti")  # at most `labelled` + 2 `per_round` a round
+            sure = free.select(docs.columns).mapInArrow(_sure(spark.sparkContext.broadcast((state.calibrated(), quotas))), f"doc_id {kind}, view int, label int, sure double").distinct()
+            top = sure.withColumn("part", F.pmod(order, F.lit(PARTS)))
+            for keys in (["view", "label", "part"], ["view", "label"]):  # the surest of each part first, so that no task ranks all
+                top = top.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("sure"), order, "doc_id"))).where(F.col("place") <= quota)
             # the sign of the label tells the view: 1 + y for view 0, -(1 + y) for view 1
-            top = staged(top.select("doc_id", ((F.lit(1.0) + (F.col("p") >= 0.5).cast("double")) * (1 - 2 * F.col("view"))).alias("told")), "pseudo-labels")
+            top = staged(top.select("doc_id", ((F.lit(1.0) + F.col("label")) * (1 - 2 * F.col("view"))).alias("told")), "pseudo-labels")
             rows = vectors(top, ["told"])
             if not rows:
                 break
@@ -181,6 +203,15 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
             told, (words, meta) = np.array([r["label"] for r in rows]), views_of(rows)
             state.learn(1, meta[told > 0], told[told > 0] - 1)
             state.learn(0, words[told < 0], -told[told < 0] - 1)
+            exchanged += [(turn, view, label, int((told == (1 + label) * (1 - 2 * view)).sum())) for view in (0, 1) for label in (0, 1)]
         fitted = state.fitted()
-    shared = spark.sparkContext.broadcast((fitted, float(y.mean()) if len(y) else 1.0))
+    return fitted, float(y.mean()) if len(y) else 1.0, exchanged
+
+
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **how) -> DataFrame:
+    """Per row: doc_id, score (of good quality), kept (score of 0.5 or more)."""
+    fitted, share, _ = cotrained(docs, labels, doc_id, text, lang, source, **how)
+    shared = docs.sparkSession.sparkContext.broadcast((fitted, share))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
+    kind = dict(docs.dtypes)["doc_id"]
     return docs.mapInArrow(_score(shared), f"doc_id {kind}, score double, kept boolean").withColumnRenamed("doc_id", doc_id)

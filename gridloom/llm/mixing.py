@@ -4,13 +4,15 @@
 2. Targets: each source's weight of the budget, at most `most` times its own size; what is over is
    shared again by weight among the rest until no source is above.
 3. A target is whole passes over the source plus a budget below one pass. Each size first gives the
-   rounded-down share of its documents; a bounded knapsack then fits what is left of the budget:
-   sizes in falling order fill it greedily until it is below a window, and dynamic programming over
-   exact sums within that window, with the documents still there of each size, picks the sum next to
-   it. The fit is exact: it ends when no choice of documents can come nearer (the greatest common
-   divisor of the sizes bounds that), or else begins again with a window twice as large and more sizes,
-   until the programme covers all sums. It runs in one task a source over its distinct sizes, which the
-   longest document bounds, whatever the number of documents.
+   rounded-down share of its documents but for a window's worth; what is over a window, sizes in falling order then fill
+   greedily down to half a window, and a bounded knapsack over exact sums within the window, with the documents
+   still there of each size, picks the sum next to it. Where no choice of these comes as near as the greatest common
+   divisor of the sizes allows, a second programme goes over residues modulo the most plentiful size, whose documents
+   are added or given back to make up for any others: what it keeps is bounded by that one size. If neither comes
+   as near as that, the window is widened, up to `MOST_WINDOW`. A source of up to that many words, one whose sums the window
+   reaches and one with a plentiful size are fitted exactly; for others the nearest sum found stands, and `taken`
+   against `target` shows the distance. It runs in
+   one task a source over its distinct sizes, which the longest document bounds, whatever the number of documents.
 4. The plan says how many documents of each (source, size) are taken once more. They are those of
    least seeded hash: buckets of the hash are counted, whole buckets are taken or left, and only
    the documents of the bucket in which the count runs out are ranked.
@@ -21,8 +23,7 @@ rows count separately; ties of the hash go by id, then by text. Empty tables giv
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from gridloom.session import numbered, staged
 
 BUCKETS = 4096
 SOURCES = 100_000  # their names and sizes meet on the driver
-WINDOW = 1 << 16  # words: where the dynamic programme begins
+WINDOW, MOST_WINDOW = 1 << 16, 1 << 22  # words: where the dynamic programme begins, and how far it goes
 
 
 def n_words(text) -> F.Column:
@@ -60,29 +61,75 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], sha
     return [(source, size, t) for (source, size), t in zip(order, target)]
 
 
-def _subset(lengths: np.ndarray, free: np.ndarray, left: int, most: int, items: int) -> tuple[int, np.ndarray]:
-    """The reachable sum next to `left` (the lower of two) not above `most`, and how many of each length
-    make it; `items` is how many binary splits of lengths the dynamic programme looks at."""
-    first = np.full(most + 1, -1, np.int64)  # the item that first reached a sum
-    first[0], chosen = 0, []
-    for k, length in enumerate(lengths.tolist()):
-        n, part = min(int(free[k]), most // length) if length else 0, 1
-        while n > 0 and len(chosen) < items and first[min(left, most)] < 0:
+def _split(lengths: np.ndarray, free: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+    """(index, documents, words) of lengths in binary parts, none over `most` words."""
+    for k, (length, n) in enumerate(zip(lengths.tolist(), free.tolist())):
+        n, part = min(n, most // length) if length else 0, 1
+        while n > 0:
             part = min(part, n)
-            chosen.append((k, part, part * length))
-            reach = first[: most + 1 - part * length] >= 0
-            target = first[part * length :]
-            target[reach & (target < 0)] = len(chosen)
+            yield k, part, part * length
             n -= part
             part *= 2
-    sums = np.flatnonzero(first >= 0)
-    best = at = int(sums[np.argmin(np.abs(sums - left))])
-    take = np.zeros(len(lengths), np.int64)
-    while at:
-        k, part, size = chosen[first[at] - 1]
+
+
+def _traced(first: np.ndarray, chosen: list[tuple[int, int, int]], at: int, step: Callable, size: int) -> np.ndarray:
+    take = np.zeros(size, np.int64)
+    while first[at] > 0:
+        k, part, words = chosen[first[at] - 1]
         take[k] += part
-        at -= size
-    return best, take
+        at = step(at, words)
+    return take
+
+
+def _window(lengths: np.ndarray, free: np.ndarray, left: int, window: int) -> tuple[int, np.ndarray]:
+    """The reachable sum next to `left` (the lower of two) not above `window`, and how many of each length make it."""
+    first = np.full(window + 1, -1, np.int32)  # the part that first reached a sum
+    first[0], chosen = 0, []
+    for item in _split(lengths, free, window):
+        if first[min(left, window)] >= 0:
+            break
+        chosen.append(item)
+        target = first[item[2] :]
+        target[(first[: window + 1 - item[2]] >= 0) & (target < 0)] = len(chosen)
+    sums = np.flatnonzero(first >= 0)
+    best = int(sums[np.argmin(np.abs(sums - left))])
+    return best, _traced(first, chosen, best, lambda at, words: at - words, len(lengths))
+
+
+def _residues(lengths: np.ndarray, take: np.ndarray, free: np.ndarray, left: int) -> tuple[int, np.ndarray]:
+    """As _window, where documents of the most plentiful length may be added or given back to make up for the
+    others: only what the others leave over that length matters, so that many residues are kept, whatever the sums."""
+    pivot = int(np.argmax((take + free) * (lengths > 0)))
+    p, back, more = int(lengths[pivot]), int(take[pivot]), int(free[pivot])
+    if not p:
+        return 0, np.zeros(len(lengths), np.int64)
+    others, given = free.copy(), np.zeros(len(lengths), np.int64)
+    room = more * p // 2  # others are given back as far as the plentiful length can make up for them
+    for k in np.argsort(lengths, kind="stable").tolist():
+        if k != pivot and lengths[k]:
+            given[k] = min(int(take[k]), p - 1, room // int(lengths[k]))
+            room -= int(given[k] * lengths[k])
+    wanted, others, left = left, others + given, left + int((given * lengths).sum())
+    others[pivot] = 0
+    most = max(0, left + back * p)  # words of others that giving back can make room for
+    first, total, chosen = np.full(p, -1, np.int32), np.zeros(p, np.int64), []
+    first[0] = 0
+    order = np.argsort(lengths, kind="stable")  # short ones first: they need least room
+    for k, part, words in _split(lengths[order], others[order], most):
+        if first[left % p] >= 0:
+            break
+        chosen.append((int(order[k]), part, words))
+        at = np.flatnonzero(first >= 0)
+        to, sums = (at + words) % p, total[at] + words
+        open_ = (first[to] < 0) & (sums <= most)
+        first[to[open_]], total[to[open_]] = len(chosen), sums[open_]
+    at = np.flatnonzero(first >= 0)
+    times = np.clip((left - total[at] + p // 2) // p, -back, more)
+    sums = total[at] + times * p
+    best = int(np.lexsort((sums, np.abs(sums - left)))[0])
+    out = _traced(first, chosen, int(at[best]), lambda at, words: (at - words) % p, len(lengths))
+    out[pivot] += int(times[best])
+    return int(sums[best]) - left + wanted, out - given
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
@@ -93,20 +140,25 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
     if budget <= 0 or not total:
         return np.zeros(len(order), np.int64)
     step = int(np.gcd.reduce(lengths[lengths > 0]))
-    nearest, items = min(budget % step, step - budget % step), 400  # no sum comes nearer than that
+    nearest = min(budget % step, step - budget % step)  # no sum comes nearer than that
+    found, distance = None, None
     while True:
-        whole = total <= window  # the dynamic programme then covers all sums
-        take = np.array([0 if whole else int(c) * budget // total for c in counts.tolist()], np.int64)
+        # each length keeps back a window of its share, which the greedy choice and the programme give out anew
+        take = np.array([max(0, int(c) * budget // total - (window // n + 1)) if n else 0 for n, c in zip(lengths.tolist(), counts.tolist())], np.int64)
         left, free = budget - int((take * lengths).sum()), counts - take
-        for k, length in enumerate(lengths.tolist()):
-            more = min(int(free[k]), max(0, left - window // 2) // length) if length and not whole else 0
+        for k, length in enumerate(lengths.tolist() if left > window else []):
+            more = min(int(free[k]), max(0, left - window // 2) // length) if length else 0
             take[k] += more
             free[k] -= more
             left -= more * length
-        best, more = _subset(lengths, free, left, total if whole else window, 1 << 40 if whole else items)
-        if whole or abs(left - best) <= nearest:
-            return (take + more)[np.argsort(order)]
-        window, items = 2 * window, 2 * items
+        for best, more in (_window(lengths, free, left, window), _residues(lengths, take, free, left)):
+            if found is None or (abs(left - best), best - left) < distance:
+                found, distance = take + more, (abs(left - best), best - left)
+            if distance[0] <= nearest:
+                return found[np.argsort(order)]
+        if window >= min(total, MOST_WINDOW):
+            return found[np.argsort(order)]
+        window *= 4
 
 
 def _plan(group: pd.DataFrame) -> pd.DataFrame:

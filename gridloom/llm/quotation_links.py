@@ -2,7 +2,8 @@
 
 Lines that begin with `>` are quoted, once for each `>`. Adjacent lines of one level form a passage. A
 passage and each of its lines are normalised (lower case, blanks collapsed) and hashed with SHA-256, as are
-each message's own text (its level 0) and the lines of that; so trimmed quotes, and quotes cut up by replies
+each message's own text (its level 0) and the lines of that; quoted lines of under `LEAST` characters, which many
+messages share, count only where they are the whole passage; so trimmed quotes, and quotes cut up by replies
 between them, link too. Each quoted hash is joined to the latest earlier message of its thread that has it as its
 own. A message replies to what its quotes of the shallowest level with a match point at: the message
 with most quoted characters, then the latest. Reply links are followed by pointer doubling, so a chain
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import staged
 
-BLOCK = 4096
+BLOCK, LEAST = 4096, 12
 
 
 def normalised(text: Column) -> Column:
@@ -35,7 +36,7 @@ def passages(messages: DataFrame) -> DataFrame:
     """messages(thread, turn, hash, text) -> thread, turn, hash, level, at (first line), passage (lines joined).
 
     Lines stay in their own row: a line begins a passage where its level differs from the one before."""
-    line = lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, r"^((?:> ?)*)", 1), " ", "")).alias("level"), F.regexp_replace(x, r"^(?:> ?)*", "").alias("line"))
+    line = lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, r"^((?:> ?)*+)", 1), " ", "")).alias("level"), F.regexp_replace(x, r"^(?:> ?)*+", "").alias("line"))
     rows = messages.withColumn("lines", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line))
     begins = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: ~F.get("lines", k - 1)["level"].eqNullSafe(F.get("lines", k)["level"]))
     rows = rows.withColumn("begins", begins)
@@ -46,10 +47,10 @@ def passages(messages: DataFrame) -> DataFrame:
     return rows.select("thread", "turn", "hash", F.get("lines", F.col("span.at"))["level"].alias("level"), F.col("span.at").alias("at"), F.array_join(F.transform(part, lambda x: x["line"]), "\n").alias("passage"))
 
 
-def _units(rows: DataFrame, text: str, *more: str) -> DataFrame:
-    """thread, turn, more.. of rows with the hash and length of the whole text and of each line, normalised; those without a word left out."""
-    whole = F.concat(F.array(F.col(text)), F.split(text, "\n"))
-    units = F.filter(F.array_distinct(F.transform(whole, normalised)), lambda u: u != "")
+def _units(rows: DataFrame, text: str, *more: str, least: int = 1) -> DataFrame:
+    """thread, turn, more.. of rows with the hash and length of the whole text and of each line of `least` characters, normalised; those without a word left out."""
+    lines = F.filter(F.transform(F.split(text, "\n"), normalised), lambda u: F.length(u) >= least)
+    units = F.filter(F.array_distinct(F.concat(F.array(normalised(F.col(text))), lines)), lambda u: u != "")
     units = rows.select("thread", "turn", *more, F.explode(units).alias("unit"))
     return units.select("thread", "turn", *more, F.sha2("unit", 256).alias("hash"), F.length("unit").alias("size"))
 
@@ -65,7 +66,7 @@ def reply_conversations(messages: DataFrame, thread: str = "conv_id", turn: str
     )
     whole = staged(whole, "bodies")
     own = _units(whole, "body").select("thread", "turn", "hash", F.col("turn").alias("origin"), F.lit(None).cast("int").alias("level"), F.lit(0).alias("size"))
-    quoted = _units(parts.where("level > 0"), "passage", "level").select("thread", "turn", "hash", F.lit(None).cast("long").alias("origin"), "level", "size")
+    quoted = _units(parts.where("level > 0"), "passage", "level", least=LEAST).select("thread", "turn", "hash", F.lit(None).cast("long").alias("origin"), "level", "size")
     met = own.unionByName(quoted).where("thread IS NOT NULL").withColumn("block", F.floor(F.col("turn") / BLOCK))
     met = staged(met.join(quoted.select("thread", "hash").distinct(), ["thread", "hash"], "left_semi"), "met")
     blocks = met.groupBy("thread", "hash", "block").agg(F.max("origin").alias("last"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import round_trip
-from gridloom.llm.chroma import align, as_recordings, fingerprints
+from gridloom.llm.chroma import align, as_recordings, fingerprints, with_excerpts
 from gridloom.llm.conversation_repair import damaged, repair_report
 from gridloom.llm.cotraining import classify
 from gridloom.llm.lexical_search import search
@@ -62,8 +62,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings made from the embeddings: the data has no audio of its own."""
-    return align(fingerprints(as_recordings(table(spark, sf_dir, "embeddings"))))
+    """Recordings made from the embeddings, with excerpts of some: the data has no audio of its own."""
+    return align(fingerprints(as_recordings(with_excerpts(table(spark, sf_dir, "embeddings")))))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

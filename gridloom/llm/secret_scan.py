@@ -1,10 +1,10 @@
 """Secret scans by assignment-aware lexing.
 
 The base rules find assignments to a few names, access keys and long hexadecimal runs. The lexer
-then reads every `=`, `:`, `:=` and `=>` of a text as an assignment (source code, JSON, YAML, INI,
-environment files): the name before it, quoted or subscripted or not, and the literals and names
-after it, joined by `+`. Names that were assigned a literal earlier in the text stand for it, through
-any number of steps: a value keeps references to the values that it is made of and a summary of its
+then reads every `=`, `:`, `:=`, `+=` and `=>` of a text as an assignment (source code, JSON, YAML, INI,
+environment files), and XML elements of one text: the name before it, quoted or subscripted or not, and the literals
+(with prefixes, in one or three quotes) and names after it, joined by `+`. Names that were assigned a literal earlier in
+the text stand for it, through any number of steps, until they are assigned something unknown: a value keeps references to the values that it is made of and a summary of its
 characters, so a step costs the same however long the value has grown. A value whose target name is
 sensitive is scored by that name and by its look; if it reaches `THRESHOLD`, its literals are spans of
 kind `named`, each at the place where it stands, unless a base span covers it.
@@ -31,13 +31,16 @@ KINDS = ("assign", "access", "hex", "named")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-OPERATOR = re.compile(r"=>|:=|[:=]")
-BARE = re.compile(r"[A-Za-z0-9+/_.$-]++={0,2}")
+OPERATOR = re.compile(r"=>|:=|(?<![=!<>])=(?!=)|:")
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*)(?:\s[^<>]*)?>([^<>]+)</")
+QUOTE = re.compile(r"""(?:[fFbBrRuU]{1,2}|[@$]{1,2})?(\"{3}|'{3}|["'`])""")
+BARE = re.compile(r"[A-Za-z0-9/_.$-]++={0,2}")
+ENCODED = re.compile(r"[A-Za-z0-9/_-]++(?:\+[A-Za-z0-9/+_-]*+)={0,2}")  # a word in which + may be a letter
 NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*")
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: How much a part of a name says that its value is secret.
-SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2.5, "apikey": 3, "credential": 2.5, "credentials": 2.5, "auth": 1.5, "private": 1.5, "access": 1, "api": 1, "key": 1.5, "bearer": 2, "signing": 1.5, "pin": 1}
+SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2.5, "apikey": 3, "credential": 2.5, "credentials": 2.5, "auth": 1.5, "private": 1.5, "access": 1, "api": 1, "key": 1.5, "bearer": 2, "signing": 1.5, "pin": 1, "pass": 2, "psk": 3, "jwt": 2.5, "hmac": 2, "salt": 1.5, "otp": 2, "mnemonic": 2.5, "seed": 1.5, "cookie": 2, "session": 1, "webhook": 1.5, "dsn": 2, "encryption": 1.5, "certificate": 1}
 #: Values that stand in for a secret.
 PLACEHOLDERS = {"changeme", "example", "password", "secret", "token", "none", "null", "true", "false", "xxxx", "todo", "redacted", "your"}
 THRESHOLD = 4.0
@@ -65,20 +68,36 @@ def name_before(text: str, at: int) -> str:
     return text[start:end].strip(".-")
 
 
-def values_after(text: str, at: int) -> list[tuple[str, int, int]]:
-    """The terms after an operator: ("literal" or "name", start, end), as long as + joins them."""
-    terms = []
+def encoded(word: str) -> bool:
+    """Whether a word with + in it looks like one base64 value, and not like names that are added up."""
+    return word.endswith("=") or len(word) >= 16 and any("0" <= c <= "9" for c in word) and any("A" <= c <= "Z" for c in word) and any("a" <= c <= "z" for c in word)
+
+
+def values_after(text: str, at: int, known: dict = {}) -> list[tuple[str, int, int]]:  # noqa: B006  only read
+    """The terms after an operator: ("literal" or "name", start, end), as long as + joins them. Words whose parts
+    between + are all known names are those names."""
+    terms, judged = [], 0
     while True:
         while at < len(text) and text[at] in " \t([{":
             at += 1
-        if at < len(text) and text[at] in "\"'`":
-            quote, start, at = text[at], at + 1, at + 1
-            while at < len(text) and text[at] != quote and text[at] != "\n":
-                at += 2 if text[at] == "\\" else 1
-            at = min(at, len(text))
+        if m := QUOTE.match(text, at):
+            quote, start = m[1], m.end()
+            at = start
+            if len(quote) == 3:
+                at = text.find(quote, start)
+                at = len(text) if at < 0 else at
+            else:
+                while at < len(text) and text[at] != quote and text[at] != "\n":
+                    at += 2 if text[at] == "\\" else 1
+                at = min(at, len(text))
             terms.append(("literal", start, at))
-            at += 1
+            at += len(quote)
+        elif at >= judged and (m := ENCODED.match(text, at)) and encoded(m[0]) and not all(p in known for p in m[0].split("+")):
+            terms.append(("literal", at, m.end()))
+            at = m.end()
         elif m := BARE.match(text, at):
+            if at >= judged and (run := ENCODED.match(text, at)):
+                judged = run.end()  # a word is judged as a whole once
             whole = NAME.fullmatch(m[0].rstrip("."))
             terms.append(("name" if whole else "literal", at, at + len(m[0].rstrip("."))))
             at = m.end()
@@ -145,23 +164,38 @@ def named_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, directly or through constants."""
     constants: dict[str, Value] = {}
     found = set()
+
+    def judge(name: str, value: Value) -> None:
+        weight = name_score(name)
+        if weight and weight + value.score() >= THRESHOLD:
+            found.update((a, b, "named") for a, b in value.tell() if b > a)
+
     for operator in OPERATOR.finditer(text) if ":" in text or "=" in text else ():
-        name = name_before(text, operator.start())
+        start = operator.start()
+        longer = operator[0] == "=" and text[start - 1 : start] == "+"
+        name = name_before(text, start - longer)
         if not name or not NAME.fullmatch(name):
             continue
         value = Value()
-        for kind, start, end in values_after(text, operator.end()):
+        if longer and name in constants:
+            value.add(constants[name])
+        for kind, start, end in values_after(text, operator.end(), constants):
             word = text[start:end]
             if kind == "name" and word in constants:
                 value.add(constants[word])
             elif kind == "literal" or len(word) >= 8 and any(c.isdigit() for c in word):  # unquoted values of settings files
                 value.add(Value(word, (start, end)))
         if not value.parts:
+            constants.pop(name, None)
             continue
         constants[name] = value
-        weight = name_score(name)
-        if weight and weight + value.score() >= THRESHOLD:
-            found.update((a, b, "named") for a, b in value.tell() if b > a)
+        judge(name, value)
+    for element in ELEMENT.finditer(text) if "</" in text else ():
+        if text.startswith(element[1] + ">", element.end()):
+            value = Value()
+            start, end = element.span(2)
+            value.add(Value(text[start:end], (start, end)))
+            judge(element[1], value)
     return sorted(found)
 
 

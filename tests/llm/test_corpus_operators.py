@@ -403,31 +403,6 @@ def test_cotraining(spark, sf):
     assert cotraining.classify(docs_of(spark, []), half).count() == 0
 
 
-def test_cotraining_equals_brute_force(spark, sf):
-    """Scores against the same rounds over arrays of all documents on one machine."""
-    import pyarrow as pa
-
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("doc_id % 2 = 0")
-    got = {r.doc_id: r.score for r in cotraining.classify(docs, labels, rounds=3, per_round=20).collect()}
-    told = {r.doc_id: float(r.quality) for r in labels.collect()}
-    rows = sorted(docs.collect(), key=lambda r: str(r.doc_id))
-    batch = pa.RecordBatch.from_pydict({"text": [r.text for r in rows], "lang": pa.array([r.lang for r in rows], pa.string()), "source": pa.array([r.source for r in rows], pa.string())})
-    views = cotraining.features(batch)
-    ids, known = [r.doc_id for r in rows], np.array([r.doc_id in told for r in rows])
-    state, free = cotraining.Views([v[known] for v in views], np.array([told[i] for i in ids if i in told])), ~known
-    for _ in range(3):
-        models, used = state.models(), []
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-models[v].logit(views[v])))
-            sure = np.flatnonzero(free & (np.maximum(p, 1 - p) >= cotraining.SURE))
-            sure = np.sort(sure[np.argsort(-np.maximum(p, 1 - p)[sure], kind="stable")][:20])
-            state.learn(1 - v, views[1 - v][sure], (p[sure] >= 0.5).astype(float))
-            used.append(sure)
-        free[np.concatenate(used)] = False
-    want = dict(zip(ids, cotraining.score(state.fitted(), views)))
-    assert max(abs(got[i] - want[i]) for i in ids) < 0.01
-
-
 def test_chroma(spark):
     r = np.random.default_rng(4)
     melody = r.normal(size=64)
