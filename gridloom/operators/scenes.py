@@ -1,44 +1,134 @@
-"""Validation of stored scenes: bands that were read, against each other and against their settings."""
+"""Validation of stored scenes: bands, metadata and images against each other, by a table of rules.
+
+A rule is two SQL expressions over the values of a pixel and the scene's settings that have to agree within a tolerance, and
+holds where its bands are stored. Pixels are checked where they were read and the largest violations of a scene are
+aggregated, so a scene may be of any size. Names of bands, settings and metadata are fixed values of the format."""
 
 from __future__ import annotations
 
-import math
+import hashlib
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: The bands of a stored scene.
+FLOATS = (
+    "subsidence_before_m", "subsidence_after_m", "delta_down_m", "delta_east_m", "delta_north_m", "delta_los_m", "deformation_phase_rad",
+    "reference_phase_rad", "wrapped_phase_rad", "atmosphere_equivalent_los_m", "orbit_phase_rad", "observation_real", "observation_imag",
+    "face_1_delta_m", "face_2_delta_m", "dem_m", "dem_error_m", "topographic_phase_rad", "residual_topographic_phase_rad",
+    "applied_topographic_phase_rad", "height_atmosphere_los_m", "model_coherence", "backscatter_power", "estimated_coherence",
+    "intensity_before", "intensity_after",
+)
+MASKS = ("mask", "fringe_mask", "fringe_valid_mask", "face_1_mask", "face_2_mask", "water_mask", "valid_mask")
+BANDS = FLOATS + MASKS
+#: Bands without which a scene can't be used.
+NEEDED = ("subsidence_before_m", "subsidence_after_m", "delta_down_m", "delta_east_m", "delta_north_m", "delta_los_m", "deformation_phase_rad", "reference_phase_rad", "wrapped_phase_rad", "atmosphere_equivalent_los_m", "orbit_phase_rad", "observation_real", "observation_imag", "face_1_delta_m", "face_2_delta_m", "mask", "face_1_mask", "face_2_mask")
+
+SETTINGS = "size int, incidence_deg double, radar_azimuth_deg double, wavelength_m double, target_threshold_mm double, fringe_threshold_rad double, valid_coherence_threshold double"
+METADATA = f"request struct<settings:struct<{SETTINGS.replace(' int', ':int').replace(' double', ':double')}>>, split string, group_id string, request_sha256 string"
+LOOK = "radians(incidence_deg)"
+HEADING = "radians(radar_azimuth_deg)"
+RELATIVE = 1e-7  # of the second side, beside each tolerance
+TURN = "2 * pi()"
+
+#: name: (one side, the other, tolerance, bands)
+RULES: dict[str, tuple[str, str, float, tuple[str, ...]]] = {
+    "epochs": ("delta_down_m", "subsidence_after_m - subsidence_before_m", 1e-7, ("delta_down_m", "subsidence_after_m", "subsidence_before_m")),
+    "faces": ("delta_down_m", "face_1_delta_m + face_2_delta_m", 1e-7, ("delta_down_m", "face_1_delta_m", "face_2_delta_m")),
+    "line_of_sight": ("delta_los_m", f"cos({LOOK}) * delta_down_m - sin({LOOK}) * (sin({HEADING}) * delta_east_m + cos({HEADING}) * delta_north_m)", 1e-7, ("delta_los_m", "delta_down_m", "delta_east_m", "delta_north_m")),
+    "deformation_phase": ("deformation_phase_rad", f"-2 * {TURN} / wavelength_m * delta_los_m", 2e-5, ("deformation_phase_rad", "delta_los_m")),
+    "reference_phase": ("reference_phase_rad", f"deformation_phase_rad + orbit_phase_rad + coalesce(applied_topographic_phase_rad, 0) - 2 * {TURN} / wavelength_m * atmosphere_equivalent_los_m", 2e-5, ("reference_phase_rad", "deformation_phase_rad", "orbit_phase_rad", "atmosphere_equivalent_los_m")),
+    "wrapped_phase": (f"pmod(wrapped_phase_rad - atan2(observation_imag, observation_real) + pi(), {TURN})", "pi()", 5e-7, ("wrapped_phase_rad", "observation_imag", "observation_real")),
+    "mask": ("mask", "int(delta_down_m >= float(target_threshold_mm / 1000))", 0.0, ("mask", "delta_down_m")),
+    "face_1_mask": ("face_1_mask", "int(face_1_delta_m >= float(target_threshold_mm / 1000))", 0.0, ("face_1_mask", "face_1_delta_m")),
+    "face_2_mask": ("face_2_mask", "int(face_2_delta_m >= float(target_threshold_mm / 1000))", 0.0, ("face_2_mask", "face_2_delta_m")),
+    "fringe_mask": ("fringe_mask", "int(abs(deformation_phase_rad) >= float(fringe_threshold_rad))", 0.0, ("fringe_mask", "deformation_phase_rad")),
+    "fringe_valid_mask": ("fringe_valid_mask", "1", 0.0, ("fringe_valid_mask",)),
+    "valid_mask": ("valid_mask", "int(water_mask = 0 AND model_coherence >= float(coalesce(valid_coherence_threshold, 0.2)))", 0.0, ("valid_mask", "water_mask", "model_coherence")),
+    "model_coherence": ("model_coherence", "greatest(0, least(1, model_coherence))", 0.0, ("model_coherence",)),
+    "estimated_coherence": ("estimated_coherence", "greatest(0, least(1, estimated_coherence))", 0.0, ("estimated_coherence",)),
+}
+#: Rules that are not about single pixels: how many bands or images break them.
+WHOLE = ("bands", "types", "shape", "finite", "request_sha256")
+
+
+@F.pandas_udf(StringType())
+def canonical_sha256(document: pd.Series) -> pd.Series:
+    """SHA-256 of a JSON text with sorted keys and no blanks; null for null or what is not JSON."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return hashlib.sha256(json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest() if text else None
+        except ValueError:
+            return None
+
+    return document.map(one)
 
-from gridloom.functions.mathx import wrap
-
-BANDS = ("before_m", "after_m", "down_m", "face_1_m", "face_2_m", "east_m", "north_m", "los_m", "phase_rad", "wrapped_rad", "real", "imag", "mask")
-#: Largest violation of each check that passes.
-TOLERANCES = {"bands": 0.0, "shape": 0.0, "finite": 0.0, "epochs": 1e-7, "components": 1e-7, "los": 1e-7, "phase": 2e-5, "wrapped": 5e-7, "mask": 0.0}
-
-
-def _worst(off: Column) -> Column:
-    """Largest absolute value of an array; a value that is none counts as infinite."""
-    return F.array_max(F.transform(off, lambda v: F.when(v.isNull() | F.isnan(v), float("inf")).otherwise(F.abs(v))))
-
-
-def checked(bands: DataFrame, settings: DataFrame) -> DataFrame:
-    """bands(path, band, height, width, data), settings (one row for all scenes, or with a column path) -> path,
-    check, largest violation. Bands of a scene meet in one row; nothing else is shuffled."""
-    scene = bands.groupBy("path").pivot("band", list(BANDS)).agg(F.first("data"))
-    shape = bands.groupBy("path").agg(F.count("*").alias("_n"), F.min("height").alias("_h0"), F.max("height").alias("_h1"), F.min("width").alias("_w0"), F.max("width").alias("_w1"))
-    rows = scene.join(shape, "path")
-    rows = rows.join(settings, "path") if "path" in settings.columns else rows.join(F.broadcast(settings.limit(1)))
-    at = lambda f, *names: F.transform(F.sequence(F.lit(0), F.size("down_m") - 1), lambda i: f(*(F.get(F.col(n), i) for n in names)))
-    i, a = F.radians("incidence_deg"), F.radians("azimuth_deg")
-    finite = F.array_max(F.array(*(_worst(F.transform(F.col(b), lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 1.0).otherwise(0.0))) for b in BANDS)))
-    found = {
-        "bands": F.abs(F.col("_n") - len(BANDS)),
-        "shape": F.greatest(*(F.abs(F.col(c) - F.col("size")) for c in ("_h0", "_h1", "_w0", "_w1"))),
-        "finite": finite,
-        "epochs": _worst(at(lambda d, y, x: d - (y - x), "down_m", "after_m", "before_m")),
-        "components": _worst(at(lambda d, x, y: d - (x + y), "down_m", "face_1_m", "face_2_m")),
-        "los": _worst(at(lambda l, d, e, n: l - (d * F.cos(i) - (e * F.sin(a) + n * F.cos(a)) * F.sin(i)), "los_m", "down_m", "east_m", "north_m")),
-        "phase": _worst(at(lambda p, l: p + 4 * math.pi * l / F.col("wavelength_m"), "phase_rad", "los_m")),
-        "wrapped": _worst(at(lambda w, y, x: wrap(w - F.atan2(y, x)), "wrapped_rad", "imag", "real")),
-        "mask": _worst(at(lambda m, d: m - (d >= F.col("threshold_mm") / 1000).cast("double"), "mask", "down_m")),
+
+def checked(scenes: DataFrame) -> DataFrame:
+    """What read_scenes(.., *BANDS) gives -> scene, rule, largest (violation; null where the rule has no bands), passed.
+
+    Several rows of a scene (ranges of its lines) are one scene. Without settings, rules that need them fail."""
+    known = F.from_json("metadata", METADATA)
+    rows = scenes.withColumn("_m", known).withColumn("_request", F.get_json_object("metadata", "$.request"))
+    rows = rows.select(*scenes.columns, F.col("_m.request.settings.*"), F.col("_m.request_sha256").alias("_told"), "_request")
+    lines = F.coalesce(*(F.when(F.col(b).isNotNull(), F.size(b)) for b in BANDS), F.lit(0))
+    blank = lambda b: F.array_repeat(F.lit(None).cast("tinyint" if b in MASKS else "float"), lines)
+    pixels = rows.withColumn("_p", F.explode_outer(F.arrays_zip(*(F.coalesce(F.col(b), blank(b)).alias(b) for b in BANDS))))
+    settings = [c.split()[0] for c in SETTINGS.split(", ")]
+    pixels = pixels.select("scene", "first_row", "height", "width", "kinds", "_told", "_request", *settings, "_p.*")
+
+    def off(one: str, other: str) -> Column:
+        a, b = F.expr(one).cast("double"), F.expr(other).cast("double")
+        beyond = F.abs(a - b) - RELATIVE * F.abs(b)
+        return F.when(beyond.isNull(), float("inf")).otherwise(F.greatest(beyond, F.lit(0.0)))
+
+    has = {b: F.max(F.map_contains_key("kinds", F.lit(b))) for b in BANDS}
+    kind = lambda b: F.max(F.element_at("kinds", F.lit(b)))
+    aggregates = [F.max(off(one, other)).alias(f"_{n}") for n, (one, other, *_) in RULES.items()]
+    aggregates += [v.alias(f"has_{b}") for b, v in has.items()] + [kind(b).alias(f"kind_{b}") for b in BANDS]
+    finite = lambda b: F.count_if(F.isnan(b) | (F.abs(F.col(b)) == float("inf")))
+    aggregates += [finite(b).alias(f"odd_{b}") for b in FLOATS]
+    aggregates += [F.max("size").alias("size"), F.max("_told").alias("told"), F.max("_request").alias("request")]
+    whole = pixels.groupBy("scene").agg(*aggregates)
+    total = lambda parts: sum((p.cast("int") for p in parts[1:]), parts[0].cast("int")).cast("double")
+    there = lambda b: F.coalesce(F.col(f"has_{b}"), F.lit(False))
+    part = lambda b, k: F.element_at(F.split(F.col(f"kind_{b}"), ":"), k)
+    square = F.concat_ws("x", "size", "size")
+    found = {n: F.when(total([there(b) for b in bands]) == len(bands), F.col(f"_{n}")) for n, (_, _, _, bands) in RULES.items()}
+    found |= {
+        "bands": total([~there(b) for b in NEEDED]),
+        "types": total([there(b) & (part(b, 1) != ("uint8" if b in MASKS else "float32")) for b in BANDS]),
+        "shape": total([there(b) & ~part(b, 2).eqNullSafe(square) for b in BANDS]),
+        "finite": total([F.col(f"odd_{b}") > 0 for b in FLOATS]),
+        "request_sha256": F.when(F.col("told").isNotNull(), (~canonical_sha256("request").eqNullSafe(F.col("told"))).cast("double")),
     }
-    told = F.array(*(F.struct(F.lit(n).alias("check"), F.coalesce(v.cast("double"), F.lit(float("inf"))).alias("largest")) for n, v in found.items()))
-    return rows.select("path", F.explode(told).alias("c")).select("path", "c.*")
+    tolerance = {n: t for n, (_, _, t, _) in RULES.items()} | dict.fromkeys(WHOLE, 0.0)
+    told = F.array(*(F.struct(F.lit(n).alias("rule"), v.alias("largest"), (v.isNull() | (v <= tolerance[n])).alias("passed")) for n, v in found.items()))
+    return whole.select("scene", F.explode(told).alias("t")).select("scene", "t.*")
+
+
+def phase_rgb(phase: Column) -> Column:
+    """Red, green and blue of a phase: half a cosine each, a third of a turn apart."""
+    return F.array(*(F.rint(255 * (0.5 + 0.5 * F.cos(phase.cast("double") - 2 * 3.141592653589793 * k / 3))).try_cast("int") for k in range(3)))
+
+
+def images_checked(scenes: DataFrame, images: DataFrame, drawn: dict[str, tuple[int, Column]]) -> DataFrame:
+    """Stored images against arrays: scenes(scene, first_row, height, width, bands), images as read_images() gives them, drawn:
+    name of the image file without .png -> channels and the array column of the values that it must show, row-major, channels innermost.
+    scene, rule (`name.png`), largest (values that differ; infinite for another size or no image), passed."""
+    place = F.regexp_extract("path", r"([^/]+)/([^/]+)\.png$", 1)
+    stored = images.select(place.alias("scene"), F.regexp_extract("path", r"([^/]+)\.png$", 1).alias("name"), "data")
+    told = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(k).alias("channels"), c.alias("want")) for n, (k, c) in drawn.items()))
+    wanted = scenes.select("scene", "first_row", "height", "width", F.explode(told).alias("t")).select("scene", "first_row", "height", "width", "t.*")
+    met = wanted.join(stored, ["scene", "name"], "left")
+    start, total = (F.col(c) * F.col("width") * F.col("channels") for c in ("first_row", "height"))
+    shown = F.slice("data", (start + 1).cast("int"), F.size("want"))
+    differ = F.size(F.filter(F.arrays_zip(shown.alias("a"), F.col("want").alias("b")), lambda p: ~p["a"].eqNullSafe(p["b"])))
+    same = F.coalesce(F.size("data") == total, F.lit(False))
+    rows = met.select("scene", F.concat("name", F.lit(".png")).alias("rule"), F.when(same, differ.cast("double")).otherwise(float("inf")).alias("off"))
+    out = rows.groupBy("scene", "rule").agg(F.sum("off").alias("largest"))
+    return out.withColumn("passed", F.col("largest") == 0)

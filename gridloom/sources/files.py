@@ -18,6 +18,7 @@ from pyspark.sql.types import StringType
 
 from gridloom.functions import mathx
 from gridloom.session import shared_folder
+from gridloom.sources.images import decoded_png
 
 MANIFEST = "scene_id string, group_id string, split string, category string, image string, mask string, arrays string, metadata string"
 SAMPLE = "id string, group_id string, source string, status string, split string, case string, style string, template_id string, template_revision int, label_percent double, water_percent double, warnings array<string>"
@@ -86,36 +87,10 @@ def png(array: np.ndarray) -> bytes:
 
 def grey(data: bytes) -> np.ndarray:
     """Values of a grey or indexed PNG of 1 or 8 bits, of any row filter."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("not a PNG")
-    at, packed, width, height, depth = 8, b"", 0, 0, 8
-    while at < len(data):
-        size, name = struct.unpack(">I4s", data[at : at + 8])
-        body = data[at + 8 : at + 8 + size]
-        if name == b"IHDR":
-            width, height, depth, kind = struct.unpack(">IIBB", body[:10])
-            if depth not in (1, 8) or kind not in (0, 3) or body[12]:
-                raise ValueError("only grey or indexed masks of 1 or 8 bits, not interlaced, are read")
-        packed += body if name == b"IDAT" else b""
-        at += size + 12
-    across = (width * depth + 7) // 8
-    rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, across + 1)
-    out = np.zeros((height, across), np.uint8)
-    for y in range(height):
-        up = out[y - 1] if y else np.zeros(across, np.uint8)
-        line, how = rows[y, 1:], rows[y, 0]
-        if how == 0:
-            out[y] = line
-        elif how == 1:  # each byte adds to the one before it
-            out[y] = np.cumsum(line, dtype=np.uint64).astype(np.uint8)
-        elif how == 2:
-            out[y] = line + up
-        else:
-            for x in range(across):
-                a, b, c = (int(out[y, x - 1]) if x else 0), int(up[x]), (int(up[x - 1]) if x else 0)
-                near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
-                out[y, x] = (int(line[x]) + ((a + b) // 2 if how == 3 else near)) % 256
-    return np.unpackbits(out, axis=1)[:, :width] if depth == 1 else out
+    out = decoded_png(data)
+    if out.ndim != 2:
+        raise ValueError("only grey or indexed masks of 1 or 8 bits, not interlaced, are read")
+    return out
 
 
 def read_annotations(spark: SparkSession, path: str, label: str = "1") -> DataFrame:

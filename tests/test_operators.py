@@ -233,29 +233,6 @@ def test_scenes_are_not_overwritten(spark, tmp_path):
         files.save_scenes(rows, str(tmp_path / "s"))
 
 
-def test_scenes_validated_from_files(spark, tmp_path):
-    """Invariants over bands that were read from array files: a good scene passes, one with a wrong sum and one with a NaN are told."""
-    from gridloom.operators import scenes
-
-    r = np.random.default_rng(0)
-    settings = {"size": 4, "wavelength_m": 0.055, "incidence_deg": 35.0, "azimuth_deg": 80.0, "threshold_mm": 5.0}
-    for k in range(3):
-        f1, f2, east, north, re, im = (r.normal(0, 0.01, (4, 4)) for _ in range(6))
-        before = r.random((4, 4)) * 0.1
-        down = f1 + f2
-        i, a = np.radians(settings["incidence_deg"]), np.radians(settings["azimuth_deg"])
-        los = down * np.cos(i) - (east * np.sin(a) + north * np.cos(a)) * np.sin(i)
-        bands = {"before_m": before, "after_m": before + down, "down_m": down, "face_1_m": f1, "face_2_m": f2 + (0.01 if k == 1 else 0), "east_m": east, "north_m": north, "los_m": los, "phase_rad": -4 * np.pi * los / settings["wavelength_m"], "wrapped_rad": np.arctan2(im, re), "real": re, "imag": im}
-        if k == 2:
-            bands["before_m"][1, 1] = np.nan
-        np.savez(tmp_path / f"{k}.npz", **{n: v.astype("f8") for n, v in bands.items()}, mask=(down >= 0.005).astype("u1"))
-    bands = files.read_bands(spark, str(tmp_path), *scenes.BANDS)
-    found = {(x.path[-5], x.check): x.largest for x in scenes.checked(bands, spark.createDataFrame([tuple(settings.values())], ", ".join(f"{n} {'int' if n == 'size' else 'double'}" for n in settings))).collect()}
-    assert len(found) == 3 * len(scenes.TOLERANCES)
-    bad = {k for k, v in found.items() if not v <= scenes.TOLERANCES[k[1]]}
-    assert bad == {("1", "components"), ("2", "finite"), ("2", "epochs")}
-
-
 def test_wide_mean_and_padding(spark):
     a = np.random.default_rng(1).random((9, 7))
     df = spark.createDataFrame([(1, a.ravel().tolist())], "k int, data array<double>")
