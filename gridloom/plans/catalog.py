@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from gridloom.plans import audit_queries, field_queries, manifest_queries, metric_queries, mosaic_queries, raster_queries, sampling_queries, scene_queries, stream_queries  # noqa: E402,F401  registers its queries
+from gridloom.plans import audit_queries, dataset_queries, field_queries, manifest_queries, metric_queries, mosaic_queries, raster_queries, sampling_queries, scene_queries, stream_queries  # noqa: E402,F401  registers its queries
