@@ -25,14 +25,14 @@ def segments(spark: SparkSession, along: tuple[float, float], across: tuple[floa
     return spark.range(count).select((along[0] + width * s).alias("lo"), (along[0] + width * (s + 1)).alias("hi"), F.lit(across[0]).alias("left"), F.lit(across[1]).alias("right"), (first_day + days / count * s).alias("opened"))
 
 
-def face_epoch(pixels: DataFrame, face: DataFrame, day: float, reach: float, depth: float, tau: float) -> DataFrame:
+def face_epoch(pixels: DataFrame, face: DataFrame, day: float, reach: float, depth: float, tau: float, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """Subsidence at a day: sum over open segments of along x across influence x response."""
     c = math.sqrt(math.pi) / reach
     open_ = face.where(F.col("opened") < day)  # closed segments never meet a pixel
     along = M.strip_integral(c * (F.col("lo") - F.col("e")), c * (F.col("hi") - F.col("e")))
     across = M.strip_integral(c * (F.col("left") - F.col("n")), c * (F.col("right") - F.col("n")))
     part = along * across * depth * M.response(day - F.col("opened"), F.lit(tau))
-    return pixels.join(F.broadcast(open_)).groupBy("y", "x").agg(F.sum(part).alias("down_m"))  # segments are a parameter, tens of rows
+    return pixels.join(F.broadcast(open_)).groupBy(*keys).agg(F.sum(part).alias("down_m"))  # segments are a parameter, tens of rows
 
 
 def coherence(re1: str, im1: str, re2: str, im2: str) -> Column:
@@ -42,12 +42,12 @@ def coherence(re1: str, im1: str, re2: str, im2: str) -> Column:
     return F.least(F.lit(1.0), cross / F.greatest(F.sqrt(F.sum(a * a + b * b) * F.sum(c * c + d * d)), F.lit(1e-20)))
 
 
-def plane_wave_screen(pixels: DataFrame, seed: int, waves: int, deviation: float) -> DataFrame:
+def plane_wave_screen(pixels: DataFrame, seed: int, waves: int, deviation: float, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
     w = pixels.sparkSession.range(waves).select((2 * math.pi * M.uniform(seed, "angle", "id")).alias("a"), (0.002 + 0.01 * M.uniform(seed, "freq", "id")).alias("f"), (2 * math.pi * M.uniform(seed, "start", "id")).alias("p"))
     total = F.sum(F.cos(F.col("f") * (F.col("e") * F.cos("a") + F.col("n") * F.sin("a")) + F.col("p")))
-    s = pixels.join(F.broadcast(w)).groupBy("y", "x").agg(total.alias("v"))  # `waves` rows
+    s = pixels.join(F.broadcast(w)).groupBy(*keys).agg(total.alias("v"))  # `waves` rows
     moments = s.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"))  # one row
-    return s.join(F.broadcast(moments)).select("y", "x", (deviation * (F.col("v") - F.col("m")) / F.col("d")).alias("delay_m"))
+    return s.join(F.broadcast(moments)).select(*keys, (deviation * (F.col("v") - F.col("m")) / F.col("d")).alias("delay_m"))
 
 
 def river(e: Column, n: Column, centre: float, swing: float, length: float, start: float, width: float, change: float, period: float) -> Column:

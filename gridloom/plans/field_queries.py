@@ -21,46 +21,54 @@ def rng(seed: int, stream: str, key: str) -> str:
     return RNG.format(seed=seed, stream=stream, key=key)
 
 
-@query("erf_values", f"SELECT k, round({ERF.format(x='x')}, 9) AS erf FROM (SELECT CAST(k AS BIGINT) AS k, k / 10.0::DOUBLE AS x FROM generate_series(-70, 70) AS g(k))")
+@query("erf_values", f"SELECT event_id, round({ERF.format(x='x')}, 9) AS erf FROM (SELECT event_id, (value - 10) / 5 AS x FROM events)")
 def erf_values(spark, sf_dir):
-    return spark.range(-70, 71).select(F.col("id").alias("k"), F.round(M.erf(F.col("id") / 10.0), 9).alias("erf"))
+    """The error function of each event's value."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(M.erf((F.col("value") - 10) / 5), 9).alias("erf"))
 
 
-@query("strip_profile", f"""SELECT k, round(({ERF.format(x='b')} - {ERF.format(x='a')}) / 2, 9) AS share FROM (SELECT CAST(k AS BIGINT) AS k, sqrt(pi()) * (k * 10.0 - 400) / 250 AS a, sqrt(pi()) * (k * 10.0 + 400) / 250 AS b FROM generate_series(-100, 100) AS g(k))""")
+@query("strip_profile", f"""SELECT p_partkey, round(({ERF.format(x='b')} - {ERF.format(x='a')}) / 2, 9) AS share FROM (SELECT p_partkey, sqrt(pi()) * (p_retailprice - 1500 - 400) / 250 AS a, sqrt(pi()) * (p_retailprice - 1500 + 400) / 250 AS b FROM part)""")
 def strip_profile(spark, sf_dir):
-    """Influence of a strip 800 m wide along a profile."""
-    x, c = F.col("id") * 10.0, math.sqrt(math.pi)
-    return spark.range(-100, 101).select(F.col("id").alias("k"), F.round(M.strip_integral(c * (x - 400) / 250, c * (x + 400) / 250), 9).alias("share"))
+    """Influence of a strip 800 m wide at the places that parts' prices give."""
+    x, c = F.col("p_retailprice") - 1500, math.sqrt(math.pi)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(M.strip_integral(c * (x - 400) / 250, c * (x + 400) / 250), 9).alias("share"))
 
 
-@query("panel_epochs", f"""WITH seg AS (SELECT s, -300 + 600.0 / 8 * s AS lo, -300 + 600.0 / 8 * (s + 1) AS hi, 4.0 * s AS opened FROM generate_series(0, 7) AS g(s)),
-px AS (SELECT CAST(i // 17 AS BIGINT) AS y, CAST(i % 17 AS BIGINT) AS x, (i % 17 - 8) * 100.0 AS e, (8 - i // 17) * 100.0 AS n FROM generate_series(0, 288) AS g(i)),
-v AS (SELECT y, x, e, n, lo, hi, opened, sqrt(pi()) * (lo - e) / 220 AS a, sqrt(pi()) * (hi - e) / 220 AS b, sqrt(pi()) * (-150 - n) / 220 AS c, sqrt(pi()) * (150 - n) / 220 AS d FROM px, seg WHERE opened < 52)
-SELECT y, x, round(sum(({ERF.format(x='b')} - {ERF.format(x='a')}) / 2 * ({ERF.format(x='d')} - {ERF.format(x='c')}) / 2 * 1.8 * (1 - exp(-greatest(52 - opened, 0) / 20.0))), 6) AS down_m FROM v GROUP BY y, x""")
+#: Places of customers around a face: metres east by balance, north by key.
+PLACES = "SELECT c_custkey, (c_acctbal - 4000) / 8 AS e, (c_custkey % 17 - 8) * 100.0 AS n FROM customer"
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_acctbal") - 4000) / 8).alias("e"), ((F.col("c_custkey") % 17 - 8) * 100.0).alias("n"))
+
+
+@query("panel_epochs", f"""WITH seg AS (SELECT s, -300 + 600.0 / 8 * s AS lo, -300 + 600.0 / 8 * (s + 1) AS hi, 4.0 * s AS opened FROM generate_series(0, 7) AS g(s)), px AS ({PLACES}),
+v AS (SELECT c_custkey, opened, sqrt(pi()) * (lo - e) / 220 AS a, sqrt(pi()) * (hi - e) / 220 AS b, sqrt(pi()) * (-150 - n) / 220 AS c, sqrt(pi()) * (150 - n) / 220 AS d FROM px, seg WHERE opened < 52)
+SELECT c_custkey, round(sum(({ERF.format(x='b')} - {ERF.format(x='a')}) / 2 * ({ERF.format(x='d')} - {ERF.format(x='c')}) / 2 * 1.8 * (1 - exp(-greatest(52 - opened, 0) / 20.0))), 6) AS down_m FROM v GROUP BY c_custkey""")
 def panel_epochs(spark, sf_dir):
-    """Subsidence of a rectangular working face, extracted segment by segment, at one epoch."""
-    grid = P.grid(spark, 17, 1600.0)
+    """Subsidence at customers' places over a rectangular working face, extracted segment by segment, at one epoch."""
     face = P.segments(spark, along=(-300.0, 300.0), across=(-150.0, 150.0), count=8, first_day=0.0, days=32.0)
-    out = P.face_epoch(grid, face, day=52.0, reach=220.0, depth=1.8, tau=20.0)
-    return out.select("y", "x", F.round("down_m", 6).alias("down_m"))
+    out = P.face_epoch(_places(spark, sf_dir), face, day=52.0, reach=220.0, depth=1.8, tau=20.0, keys=("c_custkey",))
+    return out.select("c_custkey", F.round("down_m", 6).alias("down_m"))
 
 
-@query("segment_convergence", f"""WITH c AS (SELECT unnest([8, 16, 32]) AS n), seg AS (SELECT n, s, -300 + 600.0 / n * s AS lo, -300 + 600.0 / n * (s + 1) AS hi, 32.0 / n * s AS opened FROM c, generate_series(0, 63) AS g(s) WHERE s < n UNION ALL SELECT 64, s, -300 + 600.0 / 64 * s, -300 + 600.0 / 64 * (s + 1), 32.0 / 64 * s FROM generate_series(0, 63) AS g(s)),
-px AS (SELECT i AS x, (i - 8) * 100.0 AS e FROM generate_series(0, 16) AS g(i)), v AS (SELECT n, x, opened, sqrt(pi()) * (lo - e) / 220 AS a, sqrt(pi()) * (hi - e) / 220 AS b FROM px, seg),
-f AS (SELECT n, x, sum(({ERF.format(x='b')} - {ERF.format(x='a')}) / 2 * (1 - exp(-greatest(40 - opened, 0) / 20.0))) AS d FROM v GROUP BY n, x)
-SELECT f.n AS segments, round(sqrt(sum((f.d - r.d) * (f.d - r.d))) / sqrt(sum(r.d * r.d)), 6) AS relative_error FROM f JOIN f r ON r.x = f.x AND r.n = 64 WHERE f.n < 64 GROUP BY f.n""")
+@query("segment_convergence", f"""WITH c AS (SELECT unnest([8, 16, 32, 64]) AS n), seg AS (SELECT n, -300 + 600.0 / n * s AS lo, -300 + 600.0 / n * (s + 1) AS hi, 32.0 / n * s AS opened FROM c, generate_series(0, 63) AS g(s) WHERE s < n), px AS ({PLACES}),
+v AS (SELECT n, c_custkey, opened, sqrt(pi()) * (lo - e) / 220 AS a, sqrt(pi()) * (hi - e) / 220 AS b FROM (SELECT c_custkey, e FROM px), seg),
+f AS (SELECT n, c_custkey, sum(({ERF.format(x='b')} - {ERF.format(x='a')}) / 2 * (1 - exp(-greatest(40 - opened, 0) / 20.0))) AS d FROM v GROUP BY n, c_custkey)
+SELECT f.n AS segments, round(sqrt(sum((f.d - r.d) * (f.d - r.d))) / sqrt(sum(r.d * r.d)), 6) AS relative_error FROM f JOIN f r ON r.c_custkey = f.c_custkey AND r.n = 64 WHERE f.n < 64 GROUP BY f.n""")
 def segment_convergence(spark, sf_dir):
-    """Relative error of coarse segmentation against a fine one, along a profile."""
-    line = spark.range(17).select(F.col("id").alias("x"), ((F.col("id") - 8) * 100.0).alias("e"))
-    counts = spark.range(4).select((8 * F.pow(F.lit(2), F.col("id"))).cast("int").alias("n"))
-    seg = counts.select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    width, c = 600.0 / F.col("n"), math.sqrt(math.pi) / 220
-    seg = seg.select("n", (-300 + width * F.col("s")).alias("lo"), (-300 + width * (F.col("s") + 1)).alias("hi"), (32.0 / F.col("n") * F.col("s")).alias("opened"))
-    share = M.strip_integral(c * (F.col("lo") - F.col("e")), c * (F.col("hi") - F.col("e")))
-    f = line.join(F.broadcast(seg)).groupBy("n", "x").agg(F.sum(share * M.response(40.0 - F.col("opened"), F.lit(20.0))).alias("d"))  # 17 x 120 rows, fixed
-    fine = f.where("n = 64").select("x", F.col("d").alias("r"))
-    err = F.sqrt(F.sum((F.col("d") - F.col("r")) ** 2)) / F.sqrt(F.sum(F.col("r") ** 2))
-    return f.where("n < 64").join(fine, "x").groupBy(F.col("n").alias("segments")).agg(F.round(err, 6).alias("relative_error"))
+    """Relative error of coarse segmentation against a fine one, over customers' places; each place's sums stay in its row."""
+    c = math.sqrt(math.pi) / 220
+
+    def depth(n: int) -> Column:
+        lo = lambda s: -300 + 600.0 / n * s
+        parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: M.strip_integral(c * (lo(s) - F.col("e")), c * (lo(s + 1) - F.col("e"))) * M.response(40.0 - 32.0 / n * s, F.lit(20.0)))
+        return F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
+
+    rows = _places(spark, sf_dir).select(*(depth(n).alias(f"d{n}") for n in (8, 16, 32, 64)))
+    off = lambda n: F.sqrt(F.sum((F.col(f"d{n}") - F.col("d64")) ** 2)) / F.sqrt(F.sum(F.col("d64") ** 2))
+    whole = rows.agg(F.array(*(F.struct(F.lit(n).alias("segments"), F.round(off(n), 6).alias("relative_error")) for n in (8, 16, 32))).alias("r"))
+    return whole.select(F.explode("r").alias("r")).select("r.*")
 
 
 @query("face_response", """SELECT o_orderkey, round(-1.2 * (exp(-greatest(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)), 0) / 300.0) - 1), 6) AS down_m,
@@ -73,10 +81,11 @@ def face_response(spark, sf_dir):
     return rows.select("o_orderkey", F.round("down", 6).alias("down_m"), F.round(M.phase_of(los, 0.0555), 4).alias("phase_rad"))
 
 
-@query("los_projection", """SELECT k, round(-d * cos(radians(35.0)) + (e * -cos(radians(-10.0)) + n * sin(radians(-10.0))) * sin(radians(35.0)), 6) AS los FROM (SELECT CAST(k AS BIGINT) AS k, k / 100.0 AS d, k / 300.0 AS e, -k / 500.0 AS n FROM generate_series(0, 200) AS g(k))""")
+@query("los_projection", """SELECT l_orderkey, l_linenumber, round(-d * cos(radians(35.0)) + (e * -cos(radians(-10.0)) + n * sin(radians(-10.0))) * sin(radians(35.0)), 6) AS los FROM (SELECT l_orderkey, l_linenumber, l_quantity / 10 AS d, l_discount AS e, -l_tax AS n FROM lineitem)""")
 def los_projection(spark, sf_dir):
-    k = F.col("id")
-    return spark.range(201).select(k.alias("k"), F.round(M.line_of_sight(k / 100.0, k / 300.0, -k / 500.0, 35.0, -10.0), 6).alias("los"))
+    """Lines' quantity, discount and tax as displacement down, east and south, along the line of sight."""
+    los = M.line_of_sight(F.col("l_quantity") / 10, F.col("l_discount"), -F.col("l_tax"), 35.0, -10.0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(los, 6).alias("los"))
 
 
 @query("phase_wrap_quantize", """SELECT event_id, round(atan2(sin(p), cos(p)), 6) AS wrapped, round(floor((p - floor(p / (2 * pi())) * 2 * pi()) / (2 * pi() / 16)) * (2 * pi() / 16), 6) AS edge,
@@ -114,41 +123,39 @@ def circular_mean(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.when(size > 1e-6, F.atan2(s, c)).otherwise(0.0), 6).alias("mean_phase"), F.round(size, 6).alias("strength"))
 
 
-@query("plane_wave_screen", f"""WITH w AS (SELECT k, 2 * pi() * {rng(3, 'angle', 'k')} AS a, 0.002 + 0.01 * {rng(3, 'freq', 'k')} AS f, 2 * pi() * {rng(3, 'start', 'k')} AS p FROM generate_series(0, 23) AS g(k)),
-px AS (SELECT CAST(i // 16 AS BIGINT) AS y, CAST(i % 16 AS BIGINT) AS x, (i % 16 - 7.5) * 100.0 AS e, (7.5 - i // 16) * 100.0 AS n FROM generate_series(0, 255) AS g(i)),
-s AS (SELECT y, x, sum(cos(f * (e * cos(a) + n * sin(a)) + p)) AS v FROM px, w GROUP BY y, x) SELECT y, x, round(0.004 * (v - avg(v) OVER ()) / stddev_pop(v) OVER (), 6) AS delay_m FROM s""")
+@query("plane_wave_screen", f"""WITH w AS (SELECT k, 2 * pi() * {rng(3, 'angle', 'k')} AS a, 0.002 + 0.01 * {rng(3, 'freq', 'k')} AS f, 2 * pi() * {rng(3, 'start', 'k')} AS p FROM generate_series(0, 23) AS g(k)), px AS ({PLACES}),
+s AS (SELECT c_custkey, sum(cos(f * (e * cos(a) + n * sin(a)) + p)) AS v FROM px, w GROUP BY c_custkey) SELECT c_custkey, round(0.004 * (v - avg(v) OVER ()) / stddev_pop(v) OVER (), 6) AS delay_m FROM s""")
 def plane_wave_screen(spark, sf_dir):
-    """A screen of 24 plane waves with zero mean and a given population deviation."""
-    return P.plane_wave_screen(P.grid(spark, 16, 1500.0), seed=3, waves=24, deviation=0.004).select("y", "x", F.round("delay_m", 6).alias("delay_m"))
+    """A screen of 24 plane waves at customers' places, with zero mean and a given population deviation."""
+    return P.plane_wave_screen(_places(spark, sf_dir), seed=3, waves=24, deviation=0.004, keys=("c_custkey",)).select("c_custkey", F.round("delay_m", 6).alias("delay_m"))
 
 
-@query("water_raster", f"""WITH px AS (SELECT CAST(i // 24 AS BIGINT) AS y, CAST(i % 24 AS BIGINT) AS x, (i % 24 - 11.5) * 50.0 AS e, (11.5 - i // 24) * 50.0 AS n FROM generate_series(0, 575) AS g(i)),
+@query("water_raster", f"""WITH px AS ({PLACES}),
 w AS (SELECT *, abs(n - (40 + 90 * sin(e / 180 + 0.7))) / sqrt(1 + pow(90.0 / 180 * cos(e / 180 + 0.7), 2)) <= 25 + 10 * sin(e / 240) AS river,
  sqrt(pow(e - 250, 2) + pow(n + 300, 2)) <= 120 * (1 + 0.2 * cos(3 * atan2(n + 300, e - 250) + 0.5)) AS pond FROM px)
-SELECT y, x, CASE WHEN river OR pond THEN 1 ELSE 0 END AS water_mask, CASE WHEN river OR pond THEN 0.05 ELSE round(0.8 * exp(-abs(n) / 2000), 6) END AS model_coherence,
+SELECT c_custkey, CASE WHEN river OR pond THEN 1 ELSE 0 END AS water_mask, CASE WHEN river OR pond THEN 0.05 ELSE round(0.8 * exp(-abs(n) / 2000), 6) END AS model_coherence,
  CASE WHEN NOT (river OR pond) AND CAST(0.8 * exp(-abs(n) / 2000) AS FLOAT) >= CAST(0.7 AS FLOAT) THEN 1 ELSE 0 END AS valid_mask FROM w""")
 def water_raster(spark, sf_dir):
-    """A meandering river of varying width, a pond with a harmonic shoreline, coherence and validity."""
-    g = P.grid(spark, 24, 1150.0)
+    """A meandering river of varying width, a pond with a harmonic shoreline, coherence and validity at customers' places."""
+    g = _places(spark, sf_dir)
     wet = P.river(F.col("e"), F.col("n"), centre=40.0, swing=90.0, length=180.0, start=0.7, width=25.0, change=10.0, period=240.0) | P.pond(F.col("e"), F.col("n"), 250.0, -300.0, 120.0, 0.2, 3, 0.5)
     land = 0.8 * F.exp(-F.abs("n") / 2000)
-    return g.select("y", "x", wet.cast("int").alias("water_mask"), F.when(wet, 0.05).otherwise(F.round(land, 6)).alias("model_coherence"), (~wet & (land.cast("float") >= F.lit(0.7).cast("float"))).cast("int").alias("valid_mask"))
+    return g.select("c_custkey", wet.cast("int").alias("water_mask"), F.when(wet, 0.05).otherwise(F.round(land, 6)).alias("model_coherence"), (~wet & (land.cast("float") >= F.lit(0.7).cast("float"))).cast("int").alias("valid_mask"))
 
 
-@query("topographic_phase", """SELECT k, round(CASE WHEN abs(b) < 1e-12 THEN 0 ELSE 4 * pi() / 0.0555 * b / (850000 * sin(radians(34.0))) END * h, 6) AS topo_rad, round(0.00002 * h + 0.01 * (1 - exp(-h / 500)), 6) AS height_delay_m, round(0.9 * exp(-t / 120) * exp(-h / 4000), 6) AS coherence
- FROM (SELECT CAST(k AS BIGINT) AS k, (k % 5 - 2) * 50.0 AS b, k * 3.0 AS h, k * 1.0 AS t FROM generate_series(0, 300) AS g(k))""")
+@query("topographic_phase", """SELECT p_partkey, round(CASE WHEN abs(b) < 1e-12 THEN 0 ELSE 4 * pi() / 0.0555 * b / (850000 * sin(radians(34.0))) END * h, 6) AS topo_rad, round(0.00002 * h + 0.01 * (1 - exp(-h / 500)), 6) AS height_delay_m, round(0.9 * exp(-t / 120) * exp(-h / 4000), 6) AS coherence
+ FROM (SELECT p_partkey, (p_partkey % 5 - 2) * 50.0 AS b, p_retailprice AS h, p_size * 1.0 AS t FROM part)""")
 def topographic_phase(spark, sf_dir):
-    """Topographic phase (none without a baseline), stratified delay and decaying coherence."""
-    k = F.col("id")
-    b, h, t = (k % 5 - 2) * 50.0, k * 3.0, k * 1.0
-    return spark.range(301).select(k.alias("k"), F.round(P.topographic_factor(b, 0.0555, 850000.0, 34.0) * h, 6).alias("topo_rad"), F.round(0.00002 * h + 0.01 * (1 - F.exp(-h / 500)), 6).alias("height_delay_m"), F.round(0.9 * F.exp(-t / 120) * F.exp(-h / 4000), 6).alias("coherence"))
+    """Topographic phase (none without a baseline), stratified delay and decaying coherence of parts: prices are heights, sizes days."""
+    b, h, t = (F.col("p_partkey") % 5 - 2) * 50.0, F.col("p_retailprice"), F.col("p_size") * 1.0
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(P.topographic_factor(b, 0.0555, 850000.0, 34.0) * h, 6).alias("topo_rad"), F.round(0.00002 * h + 0.01 * (1 - F.exp(-h / 500)), 6).alias("height_delay_m"), F.round(0.9 * F.exp(-t / 120) * F.exp(-h / 4000), 6).alias("coherence"))
 
 
-@query("orbit_and_patch", """SELECT k, round(0.3 + 1.5 * e + -0.8 * n + 0.4 * e * n, 6) AS ramp_rad, round(0.9 - 0.6 * exp(-(pow(e - 0.2, 2) + pow(n + 0.1, 2)) / (2 * 0.3 * 0.3)), 6) AS disturbed FROM (SELECT CAST(k AS BIGINT) AS k, (k % 21 - 10) / 10.0 AS e, (10 - k // 21) / 10.0 AS n FROM generate_series(0, 440) AS g(k))""")
+@query("orbit_and_patch", f"""SELECT c_custkey, round(0.3 + 1.5 * x + -0.8 * y + 0.4 * x * y, 6) AS ramp_rad, round(0.9 - 0.6 * exp(-(pow(x - 0.2, 2) + pow(y + 0.1, 2)) / (2 * 0.3 * 0.3)), 6) AS disturbed FROM (SELECT c_custkey, e / 1000 AS x, n / 1000 AS y FROM ({PLACES}))""")
 def orbit_and_patch(spark, sf_dir):
-    k = F.col("id")
-    e, n = (k % 21 - 10) / 10.0, (10 - F.floor(k / 21)) / 10.0
-    return spark.range(441).select(k.alias("k"), F.round(0.3 + 1.5 * e - 0.8 * n + 0.4 * e * n, 6).alias("ramp_rad"), F.round(0.9 - 0.6 * F.exp(-((e - 0.2) ** 2 + (n + 0.1) ** 2) / (2 * 0.3 * 0.3)), 6).alias("disturbed"))
+    """An orbit ramp and a patch of low coherence at customers' places."""
+    e, n = F.col("e") / 1000, F.col("n") / 1000
+    return _places(spark, sf_dir).select("c_custkey", F.round(0.3 + 1.5 * e - 0.8 * n + 0.4 * e * n, 6).alias("ramp_rad"), F.round(0.9 - 0.6 * F.exp(-((e - 0.2) ** 2 + (n + 0.1) ** 2) / (2 * 0.3 * 0.3)), 6).alias("disturbed"))
 
 
 @query("random_draws", f"SELECT o_orderkey, round({rng(11, 'draw', 'o_orderkey')}, 9) AS u, round(400 + {rng(11, 'draw', 'o_orderkey')} * 5600, 6) AS extent, CASE WHEN {rng(11, 'mode', 'o_orderkey')} < 0.3 THEN 'none' WHEN {rng(11, 'mode', 'o_orderkey')} < 0.6 THEN 'river' WHEN {rng(11, 'mode', 'o_orderkey')} < 0.85 THEN 'pond' ELSE 'mixed' END AS water_mode FROM orders")

@@ -125,7 +125,8 @@ def raster_argmax(spark, sf_dir):
     return _tiles(spark, sf_dir).select("vec_id", F.floor(place / N).cast("int").alias("y"), (place % N).alias("x"), F.round(top, 6).alias("peak"))
 
 
-@query("peak_profile", f"WITH {PIX}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, y, x) AS n FROM pix) SELECT p.vec_id, p.x, round(p.v, 6) AS v FROM pix p JOIN r ON r.vec_id = p.vec_id AND r.n = 1 AND r.y = p.y")
+@query("peak_profile", """WITH t AS (SELECT vec_id, embedding, (list_position(embedding, list_max(embedding)) - 1) // 8 AS y FROM embeddings), c AS (SELECT vec_id, embedding[y * 8 + 1 : y * 8 + 8] AS line FROM t)
+SELECT vec_id, CAST(k - 1 AS INTEGER) AS x, round(CAST(line[k] AS DOUBLE), 6) AS v FROM c, generate_series(1, 8) AS g(k)""")
 def peak_profile(spark, sf_dir):
     """The row of pixels through the peak."""
     row = F.floor((F.array_position("data", F.array_max("data")) - 1) / N).cast("int")
@@ -185,7 +186,7 @@ def raster_standardised(spark, sf_dir):
     return _long(t, "z", "unit", "target")
 
 
-@query("raster_rotated", f"WITH {PIX} SELECT q.vec_id, q.y, q.x, round(p.v, 6) AS turned, round(f.v, 6) AS turned_flipped FROM pix q JOIN pix p ON p.vec_id = q.vec_id AND p.y = q.x AND p.x = 7 - q.y JOIN pix f ON f.vec_id = q.vec_id AND f.y = 7 - q.x AND f.x = 7 - q.y")
+@query("raster_rotated", """SELECT vec_id, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS x, round(CAST(embedding[p % 8 * 8 + 7 - p // 8 + 1] AS DOUBLE), 6) AS turned, round(CAST(embedding[(7 - p % 8) * 8 + 7 - p // 8 + 1] AS DOUBLE), 6) AS turned_flipped FROM embeddings, generate_series(0, 63) AS g(p)""")
 def raster_rotated(spark, sf_dir):
     t = _tiles(spark, sf_dir).select("vec_id", R.rotated(F.col("data"), 1, False, N, N).alias("turned"), R.rotated(F.col("data"), 1, True, N, N).alias("turned_flipped"))
     return _long(t, "turned", "turned_flipped").select("vec_id", "y", "x", F.round("turned", 6).alias("turned"), F.round("turned_flipped", 6).alias("turned_flipped"))

@@ -14,24 +14,24 @@ from gridloom.plans.raster_queries import PIX, N, _tiles
 from gridloom.sources.tables import table
 
 
-@query("scenario_draws", f"""SELECT CAST(i AS BIGINT) AS idx, 'face_scene_' || lpad(CAST(i AS VARCHAR), 5, '0') AS scene_id, ['single', 'double', 'deep', 'wet', 'negative'][i % 5 + 1] AS category, CASE WHEN i % 2 = 0 THEN 'standard' ELSE 'sparse' END AS profile,
- round(300 + {rng(21, 'length', 'i')} * 900, 6) AS length_m, round(CASE WHEN i % 5 = 2 THEN 500 ELSE 150 END + {rng(21, 'depth', 'i')} * 250, 6) AS depth_m, CAST(floor({rng(21, 'seed', 'i')} * 4294967296) AS BIGINT) AS seed FROM generate_series(0, 999) AS g(i)""")
+@query("scenario_draws", f"""SELECT i AS idx, 'face_scene_' || lpad(CAST(i AS VARCHAR), 5, '0') AS scene_id, ['single', 'double', 'deep', 'wet', 'negative'][i % 5 + 1] AS category, CASE WHEN i % 2 = 0 THEN 'standard' ELSE 'sparse' END AS profile,
+ round(300 + {rng(21, 'length', 'i')} * 900, 6) AS length_m, round(CASE WHEN i % 5 = 2 THEN 500 ELSE 150 END + {rng(21, 'depth', 'i')} * 250, 6) AS depth_m, CAST(floor({rng(21, 'seed', 'i')} * 4294967296) AS BIGINT) AS seed FROM (SELECT p_partkey AS i FROM part)""")
 def scenario_draws(spark, sf_dir):
-    """Scenes that cycle through categories and profiles, each parameter a keyed draw in its range."""
+    """A scene a part, cycling through categories and profiles, each parameter a keyed draw in its range."""
     i = F.col("id")
     names = F.array(*map(F.lit, ("single", "double", "deep", "wet", "negative")))
     u = lambda stream: M.uniform(21, stream, "id")
     depth = F.when(i % 5 == 2, 500).otherwise(150) + u("depth") * 250
-    return spark.range(1000).select(
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).select(
         i.alias("idx"), F.concat(F.lit("face_scene_"), F.lpad(i.cast("string"), 5, "0")).alias("scene_id"), F.get(names, (i % 5).cast("int")).alias("category"), F.when(i % 2 == 0, "standard").otherwise("sparse").alias("profile"),
         F.round(M.wrap_unit(u("length"), 300.0, 1200.0), 6).alias("length_m"), F.round(depth, 6).alias("depth_m"), F.floor(u("seed") * 4294967296).alias("seed"),
     )
 
 
-@query("mined_strips", f"""WITH s AS (SELECT CAST(i // 12 AS BIGINT) AS scene, i % 12 AS strip, (i % 12 + 0.5) / 12 AS mid, {rng(31, 'edge', 'i')} AS u FROM generate_series(0, 599) AS g(i))
+@query("mined_strips", f"""WITH s AS (SELECT CAST(i // 12 AS BIGINT) AS scene, i % 12 AS strip, (i % 12 + 0.5) / 12 AS mid, {rng(31, 'edge', 'i')} AS u FROM (SELECT c_custkey AS i FROM customer))
 SELECT scene, CAST(strip AS BIGINT) AS strip, round(-300 + 50.0 * strip, 6) AS lo, round(-250 + 50.0 * strip, 6) AS hi, round(CASE WHEN mid <= 0.25 THEN 60 + (140 - 60) * mid / 0.25 WHEN mid <= 0.75 THEN 140 + (120 - 140) * (mid - 0.25) / 0.5 ELSE 120 + (40 - 120) * (mid - 0.75) / 0.25 END * (0.9 + 0.2 * u), 6) AS width_m FROM s""")
 def mined_strips(spark, sf_dir):
-    """Strips along a panel, their widths interpolated between knots and roughened by draws."""
+    """Strips along panels, one a customer, their widths interpolated between knots and roughened by draws."""
     i = F.col("id")
     mid = (i % 12 + 0.5) / 12
     knots = ((0.0, 60.0), (0.25, 140.0), (0.75, 120.0), (1.0, 40.0))
@@ -40,7 +40,7 @@ def mined_strips(spark, sf_dir):
         value = x + (y - x) * (mid - a) / (b - a)
         width = value if width is None else F.when(mid <= b, value).otherwise(width)
     strip = i % 12
-    return spark.range(600).select(F.floor(i / 12).alias("scene"), strip.alias("strip"), F.round(-300 + 50.0 * strip, 6).alias("lo"), F.round(-250 + 50.0 * strip, 6).alias("hi"), F.round(width * (0.9 + 0.2 * M.uniform(31, "edge", "id")), 6).alias("width_m"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).select(F.floor(i / 12).alias("scene"), strip.alias("strip"), F.round(-300 + 50.0 * strip, 6).alias("lo"), F.round(-250 + 50.0 * strip, 6).alias("hi"), F.round(width * (0.9 + 0.2 * M.uniform(31, "edge", "id")), 6).alias("width_m"))
 
 
 @query("extent_adaptation", """WITH RECURSIVE r AS (SELECT p_partkey, 0 AS step, p_retailprice AS extent, CAST(p_size AS DOUBLE) AS percent FROM part UNION ALL SELECT p_partkey, step + 1, least(6000, greatest(400, extent * sqrt(percent / 20))), percent * pow(extent / least(6000, greatest(400, extent * sqrt(percent / 20))), 2) FROM r WHERE step < 2 AND abs(percent - 20) > 1)
@@ -122,15 +122,15 @@ def safe_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(u, "^https?://", "").alias("path"), F.regexp_extract(u, "([^/?]+)[?]", 1).rlike(r"^[\w-]{1,40}$").alias("plain_name"), (~u.contains("..") & ~u.startswith("/")).alias("inside"))
 
 
-@query("correlation_error", f"""WITH g AS (SELECT unnest([0.0, 0.3, 0.7, 1.0])::DOUBLE AS gamma), d AS (SELECT CAST(i AS BIGINT) AS i, sqrt(-2 * ln(1 - {rng(61, 'r1', 'i')})) AS r1, 2 * pi() * {rng(61, 'a1', 'i')} AS a1, sqrt(-2 * ln(1 - {rng(61, 'r2', 'i')})) AS r2, 2 * pi() * {rng(61, 'a2', 'i')} AS a2 FROM generate_series(0, 4095) AS g(i)),
+@query("correlation_error", f"""WITH g AS (SELECT unnest([0.0, 0.3, 0.7, 1.0])::DOUBLE AS gamma), d AS (SELECT i, sqrt(-2 * ln(1 - {rng(61, 'r1', 'i')})) AS r1, 2 * pi() * {rng(61, 'a1', 'i')} AS a1, sqrt(-2 * ln(1 - {rng(61, 'r2', 'i')})) AS r2, 2 * pi() * {rng(61, 'a2', 'i')} AS a2 FROM (SELECT o_orderkey AS i FROM orders)),
 o AS (SELECT gamma, r1 * cos(a1) AS x1, r1 * sin(a1) AS y1, gamma * r1 * cos(a1) + sqrt(1 - gamma * gamma) * r2 * cos(a2) AS x2, gamma * r1 * sin(a1) + sqrt(1 - gamma * gamma) * r2 * sin(a2) AS y2 FROM d, g)
 SELECT gamma, round(abs(avg(x1 * x2 + y1 * y2) / sqrt(avg(x1 * x1 + y1 * y1) * avg(x2 * x2 + y2 * y2)) - gamma), 6) AS error, count(*) AS looks FROM o GROUP BY gamma""")
 def correlation_error(spark, sf_dir):
-    """Correlated complex pairs by Box and Muller; how far their correlation is from the wanted one."""
+    """Correlated complex pairs, drawn for each order by Box and Muller; how far their correlation is from the wanted one."""
     u = lambda s: M.uniform(61, s, "id")
     r = lambda s: F.sqrt(-2 * F.log(1 - u(s)))
     a1, a2 = 2 * math.pi * u("a1"), 2 * math.pi * u("a2")
-    d = spark.range(4096).select((r("r1") * F.cos(a1)).alias("x1"), (r("r1") * F.sin(a1)).alias("y1"), (r("r2") * F.cos(a2)).alias("n1"), (r("r2") * F.sin(a2)).alias("n2"))
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).select((r("r1") * F.cos(a1)).alias("x1"), (r("r1") * F.sin(a1)).alias("y1"), (r("r2") * F.cos(a2)).alias("n1"), (r("r2") * F.sin(a2)).alias("n2"))
     d = d.select("*", F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.7, 1.0)))).alias("gamma"))
     rest = F.sqrt(1 - F.col("gamma") ** 2)
     o = d.select("gamma", "x1", "y1", (F.col("gamma") * F.col("x1") + rest * F.col("n1")).alias("x2"), (F.col("gamma") * F.col("y1") + rest * F.col("n2")).alias("y2"))
