@@ -3,12 +3,13 @@
 The base rules find e-mail and IP addresses, card and phone numbers; their spans always stay.
 Generators with high recall then propose further, overlapping candidates: obfuscated addresses,
 groups of digits inside longer runs, phone numbers without a plus sign, up to 19 digits a number. Each candidate is described
-by its format (digits, separators, checksum, grouping) and its context (words before it, neighbouring
+by its format (digits, separators, checksum, grouping, dates) and its context (words before and after it, neighbouring
 characters), scored by boosted trees, and selected above the threshold of its kind; of overlapping
 ones the higher score wins, and none may overlap a base span.
 
 The trees are trained here, on the driver, on seeded examples (`EXAMPLES` of them, the only bound);
-thresholds come from a held-out half: the least score at which precision reaches `PRECISION`.
+scores are calibrated on a held-out half by isotonic regression, and a kind's threshold is the least score whose
+calibrated share of personal data is `PRECISION`.
 
 A null text counts as empty. Rows are independent; extra columns are ignored. Offsets are code
 points, ends exclusive. Counts and base_sha256 are of the base spans, spans holds all.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.bpe import once
 
 KINDS = ("email", "ip", "card", "phone")
-EXAMPLES, PRECISION, TREES, DEPTH, RATE = 12000, 0.99, 80, 4, 0.2
+EXAMPLES, PRECISION, TREES, DEPTH, RATE = 12000, 0.9, 80, 4, 0.2
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -46,6 +47,11 @@ TLD = re.compile(r"(?ai)(?:com|org|net|edu|gov|io|info|de|fr|uk|eu|es|it|nl|ch|a
 DIGITS = re.compile(r"\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}")
 CUES = {"email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b"), "ip": re.compile(r"(?i)\b(?:ip|address|host|server|login)\b"), "card": re.compile(r"(?i)\b(?:card|visa|master ?card|amex|credit|payment|pan)\b"), "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|cell|fax|ring|number|reach|text|dial|sms|whatsapp)\b")}
 AGAINST = re.compile(r"(?i)\b(?:order|invoice|version|isbn|serial|id|ref|page|model|total|item|account|part|case|year)\b")
+DATE = re.compile(r"(?<![0-9])(?:(?:19|20)[0-9]{2}([-/. ])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])([-/. ])(?:0?[1-9]|1[0-2])\2(?:19|20)[0-9]{2})(?![0-9])")
+YEARS = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])")
+UNIT = re.compile(r"(?i)[ -](?:users|people|characters|words|items|euros?|dollars|kilometres|km|metres|percent|bytes|pages|times|years|days|hours|minutes|seconds|rows|lines|copies|visitors|downloads|points|records|files|tokens|steps|units|customers|members|votes|views)\b")
+#: Groups of digits as telephone numbers have them.
+PHONE_GROUPS = {(3, 3, 4), (3, 4), (2, 2, 2, 2), (1, 2, 2, 2, 2), (2, 2, 2, 2, 2), (4, 6), (5, 6), (3, 7), (4, 7), (3, 3, 3), (2, 4, 4), (3, 4, 4), (3, 6), (3, 8), (4, 8)}
 
 
 def luhn(digits: str) -> bool:
@@ -119,6 +125,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         separators.count("."), separators.count("/"), separators.count("-"), separators.count(" "), float(bool(re.search(r"(?i)[(\[{]at", span))), float(bool(re.search(r"(?i)[(\[{ ]dot", span))),
         float(bool(re.search(r"[(\[{](?:\.|(?i:dot))[)\]}]", span))), float(kind == "email" and bool(TLD.search(span))), float(bool(re.search(r"[0-9][\x20().\-/]{1,2}$", before))), float(bool(re.match(r"[\x20().\-/]{1,2}[0-9]", text[end : end + 3]))),
         *(float(bool(c.search(before))) for c in CUES.values()), float(bool(AGAINST.search(before))), float(before[-1:].isalnum()), float(after.isalnum()), float(before[-1:] in "-./"), float(after in ("-", "/") if after else False), float(digits[:1] in "3456"),
+        float(bool(DATE.search(span))), len(YEARS.findall(span)), float(bool(UNIT.match(text, end))), float(bool(re.match(" [a-z]", text[end : end + 2]))), float(tuple(len(g) for g in re.findall("[0-9]+", span)) in PHONE_GROUPS),
+        *(float(bool(c.search(re.search(r"(?:[^\s]+\s+){0,1}[^\s]*$", before)[0]))) for c in CUES.values()),
     ]
 
 
@@ -152,7 +160,9 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> Iterator[tuple[str, str, int,
                 span = f"{word()}{mark}{word()}{'.' if plain else r.choice((' dot ', '(dot)', ' [dot] ')) if mark != ' at ' else ' dot '}{ends}"
                 span = span.upper() if r.random() < 0.2 else span
             else:
-                span = r.choice((f"{word()} at {word()} dot {word()}", f"{word()} at {word()}.{word().capitalize()}", f"{word()} at {word()}. {word().capitalize()}", f"{word()} at {word()}. {word()}"))
+                span = r.choice((f"{word()} at {word()} dot {word()}", f"{word()} at {word()}.{word().capitalize()}", f"{word()} at {word()}. {word().capitalize()}", f"{word()} at {word()}. {word()}", f"{word()} at {word()}.{ends}"))
+                if span.endswith(f".{ends}"):  # a place that is a site's name
+                    cue = word()
         elif kind == "ip":
             cue = r.choice(("ip", "host", "server", "login from", word()))
             part = lambda: str(r.randrange(256) if r.random() < 0.6 else r.randrange(12))
@@ -173,7 +183,7 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> Iterator[tuple[str, str, int,
             cue = r.choice(named) if r.random() < 0.7 else word()
             pairs = sep.join(number(2) for _ in range(4))
             if true:
-                span = r.choice((f"({number(3)}) {number(3)}-{number(4)}", f"({number(3)}){sep}{number(3)}{sep}{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"00{number(2)} {number(3)} {number(7)}", f"00 {number(2)}{sep}{number(1)}{sep}{pairs}", f"00{number(2)}{sep}{number(1)}{sep}{pairs}", f"0{number(1)}{sep}{pairs}", f"{number(3)}{sep}{number(3)}{sep}{number(4)}", f"{number(3)}.{number(3)}.{number(4)}", f"{number(3)}{sep}{number(4)}", number(r.randrange(7, 16)), number(7)))
+                span = r.choice((f"({number(3)}) {number(3)}-{number(4)}", f"({number(3)}){sep}{number(3)}{sep}{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"00{number(2)} {number(3)} {number(7)}", f"00 {number(2)}{sep}{number(1)}{sep}{pairs}", f"00{number(2)}{sep}{number(1)}{sep}{pairs}", f"0{number(1)}{sep}{pairs}", f"{number(3)}{sep}{number(3)}{sep}{number(4)}", f"{number(3)}.{number(3)}.{number(4)}", f"{number(3)}{sep}{number(4)}", f"0{number(2)}/{number(r.randrange(6, 9))}", number(r.randrange(7, 16)), number(7)))
                 if span.isdigit() or len(span) == 8 or "." in span:  # nothing but the words before it tells what it is
                     cue = r.choice(named)
             else:
@@ -181,6 +191,16 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> Iterator[tuple[str, str, int,
                 span = r.choice((f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}/{number(2)}/{number(4)}", f"{number(3)} {number(3)} {number(3)}", f"{number(4)} {number(4)}", f"{number(1)}.{number(3)}.{number(3)}.{number(3)}", f"{number(3)}-{number(1)}-{number(4)}-{number(4)}", f"{number(3)}{sep}{number(3)}{sep}{number(4)}", f"{number(3)}.{number(3)}.{number(4)}", f"{number(3)}{sep}{number(4)}", number(r.randrange(7, 16))))
                 if len(span) >= 12 and not cue.split()[-1] in ("order", "version", "isbn", "page", "total", "number", "account"):
                     cue = r.choice(("order", "part number", "invoice number", "account"))
+                aside = r.random()
+                if aside < 0.12:  # an amount, a date or a decimal after the words that phones have
+                    cue = r.choice(named)
+                    day, month, year = r.randrange(1, 29), r.randrange(1, 13), r.randrange(1960, 2031)
+                    mark = r.choice("-/.")
+                    plain, cuts = r.choice(((number(r.randrange(7, 10)), True), (f"{year}{mark}{month:02}{mark}{day:02}", False), (f"{day:02}{mark}{month:02}{mark}{year}", False), (f"{number(3)}.{number(2)} {number(4)}", False), (f"{number(1)},{number(3)},{number(3)}", True)))
+                    before = f"{prose()} {cue}{r.choice((' ', ' ', ': '))}"
+                    unit = " " + r.choice(("users", "people", "characters", "words", "items", "euros", "dollars", "bytes", "pages", "times", "rows", "copies", "visitors", "records", "files", "tokens", "members", "votes")) if cuts else r.choice(("", ".", " " + word()))
+                    yield f"{before}{plain}{unit} {prose()}", kind, len(before), len(before) + len(plain), False
+                    continue
                 if r.random() < 0.1:  # a card of 15 digits
                     cue, span = r.choice(("card", "visa", "credit card no", word())), _card(r, 15, True)
                 elif r.random() < 0.15:  # some of a list of years
@@ -246,6 +266,19 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-score))
 
 
+def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least score and calibrated share of each pool of neighbours, both rising: shares that would fall are pooled."""
+    pools: list[list[float]] = []  # least score, good, all
+    each, at = np.unique(score, return_inverse=True)
+    for pool in zip(each.tolist(), np.bincount(at, y).tolist(), np.bincount(at).tolist()):
+        pools.append(list(pool))
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            _, more, n = pools.pop()
+            pools[-1][1] += more
+            pools[-1][2] += n
+    return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
+
+
 def trained() -> tuple[BoostedTrees, dict[str, float]]:
     """The model and, from the held-out half, the threshold of each kind."""
     rows = list(examples())
@@ -255,13 +288,9 @@ def trained() -> tuple[BoostedTrees, dict[str, float]]:
     score = model.predict(x[half:])
     for kind in KINDS:
         own = np.array([k == kind for _, k, *_ in rows[half:]])
-        order = np.argsort(-score[own])
-        if not len(order):
-            out[kind] = 2.0
-            continue
-        precision = np.cumsum(y[half:][own][order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(precision >= PRECISION)
-        out[kind] = max(0.9, float(score[own][order][good[-1]])) if len(good) else 2.0
+        least, share = isotonic(score[own], y[half:][own])
+        good = least[share >= PRECISION]
+        out[kind] = float(good[0]) if len(good) else 2.0
     return model, out
 
 
