@@ -93,3 +93,21 @@ def piecewise(x: Column, knots: list[tuple[float, float]]) -> Column:
     for (a, p), (b, q) in reversed(list(zip(knots, knots[1:]))):
         out = F.when(x <= b, p + (q - p) * (x - a) / (b - a)).otherwise(out)
     return F.when(x <= knots[0][0], float(knots[0][1])).otherwise(out)
+
+
+def hsv_rgb(hue_: Column, saturation_: Column, value: Column) -> Column:
+    """Red, green and blue from 0 to 255 of a hue (turns), saturation and value (0 to 1)."""
+    place = lambda k: F.pmod(F.lit(float(k)) + 6 * hue_, F.lit(6.0))
+    channel = lambda k: value - value * saturation_ * F.greatest(F.lit(0.0), F.least(place(k), 4 - place(k), F.lit(1.0)))
+    return F.array(*(F.rint(255 * channel(k)).cast("int") for k in (5, 3, 1)))
+
+
+def ramp(x: Column, stops: list[tuple[float, tuple[int, int, int]]]) -> Column:
+    """Colour between those of the stops on either side, by channel; the end stops' colours beyond them."""
+    return F.array(*(F.rint(piecewise(F.greatest(F.lit(stops[0][0]), F.least(F.lit(stops[-1][0]), x)), [(at, float(c[k])) for at, c in stops])).cast("int") for k in range(3)))
+
+
+def overlaid(rgb: Column, colour: tuple[int, int, int], share: float, marked: Column) -> Column:
+    """A colour laid over the marked pixels with a share; what is left of a level is cut off."""
+    mixed = F.array(*(F.floor(F.get(rgb, F.lit(k)) * (1 - share) + c * share).cast("int") for k, c in enumerate(colour)))
+    return F.when(marked, mixed).otherwise(rgb)

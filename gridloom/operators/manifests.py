@@ -162,3 +162,31 @@ def weighted_picks(items: DataFrame, draws: DataFrame, key: str, weight: str, bl
     rows = rows.withColumn("_k", F.explode(F.sequence(block(F.col("_lo") / F.col("_total")), F.least(F.lit(blocks - 1).cast("long"), block(F.col("_hi") / F.col("_total"))))))
     at = F.col("u") * F.col("_total")
     return draws.withColumn("_k", block(F.col("u"))).join(rows, "_k").where((at >= F.col("_lo")) & (at < F.col("_hi"))).drop("_k", "_b", "_before", "_total", "_hi", "_lo")
+
+
+def gallery(rows: DataFrame, page: int, order: list[Column], size: int = 20, **filters) -> DataFrame:
+    """A page (from 0) of rows after filters by column (None: no filter), with their place on it; only the rows up to its end are sorted."""
+    for name, value in filters.items():
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    top = rows.orderBy(*order).limit((page + 1) * size)
+    k = F.row_number().over(Window.orderBy(*order)) - 1
+    return top.withColumn("_k", k).where(F.col("_k") >= page * size).withColumn("place", (F.col("_k") % size).cast("long")).drop("_k")
+
+
+def two_dates(name: Column) -> Column:
+    """The two dates (eight digits each) of a name; null for a name that has fewer or more."""
+    found = F.regexp_extract_all(name, F.lit("([0-9]{8})"))
+    return F.when(F.size(found) == 2, found)
+
+
+def stamped(rows: DataFrame) -> DataFrame:
+    """rows with the versions that made them, as a column `runtime` (map of name to version)."""
+    import platform
+
+    import numpy
+    import pandas
+    import pyarrow
+
+    versions = {"spark": rows.sparkSession.version, "python": platform.python_version(), "numpy": numpy.__version__, "pandas": pandas.__version__, "pyarrow": pyarrow.__version__}
+    return rows.withColumn("runtime", F.create_map(*(F.lit(x) for pair in versions.items() for x in pair)))

@@ -164,3 +164,19 @@ def crop_differences(crops: DataFrame, source: DataFrame, top: int, left: int, t
 def acceptable(cycles: Column, percent: Column) -> Column:
     """Whether a scene is accepted: 2 to 8 cycles, 1.5 to 40 % of its area positive."""
     return cycles.between(2, 8) & percent.between(1.5, 40)
+
+
+def resized(data: Column, height: int, width: int, new_height: int, new_width: int, kind: str = "bilinear") -> Column:
+    """A tile resampled to any size (box or bilinear), inside its row: first its lines, then its columns."""
+    from gridloom.operators.inference import weights
+
+    def literal(size: int, wanted: int) -> Column:  # for each new pixel the source pixels that it is made of, with their weights
+        rows = weights(size, wanted, kind)
+        return F.array(*(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(w)).alias("w")) for k, w in enumerate(row) if w)) for row in rows.tolist()))
+
+    def applied(values: Column, table: Column, index, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.aggregate(index(i, table), F.lit(0.0), lambda a, p: a + p["w"] * F.get(values, p["k"])))
+
+    across, down = literal(width, new_width), literal(height, new_height)
+    lines = applied(data, across, lambda i, t: F.transform(F.get(t, (i % new_width).cast("int")), lambda p: F.struct((F.floor(i / new_width) * width + p["k"]).cast("int").alias("k"), p["w"].alias("w"))), height * new_width)
+    return applied(lines, down, lambda i, t: F.transform(F.get(t, F.floor(i / new_width).cast("int")), lambda p: F.struct((p["k"] * new_width + i % new_width).cast("int").alias("k"), p["w"].alias("w"))), new_height * new_width)

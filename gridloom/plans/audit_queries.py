@@ -78,7 +78,7 @@ def label_audit_picks(spark, sf_dir):
     """Twenty regions at evenly spaced ranks of area, for review."""
     found = labelled_tiles(_mask(spark, sf_dir), "vec_id", N)
     r = found.groupBy("vec_id", "label").agg(F.sum(F.col("hi") - F.col("lo")).alias("area_px"), F.min("lo").alias("x0"), F.min("y").alias("y0"), F.lit(1).alias("one"))
-    k = M.ranked_by(staged(r, "regions"), ["one"], F.col("area_px"), "vec_id", "label").withColumn("k", F.col("place") - 1)
+    k = M.ranked_by(staged(r, "regions"), ["one"], F.struct("area_px", F.floor(F.col("vec_id") / 4096)), "vec_id", "label").withColumn("k", F.col("place") - 1)
     wanted = F.array(*(F.floor(i * (F.col("size") - 1) / 19.0) for i in range(20)))
     return k.where(F.array_contains(wanted, F.col("k"))).select("k", "vec_id", "label", "area_px", "x0", "y0")
 

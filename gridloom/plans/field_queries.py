@@ -170,3 +170,16 @@ def simulated_scenes(spark, sf_dir):
     """Whole scenes for the parts table: each part's key seeds a scene; results are scalars per scene."""
     requests = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("scene_id"), (20 + F.col("p_size")).cast("double").alias("depth"), (F.col("p_retailprice") % 360).alias("turn"))
     return P.scene_summary(P.simulate(requests, size=32))
+
+
+@query("overlay_colours", """WITH e AS (SELECT event_id, value, least(1.0, greatest(0.0, value / 50)) AS t, value / 100 AS h FROM events),
+r AS (SELECT *, round_even(CASE WHEN t <= 0.5 THEN 20 + (240 - 20) * t / 0.5 ELSE 240 + (180 - 240) * (t - 0.5) / 0.5 END, 0) AS r, round_even(CASE WHEN t <= 0.5 THEN 40 + (230 - 40) * t / 0.5 ELSE 230 + (30 - 230) * (t - 0.5) / 0.5 END, 0) AS g, round_even(CASE WHEN t <= 0.5 THEN 120 + (200 - 120) * t / 0.5 ELSE 200 + (20 - 200) * (t - 0.5) / 0.5 END, 0) AS b,
+ (5 + 6 * h) - floor((5 + 6 * h) / 6) * 6 AS k5, (3 + 6 * h) - floor((3 + 6 * h) / 6) * 6 AS k3, (1 + 6 * h) - floor((1 + 6 * h) / 6) * 6 AS k1 FROM e)
+SELECT event_id, CAST(CASE WHEN value >= 20 THEN floor(r * 0.55 + 44 * 0.45) ELSE r END AS INTEGER) AS r, CAST(CASE WHEN value >= 20 THEN floor(g * 0.55 + 210 * 0.45) ELSE g END AS INTEGER) AS g, CAST(CASE WHEN value >= 20 THEN floor(b * 0.55 + 163 * 0.45) ELSE b END AS INTEGER) AS b,
+ CAST(round_even(255 * (0.9 - 0.9 * 0.8 * greatest(0, least(k5, 4 - k5, 1))), 0) AS INTEGER) AS hsv_r, CAST(round_even(255 * (0.9 - 0.9 * 0.8 * greatest(0, least(k3, 4 - k3, 1))), 0) AS INTEGER) AS hsv_g, CAST(round_even(255 * (0.9 - 0.9 * 0.8 * greatest(0, least(k1, 4 - k1, 1))), 0) AS INTEGER) AS hsv_b FROM r""")
+def overlay_colours(spark, sf_dir):
+    """A colour ramp with marked values laid over, and hues turned into red, green and blue."""
+    v = F.col("value")
+    ramp = M.ramp(v / 50, [(0.0, (20, 40, 120)), (0.5, (240, 230, 200)), (1.0, (180, 30, 20))])
+    rows = table(spark, sf_dir, "events").select("event_id", M.overlaid(ramp, (44, 210, 163), 0.45, v >= 20).alias("c"), M.hsv_rgb(v / 100, F.lit(0.8), F.lit(0.9)).alias("h"))
+    return rows.select("event_id", *(F.get("c", F.lit(k)).alias(n) for k, n in enumerate("rgb")), *(F.get("h", F.lit(k)).alias(f"hsv_{n}") for k, n in enumerate("rgb")))

@@ -156,7 +156,7 @@ def first_per_category(spark, sf_dir):
 @query("quantile_picks", "WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents), t AS (SELECT DISTINCT lang, CAST(floor(i * (n - 1) / 4.0) AS BIGINT) AS k FROM r, generate_series(0, 4) AS g(i)) SELECT lang, doc_id, k FROM r JOIN t USING (lang, k)")
 def quantile_picks(spark, sf_dir):
     """Rows at evenly spaced ranks."""
-    r = M.ranked_by(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), ["lang"], F.col("n_chars"), "doc_id").withColumn("k", F.col("place") - 1)
+    r = M.ranked_by(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), ["lang"], F.struct("n_chars", F.floor(F.col("doc_id") / 4096)), "doc_id").withColumn("k", F.col("place") - 1)
     wanted = F.array(*(F.floor(i * (F.col("size") - 1) / 4.0) for i in range(5)))
     return r.where(F.array_contains(wanted, F.col("k"))).select("lang", "doc_id", "k")
 
@@ -249,3 +249,37 @@ def event_sessions(spark, sf_dir):
     e = e.withColumn("start", F.coalesce((us - F.lag(us).over(order) > 1_800_000_000).cast("int"), F.lit(1)))
     s = e.withColumn("sid", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return s.groupBy("user_id", "sid").agg(F.unix_seconds(F.min("t")).alias("started"), F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total")).drop("sid")
+
+
+@query("gallery_filtered", """WITH f AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS k FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderstatus = 'F' AND o_custkey % 2 = 0 AND NOT o_totalprice > 300000)
+SELECT o_orderkey, k % 20 AS place FROM f WHERE k // 20 = 1""")
+def gallery_filtered(spark, sf_dir):
+    """A page of twenty after the gallery's four filters: case, split, with or without water, with or without warnings."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.col("o_orderpriority").alias("case"), F.col("o_orderstatus").alias("split"), (F.col("o_custkey") % 2 == 0).alias("water"), (F.col("o_totalprice") > 300000).alias("warnings"))
+    page = M.gallery(rows, 1, [F.desc("o_orderdate"), F.col("o_orderkey")], case="2-HIGH", split="F", water=True, warnings=False)
+    return page.select("o_orderkey", "place")
+
+
+@query("name_dates", """WITH n AS (SELECT o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'single_' || strftime(o_orderdate, '%Y%m%d') WHEN o_orderkey % 10 = 1 THEN 'three_20200101_20200102_' || strftime(o_orderdate, '%Y%m%d') ELSE 'pair_' || strftime(o_orderdate, '%Y%m%d') || '_' || strftime(o_orderdate + INTERVAL 12 DAY, '%Y%m%d') END AS name FROM orders),
+d AS (SELECT o_custkey, regexp_extract_all(name, '[0-9]{8}') AS dates FROM n), e AS (SELECT o_custkey, len(dates) = 2 AS two, dates FROM d),
+u AS (SELECT o_custkey, count(DISTINCT t) AS days FROM (SELECT o_custkey, unnest(dates) AS t FROM e WHERE two) GROUP BY o_custkey)
+SELECT e.o_custkey, count(*) AS names, count(*) FILTER (NOT two) AS broken, coalesce(any_value(days), 0) AS dates FROM e LEFT JOIN u ON u.o_custkey = e.o_custkey GROUP BY e.o_custkey""")
+def name_dates(spark, sf_dir):
+    """Names that have to hold exactly two dates: how many break the rule, and the dates of the others."""
+    day = lambda c: F.date_format(c, "yyyyMMdd")
+    pair = F.concat(F.lit("pair_"), day(F.col("o_orderdate")), F.lit("_"), day(F.date_add("o_orderdate", 12)))
+    name = F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("single_"), day(F.col("o_orderdate")))).when(F.col("o_orderkey") % 10 == 1, F.concat(F.lit("three_20200101_20200102_"), day(F.col("o_orderdate")))).otherwise(pair)
+    rows = table(spark, sf_dir, "orders").select("o_custkey", M.two_dates(name).alias("dates"))
+    whole = rows.groupBy("o_custkey").agg(F.count("*").alias("names"), F.count_if(F.col("dates").isNull()).alias("broken"))
+    days = rows.select("o_custkey", F.explode("dates").alias("day")).groupBy("o_custkey").agg(F.countDistinct("day").alias("dates"))
+    return whole.join(days, "o_custkey", "left").select("o_custkey", "names", "broken", F.coalesce("dates", F.lit(0)).cast("long").alias("dates"))
+
+
+@query("review_summary", """WITH r AS (SELECT l_orderkey, max(l_linestatus) AS review, count(*) AS parts FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderstatus AS split, c_mktsegment AS kind, review, count(*) AS samples, CAST(sum(parts) AS BIGINT) AS parts, count(*) FILTER (parts > 4) AS large FROM orders JOIN r ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL""")
+def review_summary(spark, sf_dir):
+    """Manifest entries with their reviews and metadata, three tables joined: samples by split, kind and review."""
+    reviews = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("review"), F.count("*").alias("parts"))
+    kinds = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("kind"))
+    met = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("split")).join(reviews, "o_orderkey").join(kinds, "o_custkey")
+    return met.groupBy("split", "kind", "review").agg(F.count("*").alias("samples"), F.sum("parts").alias("parts"), F.count_if(F.col("parts") > 4).alias("large"))

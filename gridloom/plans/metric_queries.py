@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.mathx import ratio, uniform
 from gridloom.operators import metrics as S
+from gridloom.operators.quantiles import exact_quantiles
 from gridloom.plans.catalog import query
 from gridloom.plans.field_queries import rng
 from gridloom.plans.raster_queries import PIX, N, _tiles
@@ -124,8 +125,11 @@ def negative_scenes(spark, sf_dir):
 
 @query("split_statistics", "SELECT lang AS split, count(*) AS scenes, round(quantile_cont(n_chars, 0.1), 4) AS p10, round(quantile_cont(n_chars, 0.5), 4) AS p50, round(quantile_cont(n_chars, 0.9), 4) AS p90, round(100.0 * avg(CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END), 4) AS positive_percent, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
 def split_statistics(spark, sf_dir):
-    n = F.col("n_chars")
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("split")).agg(F.count("*").alias("scenes"), *(F.round(F.percentile("n_chars", q / 100), 4).alias(f"p{q}") for q in (10, 50, 90)), F.round(100.0 * F.avg((n > 1000).cast("int")), 4).alias("positive_percent"), F.countDistinct("source").alias("sources"))
+    """Counts and exact quantiles of large groups; the quantiles by counted value ranges, as a language may hold most rows."""
+    n, rows = F.col("n_chars"), table(spark, sf_dir, "documents").select(F.col("lang").alias("split"), "n_chars", "source")
+    quantiles = exact_quantiles(rows, ["split"], "n_chars", [0.1, 0.5, 0.9]).select(F.col("split").alias("_s"), *(F.round(f"q{k}", 4).alias(name) for k, name in enumerate(("p10", "p50", "p90"))))
+    whole = rows.groupBy("split").agg(F.count("*").alias("scenes"), F.round(100.0 * F.avg((n > 1000).cast("int")), 4).alias("positive_percent"), F.countDistinct("source").alias("sources"))
+    return whole.join(quantiles, F.col("split").eqNullSafe(F.col("_s")), "left").select("split", "scenes", "p10", "p50", "p90", "positive_percent", "sources")
 
 
 @query("mean_over_scales", f"WITH {PIX}, a AS (SELECT vec_id, y, x, v, avg(v) OVER (PARTITION BY vec_id, y // 2, x // 2) AS v2, avg(v) OVER (PARTITION BY vec_id, y // 4, x // 4) AS v4 FROM pix) SELECT vec_id, y, x, round((v + v2 + v4) / 3, 6) AS fused FROM a")

@@ -302,3 +302,13 @@ def phase_components(spark, sf_dir):
     """Phases (here eight times the values) as their sine and cosine, the two channels of a model input."""
     t = _tiles(spark, sf_dir).select("vec_id", F.transform("data", lambda v: F.round(F.sin(v * 8), 6)).alias("sine"), F.transform("data", lambda v: F.round(F.cos(v * 8), 6)).alias("cosine"))
     return _long(t, "sine", "cosine")
+
+
+WIDE = """(SELECT i, k, w / sum(w) OVER (PARTITION BY i) AS w FROM (SELECT CAST(i AS INTEGER) AS i, CAST(k AS INTEGER) AS k, greatest(0, 1 - abs(k + 0.5 - (i + 0.5) * 8.0 / {n}) / greatest(1.0, 8.0 / {n})) AS w FROM generate_series(0, {n} - 1) AS g(i), generate_series(0, 7) AS h(k)) WHERE w > 0)"""
+
+
+@query("raster_bilinear", f"WITH {PIX}, a AS {WIDE.format(n=5)}, b AS {WIDE.format(n=11)} SELECT p.vec_id, a.i AS y, b.i AS x, round(sum(a.w * b.w * p.v), 6) AS v FROM pix p JOIN a ON a.k = p.y JOIN b ON b.k = p.x GROUP BY p.vec_id, a.i, b.i")
+def raster_bilinear(spark, sf_dir):
+    """Tiles resampled bilinearly to 5 x 11 pixels: smaller one way, larger the other."""
+    rows = _tiles(spark, sf_dir).select("vec_id", F.posexplode(R.resized(F.col("data"), N, N, 5, 11)).alias("pos", "v"))
+    return rows.select("vec_id", F.floor(F.col("pos") / 11).cast("int").alias("y"), (F.col("pos") % 11).cast("int").alias("x"), F.round("v", 6).alias("v"))
