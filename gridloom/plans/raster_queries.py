@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import raster as R
-from gridloom.operators.regions import labelled_runs, labelled_tiles, regions
+from gridloom.operators.regions import labelled_tiles, regions
 from gridloom.plans.catalog import query
 from gridloom.session import staged
 from gridloom.sources.tables import table
@@ -109,12 +109,11 @@ def raster_regions(spark, sf_dir):
 @query("region_peaks", REGIONS + """ SELECT l.vec_id, CAST(label AS BIGINT) AS label, count(*) AS area_px, round(max(x.v), 6) AS peak, greatest(min(x.x) - 1, 0) AS left_pad, least(max(x.x) + 2, 8) AS right_pad, count(*) < 4 AS small
  FROM lab l JOIN pix x ON x.vec_id = l.vec_id AND x.y * 8 + x.x = l.p GROUP BY l.vec_id, label""")
 def region_peaks(spark, sf_dir):
-    """Candidate windows: peak score and padded bounds of each region, by interval join of its runs with the scores."""
-    mask = R.pixels(_mask(spark, sf_dir), N, "vec_id")
-    found = labelled_runs(R.runs(mask, "vec_id"), "vec_id", N)
-    scores = R.pixels(_tiles(spark, sf_dir), N, "vec_id")
-    joined = found.join(scores, ["vec_id", "y"]).where("lo <= x AND x < hi")
-    return joined.groupBy("vec_id", "label").agg(F.count("*").alias("area_px"), F.round(F.max("v"), 6).alias("peak"), F.greatest(F.min("x") - 1, F.lit(0)).alias("left_pad"), F.least(F.max("x") + 2, F.lit(N)).alias("right_pad"), (F.count("*") < 4).alias("small"))
+    """Candidate windows: peak score and padded bounds of each region. Runs are found and scored inside their tile's row."""
+    both = labelled_tiles(_mask(spark, sf_dir), "vec_id", N).groupBy("vec_id").agg(F.collect_list(F.struct("label", "y", "lo", "hi")).alias("runs")).join(_tiles(spark, sf_dir), "vec_id")
+    scored = both.select("vec_id", F.explode(F.transform("runs", lambda r: F.struct(r["label"].alias("label"), r["lo"].alias("lo"), r["hi"].alias("hi"), F.array_max(F.slice("data", r["y"] * N + r["lo"] + 1, r["hi"] - r["lo"])).alias("v")))).alias("r")).select("vec_id", "r.*")
+    area = F.sum((F.col("hi") - F.col("lo")).cast("long"))
+    return scored.groupBy("vec_id", "label").agg(area.alias("area_px"), F.round(F.max("v"), 6).alias("peak"), F.greatest(F.min("lo") - 1, F.lit(0)).alias("left_pad"), F.least(F.max("hi") + 1, F.lit(N)).alias("right_pad"), (area < 4).alias("small"))
 
 
 @query("raster_argmax", f"WITH {PIX}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, y, x) AS n FROM pix) SELECT vec_id, y, x, round(v, 6) AS peak FROM r WHERE n = 1")

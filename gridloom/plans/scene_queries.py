@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from gridloom.operators import scenes as S
 from gridloom.plans.catalog import query
 from gridloom.plans.raster_queries import N, _tiles
 from gridloom.session import shared_folder
+from gridloom.sources import files
 from gridloom.sources.arrays import read_scenes, write_scenes
 from gridloom.sources.images import read_images
 
@@ -94,3 +96,31 @@ def stored_scene_checks(spark, sf_dir):
     drawn = {"image": (3, F.flatten(F.transform("wrapped_phase_rad", S.phase_rgb))), "mask": (1, F.transform("mask", lambda m: m.cast("int") * 255))}
     found = S.checked(scenes).unionByName(S.images_checked(scenes, read_images(spark, path), drawn))
     return found.groupBy("rule").agg(F.count_if(~F.col("passed")).alias("failed"), F.count("*").alias("scenes"))
+
+
+@query("annotation_merge", """WITH t AS (SELECT vec_id, CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x, embedding[i] AS v FROM embeddings, generate_series(1, 64) AS g(i)),
+w AS (SELECT vec_id, y, x, v >= 0.05 AS m FROM t WHERE x < 5 UNION ALL SELECT vec_id, y, x, v >= 0.06 FROM t WHERE x >= 3),
+p AS (SELECT vec_id, y, x, count(*) AS covered, bool_or(m) AS mask, bool_or(m) <> bool_and(m) AS conflict FROM w GROUP BY vec_id, y, x)
+SELECT vec_id, count(*) AS pixels, CAST(sum(covered) AS BIGINT) AS covered, count(*) FILTER (mask) AS union_px, count(*) FILTER (conflict) AS conflicts FROM p GROUP BY vec_id""")
+def annotation_merge(spark, sf_dir):
+    """Two overlapping annotations a scene, written as documents, read, placed by their tiles, and merged: union, coverage, conflicts."""
+    views = _tiles(spark, sf_dir).withColumn("view", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(a).alias("x0"), F.lit(b).alias("x1"), F.lit(t).alias("least")) for n, a, b, t in (("left", 0, 5, 0.05), ("right", 3, N, 0.06))))))
+    views = views.select("vec_id", "data", "view.*").withColumn("image", F.format_string("%06d_%s.png", "vec_id", "name")).withColumn("width", F.col("x1") - F.col("x0"))
+    inside = F.filter("data", lambda v, i: (i % N >= F.col("x0")) & (i % N < F.col("x1")))
+    masks = views.select("image", F.lit(N).alias("height"), "width", F.transform(inside, lambda v: (v.cast("float") >= F.col("least").cast("float")).cast("int")).alias("data"))
+    path = files.write_annotations(files.annotation_documents(masks))
+    tiles = views.select("image", "vec_id", "x0", F.lit(0).alias("y0"), "x1", F.lit(N).alias("y1"))
+    found = files.merged(files.placed(files.read_annotations(spark, path), tiles.drop("vec_id")), tiles, "vec_id")
+    return found.groupBy("vec_id").agg(F.count("*").alias("pixels"), F.sum("covered").alias("covered"), F.sum(F.col("mask").cast("long")).alias("union_px"), F.sum(F.col("conflict").cast("long")).alias("conflicts"))
+
+
+@query("indexed_images", """WITH p AS (SELECT vec_id, CAST(least(255, greatest(0, floor(embedding[i] * 300 + 100))) AS INTEGER) AS idx FROM embeddings, generate_series(1, 64) AS g(i))
+SELECT vec_id, CAST(sum(idx) AS BIGINT) AS total, count(*) FILTER (idx >= 16) AS shown, CAST(sum(idx // 16 * 17) AS BIGINT) AS red, CAST(sum(idx % 16 * 17) AS BIGINT) AS green FROM p GROUP BY vec_id""")
+def indexed_images(spark, sf_dir):
+    """Tiles written as indexed images with a palette, and read back: indices, colours and what is shown."""
+    k = np.arange(256)
+    palette = np.stack([k // 16 * 17, k % 16 * 17, 255 - k], axis=1).astype(np.uint8)
+    tiles = _tiles(spark, sf_dir).select(F.format_string("%06d", "vec_id").alias("name"), F.lit(N).alias("height"), F.lit(N).alias("width"), F.transform("data", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v.cast("float") * 300 + 100).cast("int")))).alias("data"))
+    rows = files.read_indexed(spark, files.write_indexed(tiles, palette))
+    name = F.regexp_extract("path", "([0-9]+)[.]bmp$", 1).cast("long")
+    return rows.groupBy(name.alias("vec_id")).agg(F.sum(F.col("idx").cast("long")).alias("total"), F.count_if("shown").alias("shown"), F.sum(F.col("r").cast("long")).alias("red"), F.sum(F.col("g").cast("long")).alias("green"))

@@ -133,6 +133,24 @@ def placed(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
     return rows.where(good).select("image", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"))
 
 
+def merged(placed_pixels: DataFrame, tiles: DataFrame, scene: str = "scene") -> DataFrame:
+    """Placed pixels of annotations and all tiles(image, scene, x0, y0, x1, y1), annotated or not -> scene, y, x of each pixel that a
+    tile covers, covered (tiles), mask (set in any of them), conflict (set in some only)."""
+    set_ = placed_pixels.select("image", "y", "x").distinct().withColumn("_set", F.lit(1))
+    rows = tiles.withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1))).withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)))
+    met = rows.join(set_, ["image", "y", "x"], "left").withColumn("_set", F.coalesce("_set", F.lit(0)))
+    return met.groupBy(scene, "y", "x").agg(F.count("*").alias("covered"), F.max("_set").alias("mask"), (F.max("_set") != F.min("_set")).cast("int").alias("conflict"))
+
+
+def write_annotations(documents: DataFrame, files: int = 8) -> str:
+    """annotation_documents() as JSON files (lists of documents) in the shared folder; gives the path."""
+    path = f"{shared_folder(documents.sparkSession)}/gridloom-annotations-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("image"), F.lit(files)).cast("int")
+    lists = documents.groupBy(part.alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("document"), ","), F.lit("]")).alias("value"))
+    lists.write.partitionBy("part").text(path)
+    return path
+
+
 @F.pandas_udf(StringType())
 def _mask_text(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     import base64
@@ -158,6 +176,43 @@ def indexed_pixels(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (rows[::-1] if height > 0 else rows), palette
 
 
+def indexed_bmp(idx: np.ndarray, palette: np.ndarray) -> bytes:
+    """An 8-bit BMP of H x W indices and 256 RGB colours."""
+    height, width = idx.shape
+    across = (width + 3) // 4 * 4
+    rows = np.zeros((height, across), np.uint8)
+    rows[:, :width] = idx[::-1]
+    colours = np.zeros((256, 4), np.uint8)
+    colours[:, :3] = palette[:, ::-1]
+    start = 14 + 40 + 1024
+    head = struct.pack("<2sIHHI", b"BM", start + rows.size, 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, 0, rows.size, 0, 0, 256, 0)
+    return head + colours.tobytes() + rows.tobytes()
+
+
+def write_indexed(tiles: DataFrame, palette: np.ndarray) -> str:
+    """tiles(name, height, width, data of 0 to 255) -> name.bmp a tile, in the shared folder; gives the path. A file that a
+    task writes again is the same."""
+    from gridloom.sources.arrays import opened
+
+    path = f"{shared_folder(tiles.sparkSession)}/gridloom-indexed-{uuid.uuid4().hex}"
+    store, root = opened(path)
+    store.create_dir(root, recursive=True)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = opened(path)
+        for frame in frames:
+            for r in frame.itertuples():
+                image = indexed_bmp(np.array(r.data, np.uint8).reshape(r.height, r.width), palette)
+                part = f"{root}/_{r.name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write(image)
+                store.move(part, f"{root}/{r.name}.bmp")
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    tiles.select("name", "height", "width", "data").mapInPandas(run, "n long").agg(F.sum("n")).collect()  # one row
+    return path
+
+
 def read_indexed(spark: SparkSession, path: str) -> DataFrame:
     """Indexed BMP files -> path, y, x, idx, r, g, b, shown (brightness bin above 0)."""
 
