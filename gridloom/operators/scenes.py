@@ -51,7 +51,7 @@ RULES: dict[str, tuple[str, str, float, tuple[str, ...]]] = {
     "model_coherence": ("model_coherence", "greatest(0, least(1, model_coherence))", 0.0, ("model_coherence",)),
     "estimated_coherence": ("estimated_coherence", "greatest(0, least(1, estimated_coherence))", 0.0, ("estimated_coherence",)),
 }
-#: Rules that are not about single pixels: how many bands or images break them.
+#: Rules that are not about single pixels: how many bands (for finite: values) break them.
 WHOLE = ("bands", "types", "shape", "finite", "request_sha256")
 
 
@@ -79,31 +79,27 @@ def checked(scenes: DataFrame) -> DataFrame:
     blank = lambda b: F.array_repeat(F.lit(None).cast("tinyint" if b in MASKS else "float"), lines)
     pixels = rows.withColumn("_p", F.explode_outer(F.arrays_zip(*(F.coalesce(F.col(b), blank(b)).alias(b) for b in BANDS))))
     settings = [c.split()[0] for c in SETTINGS.split(", ")]
-    pixels = pixels.select("scene", "first_row", "height", "width", "kinds", "_told", "_request", *settings, "_p.*")
+    pixels = pixels.select("scene", *settings, "_p.*")
 
     def off(one: str, other: str) -> Column:
         a, b = F.expr(one).cast("double"), F.expr(other).cast("double")
         beyond = F.abs(a - b) - RELATIVE * F.abs(b)
         return F.when(beyond.isNull(), float("inf")).otherwise(F.greatest(beyond, F.lit(0.0)))
 
-    has = {b: F.max(F.map_contains_key("kinds", F.lit(b))) for b in BANDS}
-    kind = lambda b: F.max(F.element_at("kinds", F.lit(b)))
-    aggregates = [F.max(off(one, other)).alias(f"_{n}") for n, (one, other, *_) in RULES.items()]
-    aggregates += [v.alias(f"has_{b}") for b, v in has.items()] + [kind(b).alias(f"kind_{b}") for b in BANDS]
-    finite = lambda b: F.count_if(F.isnan(b) | (F.abs(F.col(b)) == float("inf")))
-    aggregates += [finite(b).alias(f"odd_{b}") for b in FLOATS]
-    aggregates += [F.max("size").alias("size"), F.max("_told").alias("told"), F.max("_request").alias("request")]
-    whole = pixels.groupBy("scene").agg(*aggregates)
+    odd = F.size(F.filter(F.array(*FLOATS), lambda v: F.isnan(v) | (F.abs(v) == float("inf"))))
+    worst = pixels.groupBy("scene").agg(*(F.max(off(one, other)).alias(f"_{n}") for n, (one, other, *_) in RULES.items()), F.sum(odd).alias("_odd"))
+    facts = rows.groupBy(F.col("scene").alias("_scene")).agg(F.any_value("kinds").alias("kinds"), F.max("size").alias("size"), F.max("_told").alias("told"), F.max("_request").alias("request"))
+    whole = worst.join(facts, F.col("scene") == F.col("_scene"))
     total = lambda parts: sum((p.cast("int") for p in parts[1:]), parts[0].cast("int")).cast("double")
-    there = lambda b: F.coalesce(F.col(f"has_{b}"), F.lit(False))
-    part = lambda b, k: F.element_at(F.split(F.col(f"kind_{b}"), ":"), k)
+    there = lambda b: F.map_contains_key("kinds", F.lit(b))
+    part = lambda b, k: F.element_at(F.split(F.element_at("kinds", F.lit(b)), ":"), k)
     square = F.concat_ws("x", "size", "size")
     found = {n: F.when(total([there(b) for b in bands]) == len(bands), F.col(f"_{n}")) for n, (_, _, _, bands) in RULES.items()}
     found |= {
         "bands": total([~there(b) for b in NEEDED]),
         "types": total([there(b) & (part(b, 1) != ("uint8" if b in MASKS else "float32")) for b in BANDS]),
         "shape": total([there(b) & ~part(b, 2).eqNullSafe(square) for b in BANDS]),
-        "finite": total([F.col(f"odd_{b}") > 0 for b in FLOATS]),
+        "finite": F.col("_odd").cast("double"),
         "request_sha256": F.when(F.col("told").isNotNull(), (~canonical_sha256("request").eqNullSafe(F.col("told"))).cast("double")),
     }
     tolerance = {n: t for n, (_, _, t, _) in RULES.items()} | dict.fromkeys(WHOLE, 0.0)

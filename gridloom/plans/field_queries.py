@@ -35,11 +35,11 @@ def strip_profile(spark, sf_dir):
 
 
 #: Places of customers around a face: metres east by balance, north by key.
-PLACES = "SELECT c_custkey, (c_acctbal - 4000) / 8 AS e, (c_custkey % 17 - 8) * 100.0 AS n FROM customer"
+PLACES = "SELECT c_custkey, (c_acctbal - 4000) / 8.37 AS e, (c_custkey % 17 - 8) * 100.0 AS n FROM customer"
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_acctbal") - 4000) / 8).alias("e"), ((F.col("c_custkey") % 17 - 8) * 100.0).alias("n"))
+    return table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_acctbal") - 4000) / 8.37).alias("e"), ((F.col("c_custkey") % 17 - 8) * 100.0).alias("n"))
 
 
 @query("panel_epochs", f"""WITH seg AS (SELECT s, -300 + 600.0 / 8 * s AS lo, -300 + 600.0 / 8 * (s + 1) AS hi, 4.0 * s AS opened FROM generate_series(0, 7) AS g(s)), px AS ({PLACES}),
@@ -57,15 +57,13 @@ v AS (SELECT n, c_custkey, opened, sqrt(pi()) * (lo - e) / 220 AS a, sqrt(pi())
 f AS (SELECT n, c_custkey, sum(({ERF.format(x='b')} - {ERF.format(x='a')}) / 2 * (1 - exp(-greatest(40 - opened, 0) / 20.0))) AS d FROM v GROUP BY n, c_custkey)
 SELECT f.n AS segments, round(sqrt(sum((f.d - r.d) * (f.d - r.d))) / sqrt(sum(r.d * r.d)), 6) AS relative_error FROM f JOIN f r ON r.c_custkey = f.c_custkey AND r.n = 64 WHERE f.n < 64 GROUP BY f.n""")
 def segment_convergence(spark, sf_dir):
-    """Relative error of coarse segmentation against a fine one, over customers' places; each place's sums stay in its row."""
+    """Relative error of coarse segmentation against a fine one, over customers' places."""
     c = math.sqrt(math.pi) / 220
-
-    def depth(n: int) -> Column:
-        lo = lambda s: -300 + 600.0 / n * s
-        parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: M.strip_integral(c * (lo(s) - F.col("e")), c * (lo(s + 1) - F.col("e"))) * M.response(40.0 - 32.0 / n * s, F.lit(20.0)))
-        return F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
-
-    rows = _places(spark, sf_dir).select(*(depth(n).alias(f"d{n}") for n in (8, 16, 32, 64)))
+    piece = lambda n: lambda s: F.struct(F.lit(n).alias("n"), (-300 + 600.0 / n * s).alias("lo"), (32.0 / n * s).alias("opened"))
+    cut = F.explode(F.flatten(F.array(*(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), piece(n)) for n in (8, 16, 32, 64)))))
+    seg = _places(spark, sf_dir).select("c_custkey", "e", cut.alias("s")).select("c_custkey", "e", "s.*")  # 120 segments to a place
+    share = M.strip_integral(c * (F.col("lo") - F.col("e")), c * (F.col("lo") + 600.0 / F.col("n") - F.col("e"))) * M.response(40.0 - F.col("opened"), F.lit(20.0))
+    rows = seg.withColumn("share", share).groupBy("c_custkey").agg(*(F.sum(F.when(F.col("n") == n, F.col("share"))).alias(f"d{n}") for n in (8, 16, 32, 64)))
     off = lambda n: F.sqrt(F.sum((F.col(f"d{n}") - F.col("d64")) ** 2)) / F.sqrt(F.sum(F.col("d64") ** 2))
     whole = rows.agg(F.array(*(F.struct(F.lit(n).alias("segments"), F.round(off(n), 6).alias("relative_error")) for n in (8, 16, 32))).alias("r"))
     return whole.select(F.explode("r").alias("r")).select("r.*")
