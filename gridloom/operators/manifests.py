@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.mathx import uniform
-from gridloom.session import staged
+from gridloom.session import staged, unstaged
 
 
 def canonical(*fields: str) -> Column:
@@ -80,11 +80,15 @@ def fresh_draws(plan: DataFrame, used: DataFrame, key: str, seed: int, stream: s
     at = staged(plan.select(key).withColumn("tries", F.lit(0).cast("long")).withColumn("seed", draw(F.col("tries"))), "draws")
     if at.count() + used.count() > space:
         raise ValueError("more rows than fresh seeds")
+    old = [at]
     while True:
         turn = F.row_number().over(Window.partitionBy("seed").orderBy(key))
         told = at.withColumn("_turn", turn).join(used.withColumn("_used", F.lit(True)), "seed", "left")
         told = staged(told.select(key, "tries", "seed", (F.col("_used").isNotNull() | (F.col("_turn") > 1)).alias("open")), "draws")
+        unstaged(*old)
+        old = [told]
         if not told.where("open").limit(1).count():
+            unstaged(used)
             return told.select(key, "tries", "seed")
         again = told.withColumn("tries", F.col("tries") + F.col("open").cast("long"))
         at = again.withColumn("seed", F.when(F.col("open"), draw(F.col("tries"))).otherwise(F.col("seed"))).drop("open")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.raster import runs, touching_runs
-from gridloom.session import staged
+from gridloom.session import staged, unstaged
 
 
 def labelled_runs(found: DataFrame, key: str, width: int, most: int = 10_000) -> DataFrame:
@@ -22,16 +22,19 @@ def labelled_runs(found: DataFrame, key: str, width: int, most: int = 10_000) ->
     nodes = found.withColumn("id", (F.col("y") * width + F.col("lo")).cast("long"))
     touch = touching_runs(found, key).select(key, (F.col("ay") * width + F.col("alo")).cast("long").alias("a"), (F.col("by") * width + F.col("blo")).cast("long").alias("b"))
     edges = staged(touch.union(touch.select(key, "b", "a")).toDF(key, "id", "other"), "edges")
-    now = staged(nodes.withColumn("label", F.col("id")), "labels")
+    now = old = staged(nodes.withColumn("label", F.col("id")), "labels")
     for _ in range(most):
         other = edges.join(now.select(key, F.col("id").alias("other"), F.col("label").alias("seen")), [key, "other"]).groupBy(key, "id").agg(F.min("seen").alias("seen"))
         near = now.join(other, [key, "id"], "left").withColumn("least", F.least("label", F.coalesce("seen", "label")))
         jump = near.select(key, F.col("id").alias("least"), F.col("least").alias("further"))
         new = near.join(jump, [key, "least"], "left").select(key, "y", "lo", "hi", "id", F.least("least", F.coalesce("further", "least")).alias("new"), "label")
         new = staged(new, "labels")
+        unstaged(old)
+        old = new
         changed = new.where("new <> label").limit(1).count()
         now = new.select(key, "y", "lo", "hi", "id", F.col("new").alias("label"))
         if not changed:
+            unstaged(edges)
             return now
     raise RuntimeError("regions did not settle")
 
