@@ -120,7 +120,8 @@ def indexed_images(spark, sf_dir):
     """Tiles written as indexed images with a palette, and read back: indices, colours and what is shown."""
     k = np.arange(256)
     palette = np.stack([k // 16 * 17, k % 16 * 17, 255 - k], axis=1).astype(np.uint8)
-    tiles = _tiles(spark, sf_dir).select(F.format_string("%06d", "vec_id").alias("name"), F.lit(N).alias("height"), F.lit(N).alias("width"), F.transform("data", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v.cast("float") * 300 + 100).cast("int")))).alias("data"))
+    single = lambda n: F.lit(n).cast("float")  # noqa: E731  a whole number beside a float would make doubles
+    tiles = _tiles(spark, sf_dir).select(F.format_string("%06d", "vec_id").alias("name"), F.lit(N).alias("height"), F.lit(N).alias("width"), F.transform("data", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v.cast("float") * single(300) + single(100)).cast("int")))).alias("data"))
     rows = files.read_indexed(spark, files.write_indexed(tiles, palette))
     name = F.regexp_extract("path", "([0-9]+)[.]bmp$", 1).cast("long")
     return rows.groupBy(name.alias("vec_id")).agg(F.sum(F.col("idx").cast("long")).alias("total"), F.count_if("shown").alias("shown"), F.sum(F.col("r").cast("long")).alias("red"), F.sum(F.col("g").cast("long")).alias("green"))
