@@ -86,12 +86,19 @@ def _reflected(canvas: np.ndarray, r, depth: int) -> np.ndarray:
 
 
 def box_mean(tiles: DataFrame, size: int, step: int) -> DataFrame:
-    """Sliding mean of size x size pixels (size odd), scene borders reflected: PLACE, mean."""
+    """Sliding mean of those of size x size pixels (size odd) that have a value, scene borders reflected: PLACE, mean."""
     depth = size // 2
 
+    def sums(a: np.ndarray) -> np.ndarray:
+        total = np.pad(a, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+        return total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]
+
     def f(canvas: np.ndarray, r) -> dict[str, np.ndarray]:
-        total = np.pad(_reflected(canvas, r, depth), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-        return {"mean": (total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]) / size**2}
+        wide = _reflected(canvas, r, depth)
+        there = ~np.isnan(wide)
+        here = there[depth:-depth, depth:-depth] if depth else there
+        count = sums(there.astype(np.int64))
+        return {"mean": np.divide(sums(np.where(there, wide, 0.0)), count, out=np.full(here.shape, np.nan), where=here)}
 
     return _padded(tiles, depth, step, f, ["mean"])
 

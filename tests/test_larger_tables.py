@@ -38,3 +38,8 @@ def test_indexed_images_reckons_in_floats(against_sql):
     odd = v[np.floor(v * np.float32(300) + np.float32(100)) != np.floor(v.astype("f8") * 300 + 100)]
     assert len(odd)
     assert against_sql("indexed_images", embeddings=embeddings(np.resize(odd, (3, 64)))) == 3
+
+
+def test_mosaic_box_mean_beside_absent_tiles(against_sql):
+    """The last row of tiles is not full: means near the gap are of the pixels that are there."""
+    assert against_sql("mosaic_box_mean", embeddings=embeddings(np.random.default_rng(2).normal(size=(23, 64)))) == 23 * 64
