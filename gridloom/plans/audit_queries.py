@@ -177,7 +177,8 @@ def regenerated_revisions(spark, sf_dir):
 def percent_text(spark, sf_dir):
     """Shares as text with one decimal; a missing one is a dash."""
     share = F.when(F.col("o_totalprice") <= 200000, F.col("o_totalprice") / 2000)
-    text = F.when(share.isNull(), "-").otherwise(F.concat(F.format_string("%.1f", share), F.lit(" %")))
+    # the pattern rounds the double as it is, ties to even, as printf does; %.1f rounds its shortest decimal up
+    text = F.when(share.isNull(), "-").otherwise(F.concat(F.call_function("format_number", share, F.lit("0.0")), F.lit(" %")))
     return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("percent"))
 
 

@@ -43,3 +43,9 @@ def test_indexed_images_reckons_in_floats(against_sql):
 def test_mosaic_box_mean_beside_absent_tiles(against_sql):
     """The last row of tiles is not full: means near the gap are of the pixels that are there."""
     assert against_sql("mosaic_box_mean", embeddings=embeddings(np.random.default_rng(2).normal(size=(23, 64)))) == 23 * 64
+
+
+def test_percent_text_rounds_ties_to_even(against_sql):
+    """99.25 is a tie in binary, 99.35 is not."""
+    prices = np.r_[198_500.0, 198_700.0, 198_900.0, 100.0, 300.0, 0.0, -50.0, 200_000.0, 200_001.0, np.arange(0, 200_000, 50), np.random.default_rng(3).uniform(0, 2e5, 2000).round(2)]
+    assert against_sql("percent_text", orders=pd.DataFrame({"o_orderkey": np.arange(len(prices)), "o_totalprice": prices})) == len(prices)
