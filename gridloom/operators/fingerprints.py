@@ -1,13 +1,17 @@
 """One digest of a table, whatever its partitions and the order of its rows: a hash tree over the digests of rows.
 
 Rows are told by the SHA-256 of their text and counted if they repeat. The tree branches on the hexadecimal digits of these digests, deep
-enough that a leaf has about `leaf` rows; a node is the SHA-256 of its children's digests in order. So no task sees more than a leaf
-or sixteen nodes, and one altered byte changes the root and only the nodes on one path."""
+enough that a leaf has about `leaf` rows, or as deep as told; a node is the SHA-256 of its children's digests in order. A leaf's rows pass
+through one task in order and none is kept, so no task holds more than sixteen nodes, and one altered byte changes the root and only the
+nodes on one path."""
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +20,30 @@ from gridloom.session import staged
 LEAF = 1024
 
 
-def tree_digest(df: DataFrame, text: Column, leaf: int = LEAF) -> DataFrame:
-    """level (0: the root), prefix, rows, digest of every node. Null texts count as empty; an empty table has the digest of nothing."""
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """prefix, row, n in order -> prefix, rows, digest of each prefix."""
+    at, rows, told = None, 0, None
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([at]), pa.array([rows], pa.int64()), pa.array([told.hexdigest()])], ["prefix", "rows", "digest"])
+    for batch in batches:
+        for prefix, row, n in zip(*(batch.column(c).to_pylist() for c in ("prefix", "row", "n"))):
+            if prefix != at:
+                if told:
+                    yield out()
+                at, rows, told = prefix, 0, hashlib.sha256()
+            told.update(f"{',' if rows else ''}{row}:{n}".encode())
+            rows += n
+    if told:
+        yield out()
+
+
+def tree_digest(df: DataFrame, text: Column, leaf: int = LEAF, depth: int | None = None) -> DataFrame:
+    """level (0: the root), prefix, rows, digest of every node. Null texts count as empty; an empty table has the digest of nothing.
+    depth: levels below the root (None: as many as leaves of about `leaf` rows need)."""
     rows = staged(df.select(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256).alias("row")).groupBy("row").agg(F.count("*").alias("n")), "rows")
-    depth = max(0, math.ceil(math.log(max(rows.count(), 1) / leaf, 16)))
-    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "n"))), lambda r: F.concat(r["row"], F.lit(":"), r["n"].cast("string"))), ",")
-    node = staged(rows.groupBy(F.substring("row", 1, depth).alias("prefix")).agg(F.sum("n").alias("rows"), F.sha2(told, 256).alias("digest")), "nodes")
+    if depth is None:
+        depth = max(0, math.ceil(math.log(max(rows.count(), 1) / leaf, 16)))
+    ordered = rows.select(F.substring("row", 1, depth).alias("prefix"), "row", "n").repartition("prefix").sortWithinPartitions("prefix", "row")
+    node = staged(ordered.mapInArrow(_leaves, "prefix string, rows long, digest string"), "nodes")
     levels = [node.withColumn("level", F.lit(depth))]
     for level in range(depth - 1, -1, -1):
         parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "digest"))), lambda r: r["digest"]), ",")

@@ -49,3 +49,10 @@ def test_percent_text_rounds_ties_to_even(against_sql):
     """99.25 is a tie in binary, 99.35 is not."""
     prices = np.r_[198_500.0, 198_700.0, 198_900.0, 100.0, 300.0, 0.0, -50.0, 200_000.0, 200_001.0, np.arange(0, 200_000, 50), np.random.default_rng(3).uniform(0, 2e5, 2000).round(2)]
     assert against_sql("percent_text", orders=pd.DataFrame({"o_orderkey": np.arange(len(prices)), "o_totalprice": prices})) == len(prices)
+
+
+def test_table_digest_of_many_rows(against_sql):
+    """Over 16,384 rows a tree of about 1,024 rows a leaf has two levels, the SQL's still one."""
+    n = 20_000
+    orders = pd.DataFrame({"o_orderkey": np.arange(n) // 2 * 2, "o_custkey": np.arange(n) % 7, "o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
+    assert against_sql("table_digest", orders=orders) == 17
