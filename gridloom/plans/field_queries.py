@@ -167,7 +167,7 @@ def random_draws(spark, sf_dir):
 def simulated_scenes(spark, sf_dir):
     """Whole scenes for the parts table: each part's key seeds a scene; results are scalars per scene."""
     requests = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("scene_id"), (20 + F.col("p_size")).cast("double").alias("depth"), (F.col("p_retailprice") % 360).alias("turn"))
-    return P.scene_summary(P.simulate(requests, size=32))
+    return P.scene_summary(P.simulated(requests, size=32), size=32)
 
 
 @query("overlay_colours", """WITH e AS (SELECT event_id, value, least(1.0, greatest(0.0, value / 50)) AS t, value / 100 AS h FROM events),

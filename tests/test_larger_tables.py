@@ -4,7 +4,9 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from gridloom.operators import fields, quantiles
 from gridloom.plans import catalog
 
 
@@ -56,3 +58,20 @@ def test_table_digest_of_many_rows(against_sql):
     n = 20_000
     orders = pd.DataFrame({"o_orderkey": np.arange(n) // 2 * 2, "o_custkey": np.arange(n) % 7, "o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
     assert against_sql("table_digest", orders=orders) == 17
+
+
+def test_scenes_are_dealt_to_tasks_by_number(spark):
+    """Requests are few bytes and much work: Spark itself would give them all to one task."""
+    requests = spark.range(400).select(F.col("id").alias("scene_id"), F.lit(30.0).alias("depth"), F.col("id").cast("double").alias("turn"))
+    scenes = fields.simulated(requests.union(requests), 8)
+    assert scenes.rdd.getNumPartitions() >= 7 and scenes.count() == 400
+
+
+def test_scene_summary_is_that_of_the_pixels(spark):
+    requests = spark.range(20).select(F.col("id").alias("scene_id"), F.lit(30.0).alias("depth"), F.col("id").cast("double").alias("turn"))
+    got = fields.scene_summary(fields.simulated(requests, 16), 16).orderBy("scene_id").toPandas()
+    p = fields.simulate(requests, 16).toPandas().sort_values(["scene_id", "y", "x"])
+    for r, (_, g) in zip(got.itertuples(), p.groupby("scene_id")):
+        top = g.loc[g["down_m"].idxmax()]
+        assert (r.pixels, r.peak_m, r.peak_at.y, r.peak_at.x) == (256, top.down_m, top.y, top.x)
+        assert np.allclose([r.label_percent, r.water_percent, r.mean_coherence, r.cycles], [100 * g["mask"].mean(), 100 * g["water_mask"].mean(), g["coherence"].astype("f8").mean(), np.ptp(g["phase_rad"]) / (2 * np.pi)])
