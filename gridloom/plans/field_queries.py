@@ -58,12 +58,12 @@ f AS (SELECT n, c_custkey, sum(({ERF.format(x='b')} - {ERF.format(x='a')}) / 2 *
 SELECT f.n AS segments, round(sqrt(sum((f.d - r.d) * (f.d - r.d))) / sqrt(sum(r.d * r.d)), 6) AS relative_error FROM f JOIN f r ON r.c_custkey = f.c_custkey AND r.n = 64 WHERE f.n < 64 GROUP BY f.n""")
 def segment_convergence(spark, sf_dir):
     """Relative error of coarse segmentation against a fine one, over customers' places."""
-    c = math.sqrt(math.pi) / 220
-    piece = lambda n: lambda s: F.struct(F.lit(n).alias("n"), (-300 + 600.0 / n * s).alias("lo"), (32.0 / n * s).alias("opened"))
-    cut = F.explode(F.flatten(F.array(*(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), piece(n)) for n in (8, 16, 32, 64)))))
-    seg = _places(spark, sf_dir).select("c_custkey", "e", cut.alias("s")).select("c_custkey", "e", "s.*")  # 120 segments to a place
-    share = M.strip_integral(c * (F.col("lo") - F.col("e")), c * (F.col("lo") + 600.0 / F.col("n") - F.col("e"))) * M.response(40.0 - F.col("opened"), F.lit(20.0))
-    rows = seg.withColumn("share", share).groupBy("c_custkey").agg(*(F.sum(F.when(F.col("n") == n, F.col("share"))).alias(f"d{n}") for n in (8, 16, 32, 64)))
+    c, fine = math.sqrt(math.pi) / 220, 64
+    # bounds of coarse segments are bounds of fine ones: one error function a bound serves all
+    bounds = _places(spark, sf_dir).select("c_custkey", "e", F.explode(F.sequence(F.lit(0), F.lit(fine))).alias("k"))
+    at = bounds.select("c_custkey", "k", M.erf(c * (-300 + 600.0 / fine * F.col("k") - F.col("e"))).alias("erf"))
+    weight = lambda n: F.get(F.array(*map(F.lit, P.bound_weights(n, fine, first_day=0.0, days=32.0, day=40.0, tau=20.0))), F.col("k"))
+    rows = at.groupBy("c_custkey").agg(*(F.sum(F.col("erf") * weight(n)).alias(f"d{n}") for n in (8, 16, 32, 64)))
     off = lambda n: F.sqrt(F.sum((F.col(f"d{n}") - F.col("d64")) ** 2)) / F.sqrt(F.sum(F.col("d64") ** 2))
     whole = rows.agg(F.array(*(F.struct(F.lit(n).alias("segments"), F.round(off(n), 6).alias("relative_error")) for n in (8, 16, 32))).alias("r"))
     return whole.select(F.explode("r").alias("r")).select("r.*")

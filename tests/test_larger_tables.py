@@ -75,3 +75,9 @@ def test_scene_summary_is_that_of_the_pixels(spark):
         top = g.loc[g["down_m"].idxmax()]
         assert (r.pixels, r.peak_m, r.peak_at.y, r.peak_at.x) == (256, top.down_m, top.y, top.x)
         assert np.allclose([r.label_percent, r.water_percent, r.mean_coherence, r.cycles], [100 * g["mask"].mean(), 100 * g["water_mask"].mean(), g["coherence"].astype("f8").mean(), np.ptp(g["phase_rad"]) / (2 * np.pi)])
+
+
+def test_segment_convergence_reckons_each_bound_once(spark, sf):
+    """One error function for the 65 bounds of a place, not two for each of 120 segments."""
+    plan = catalog.QUERIES["segment_convergence"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EXP(") == 1
