@@ -39,19 +39,23 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
         many = held.where(F.col("inside") > small)
         if not open_.where(F.col("inside") > small).limit(1).count():
             break
-        many = staged(many.select("g", "v", "below", "ranks"), "open")  # the next rounds read no more than this
-        split = many.groupBy("g", "below").agg(F.array_distinct(F.percentile_approx("v", [k / SPLITS for k in range(SPLITS + 1)], 100 * SPLITS)).alias("s"))
+        many = staged(many.select("g", "v", "below"), "open")  # the next rounds read no more than this
+        # a row a range, staged, so that it is known to be small: no rows of a group are sorted to meet theirs
+        split = staged(many.groupBy("g", "below").agg(F.array_distinct(F.percentile_approx("v", [k / SPLITS for k in range(SPLITS + 1)], 100 * SPLITS)).alias("s")), "splits")
+        its = (F.col("g") == F.col("sg")) & (F.col("below") == F.col("sb"))
         at = F.size(F.filter("s", lambda s: s < F.col("v")))
-        classed = many.join(split.withColumnsRenamed({"g": "sg", "below": "sb"}), (F.col("g") == F.col("sg")) & (F.col("below") == F.col("sb")))
+        classed = many.join(split.withColumnsRenamed({"g": "sg", "below": "sb"}), its)
         classed = classed.withColumn("class", 2 * at + F.coalesce(F.get("s", at) == F.col("v"), F.lit(False)).cast("int"))
-        counts = classed.groupBy("g", "below", "class").agg(F.count("*").alias("n"), F.any_value("s").alias("s"), F.any_value("ranks").alias("ranks"))
+        told = split.join(open_.where(F.col("inside") > small).select(F.col("g").alias("og"), F.col("below").alias("ob"), "ranks"), (F.col("g") == F.col("og")) & (F.col("below") == F.col("ob")))
+        told = told.select(F.col("g").alias("sg"), F.col("below").alias("sb"), "s", "ranks")
+        counts = classed.groupBy("g", "below", "class").agg(F.count("*").alias("n")).join(told, its).drop("sg", "sb")
         upto = F.sum("n").over(Window.partitionBy("g", "below").orderBy("class"))
         counts = counts.withColumn("start", F.col("below") + upto - F.col("n"))
         counts = staged(counts.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))).where(F.size("ranks") > 0), "classes")
         k = F.floor(F.col("class") / 2).cast("int")
         found.append(counts.where("class % 2 = 1").select("g", F.explode("ranks").alias("rank"), F.get("s", k).alias("v")))
         unstaged(*old)
-        old = [many, open_]
+        old = [many, open_, split]
         rows = many.select("g", "v")
         open_ = counts.where("class % 2 = 0").select("g", F.get("s", k - 1).alias("lo"), F.get("s", k).alias("hi"), F.col("start").alias("below"), F.col("n").alias("inside"), "ranks")
     values = found[0]

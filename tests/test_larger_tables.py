@@ -81,3 +81,12 @@ def test_segment_convergence_reckons_each_bound_once(spark, sf):
     """One error function for the 65 bounds of a place, not two for each of 120 segments."""
     plan = catalog.QUERIES["segment_convergence"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("EXP(") == 1
+
+
+def test_quantiles_sort_no_group(spark, monkeypatch):
+    """Rows of a group are counted by hash, and meet its splitters without a sort."""
+    plans, keep = {}, quantiles.staged
+    monkeypatch.setattr(quantiles, "staged", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and keep(df, name))
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), F.rand(3).alias("v"))
+    assert quantiles.exact_quantiles(df, ["k"], "v", [0.5], 100).count() == 2
+    assert "SortAggregate" not in plans["classes"] and "SortMergeJoin" not in plans["classes"]
