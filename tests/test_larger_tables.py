@@ -90,3 +90,9 @@ def test_quantiles_sort_no_group(spark, monkeypatch):
     df = spark.range(3000).select((F.col("id") % 2).alias("k"), F.rand(3).alias("v"))
     assert quantiles.exact_quantiles(df, ["k"], "v", [0.5], 100).count() == 2
     assert "SortAggregate" not in plans["classes"] and "SortMergeJoin" not in plans["classes"]
+
+
+def test_scene_audit_shuffles_requests_only(spark, sf):
+    """What a scene breaks is counted where its row is, so no pixel is shuffled."""
+    plan = catalog.QUERIES["scene_audit"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[0]
