@@ -92,14 +92,24 @@ def _list_tokens(width: int, num: int, den: int):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, and its text packed, for the way through a shuffle."""
+    codec = pa.Codec("zstd", 3)
+    for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
+        raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], ["doc_id", "bytes", "packed"])
+
+
 def _sets(width: int):
-    """The whole sets of classes."""
+    """The whole sets of classes, from packed texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
         for part in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
             names, sets = [], []
             known = zip(part.column("class").to_pylist(), part.column("one").to_pylist(), part.column("two").to_pylist())
-            for s, (name, one, two) in zip(shingle_sets(part.column("text"), width), known):
+            texts = [codec.decompress(x, n, asbytes=True).decode() for x, n in zip(part.column("packed").to_pylist(), part.column("bytes").to_pylist())]
+            for s, (name, one, two) in zip(shingle_sets(pa.array(texts, pa.string()), width), known):
                 if fingerprint(s) == (one, two):  # one id may stand for several texts
                     names.append(name), sets.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["class", "n", "tokens"])
@@ -349,7 +359,8 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, rare
     listed = staged(every.select("doc_id", *same), "sizes")
     unstaged(whole, every)
 
-    found = docs.join(few, "doc_id").mapInArrow(_sets(width), "class long, n long, tokens array<long>")
+    texts = docs.where("doc_id IS NOT NULL").mapInArrow(_packed, "doc_id long, bytes long, packed binary")
+    found = texts.join(few, "doc_id").mapInArrow(_sets(width), "class long, n long, tokens array<long>")
     whole = staged(found.dropDuplicates(["class"]) if repeated else found, "sets")
     known = _shared(whole, num, den)
     unstaged(whole, few)

@@ -138,3 +138,16 @@ def test_single_programs(text, want):
 def test_long_sums_take_linear_time():
     text = "pwd = " + "+".join(["a1"] * 300_000)
     assert secret_scan.named_spans(text) == []
+
+
+def test_texts_are_shuffled_packed(spark, monkeypatch):
+    """What meets the few classes that may link is the packed text; the sets are as before."""
+    from gridloom.llm import ngram_join as J
+
+    plans, keep = {}, J.staged
+    monkeypatch.setattr(J, "staged", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and keep(df, name))
+    words = " ".join(f"w{k}" for k in range(300))
+    docs = spark.createDataFrame([(1, words), (2, words + " é"), (3, ""), (4, None), (None, words), (5, "other words " * 9)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.ngram_join(docs, width=3, num=9, den=10).collect() if r.doc_id}
+    assert got == {1: (298, 1), 2: (299, 1), 3: (0, 3), 4: (0, 4), 5: (2, 5)}
+    assert "packed" in plans["sets"]
