@@ -6,6 +6,7 @@ windows of one scene are scored by many tasks; only the fusion of a scene meets
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,10 @@ from gridloom.functions.tables import _starts
 
 KERNELS = {"box": (0.5, lambda t: ((t > -0.5) & (t <= 0.5)).astype(float)), "bilinear": (1.0, lambda t: np.maximum(0.0, 1.0 - np.abs(t)))}
 BATCH = 16
+WINDOWS = 256  # rows from which windows are handed on
 
 
+@lru_cache(256)
 def weights(size: int, wanted: int, kind: str) -> np.ndarray:
     """wanted x size: what each source pixel gives to each new one, by pixel centres; kernels widen when pixels become larger,
     and what lies outside is left out and made up for by the rest."""
@@ -59,19 +62,23 @@ def windows(scenes: DataFrame, size: int, stride: int, scales: tuple[int, ...],
         raise ValueError("scales must be different whole numbers from 1")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, out = ["scene", "height", "width", "scale", "rows", "columns", "y", "x", "crop"], []
         for frame in frames:
             for r in frame.itertuples(index=False):
                 whole = np.array([np.asarray(c, float) for c in r.data]).reshape(-1, r.height, r.width)
                 for scale in scales:
                     small = reduced(whole, scale, phase and len(whole) == 2)
                     h, w = small.shape[1:]
-                    out = []
                     for y in _starts(h, size, stride):
                         for x in _starts(w, size, stride):
                             crop = small[:, y : y + size, x : x + size]
                             crop = np.pad(crop, ((0, 0), (0, size - crop.shape[1]), (0, size - crop.shape[2])), mode="edge")
                             out.append((r.scene, r.height, r.width, scale, h, w, y, x, crop.ravel()))
-                    yield pd.DataFrame(out, columns=["scene", "height", "width", "scale", "rows", "columns", "y", "x", "crop"])
+                    if len(out) >= WINDOWS:  # small scenes share a frame
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     rows = scenes.select("scene", "height", "width", "data")
     return rows.mapInPandas(run, f"scene {rows.schema['scene'].dataType.simpleString()}, height int, width int, scale int, rows int, columns int, y int, x int, crop array<double>")
@@ -99,10 +106,12 @@ def fused(scores: DataFrame, size: int, scales: tuple[int, ...]) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         height, width = int(group["height"].iloc[0]), int(group["width"].iloc[0])
         total = np.zeros((height, width))
-        for _, part in group.groupby("scale"):
-            h, w = int(part["rows"].iloc[0]), int(part["columns"].iloc[0])
+        part = {c: group[c].to_numpy() for c in ("scale", "rows", "columns", "y", "x", "score")}
+        for scale in np.unique(part["scale"]):
+            own = np.flatnonzero(part["scale"] == scale)
+            h, w = int(part["rows"][own[0]]), int(part["columns"][own[0]])
             sums, weight = np.zeros((h, w)), np.zeros((h, w))
-            for y, x, score in zip(part["y"], part["x"], part["score"]):
+            for y, x, score in zip(*(part[c][own].tolist() for c in ("y", "x")), part["score"][own]):
                 b, r = min(y + size, h), min(x + size, w)
                 sums[y:b, x:r] += (np.asarray(score).reshape(size, size) * window)[: b - y, : r - x]
                 weight[y:b, x:r] += window[: b - y, : r - x]

@@ -181,3 +181,8 @@ def test_review_stream_after_any_batches_and_a_restart(spark, tmp_path):
             stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(source))
             got = reviews.kept(reviews.reviewing(stream), out)  # each call is a restart
         assert sorted(map(tuple, got.select("sample", "revision", "status", "decisions", "events").collect())) == want
+
+
+def test_resampling_weights_are_made_once():
+    """Scenes of one size share them."""
+    assert inference.weights(8, 4, "box") is inference.weights(8, 4, "box")
