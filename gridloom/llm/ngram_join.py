@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
 from gridloom.llm.shingles import ODD, TAIL, U, fingerprint, mix, shingle_sets
-from gridloom.session import numbered, staged, unstaged
+from gridloom.session import fewer, numbered, staged, stored, unstaged
 
 RARE = 32
 SINGLES_ONLY = 5  # bands of sets under 2 ** 5 tokens have no pair signatures
@@ -212,40 +212,42 @@ def _test(num: int, den: int):
     return run
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _tested(pairs: DataFrame, sets: DataFrame, num: int, den: int, size: int) -> DataFrame:
     """pairs(leader, member, n of the member, salt, ask) with the verdict on each. The leader's set is
-    copied once a salt, so no task reads all members of a large group."""
-    pairs = staged(pairs, "pairs")
+    copied once a salt, so no task reads all members of a large group. size: bytes that the pairs come from."""
+    pairs = staged(fewer(pairs, size), "pairs")
+    size = stored(sets) + 64 * stored(pairs)  # a pair brings its sets
     member = pairs.join(sets.select(F.col("class").alias("member"), F.col("tokens").alias("member_set"), F.col("shared").alias("member_shared")), "member")
     member = member.withColumn("member_shared", F.when(F.col("ask"), F.col("member_shared")).otherwise(F.array().cast("array<long>")))
-    leader = pairs.select("leader", "salt").distinct().join(sets.select(F.col("class").alias("leader"), F.col("tokens").alias("leader_set")), "leader")
-    both = member.join(leader, ["leader", "salt"])
+    leader = fewer(pairs.select("leader", "salt").distinct(), size).join(sets.select(F.col("class").alias("leader"), F.col("tokens").alias("leader_set")), "leader")
+    both = fewer(fewer(member, size).join(fewer(leader, size), ["leader", "salt"]), size)
     out = staged(both.mapInArrow(_test(num, den), "leader long, member long, n long, linked boolean, d long, close int, rest array<long>"), "tested")
     unstaged(pairs)
     return out
 
 
-def _open_groups(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open_groups(rows: DataFrame, labels: DataFrame | None, size: int) -> DataFrame:
     """The rows of keys in which pairs are open, with label, weight, group size and leader. The leader has
-    most rows for its size: a text whose copies were edited lacks what is special to each."""
+    most rows for its size: a text whose copies were edited lacks what is special to each. size: bytes of what rows come from."""
     about = rows.groupBy("class").agg((F.count("*") / F.max("n")).alias("weight"))
     if labels is None:
         about = about.withColumn("label", F.col("class"))
     else:
         about = about.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "weight", F.coalesce("component", "class").alias("label"))
-    rows = staged(rows.join(about, "class"), "labelled")
+    rows = staged(fewer(rows.join(about, "class"), 2 * size), "labelled")
+    size = 2 * stored(rows)
     groups = (
         rows.groupBy("key")
         .agg(F.max(F.struct("weight", (-F.col("class")).alias("back"))).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.count_if("linked").alias("with_leader"), F.count_if("close").alias("near"))
         .where("low <> high AND (with_leader > 0 AND with_leader < members OR near > 1)")
         .select("key", (-F.col("first.back")).alias("leader"), "members")
     )
-    out = staged(rows.join(groups, "key"), "groups")
+    out = staged(fewer(rows.join(groups, "key"), size), "groups")
     unstaged(rows)
     return out
 
 
-def _stars(groups: DataFrame, rare: int, leaders: int) -> DataFrame:
+def _stars(groups: DataFrame, rare: int, leaders: int, size: int) -> DataFrame:
     """Visits of members to leaders. A group has one leader for each of `leaders` parts, dealt by hash."""
     salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / SALTED)).cast("int")
     ask = F.col("members") > rare
@@ -256,7 +258,7 @@ def _stars(groups: DataFrame, rare: int, leaders: int) -> DataFrame:
         part = F.pmod(F.xxhash64("class", F.lit(leaders)), F.lit(leaders))
         heads = groups.groupBy("key", part.alias("part")).agg(F.max(F.struct("weight", (-F.col("class")).alias("back"))).alias("head")).select("key", (-F.col("head.back")).alias("head"))
         own = heads.select("key", F.col("head").alias("class"), F.lit(True).alias("heads"))
-        rows = rows.join(own, ["key", "class"], "left").join(heads, "key")
+        rows = fewer(fewer(rows.join(fewer(own, size), ["key", "class"], "left"), size).join(heads, "key"), 2 * size)
         visits = rows.select(F.col("head").alias("leader"), F.col("class").alias("member"), "n", "salt", (ask & (F.col("head") == F.col("leader")) & F.col("heads").isNull()).alias("ask"))
     return visits.where("leader <> member").groupBy("leader", "member").agg(F.max("n").alias("n"), F.max("salt").alias("salt"), F.max("ask").alias("ask"))
 
@@ -277,12 +279,13 @@ def _pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def link_classes(rows: DataFrame, sets: DataFrame, num: int, den: int, rare: int) -> DataFrame | None:
-    """Labels (node, component) of the classes that link; rows(key, class, n) are their signatures."""
+def link_classes(rows: DataFrame, sets: DataFrame, num: int, den: int, rare: int, size: int = 0) -> DataFrame | None:
+    """Labels (node, component) of the classes that link; rows(key, class, n) are their signatures, from a table of `size` bytes."""
     labels, leaders, old = None, 1, []
     rows = rows.select("key", "class", "n", F.lit(False).alias("linked"), F.lit(True).alias("close"), F.lit(0).cast("long").alias("d"))
     while True:
-        groups = _open_groups(rows, labels)
+        groups = _open_groups(rows, labels, size)
+        size = stored(groups)
         small, large = groups.agg(F.count_if(F.col("members") <= rare), F.count_if(F.col("members") > rare)).first()
         unstaged(*old)
         if not small + large:
@@ -291,16 +294,16 @@ def link_classes(rows: DataFrame, sets: DataFrame, num: int, den: int, rare: int
         first, crowded, few = labels is None, groups.where(F.col("members") > rare), groups.where(F.col("members") <= rare)
         tested = []
         if first or large:
-            tested.append(_tested(_stars(groups if first else crowded, rare, leaders), sets, num, den))
+            tested.append(_tested(_stars(groups if first else crowded, rare, leaders, size), sets, num, den, size))
         if small and not first:
-            tested.append(_tested(_pairs(few, num, den), sets, num, den))
+            tested.append(_tested(fewer(_pairs(few, num, den), 4 * size), sets, num, den, 4 * size))
         links = [t.where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")) for t in tested]
         if labels is not None:
             links.append(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         new = links[0]
         for more in links[1:]:
             new = new.union(more)
-        before, labels = labels, components(new)
+        before, labels = labels, components(new, size=stored(*tested, labels))
         old = [*tested, groups, before]
         if not large and not first:
             unstaged(*old)
@@ -309,19 +312,23 @@ def link_classes(rows: DataFrame, sets: DataFrame, num: int, den: int, rare: int
         rows = listed.select(F.xxhash64("leader", "token").alias("key"), "class", "n", "linked", (F.col("place") < F.col("among")).alias("close"), "d")
         if first:
             rows = rows.unionByName(few.select("key", "class", "n", "linked", "close", "d"))
+        size = 4 * stored(tested[0]) + (stored(groups) if first else 0)
         leaders *= 4
 
 
 def _shared(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of sets(class, n, tokens): the classes that may link with another, with the tokens that two of them
+    """Of sets(class, n, tokens), which are staged and go: the classes that may link with another, with the tokens that two of them
     have and their frequencies as `shared`, staged."""
     alone = _alone(sets, F.filter("tokens", lambda t: t >= 0) if 1 - num / den + MARGIN < 0.5 else F.col("tokens"))
-    kept = staged(sets.join(alone, "class", "left").where(F.coalesce("alone", F.lit(0)) < _need(F.col("n"), num, den)).drop("alone"), "kept")
+    kept = sets.join(alone, "class", "left").where(F.coalesce("alone", F.lit(0)) < _need(F.col("n"), num, den)).drop("alone")
+    kept = staged(fewer(kept, stored(sets)), "kept")
+    unstaged(sets)
+    size = 2 * stored(kept)
     tokens = kept.select("class", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    met = tokens.join(often, "token").groupBy("class").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
+    met = fewer(tokens.join(often, "token"), size).groupBy("class").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
     met = met.join(kept, "class").where(F.col("n") - F.size("shared") < _need(F.col("n"), num, den))
-    out = staged(met, "shared")
+    out = staged(fewer(met, size), "shared")
     unstaged(kept)
     return out
 
@@ -329,7 +336,8 @@ def _shared(sets: DataFrame, num: int, den: int) -> DataFrame:
 def _alone(classes: DataFrame, tokens: Column) -> DataFrame:
     """Of (class, tokens): how many of its tokens no other class has; classes without such tokens are not listed."""
     tokens = classes.select("class", F.explode(tokens).alias("token"))
-    return tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("class").alias("class")).where("c = 1").groupBy("class").agg(F.count("*").alias("alone"))
+    once = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("class").alias("class")).where("c = 1")
+    return fewer(once, stored(classes)).groupBy("class").agg(F.count("*").alias("alone"))
 
 
 def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, rare: int = RARE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -343,7 +351,8 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, rare
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     listed = staged(docs.mapInArrow(_list_tokens(width, num, den), "doc_id long, n long, one long, two long, tokens array<long>"), "listed")
     with_set = listed.where("n > 0 AND doc_id IS NOT NULL")
-    repeated = bool(with_set.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count())
+    size = stored(listed)
+    repeated = bool(fewer(with_set.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1"), size).limit(1).count())
 
     classes = with_set.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.any_value("tokens").alias("tokens"))
     if repeated:  # one id may stand for several sets
@@ -351,9 +360,9 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, rare
         classes = classes.withColumn("class", F.when(turn == 1, F.col("class_id")).otherwise(F.xxhash64("class_id", *same)))
     else:
         classes = classes.withColumn("class", F.col("class_id"))
-    whole = staged(classes, "listed-classes")
+    whole = staged(fewer(classes, size), "listed-classes")
     few = whole.drop("tokens").join(_alone(whole, F.col("tokens")), "class", "left").where(F.coalesce("alone", F.lit(0)) < _need(F.col("n"), num, den))
-    few = staged(few.select("class", F.col("class_id").alias("doc_id"), "one", "two"), "few")
+    few = staged(fewer(few.select("class", F.col("class_id").alias("doc_id"), "one", "two"), size), "few")
     # from here on the lists are not read, only whose they are
     classes, every = staged(whole.drop("tokens"), "classes"), listed
     listed = staged(every.select("doc_id", *same), "sizes")
@@ -363,18 +372,22 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, rare
     found = texts.join(few, "doc_id").mapInArrow(_sets(width), "class long, n long, tokens array<long>")
     whole = staged(found.dropDuplicates(["class"]) if repeated else found, "sets")
     known = _shared(whole, num, den)
-    unstaged(whole, few)
+    unstaged(few)
     rows = staged(known.select("class", "n", "shared").mapInArrow(_sign(num, den, rare), "key long, class long, n long"), "signatures")
+    size = stored(rows)
     met = rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", "left_semi")
-    labels = link_classes(met, known.select("class", "tokens", F.transform("shared", lambda s: s["token"]).alias("shared")), num, den, rare)
+    known_sets = known.select("class", "tokens", F.transform("shared", lambda s: s["token"]).alias("shared"))
+    known_sets.staged_at = known.staged_at
+    labels = link_classes(fewer(met, size), known_sets, num, den, rare, size)
     unstaged(rows, known)
     if labels is None:
         found = classes.withColumn("component_id", F.col("class_id"))
     else:
-        linked = labels.withColumnRenamed("node", "class").join(classes.select("class", "class_id"), "class")
+        size = stored(classes, labels)
+        linked = fewer(labels.withColumnRenamed("node", "class").join(classes.select("class", "class_id"), "class"), size)
         least = linked.groupBy("component").agg(F.min("class_id").alias("least"))
-        found = classes.join(linked.join(least, "component").select("class", "least"), "class", "left").withColumn("component_id", F.coalesce("least", "class_id"))
-    found = staged(found.where("copies > 1 OR component_id <> class_id").select(*same, "component_id"), "found")
+        found = classes.join(fewer(linked.join(least, "component"), size).select("class", "least"), "class", "left").withColumn("component_id", F.coalesce("least", "class_id"))
+    found = staged(fewer(found.where("copies > 1 OR component_id <> class_id").select(*same, "component_id"), stored(classes, labels)), "found")
     unstaged(classes, labels)
     return listed.select("doc_id", *same).join(found, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
