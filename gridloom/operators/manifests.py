@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.mathx import uniform
-from gridloom.session import staged, unstaged
+from gridloom.session import fewer, staged, stored, unstaged
+
+
+#: Draws of a round whose seeds are broadcast to find former draws of the same seeds.
+FEW = 1 << 20
 
 
 def canonical(*fields: str) -> Column:
@@ -74,24 +78,41 @@ def fresh_draws(plan: DataFrame, used: DataFrame, key: str, seed: int, stream: s
     [0, space) that is not in used(seed) and that no other row has.
 
     Equal to drawing key after key, each until its seed is neither used nor given to a lesser key: all
-    rows draw at once, a seed stays with its least key, and the others draw again until none has to."""
-    used = staged(used.select(F.col("seed").cast("long").alias("seed")).where(F.col("seed").between(0, space - 1)).distinct(), "used")
+    rows draw at once, a seed stays with its least key, and those without one draw again until none has to.
+    Draws are kept as they are made, and the least key that ever drew a seed has it. So only the seeds drawn in a
+    round are looked at in it, and of former draws only those of the same seeds are shuffled where the round is small."""
     draw = lambda t: F.floor(uniform(seed, stream, F.concat_ws(":", F.col(key).cast("string"), t.cast("string"))) * space).cast("long")
-    at = staged(plan.select(key).withColumn("tries", F.lit(0).cast("long")).withColumn("seed", draw(F.col("tries"))), "draws")
-    if at.count() + used.count() > space:
+    used = used.select(F.col("seed").cast("long").alias("seed")).where(F.col("seed").between(0, space - 1)).distinct()
+    new = staged(plan.select(key, F.lit(0).cast("long").alias("tries")).withColumn("seed", draw(F.col("tries"))), "draws")
+    none = F.lit(None).cast(new.schema[key].dataType).alias(key)
+    used = staged(used.select(none, F.lit(-1).cast("long").alias("tries"), "seed"), "used")
+    count = new.count()
+    if count + used.count() > space:
         raise ValueError("more rows than fresh seeds")
-    old = [at]
-    while True:
-        turn = F.row_number().over(Window.partitionBy("seed").orderBy(key))
-        told = at.withColumn("_turn", turn).join(used.withColumn("_used", F.lit(True)), "seed", "left")
-        told = staged(told.select(key, "tries", "seed", (F.col("_used").isNotNull() | (F.col("_turn") > 1)).alias("open")), "draws")
-        unstaged(*old)
-        old = [told]
-        if not told.where("open").limit(1).count():
-            unstaged(used)
-            return told.select(key, "tries", "seed")
-        again = told.withColumn("tries", F.col("tries") + F.col("open").cast("long"))
-        at = again.withColumn("seed", F.when(F.col("open"), draw(F.col("tries"))).otherwise(F.col("seed"))).drop("open")
+    large, small = [used], []
+    together = lambda tables: plan.sparkSession.read.schema(new.schema).parquet(*(t.staged_at for t in tables))  # noqa: E731  one scan: small files share tasks
+    while count:
+        before = together([*large, *small]).withColumn("_new", F.lit(False))
+        if count <= FEW:
+            before = before.join(F.broadcast(new.select("seed").distinct()), "seed", "left_semi").select(key, "tries", "seed", "_new")
+        turn = Window.partitionBy("seed").orderBy(F.col("tries") >= 0, key, "tries", "_new")
+        met = before.union(new.withColumn("_new", F.lit(True)))
+        met = met.withColumn("_turn", F.row_number().over(turn)).withColumn("_former", F.count_if(~F.col("_new")).over(turn.rowsBetween(Window.unboundedPreceding, 0)))
+        # who draws again: new draws that are not first, and who had the seed till now and is not first any more
+        lost = met.where((F.col("_turn") > 1) & (F.col("tries") >= 0) & (F.col("_new") | (F.col("_former") == 1)))
+        again = lost.select(key, (F.col("tries") + 1).alias("tries")).withColumn("seed", draw(F.col("tries")))
+        (small if count <= FEW else large).append(new)
+        size = 2 * stored(new) + (stored(*large) if count > FEW else 0)
+        new = staged(fewer(again, size), "draws")
+        count = new.count()
+        if len(small) > 24:
+            old, small = small, [staged(fewer(together(small), stored(*small)), "draws")]
+            unstaged(*old)
+    unstaged(new)
+    first = together([*large, *small]).groupBy("seed").agg(F.min(F.struct((F.col("tries") >= 0).alias("drawn"), F.col(key), "tries")).alias("_first"))
+    out = staged(first.where("_first.drawn").select(F.col(f"_first.{key}").alias(key), F.col("_first.tries").alias("tries"), "seed"), "draws")
+    unstaged(*large, *small)
+    return out
 
 
 def overlapping(a: DataFrame, b: DataFrame, width: int, *keys: str) -> DataFrame:

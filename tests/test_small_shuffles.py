@@ -48,3 +48,16 @@ def test_small_joins_are_written_by_few_tasks(spark, many_partitions, monkeypatc
     assert {r.doc_id: r.component_id for r in rows} == {k: k // 4 * 4 for k in range(800)}
     few = {"listed-classes", "few", "kept", "shared", "labelled", "groups", "pairs", "tested", "edges", "found"}
     assert few <= set(files) and max(files[n] for n in few) <= session.LEAST
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_fresh_draws_keep_only_what_is_drawn(spark, monkeypatch, few):
+    from gridloom.operators import manifests as M
+
+    n, written = 300, []
+    monkeypatch.setattr(M, "FEW", few)
+    real = M.staged
+    monkeypatch.setattr(M, "staged", lambda df, name: (out := real(df, name), written.append(out.count()))[0])
+    got = M.fresh_draws(spark.range(n).withColumnRenamed("id", "k"), spark.createDataFrame([(s,) for s in range(20)], "seed long"), "k", 8, "seed", n * 4 // 3 + 20).collect()
+    assert len({r.seed for r in got}) == len({r.k for r in got}) == len(got) == n and min(r.seed for r in got) >= 20
+    assert sum(written) <= 20 + n + sum(r.tries + 1 for r in got) + n  # used, draws, once more for a fold, result; not all rows in each round
