@@ -68,18 +68,40 @@ def canonical_sha256(document: pd.Series) -> pd.Series:
     return document.map(one)
 
 
-def checked(scenes: DataFrame) -> DataFrame:
+def checked(scenes: DataFrame, drawn: dict[str, tuple[int, Column]] | None = None) -> DataFrame:
     """What read_scenes(.., *BANDS) gives -> scene, rule, largest (violation; null where the rule has no bands), passed.
 
-    Several rows of a scene (ranges of its lines) are one scene. Without settings, rules that need them fail."""
+    Several rows of a scene (ranges of its lines) are one scene. Without settings, rules that need them fail. With drawn, images
+    that were read with the bands are held against them as in images_checked(). Rows are read once and each scene's parts are added up where they were read."""
+    drawn = drawn or {}
     known = F.from_json("metadata", METADATA)
     rows = scenes.withColumn("_m", known).withColumn("_request", F.get_json_object("metadata", "$.request"))
     rows = rows.select(*scenes.columns, F.col("_m.request.settings.*"), F.col("_m.request_sha256").alias("_told"), "_request")
+    total = lambda parts: sum((p.cast("int") for p in parts[1:]), parts[0].cast("int")).cast("double")
+    there = lambda b: F.map_contains_key("kinds", F.lit(b))
+    part = lambda b, k: F.element_at(F.split(F.element_at("kinds", F.lit(b)), ":"), k)
+    square = F.concat_ws("x", "size", "size")
+
+    def differ(name: str, want: Column) -> Column:
+        png = F.col(f"{name}_png")
+        off = F.size(F.filter(F.arrays_zip(png.alias("a"), want.alias("b")), lambda p: ~p["a"].eqNullSafe(p["b"]))).cast("double")
+        return F.when(want.isNotNull(), F.when(F.coalesce(F.size(png) == F.size(want), F.lit(False)), off).otherwise(float("inf")))
+
+    facts = {
+        "bands": total([~there(b) for b in NEEDED]),
+        "types": total([there(b) & (part(b, 1) != ("uint8" if b in MASKS else "float32")) for b in BANDS]),
+        "shape": total([there(b) & ~part(b, 2).eqNullSafe(square) for b in BANDS]),
+        "request_sha256": F.when(F.col("_told").isNotNull(), (~canonical_sha256("_request").eqNullSafe(F.col("_told"))).cast("double")),
+    }
+    has = {n: total([there(b) for b in bands]) == len(bands) for n, (*_, bands) in RULES.items()}
     lines = F.coalesce(*(F.when(F.col(b).isNotNull(), F.size(b)) for b in BANDS), F.lit(0))
     blank = lambda b: F.array_repeat(F.lit(None).cast("tinyint" if b in MASKS else "float"), lines)
-    pixels = rows.withColumn("_p", F.explode_outer(F.arrays_zip(*(F.coalesce(F.col(b), blank(b)).alias(b) for b in BANDS))))
+    zipped = F.arrays_zip(*(F.coalesce(F.col(b), blank(b)).alias(b) for b in BANDS))
     settings = [c.split()[0] for c in SETTINGS.split(", ")]
-    pixels = pixels.select("scene", *settings, "_p.*")
+    told = F.struct(*(v.alias(n) for n, v in facts.items()), *(v.alias(f"has_{n}") for n, v in has.items()), *(differ(n, want).alias(f"{n}_png") for n, (_, want) in drawn.items()))
+    pixels = rows.select("scene", *settings, told.alias("_f"), zipped.alias("_z"))
+    pixels = pixels.select("scene", *settings, "_f", F.posexplode_outer("_z").alias("_pos", "_p"))
+    pixels = pixels.select("scene", *settings, "_p.*", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_f")).alias("_f"))
 
     def off(one: str, other: str) -> Column:
         a, b = F.expr(one).cast("double"), F.expr(other).cast("double")
@@ -87,22 +109,12 @@ def checked(scenes: DataFrame) -> DataFrame:
         return F.when(beyond.isNull(), float("inf")).otherwise(F.greatest(beyond, F.lit(0.0)))
 
     odd = F.size(F.filter(F.array(*FLOATS), lambda v: F.isnan(v) | (F.abs(v) == float("inf"))))
-    worst = pixels.groupBy("scene").agg(*(F.max(off(one, other)).alias(f"_{n}") for n, (one, other, *_) in RULES.items()), F.sum(odd).alias("_odd"))
-    facts = rows.groupBy(F.col("scene").alias("_scene")).agg(F.any_value("kinds").alias("kinds"), F.max("size").alias("size"), F.max("_told").alias("told"), F.max("_request").alias("request"))
-    whole = worst.join(facts, F.col("scene") == F.col("_scene"))
-    total = lambda parts: sum((p.cast("int") for p in parts[1:]), parts[0].cast("int")).cast("double")
-    there = lambda b: F.map_contains_key("kinds", F.lit(b))
-    part = lambda b, k: F.element_at(F.split(F.element_at("kinds", F.lit(b)), ":"), k)
-    square = F.concat_ws("x", "size", "size")
-    found = {n: F.when(total([there(b) for b in bands]) == len(bands), F.col(f"_{n}")) for n, (_, _, _, bands) in RULES.items()}
-    found |= {
-        "bands": total([~there(b) for b in NEEDED]),
-        "types": total([there(b) & (part(b, 1) != ("uint8" if b in MASKS else "float32")) for b in BANDS]),
-        "shape": total([there(b) & ~part(b, 2).eqNullSafe(square) for b in BANDS]),
-        "finite": F.col("_odd").cast("double"),
-        "request_sha256": F.when(F.col("told").isNotNull(), (~canonical_sha256("request").eqNullSafe(F.col("told"))).cast("double")),
-    }
-    tolerance = {n: t for n, (_, _, t, _) in RULES.items()} | dict.fromkeys(WHOLE, 0.0)
+    worst = [F.max(off(one, other)).alias(f"_{n}") for n, (one, other, *_) in RULES.items()] + [F.sum(odd).alias("_odd")]
+    once = [F.max(f"_f.{n}").alias(f"_{n}") for n in facts] + [F.max(f"_f.has_{n}").alias(f"_has_{n}") for n in RULES] + [F.sum(f"_f.{n}_png").alias(f"_{n}_png") for n in drawn]
+    whole = pixels.groupBy("scene").agg(*worst, *once)
+    found = {n: F.when(F.col(f"_has_{n}"), F.col(f"_{n}")) for n in RULES}
+    found |= {n: F.col("_odd").cast("double") if n == "finite" else F.col(f"_{n}") for n in WHOLE} | {f"{n}.png": F.col(f"_{n}_png") for n in drawn}
+    tolerance = {n: t for n, (_, _, t, _) in RULES.items()} | dict.fromkeys([*WHOLE, *(f"{n}.png" for n in drawn)], 0.0)
     told = F.array(*(F.struct(F.lit(n).alias("rule"), v.alias("largest"), (v.isNull() | (v <= tolerance[n])).alias("passed")) for n, v in found.items()))
     return whole.select("scene", F.explode(told).alias("t")).select("scene", "t.*")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -14,7 +15,6 @@ from gridloom.plans.raster_queries import N, _tiles
 from gridloom.session import shared_folder
 from gridloom.sources import files
 from gridloom.sources.arrays import read_scenes, write_scenes
-from gridloom.sources.images import read_images
 
 ANGLE, HEADING, WAVE, LEAST, FRINGE = 35.0, 80.0, 0.0555, 5.0, 1.5
 
@@ -43,18 +43,18 @@ def _bands(v: str) -> dict[str, str]:
 
 def _scene_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a scene with all its bands, images and metadata, made from a tile's values."""
-    pixels = _tiles(spark, sf_dir).select("vec_id", F.posexplode("data").alias("pos", "v"))
-    made = _bands("v")
-    for name, text in made.items():
-        pixels = pixels.withColumn(name, F.expr(text))
-    bands = [b for b in S.BANDS if b in made]
-    packed = F.array_sort(F.collect_list(F.struct("pos", *bands)))
-    rows = pixels.groupBy("vec_id").agg(packed.alias("p")).select("vec_id", *(F.col(f"p.{b}").alias(b) for b in bands))
     settings = F.struct(F.lit(N).alias("size"), F.lit(ANGLE).alias("incidence_deg"), F.lit(HEADING).alias("radar_azimuth_deg"), F.lit(WAVE).alias("wavelength_m"), F.lit(LEAST).alias("target_threshold_mm"), F.lit(FRINGE).alias("fringe_threshold_rad"))
     request = F.struct(settings.alias("settings"), F.col("vec_id").alias("seed"))
     metadata = F.to_json(F.struct(request.alias("request"), F.lit("train").alias("split"), S.canonical_sha256(F.to_json(request)).alias("request_sha256")))
+    rows = _tiles(spark, sf_dir).repartition("vec_id").select("vec_id", metadata.alias("metadata"), F.col("data").alias("v"))
+    made = _bands("v")
+    for name, text in made.items():
+        used = [n for n in rows.columns[2:] if re.search(rf"\b{n}\b", text)] or ["v"]
+        pixel = re.sub(rf"\b({'|'.join(used)})\b", r"_p.\1", text)
+        rows = rows.withColumn(name, F.col(text) if text in used else F.expr(f"transform(arrays_zip({', '.join(used)}), _p -> {pixel})"))
+    bands = [b for b in S.BANDS if b in made]
     colours = F.flatten(F.transform("wrapped_phase_rad", S.phase_rgb))
-    return rows.select(F.format_string("scene_%06d", "vec_id").alias("scene"), F.lit(N).alias("height"), F.lit(N).alias("width"), metadata.alias("metadata"), *bands, colours.alias("image_png"), F.transform("mask", lambda m: m.cast("int") * 255).alias("mask_png"), "vec_id")
+    return rows.select(F.format_string("scene_%06d", "vec_id").alias("scene"), F.lit(N).alias("height"), F.lit(N).alias("width"), "metadata", *bands, colours.alias("image_png"), F.transform("mask", lambda m: m.cast("int") * 255).alias("mask_png"), "vec_id")
 
 
 @query("scene_files", """SELECT vec_id, round(max(v), 6) AS peak, count(*) FILTER (v >= 0.25) AS positive_px FROM (SELECT vec_id, CAST(embedding[i] AS DOUBLE) AS v, (i - 1) // 8 AS y FROM embeddings, generate_series(1, 64) AS g(i)) WHERE y >= 4 GROUP BY vec_id""")
@@ -92,9 +92,8 @@ def stored_scene_checks(spark, sf_dir):
         "subsidence_after_m": F.when(kind == 21, _first("subsidence_after_m", F.lit(2.0).cast("float"))).otherwise(F.col("subsidence_after_m")),
     }
     write_scenes(rows.withColumns(damaged).drop("vec_id"), path)
-    scenes = read_scenes(spark, path, *S.BANDS)
     drawn = {"image": (3, F.flatten(F.transform("wrapped_phase_rad", S.phase_rgb))), "mask": (1, F.transform("mask", lambda m: m.cast("int") * 255))}
-    found = S.checked(scenes).unionByName(S.images_checked(scenes, read_images(spark, path), drawn))
+    found = S.checked(read_scenes(spark, path, *S.BANDS, images=tuple(drawn)), drawn)
     return found.groupBy("rule").agg(F.count_if(~F.col("passed")).alias("failed"), F.count("*").alias("scenes"))
 
 

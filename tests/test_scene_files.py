@@ -227,3 +227,47 @@ def test_images_against_arrays(spark, tmp_path):
     drawn = {"mask": (1, F.transform("mask", lambda m: m.cast("int") * 255))}
     got = {r.scene: (r.largest, r.passed) for r in S.images_checked(scenes, read_images(spark, str(tmp_path)), drawn).collect()}
     assert got == {"s0": (0, True), "s1": (1, False), "s2": (float("inf"), False), "s3": (float("inf"), False)}
+
+
+def test_many_small_scenes_are_dealt_by_number_and_their_headers_read_once(spark, tmp_path, monkeypatch):
+    write_scenes(rows(spark, 7)[1], str(tmp_path))
+    (tmp_path / "_job-0" / "s9").mkdir(parents=True)
+    (tmp_path / "_job-0" / "s9" / "arrays.npz").write_bytes(b"half")
+    monkeypatch.setattr(arrays, "FILES", 3)
+    reader, parsed = arrays._Reader({"path": str(tmp_path), "bands": "dem_m,mask", "images": "image"}), []
+    parts = reader.partitions()
+    assert [[f[0] for f in p.files] for p in parts] == [["s0", "s1", "s2"], ["s3", "s4", "s5"], ["s6"]]
+    read_header = arrays._read_header
+    monkeypatch.setattr(arrays, "_read_header", lambda read: parsed.append(1) or read_header(read))
+    assert [b.num_rows for p in parts for b in reader.read(p)] == [3, 3, 1] and len(parsed) == 7 * 2
+
+
+def test_scenes_are_read_once_with_their_images(spark, tmp_path):
+    settings, bands = good(6)
+    for name in ("whole", "other", "none", "broken", "size"):
+        put(tmp_path, name, bands, settings)
+        image = np.rint(255 * bands["mask"]).astype(np.uint8)
+        image[5, 5] ^= 255 if name == "other" else 0
+        if name != "none":
+            (tmp_path / name / "mask.png").write_bytes(b"no image" if name == "broken" else arrays.png(image[:5] if name == "size" else image))
+    drawn = {"mask": (1, F.transform("mask", lambda m: m.cast("int") * 255))}
+    for lines in (1024, 4):
+        scenes = read_scenes(spark, str(tmp_path), *S.BANDS, rows=lines, images=("mask",))
+        found = S.checked(scenes, drawn)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BatchScan") == 1 and "Join" not in plan  # before: three scans and two joins
+        got = {r.scene: (r.largest, r.passed) for r in found.where("rule = 'mask.png'").collect()}
+        inf = float("inf")
+        assert got == {"whole": (0, True), "other": (1, False), "none": (inf, False), "broken": (inf, False), "size": (inf, False)}
+        apart = S.images_checked(scenes, read_images(spark, str(tmp_path)), drawn)
+        assert got == {r.scene: (r.largest, r.passed) for r in apart.collect()}
+        assert {r.rule for r in found.where("NOT passed").collect()} == {"mask.png"}
+
+
+def test_values_that_are_no_bytes_are_not_written(spark, tmp_path):
+    for change in (F.lit(-1), F.lit(None)):
+        with pytest.raises(Exception, match="no bytes"):
+            write_scenes(rows(spark, 2)[1].withColumn("mask", F.transform("mask", lambda m, i: F.when(i > 0, m).otherwise(change).cast("tinyint"))), str(tmp_path))
+    assert list(tmp_path.iterdir()) == []
+    write_scenes(rows(spark, 1)[1].withColumn("dem_m", F.transform("dem_m", lambda v, i: F.when(i > 0, v))), str(tmp_path))
+    assert np.isnan(read_scenes(spark, str(tmp_path), "dem_m").collect()[0].dem_m[0])
