@@ -1,10 +1,9 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
 Every text is halved until a leaf has at most `LEAF_CHARS` characters; a leaf is cut into pieces by the
-split pattern and each piece encoded alone. Joining two neighbours encodes a growing window around their
-boundary anew: pieces that end well before the left text's end never saw that end, and as the pattern
-looks only ahead, everything from the first cut that falls on a cut of the right text stays as it was,
-tokens included. A long piece is halved in turn; its halves' tokens join by re-encoding the bytes of w
+split pattern. Joining two neighbours cuts a growing window around their boundary anew: pieces that end well before the left text's end never saw that end, and as the pattern
+looks only ahead, everything from the first cut that falls on a cut of the right text stays as it was.
+Each piece is encoded alone, short ones that are met for the first time together: a round merges one pair in each. A long piece is halved in turn; its halves' tokens join by re-encoding the bytes of w
 tokens on either side of the boundary, w doubling until the pairs (last token outside, first inside) and
 (last inside, first outside) encode to themselves. A sequence whose neighbouring pairs all do is the
 encoding of its bytes, so nothing outside the window can change. Decoding halves the ids until a leaf has
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF_CHARS, LEAF_IDS, LEAF_BYTES, KEPT_PIECES, MOST_VOCABULARY = 1 << 9, 1 << 7, 64, 200_000, 1 << 26
+GROUP_CHARS, GROUP_PIECES, FEW = 1 << 19, 1 << 12, 48  # texts cut before their pieces are encoded; pieces merged together, at most and at least
 NEVER = 1 << 62
 
 
@@ -112,19 +112,22 @@ class Splitter:
 
     def pieces(self, text: str, value: Callable, leaf: int | None = None) -> tuple[list[str], list]:
         """The pieces of a text and the value of each."""
+        found = self.cut(text, leaf)
+        return found, list(map(value, found))
+
+    def cut(self, text: str, leaf: int | None = None) -> list[str]:
+        """The pieces of a text."""
         if len(text) <= (leaf or LEAF_CHARS):
-            found = self.pattern.findall(text)
-            return found, list(map(value, found))
+            return self.pattern.findall(text)
         half = len(text) // 2
         left, right = text[:half], text[half:]
-        return self.join(left, *self.pieces(left, value, leaf), right, *self.pieces(right, value, leaf), value)
+        return self.join(left, self.cut(left, leaf), right, self.cut(right, leaf))
 
-    def join(self, left: str, left_pieces: list[str], left_values: list, right: str, right_pieces: list[str], right_values: list, value: Callable) -> tuple[list[str], list]:
-        """The pieces and values of left + right; the left lists are extended in place."""
+    def join(self, left: str, left_pieces: list[str], right: str, right_pieces: list[str]) -> list[str]:
+        """The pieces of left + right; the left list is extended in place."""
         end = len(left)
         while left_pieces and end > len(left) - 3:
             end -= len(left_pieces.pop())
-        del left_values[len(left_pieces) :]
         tail, width = left[end:], 64
         while True:
             window, whole = tail + right[:width], width >= len(right)
@@ -147,12 +150,62 @@ class Splitter:
             if keep is not None:
                 left_pieces += new
                 left_pieces += right_pieces[keep:]
-                left_values += map(value, new)
-                left_values += right_values[keep:]
-                return left_pieces, left_values
+                return left_pieces
             width *= 2
 
 
+class Merges:
+    """The merges of many short pieces at once, as arrays of ids with a row a piece."""
+
+    def __init__(self, ids: dict[bytes, int]):
+        self.base = 1 + max(ids.values(), default=0)
+        found = np.array([(ids[t[:k]] * self.base + ids[t[k:]], i) for t, i in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids], np.int64).reshape(-1, 2)
+        self.keys, self.ranks = found[np.argsort(found[:, 0])].T.copy()
+        self.bytes = np.array([ids.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.whole = bool(len(found)) and (self.bytes >= 0).all()  # else pieces are merged one at a time
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of a and b as one token, which is its id; NEVER if there is none or one of them is negative."""
+        key = a * self.base + b
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[place] == key) & (a >= 0) & (b >= 0), self.ranks[place], NEVER)
+
+    def encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """The 32-bit ids of each piece."""
+        out: list[bytes] = [b""] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
+        for a in range(0, len(order), GROUP_PIECES):
+            places = np.array(order[a : a + GROUP_PIECES])
+            sizes = np.array([len(pieces[k]) for k in places.tolist()])
+            width = int(sizes.max())
+            tokens = self.bytes[np.frombuffer(b"".join(pieces[k].ljust(width, b"\0") for k in places.tolist()), np.uint8)].reshape(len(places), width)
+            tokens[np.arange(width) >= sizes[:, None]] = -1
+            ranks = self.rank(tokens[:, :-1], tokens[:, 1:])
+            while len(places):
+                rows = np.arange(len(places))
+                at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(places), np.int64)
+                best = ranks[rows, at] if ranks.shape[1] else np.full(len(places), NEVER)
+                ended = best == NEVER
+                if ended.any():
+                    done = tokens[ended]
+                    ends = [0, *(4 * np.cumsum((done >= 0).sum(axis=1))).tolist()]
+                    ids = done[done >= 0].astype("<u4").tobytes()
+                    for k, x, y in zip(places[ended].tolist(), ends, ends[1:]):
+                        out[k] = ids[x:y]
+                    places, tokens, ranks, at, best = (v[~ended] for v in (places, tokens, ranks, at, best))
+                    rows = rows[: len(places)]
+                    if not len(places):
+                        break
+                column = np.arange(tokens.shape[1] - 1)
+                tokens = np.where(column <= at[:, None], tokens[:, :-1], tokens[:, 1:])
+                tokens[rows, at] = best
+                ranks = np.where(column[:-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
+                left, right = at > 0, at < ranks.shape[1]
+                ranks[rows[left], at[left] - 1] = self.rank(tokens[rows[left], at[left] - 1], best[left])
+                ranks[rows[right], at[right]] = self.rank(best[right], tokens[rows[right], at[right] + 1])
+        return out
+
+
 class Codec:
     """Encodes texts to little-endian 32-bit ids and back, by a rank file's lines."""
 
@@ -162,7 +215,7 @@ class Codec:
         get = self.ids.get
         self.merger = Merger(lambda a, b: get(a + b, NEVER), lambda parts: list(map(get, map(operator.add, parts, parts[1:]), repeat(NEVER))))
         self.code = {token: i.to_bytes(4, "little") for token, i in self.ids.items()}
-        self.splitter = Splitter(pattern)
+        self.merges, self.splitter = Merges(self.ids), Splitter(pattern)
         self.kept = _Kept(self._piece)
 
     def _piece(self, piece: str) -> bytes:
@@ -170,8 +223,31 @@ class Codec:
         return self.code.get(raw) or b"".join(map(self.code.__getitem__, self.merger.tokens(raw)))
 
     def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out, group, size = [], [], 0
+        for text in texts:
+            if group and size + len(text) > GROUP_CHARS:
+                out += self._encode_group(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        return out + self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
         self.kept.trim()
-        return b"".join(self.splitter.pieces(text, self.kept.__getitem__)[1])
+        cut = [self.splitter.cut(text) for text in texts]
+        if self.merges.whole:
+            self._keep(set().union(*cut))
+        return [b"".join(map(self.kept.__getitem__, pieces)) for pieces in cut]
+
+    def _keep(self, pieces: set[str]) -> None:
+        """Encode together the short pieces that are not kept yet."""
+        new = [(p, raw) for p in pieces if p not in self.kept and p not in self.kept.aside and (raw := p.encode()) not in self.code and len(raw) <= LEAF_BYTES]
+        if len(new) >= FEW:
+            for (piece, _), ids in zip(new, self.merges.encoded([raw for _, raw in new])):
+                self.kept[piece] = ids
 
     def decode(self, ids: bytes) -> bytes:
         if len(ids) <= 4 * LEAF_IDS:
@@ -222,7 +298,7 @@ def _encode(shared, key: tuple, pattern: str, with_ids: bool):
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
-                ids = [codec.encode(t or "") for t in part.column("text").to_pylist()]
+                ids = codec.encode_all([t or "" for t in part.column("text").to_pylist()])
                 columns = [part.column(n) for n in part.schema.names if n != "text"]
                 columns += [pa.array([len(x) // 4 for x in ids], pa.int64())]
                 if with_ids:

@@ -293,6 +293,33 @@ def test_bpe(spark, monkeypatch):
     assert bpe.encode(docs_of(spark, []), RANKS, P.PATTERN).count() == 0
 
 
+def test_new_pieces_are_merged_together(monkeypatch):
+    import tiktoken
+
+    codec = bpe.Codec(bpe.vocabulary(RANKS), P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ids, special_tokens={})
+    r = random.Random(6)
+    words = ["".join(r.choice("thesaringouw日éß") for _ in range(r.randint(1, 20))) for _ in range(6000)]
+    words += [r.choice("#=é日") * r.randint(1, 20) for _ in range(300)] + [str(r.random()) for _ in range(300)]
+    many = [" ".join(words[k : k + 60]) for k in range(0, len(words), 60)] + [""]
+    assert codec.merges.whole and codec.merges.encoded([w.encode() for w in words if len(w.encode()) <= 64]) == [b"".join(codec.code[x] for x in codec.merger.tokens(w.encode())) for w in words if len(w.encode()) <= 64]
+
+    def alone(*_):
+        raise AssertionError("a short piece was merged alone")
+
+    monkeypatch.setattr(bpe, "merged", alone)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 3000)
+    monkeypatch.setattr(bpe, "GROUP_PIECES", 100)
+    monkeypatch.setattr(bpe, "FEW", 1)
+    for kept in (bpe.KEPT_PIECES, 8):  # 8: what was kept is put aside all the time
+        monkeypatch.setattr(bpe, "KEPT_PIECES", kept)
+        codec.kept.clear()
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_all(many)] == [library.encode_ordinary(t) for t in many]
+    monkeypatch.undo()
+    small = bpe.Codec(b"YQ== 0\nYg== 1\nYWI= 2\n", P.PATTERN)  # a, b, ab: not all bytes are tokens
+    assert np.frombuffer(small.encode_all(["abba"])[0], "<u4").tolist() == [2, 1, 0] and codec.encode_all([]) == []
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
