@@ -46,7 +46,8 @@ def _scene_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = F.struct(F.lit(N).alias("size"), F.lit(ANGLE).alias("incidence_deg"), F.lit(HEADING).alias("radar_azimuth_deg"), F.lit(WAVE).alias("wavelength_m"), F.lit(LEAST).alias("target_threshold_mm"), F.lit(FRINGE).alias("fringe_threshold_rad"))
     request = F.struct(settings.alias("settings"), F.col("vec_id").alias("seed"))
     metadata = F.to_json(F.struct(request.alias("request"), F.lit("train").alias("split"), S.canonical_sha256(F.to_json(request)).alias("request_sha256")))
-    rows = _tiles(spark, sf_dir).repartition("vec_id").select("vec_id", metadata.alias("metadata"), F.col("data").alias("v"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, for tiles are few bytes beside the work of writing them
+    rows = _tiles(spark, sf_dir).repartition(parts, "vec_id").select("vec_id", metadata.alias("metadata"), F.col("data").alias("v"))
     made = _bands("v")
     for name, text in made.items():
         used = [n for n in rows.columns[2:] if re.search(rf"\b{n}\b", text)] or ["v"]
