@@ -3,7 +3,7 @@
 Every text is halved until a leaf has at most `LEAF_CHARS` characters; a leaf is cut into pieces by the
 split pattern. Joining two neighbours cuts a growing window around their boundary anew: pieces that end well before the left text's end never saw that end, and as the pattern
 looks only ahead, everything from the first cut that falls on a cut of the right text stays as it was.
-Each piece is encoded alone, short ones that are met for the first time together: a round merges one pair in each. A long piece is halved in turn; its halves' tokens join by re-encoding the bytes of w
+Each piece is encoded alone, short ones that are met for the first time together: a round merges one pair in each. Equal texts of a part of a batch are encoded once. A long piece is halved in turn; its halves' tokens join by re-encoding the bytes of w
 tokens on either side of the boundary, w doubling until the pairs (last token outside, first inside) and
 (last inside, first outside) encode to themselves. A sequence whose neighbouring pairs all do is the
 encoding of its bytes, so nothing outside the window can change. Decoding halves the ids until a leaf has
@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_CHARS, LEAF_IDS, LEAF_BYTES, KEPT_PIECES, MOST_VOCABULARY = 1 << 9, 1 << 7, 64, 200_000, 1 << 26
+LEAF_CHARS, LEAF_IDS, LEAF_BYTES, KEPT_PIECES, MOST_VOCABULARY = 1 << 11, 1 << 11, 64, 200_000, 1 << 26
 GROUP_CHARS, GROUP_PIECES, FEW = 1 << 19, 1 << 12, 48  # texts cut before their pieces are encoded; pieces merged together, at most and at least
 NEVER = 1 << 62
 
@@ -216,7 +216,7 @@ class Codec:
         self.merger = Merger(lambda a, b: get(a + b, NEVER), lambda parts: list(map(get, map(operator.add, parts, parts[1:]), repeat(NEVER))))
         self.code = {token: i.to_bytes(4, "little") for token, i in self.ids.items()}
         self.merges, self.splitter = Merges(self.ids), Splitter(pattern)
-        self.kept = _Kept(self._piece)
+        self.kept = _Kept(self._piece, {piece: code for token, code in self.code.items() if (piece := _decoded(token)) is not None})
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
@@ -244,7 +244,7 @@ class Codec:
 
     def _keep(self, pieces: set[str]) -> None:
         """Encode together the short pieces that are not kept yet."""
-        new = [(p, raw) for p in pieces if p not in self.kept and p not in self.kept.aside and (raw := p.encode()) not in self.code and len(raw) <= LEAF_BYTES]
+        new = [(p, raw) for p in pieces.difference(self.kept) if p not in self.kept.aside and (raw := p.encode()) not in self.code and len(raw) <= LEAF_BYTES]
         if len(new) >= FEW:
             for (piece, _), ids in zip(new, self.merges.encoded([raw for _, raw in new])):
                 self.kept[piece] = ids
@@ -256,12 +256,21 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+def _decoded(token: bytes) -> str | None:
+    """The token as text; None if it isn't whole characters."""
+    try:
+        return token.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 class _Kept(dict):
-    """Results by piece, made on first use. trim() puts those there are aside once they are many; from there a
-    piece that is met again comes back, and the others go with the next trim."""
+    """Results by piece, made on first use; those known from the start stay. trim() puts the others aside once they
+    are many; from there a piece that is met again comes back, and the rest go with the next trim."""
 
-    def __init__(self, make: Callable):
-        self.make, self.aside = make, {}
+    def __init__(self, make: Callable, known: dict | None = None):
+        super().__init__(known or {})
+        self.make, self.known, self.aside = make, known or {}, {}
 
     def __missing__(self, piece: str):
         out = self.aside.get(piece)
@@ -269,9 +278,10 @@ class _Kept(dict):
         return out
 
     def trim(self) -> None:
-        if len(self) > KEPT_PIECES // 2:
-            self.aside = dict(self)
+        if len(self) - len(self.known) > KEPT_PIECES // 2:
+            self.aside = {piece: out for piece, out in self.items() if piece not in self.known}
             self.clear()
+            self.update(self.known)
 
 
 _made: dict = {}
@@ -298,7 +308,12 @@ def _encode(shared, key: tuple, pattern: str, with_ids: bool):
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
-                ids = codec.encode_all([t or "" for t in part.column("text").to_pylist()])
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                each = {t: k for k, t in enumerate(dict.fromkeys(texts))}  # a mix has copies side by side
+                place = [each[t] for t in texts]
+                ids = codec.encode_all(list(each))
+                decoded = [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]
+                ids, decoded = [ids[k] for k in place], [decoded[k] for k in place]
                 columns = [part.column(n) for n in part.schema.names if n != "text"]
                 columns += [pa.array([len(x) // 4 for x in ids], pa.int64())]
                 if with_ids:
@@ -306,7 +321,7 @@ def _encode(shared, key: tuple, pattern: str, with_ids: bool):
                     columns += [pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))]
                 else:
                     columns += [pa.array([hashlib.sha256(x).hexdigest() for x in ids])]
-                columns += [pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids])]
+                columns += [pa.array(decoded)]
                 names = [n for n in part.schema.names if n != "text"] + ["n_tokens", "ids" if with_ids else "ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 

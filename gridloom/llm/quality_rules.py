@@ -53,24 +53,23 @@ def base_statistics(docs: DataFrame, *kept: str, text: str = "text") -> DataFram
     t = F.coalesce(F.col(text), F.lit(""))
     parts = docs.withColumn("words", F.filter(F.split(t, SPACE), lambda w: w != ""))
     parts = parts.withColumn("n_words", F.size("words").cast("long")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    window = lambda i: F.xxhash64(F.get("hashes", i), F.get("hashes", i + 1), F.get("hashes", i + 2))
-    windows = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_words").cast("int") - 3, F.lit(0))), window)).otherwise(F.array().cast("array<bigint>"))
+    window = lambda h, i: F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2))
+    windows = F.slice(F.transform("hashes", window), F.lit(1), F.greatest(F.col("n_words").cast("int") - 2, F.lit(0)))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     parts = parts.select(
         *kept, "lang", "source", "n_words",
-        F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace(t, r"[^\p{Lu}!]+", "")).cast("long").alias("n_loud"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_replace(t, r"[^#*$%&|<>\p{Lu}!]+", "").alias("marks"),
         lines.alias("lines"), windows.alias("windows"),
     )
+    parts = parts.withColumn("n_symbols", F.length(F.regexp_replace("marks", r"[^#*$%&|<>]+", "")).cast("long")).withColumn("n_loud", F.length(F.regexp_replace("marks", r"[#*$%&|<>]+", "")).cast("long"))
     parts = parts.withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     parts = parts.withColumn("sorted", F.when(repeats, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda k, j: F.get("sorted", k)["h"].eqNullSafe(F.get("sorted", j)["h"])
-    places = F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), lambda k: same(k, k - 1) | same(k, k + 1))
-    parts = parts.withColumn("places", F.when(F.col("sorted").isNotNull(), F.sort_array(F.transform(places, lambda k: F.get("sorted", k)["i"]))))
+    places = F.filter("sorted", lambda x, k: x["h"].eqNullSafe(F.get("sorted", k - 1)["h"]) | x["h"].eqNullSafe(F.get("sorted", k + 1)["h"]))
+    parts = parts.withColumn("places", F.sort_array(F.transform(places, lambda x: x["i"])))
     covered = F.aggregate("places", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at")), lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["at"])).alias("n"), x.alias("at")), lambda a: a["n"])
-    out = parts.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("lines", "windows", "sorted", "places")
+    out = parts.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("marks", "lines", "windows", "sorted", "places")
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -222,9 +221,10 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
 def passing(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that quality() keeps: each carries its columns to its own verdict, so ids may be null or
-    repeated. The statistics are computed twice, for the estimates and for the verdict: texts are neither shuffled nor staged."""
+    repeated. The statistics are computed once and staged with the rows that pass the base rules; only rows of
+    statistics are shuffled. The result reads what is staged in its `reads`."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    narrow = staged(_statistics(rows), "statistics")
-    found = _estimated(narrow)
-    unstaged(narrow)
-    return _judged(_statistics(rows, "row"), found).where("kept").select("row.*")
+    stats = staged(_statistics(rows, "row").withColumn("row", F.when(~F.col("base_failed"), F.col("row"))), "statistics")
+    out = _judged(stats, _estimated(stats)).where("kept").select("row.*")
+    out.reads = stats
+    return out
